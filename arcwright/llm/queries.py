@@ -9,8 +9,19 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .line_runs import dedup_lines
+from .ngram_join import near_classes
 from .shard_tree import HashTree, shard_rows
 from .source_mix import mix_sources
+from .window_pack import pack_windows
+
+#: Two files of one vocabulary, and the pattern that splits text before its merges (fixed values).
+TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def op2_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +39,19 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_window_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = pack_windows(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS), PATTERN)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_hash_tree_shards": op2_hash_tree_shards,
     "op4_line_runs": op4_line_runs,
     "op5_source_mix": op5_source_mix,
+    "op6_window_pack": op6_window_pack,
 }
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
