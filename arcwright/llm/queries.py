@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .language_id import identify_languages, train_byte_gru
 from .line_runs import dedup_lines
 from .ngram_join import near_classes
 from .shard_tree import HashTree, shard_rows
 from .source_mix import mix_sources
+from .toxicity import score_toxicity, train_toxicity
 from .window_pack import pack_windows
 
 #: Two files of one vocabulary, and the pattern that splits text before its merges (fixed values).
@@ -29,6 +31,17 @@ def op2_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), tree, tree.with_region("5", {40: 1.0}))
 
 
+def _fold(parts: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def op3_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_fold(4) == 2, F.lit(False))
+    found = identify_languages(docs.select("doc_id", "text"), train_byte_gru(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -46,12 +59,21 @@ def op6_window_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_fold(3) == 1, F.lit(False))
+    scored = score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.col("predicted").cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_hash_tree_shards": op2_hash_tree_shards,
+    "op3_byte_gru": op3_byte_gru,
     "op4_line_runs": op4_line_runs,
     "op5_source_mix": op5_source_mix,
     "op6_window_pack": op6_window_pack,
+    "op9_kneser_ney": op9_kneser_ney,
 }
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
