@@ -13,6 +13,7 @@ from .language_id import identify_languages, train_byte_gru
 from .line_runs import dedup_lines
 from .metric_tree import top_inner_products
 from .ngram_join import near_classes
+from .page_content import extract_content, train_page_content
 from .shard_tree import HashTree, shard_rows
 from .source_mix import mix_sources
 from .toxicity import score_toxicity, train_toxicity
@@ -65,6 +66,12 @@ def op7_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op8_dom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = extract_content(pages.select("page_id", "url", "html"), train_page_content(pages))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(_fold(3) == 1, F.lit(False))
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mix": op5_source_mix,
     "op6_window_pack": op6_window_pack,
     "op7_collision_ann": op7_collision_ann,
+    "op8_dom_model": op8_dom_model,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_metric_tree": op10_metric_tree,
 }
