@@ -24,7 +24,7 @@ VIEWS: dict[str, str] = {
     "clustered": """SELECT p_partkey AS source_index, concat('arc_', lpad(cast(p_partkey AS string), 6, '0')) AS candidate_id,
     ((p_partkey % 200) * 7919 % 36000) / 100 - 180 + (p_partkey // 200 % 12) / 100 AS lon,
     ((p_partkey % 200) * 104729 % 16000) / 100 - 80 + (p_partkey // 200 % 7) / 100 AS lat,
-    40 + 3 * (p_partkey // 200 % 15) + (p_partkey // 3000) * 0.5 AS radius_km,
+    40 + 3 * (p_partkey // 200 % 15) + (p_partkey // 3000) / 2 AS radius_km,
     (p_partkey * 613 % 1000) / 1000 AS followup_score, 1 - (p_partkey % 13) / 20 AS geometry_angular_coverage
   FROM part""",
     "controls": f"""SELECT concat('control_', lpad(cast(s_suppkey AS string), 6, '0')) AS negative_control_id,
