@@ -33,7 +33,7 @@ def shelve(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     out = df.write.partitionBy(*partition_by) if partition_by else df.write
     out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +48,13 @@ def words_in(text: Column) -> Column:
 def hash60(key: Column) -> Column:
     """The first 60 bits of the MD5 of a string, as a long that SQL engines agree on."""
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so a table may have columns of any name."""
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"))
+
+
+def unpacked(columns: list[str], **new: Column) -> list[Column]:
+    """The columns of ``row`` in order, some replaced by name."""
+    return [(new[c] if c in new else F.col("row")[c]).alias(c) for c in columns]

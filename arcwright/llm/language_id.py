@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 #: Bytes of text that a task labels at a time.
 BLOCK = 1 << 20
 UNDETERMINED = "und"
@@ -149,6 +151,8 @@ class ByteGru:
 
     def documents(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and its probability for each whole text."""
+        if not self.languages:
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         raw = [(t or "").lower().encode("utf-8", "replace") if _letter.search(t or "") else b"" for t in texts]
         sums = np.zeros((len(self.languages), len(texts)))
         letters = np.zeros(len(texts))
@@ -159,9 +163,9 @@ class ByteGru:
                 sums[c] += np.bincount(owners, p[c], len(texts))
             letters += np.bincount(owners, mask.sum(axis=1), len(texts))
         pooled = sums / np.maximum(letters, 1)
-        best = pooled.argmax(axis=0) if self.languages else np.zeros(len(texts), int)
-        names = [self.languages[b] if n and self.languages else UNDETERMINED for b, n in zip(best, letters, strict=True)]
-        scores = [float(min(1.0, pooled[b, i])) if n and self.languages else 0.0 for i, (b, n) in enumerate(zip(best, letters, strict=True))]
+        best = pooled.argmax(axis=0)
+        names = [self.languages[b] if n else UNDETERMINED for b, n in zip(best, letters, strict=True)]
+        scores = [float(min(1.0, pooled[b, i])) if n else 0.0 for i, (b, n) in enumerate(zip(best, letters, strict=True))]
         return names, scores
 
 
@@ -240,7 +244,7 @@ def identify_languages(docs: DataFrame, model: ByteGru) -> DataFrame:
     Every byte of every whole text is labelled. Texts that are null or have no letter get
     ``und`` and 0, as all texts do under a model that knows no language. Nothing is shuffled.
     """
-    held = docs.drop("lang_pred", "score")
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 10,000 numbers
 
     @F.pandas_udf("lang_pred string, score double")
@@ -249,4 +253,5 @@ def identify_languages(docs: DataFrame, model: ByteGru) -> DataFrame:
             names, scores = shared.value.documents([t if isinstance(t, str) else None for t in series])
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return held.withColumn("_found", predict("text")).select(*held.columns, "_found.lang_pred", "_found.score")
+    found = packed(docs).withColumn("found", predict(F.col("row")["text"]))
+    return found.select(*unpacked(columns), "found.lang_pred", "found.score")

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, shelve
+from .common import WHITE, packed, shelve, unpacked
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -108,22 +108,21 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches
     doc_id as one document below all others. Lines are compared by 128-bit hashes.
     """
     drops = repeated_places(docs, min_docs, min_chars, batches, fanout)
-    drops = drops.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"), F.col("drop").alias("_drop"))
-    rows = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_id"]) & (F.xxhash64(docs["text"]) == drops["_text_id"]), "left")
-    lines = text_lines(F.col("text"))
+    drops = drops.select(F.col("doc_id").alias("id"), "text_id", "drop")
+    rows = packed(docs)
+    row_id, text = F.col("row")["doc_id"], F.col("row")["text"]
+    rows = rows.join(drops, row_id.eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("text_id")), "left")
     # one flag for each line up to the last dropped one: the gaps between dropped positions, spelt out
     flags = F.expr(
-        "flatten(transform(_drop, (p, i) -> concat("
-        "array_repeat(false, p - if(i = 0, 0, _drop[i - 1] + 1)), array(true))))"
+        "flatten(transform(drop, (p, i) -> concat("
+        "array_repeat(false, p - if(i = 0, 0, drop[i - 1] + 1)), array(true))))"
     )
-    kept = F.filter(F.col("_lines"), lambda _, i: ~F.coalesce(F.get(F.col("_flags"), i), F.lit(False)))
-    rows = rows.withColumn("_lines", lines).withColumn("_flags", flags)
-    new = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    out = rows.select(
-        *others,
-        new.alias("text"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+    rows = rows.withColumn("lines", text_lines(text)).withColumn("flags", flags)
+    kept = F.filter(F.col("lines"), lambda _, i: ~F.coalesce(F.get(F.col("flags"), i), F.lit(False)))
+    new = F.when(F.col("drop").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return rows.select(
+        *unpacked(columns, text=new),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long").alias("n_dropped"),
     )
-    return out.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0).cast("long")))

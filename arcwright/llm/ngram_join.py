@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shelve
+from .common import cut, packed, shelve, unpacked
 from .components import star_components
 from .shingles import mix, shingle_sets
 
@@ -280,7 +280,7 @@ def one_of_each_class(docs: DataFrame, **how) -> DataFrame:
     """
     near = near_classes(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     near = near.groupBy("doc_id", "class_key").agg(F.min("text_id").alias("text_id"))
-    near = near.select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text_id"))
-    rows = docs.withColumn("_own", F.xxhash64("text"))
-    kept = rows.join(near, rows["doc_id"].eqNullSafe(near["_id"]) & (rows["_own"] == near["_text_id"]))
-    return kept.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    rows = packed(docs)
+    row_id, own = F.col("row")["doc_id"], F.xxhash64(F.col("row")["text"])
+    kept = rows.withColumn("own", own).join(near, row_id.eqNullSafe(near["doc_id"]) & (F.col("own") == near["text_id"]))
+    return kept.dropDuplicates(["doc_id", "own"]).select(*unpacked(docs.columns))

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
 from .dom import INLINE, Dom, parse
 
 #: Characters of HTML that a task labels at a time.
@@ -299,7 +300,7 @@ def extract_content(pages: DataFrame, model: ContentModel) -> DataFrame:
     within a block becomes one space, and blocks are joined by one space in page order. A
     page without content has an empty text. Nothing is shuffled.
     """
-    held = pages.drop("text", "n_chars")
+    columns = [c for c in pages.columns if c not in ("text", "n_chars")]
     shared = pages.sparkSession.sparkContext.broadcast(model)  # some thousand weights
 
     def slices(values: list[str | None]) -> Iterable[list[str | None]]:
@@ -320,5 +321,5 @@ def extract_content(pages: DataFrame, model: ContentModel) -> DataFrame:
             values = [p if isinstance(p, str) else None for p in series]
             yield pd.Series([t for part in slices(values) for t in shared.value.texts(part)], dtype=object)
 
-    out = held.withColumn("text", main_text("html"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    found = packed(pages).withColumn("text", main_text(F.col("row")["html"]))
+    return found.select(*unpacked(columns), "text", F.length("text").cast("long").alias("n_chars"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hash60, words_in
+from .common import cut, hash60, packed, unpacked, words_in
 
 #: Sources up to this many are broadcast (a few MB); more are joined by shuffle.
 BROADCAST_SOURCES = 50_000
@@ -141,22 +141,20 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Documents that the mix takes no word of are not in it. Copies of one (id, source, size)
     are taken alike.
     """
-    plan = mix_sources(docs, **how).where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("taken").alias("_taken")
-    ).distinct()
-    rows = docs.withColumn("_words", words_in(F.col("text")))
-    joined = rows.join(
-        plan,
-        rows["doc_id"].eqNullSafe(plan["_id"]) & rows["source"].eqNullSafe(plan["_source"]) & (rows["_words"] == plan["_size"]),
+    plan = mix_sources(docs, **how).where("taken > 0").select("doc_id", "source", "size", "taken").distinct()
+    rows = packed(docs)
+    doc_id, source, text = (F.col("row")[c] for c in ("doc_id", "source", "text"))
+    rows = rows.withColumn("words", words_in(text))
+    same = doc_id.eqNullSafe(plan["doc_id"]) & source.eqNullSafe(plan["source"]) & (rows["words"] == plan["size"])
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    out = rows.join(plan, same).select("row", "size", "taken", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+    out = out.withColumn("left", F.col("taken") - (F.col("copy") - 1) * F.col("size"))
+    first_words = F.expr(
+        r"array_join(slice(regexp_extract_all(row.text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, cast(left as int)), '')"
     )
-    copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    out = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    cut_text = F.expr(
-        r"array_join(slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1,"
-        " cast(_taken - (_copy - 1) * _size as int)), '')"
-    )
-    out = out.withColumn("text", F.when(left < F.col("_size"), cut_text).otherwise(F.col("text")))
+    part = F.col("left") < F.col("size")
+    out = out.withColumn("new_text", F.when(part, first_words).otherwise(text))
+    new = {"text": F.col("new_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(left < F.col("_size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(part, F.length("new_text").cast("long")).otherwise(F.col("row")["n_chars"])
+    return out.select(*unpacked(docs.columns, **new))
