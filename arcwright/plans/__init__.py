@@ -1,4 +1,4 @@
 """Queries over the given tables, and SQL that gives the same rows."""
 
-from . import shortlist_queries, spatial_queries, stats_queries  # noqa: F401
+from . import ring_queries, shortlist_queries, spatial_queries, stats_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
