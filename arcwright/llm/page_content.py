@@ -276,13 +276,15 @@ def fit_content_model(pages: list[tuple[Dom, np.ndarray]], rounds: int = 120, ra
 def train_page_content(pages: DataFrame, examples: int = 200, sample: int = 150, sample_chars: int = 2_000_000, seed: int = 17) -> ContentModel:
     """Train on ``examples`` labelled example pages and a bounded sample of ``pages`` that label themselves.
 
-    The sample: the ``sample`` pages with an <article> or <main> whose id hashes are the
+    The sample: the ``sample`` pages with an <article> or <main> whose hashes are the
     smallest, up to ``sample_chars`` characters; what is inside is content, but for parts
     named as menus, adverts, comments and the like.
     """
-    own = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]")).select(F.xxhash64("page_id").alias("place"), "html")
-    own = own.where(F.length("html") <= sample_chars // 4)
-    rows = [r["html"] for r in own.orderBy("place", "html").limit(sample).collect()]
+    own = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") <= sample_chars // 4))
+    own = own.select(F.xxhash64("page_id", "html").alias("place"), "html")
+    # the rows that come to the driver are few whatever the number of tasks: their hashes first, then they
+    low = [r["place"] for r in own.select("place").distinct().orderBy("place").limit(sample).collect()]
+    rows = [r["html"] for r in own.where(F.col("place").isin(low)).dropDuplicates(["place"]).orderBy("place").collect()]
     taken, chars = [], 0
     for page in rows:
         chars += len(page)
