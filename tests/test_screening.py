@@ -300,3 +300,49 @@ def test_intake(spark):
     assert r["intake_score"] == 0.85 and not r["feature_identified"] and not r["passed"]
     twin = spark.createDataFrame([("twin", 0.05, 0.0, 50.0)], "candidate_id string, lon double, lat double, diameter_km double")
     assert J.score_submissions(spark.createDataFrame(rows, schema), twin).first()["duplicate_of"] == "twin"
+
+
+def test_geodesics(spark):
+    from arcwright.functions.geodesic import geodesic_km, inverse_km
+
+    a = np.array
+    got = inverse_km(a([0.0, 0.0, 0.0, 10.0]), a([0.0, 0.0, 0.0, 50.0]), a([1.0, 0.0, 179.9, 10.0]), a([0.0, 1.0, 0.1, 50.0]))
+    assert abs(got[0] - 111.3195) < 1e-3 and abs(got[1] - 110.5744) < 1e-3 and got[2] > 19_900 and got[3] == 0
+    rows = spark.createDataFrame([(0.0, 0.0, 1.0, 0.0), (0.0, None, 1.0, 0.0)], "a double, b double, c double, d double")
+    assert [r["k"] is None for r in rows.select(geodesic_km("a", "b", "c", "d").alias("k")).collect()] == [False, True]
+
+
+def test_arcs_along_boundaries(spark):
+    from arcwright.operators import boundaries as B
+
+    arcs = spark.createDataFrame([("on", 0.0, 0.0, 1.0, 0.0), ("half", 0.5, 0.0, 1.5, 0.0), ("off", 0.0, 3.0, 1.0, 3.0), ("across", 0.5, -1.0, 0.5, 1.0)], "candidate_id string, lon1 double, lat1 double, lon2 double, lat2 double")
+    centers = spark.createDataFrame([(k, 0.5, 0.0, 50.0) for k in ("on", "half", "off", "across")], "candidate_id string, lon double, lat double, radius_km double")
+    sides = spark.createDataFrame([("p", "Craton", 0.0, 0.0, 1.0, 0.0)], "province_id string, prov_type string, lon1 double, lat1 double, lon2 double, lat2 double")
+    got = {r["candidate_id"]: r for r in B.boundary_coincidence(arcs, centers, sides).collect()}
+    assert got["on"]["coincidence"] > 0.99 and got["off"]["coincidence"] == 0 and got["off"]["nearby_types"] == ""
+    assert abs(got["half"]["coincidence"] - (0.5 + 5 / 111.2)) < 0.02
+    assert abs(got["across"]["coincidence"] - 10 / 222.4) < 0.01 and got["across"]["crossings"] == 1 and got["across"]["nearby_types"] == "Craton"
+    square = spark.createDataFrame([("s", i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)])], "k string, seq int, lon double, lat double")
+    c = B.polygon_centers(square, "k").first()
+    assert abs(c["lon"] - 1) < 1e-9 and abs(c["lat"] - 1) < 1e-9 and 156 < c["radius_km"] < 158
+
+
+def test_image_patches(spark):
+    n = 96
+    iy, ix = np.mgrid[0:n, 0:n]
+    rho = np.hypot(ix - (n - 1) / 2, iy - (n - 1) / 2) / (n / 3.5)
+    ring = 100 * np.exp(-0.5 * ((rho - 1) / 0.1) ** 2)
+    noise = np.random.RandomState(0).rand(n, n)
+    rows = [(k, int(y), int(x), float(v)) for k, z in (("ring", ring), ("noise", noise)) for y, x, v in zip(iy.ravel(), ix.ravel(), z.ravel())]
+    got = {r["candidate_id"]: r["imagery_score"] for r in O.patch_score(spark.createDataFrame(rows, "candidate_id string, iy int, ix int, value double"), n).collect()}
+    assert got["ring"] == 1 and got["noise"] < 0.4
+
+
+def test_draws_keep_the_domain(spark):
+    grid = spark.range(36 * 18).select((F.col("id") / 36).cast("int").alias("iy"), (F.col("id") % 36).alias("ix")).select(
+        "iy", "ix", (F.col("iy") * 10 - 85.0).alias("lat"), (F.col("ix") * 10 - 175.0).alias("lon"), F.when(F.col("ix") < 18, 0).otherwise(40).alias("value")
+    )
+    c = spark.createDataFrame([("l", 0.0, 800.0, "land"), ("o", 10.0, 800.0, "ocean")], "candidate_id string, lat double, radius_km double, domain string")
+    got = O.domain_matched_draws(c, grid, k=5, attempts=10).collect()
+    assert sorted((r["candidate_id"], r["null_index"]) for r in got) == [(k, i) for k in "lo" for i in range(5)]
+    assert all((r["null_lon"] < 5) == (r["candidate_id"] == "l") or abs(r["null_lon"]) > 170 for r in got)
