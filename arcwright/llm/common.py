@@ -58,3 +58,9 @@ def packed(df: DataFrame) -> DataFrame:
 def unpacked(columns: list[str], **new: Column) -> list[Column]:
     """The columns of ``row`` in order, some replaced by name."""
     return [(new[c] if c in new else F.col("row")[c]).alias(c) for c in columns]
+
+
+def hash_bound(wanted: int, n: int) -> int:
+    """Of n rows with signed 64-bit hashes, all but certainly more than ``wanted`` (if there are) have one up to this bound."""
+    share = min(1.0, (2 * wanted + 50) / max(1, n))
+    return min(2**63 - 1, int(-(2**63) + share * 2.0**64))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import hash_bound, packed, unpacked
 
 #: Bytes of text that a task labels at a time.
 BLOCK = 1 << 20
@@ -210,11 +210,16 @@ def train_byte_gru(
     ``stretches_per_doc`` stretches spread over its whole text. Reads text, lang and doc_id of rows
     where ``usable`` holds; null languages are left out. No such rows: a model that knows no language."""
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    common = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    common = {r["lang"]: r["count"] for r in counts}
     languages = sorted(common)
     by_hash = Window.partitionBy("lang").orderBy("place", "doc_id")
     places = labelled.where(F.col("lang").isin(languages)).select("lang", "doc_id", F.xxhash64("doc_id").alias("place"))
-    chosen = places.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= sample_per_language)
+    # the smallest hashes lie in the lowest part of their range: some twice the sample, whatever the size of a language
+    low = F.lit(False)
+    for lang, n in common.items():
+        low = low | ((F.col("lang") == lang) & (F.col("place") <= hash_bound(sample_per_language, n)))
+    chosen = places.where(low).withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= sample_per_language)
     ids = F.broadcast(chosen.select("lang", "doc_id"))  # at most most_languages * sample_per_language rows
 
     def cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
