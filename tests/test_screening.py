@@ -346,3 +346,48 @@ def test_draws_keep_the_domain(spark):
     got = O.domain_matched_draws(c, grid, k=5, attempts=10).collect()
     assert sorted((r["candidate_id"], r["null_index"]) for r in got) == [(k, i) for k in "lo" for i in range(5)]
     assert all((r["null_lon"] < 5) == (r["candidate_id"] == "l") or abs(r["null_lon"]) > 170 for r in got)
+
+
+@pytest.fixture(scope="module")
+def grids(spark):
+    # 0.5 degree cells of a band around the equator, with rings at two places
+    cells = spark.range(80 * 720).select((F.col("id") / 720).cast("int").alias("iy"), (F.col("id") % 720).alias("ix"))
+    cells = cells.select("iy", "ix", (F.col("iy") * 0.5 - 19.75).alias("lat"), (F.col("ix") * 0.5 - 179.75).alias("lon"))
+    far = F.least(G.great_circle_km("lon", "lat", F.lit(10.0), F.lit(0.0)), G.great_circle_km("lon", "lat", F.lit(179.9), F.lit(2.0)))
+    height = cells.withColumn("value", 500 * F.exp(-F.pow((far - 800) / 60, F.lit(2.0)) / 2) + F.col("lat"))
+    land = cells.withColumn("value", F.when(F.col("lon") < 60, 0).otherwise(40))
+    c = spark.createDataFrame([("ring", 10.0, 0.0, 800.0, "land"), ("edge", 179.9, 2.0, 800.0, "ocean"), ("flat", 90.0, 0.0, 800.0, "ocean")], "candidate_id string, lon double, lat double, radius_km double, domain string")
+    return height.cache(), land.cache(), c
+
+
+def test_terrain_ranking_and_enrichment(spark, grids):
+    from arcwright.plans import studies
+
+    height, land, c = grids
+    ranked = {r["candidate_id"]: r for r in studies.terrain_ranking(c, height).collect()}
+    assert ranked["flat"]["rank"] == 3 and min(ranked["ring"]["followup_score"], ranked["edge"]["followup_score"]) > ranked["flat"]["followup_score"] + 0.1
+    rich = {r["candidate_id"]: r for r in studies.enrichment(c, {"gravity": height}, land).collect()}
+    assert rich["ring"]["gravity_ring_score"] > rich["flat"]["gravity_ring_score"] + 0.1 and rich["ring"]["tid_land_fraction"] == 1.0 and rich["flat"]["tid_land_fraction"] == 0.0
+
+
+def test_matched_draw_study(spark, grids):
+    from arcwright.plans import studies
+
+    height, land, c = grids
+    out = studies.matched_draw_study(c.where("candidate_id <> 'edge'"), land, height, k=3, replicates=20)
+    assert out["draws"].count() == 6
+    assert {r["candidate_id"]: r["n_null"] for r in out["candidates"].collect()} == {"ring": 3, "flat": 3}
+    assert out["summary"].count() == 1
+
+
+def test_structure_study_and_export(spark):
+    from arcwright.plans import studies
+
+    rows = placed(spark, [(0.0, 0.0, 100.0, 0.9, 1.0), (0.15, 0.0, 100.0, 0.8, 1.0), (30.0, 10.0, 50.0, 0.7, 1.0)]).withColumn("review_tier", F.lit("C_morphology")).withColumn("domain", F.lit("land"))
+    faults = spark.createDataFrame([(1, "f", "Normal", -1.0, 0.0, 1.0, 0.0)], "fault_id long, name string, slip_type string, lon1 double, lat1 double, lon2 double, lat2 double")
+    out = studies.structure_study(rows, faults)
+    got = {r["structure_id"]: r for r in out["structures"].collect()}
+    assert got["structure_0001"]["fault_control_flag"] == "intersects_active_fault" and abs(got["structure_0001"]["fault_length_within_radius_km"] - 200) < 1
+    assert got["structure_0002"]["fault_control_flag"] == "no_mapped_active_fault_within_radius" and got["structure_0002"]["fault_search_degrees"] == 40
+    table, checks = studies.study_export(rows.select("candidate_id", "source_index"), rows, out["structures"], out["membership"], {"manual_note": "string"})
+    assert checks.first()["ok"] and table.count() == 3 and {r["structure_id"] for r in table.collect()} == {"structure_0001", "structure_0002"}
