@@ -5,7 +5,8 @@ how many documents of its batch have the line and, if no earlier run has the lin
 the document that keeps it. Each new batch is merge-joined with the runs: lines
 that they lack get their keeper from this batch, and the batch's run is added.
 When a level holds ``fanout`` runs they are merged into one run of the next level,
-so a batch meets few runs. Runs live in the cluster's shared folder.
+so a batch meets few runs. Runs live in the cluster's shared folder (as checkpoints, which
+Spark clears when nothing refers to them).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, packed, shelve, unpacked
+from .common import WHITE, cut, packed, unpacked
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,7 +49,7 @@ class LineRuns:
 
     @staticmethod
     def _sorted(run: DataFrame) -> DataFrame:
-        return shelve(run.sortWithinPartitions("h1", "h2"), "line-run")
+        return cut(run.sortWithinPartitions("h1", "h2"))
 
     @staticmethod
     def _merge(runs: list[DataFrame]) -> DataFrame:
@@ -88,7 +89,7 @@ def repeated_places(docs: DataFrame, min_docs: int, min_chars: int, batches: int
     batch = F.lit(len(cuts))
     for i, least in reversed(list(enumerate(cuts))):
         batch = F.when(F.col("doc_id") > least, i).otherwise(batch)
-    places = shelve(places.withColumn("batch", batch), "line-places", "batch")
+    places = cut(places.withColumn("batch", batch))
     store = LineRuns(fanout)
     for i in range(len(cuts) + 1):
         store.add(places.where(F.col("batch") == i).select("doc_id", "h1", "h2"))

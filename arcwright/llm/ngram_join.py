@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, shelve, unpacked
+from .common import cut, packed, unpacked
 from .components import star_components
 from .shingles import mix, shingle_sets
 
@@ -144,7 +144,7 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresho
 def _blocks(docs: DataFrame, n: int, threshold: float, recall: float, most_hashes: int, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed rows, nodes with their number of documents, block rows: root, i, j, node, part, n_docs, grams)."""
     bands, rows = bands_for(threshold, recall, most_hashes)
-    signed = shelve(_signatures(docs, n, bands, rows), "signatures")
+    signed = cut(_signatures(docs, n, bands, rows))
     has = signed.where("node IS NOT NULL")
     nodes = cut(
         has.groupBy("node").agg(
