@@ -280,7 +280,9 @@ def one_of_each_class(docs: DataFrame, **how) -> DataFrame:
     """
     near = near_classes(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     near = near.groupBy("doc_id", "class_key").agg(F.min("text_id").alias("text_id"))
-    rows = packed(docs)
-    row_id, own = F.col("row")["doc_id"], F.xxhash64(F.col("row")["text"])
-    kept = rows.withColumn("own", own).join(near, row_id.eqNullSafe(near["doc_id"]) & (F.col("own") == near["text_id"]))
-    return kept.dropDuplicates(["doc_id", "own"]).select(*unpacked(docs.columns))
+    # keys without nulls: the join's partitions then serve the last step too, and texts move once
+    key = lambda doc_id: F.coalesce(doc_id.cast("string"), F.lit("\0none"))
+    near = near.select(F.col("text_id").alias("of_text"), key(F.col("doc_id")).alias("of_id"))
+    rows = packed(docs).withColumns({"of_text": F.xxhash64(F.col("row")["text"]), "of_id": key(F.col("row")["doc_id"])})
+    kept = rows.join(near, ["of_text", "of_id"]).dropDuplicates(["of_text", "of_id"])
+    return kept.select(*unpacked(docs.columns))
