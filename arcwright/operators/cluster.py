@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .spatial import centered_pairs, distance_self_join, overlapping_pairs
 
+# Texts of regional context.
+ALONE = "geographically isolated at configured scale"
+TOGETHER = "geographic cluster; test shared tectonic/volcanic fabric and selection bias"
 # Center fraction, smallest and largest radius ratio of each setting.
 SETTINGS = {"strict": (0.15, 0.80, 1.25), "default": (0.25, 0.67, 1.50), "lenient": (0.35, 0.50, 2.00)}
 
@@ -39,7 +42,7 @@ def regional_families(candidates: DataFrame, km: float = 500.0) -> DataFrame:
     over = overlapping_pairs(candidates, "candidate_id").select(F.explode(F.array("a", "b")).alias("candidate_id")).distinct()
     rows = rows.join(sizes, "root").join(over.withColumn("_over", F.lit(True)), "candidate_id", "left")
     alone = F.col("regional_family_member_count") == 1
-    flag = F.when(alone, "geographically isolated at configured scale").otherwise("geographic cluster; test shared tectonic/volcanic fabric and selection bias")
+    flag = F.when(alone, ALONE).otherwise(TOGETHER)
     return rows.select(
         "candidate_id", "regional_family_id", "regional_family_member_count",
         F.coalesce("_over", F.lit(False)).alias("overlapping_large_candidate"), flag.alias("regional_context_flag"),
