@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from .checkpoints import cut
 from .ranking import bins_right_closed, exact_quantiles, number_rows, percentiles_within, range_cuts
 
 METRICS = ("gravity_bouguer_ring_score", "gravity_freeair_ring_score", "magnetic_ring_score")
@@ -39,7 +40,7 @@ def review_shortlist(candidates: DataFrame) -> DataFrame:
     # one number that sorts by tier, score and consensus: each score is in [0, 1]
     rows = rows.withColumn("_minus", -F.coalesce(S.known("followup_score"), F.lit(-1.0)))
     rows = rows.withColumn("_minus2", -F.coalesce(F.col("gravity_consensus_percentile"), F.lit(-1.0)))
-    rows = rows.withColumn("_key", F.col("_order") * 4 + F.col("_minus"))
+    rows = cut(rows.withColumn("_key", F.col("_order") * 4 + F.col("_minus")))  # ranked in two passes
     cuts = sorted({4 * t - c for t in range(len(S.TIERS)) for c in [*range_cuts(candidates, "followup_score", 8), 1.5]})
     ranked = number_rows(rows, "_key", ["_minus2", "candidate_id"], "geophysical_review_rank", descending=False, cuts=cuts)
     return ranked.drop("_order", "_minus", "_minus2", "_key")
