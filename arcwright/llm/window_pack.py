@@ -138,11 +138,11 @@ class Packer:
 
     def _batch(self, goal: int) -> Iterator[tuple]:
         stretches = self._take(goal)
-        for _ in range(4):
+        for more in (True, True, True, False):
             pieces = self._split(stretches)
             sums, groups = difference([e - s for _, _, s, e in pieces], self.parts)
             over = sums[0] - self.window
-            if over <= 0:
+            if over <= 0 or not more:  # what is given back must not be in the pieces that are placed
                 break
             stretches = self._give_back(stretches, self.parts * (over + 1))
         yield from self._windows(pieces, sums, groups)
@@ -197,7 +197,8 @@ def pack_windows(
     sequence, gapless from 0). Each id is in one piece. A null or empty text is its
     closing id alone. Rows that repeat a doc_id are packed one by one; a null doc_id
     stays null. A task ends with at most one batch of its documents' remainders, so
-    padding beyond about ``slack`` ids a window is less than one window a task.
+    padding beyond about ``slack`` ids a window is less than one window a task, but for
+    batches of equal pieces that fill no window well (their number of windows rises).
     ``tokenizer_path`` and ``ranks_path`` are two files of the same vocabulary, which
     executors must be able to open.
     """

@@ -164,6 +164,21 @@ def test_packing(docs, none):
     assert pack(none).count() == 0
 
 
+@pytest.mark.parametrize("size", [205, 206, 228, 229, 230, 231, 232])
+def test_runs_of_equal_documents_are_packed_once(size):
+    from arcwright.llm.window_pack import Packer
+
+    packer = Packer(window=2048, parts=8, piece=256, slack=8, first_sequence=0)
+    out = [p for i in range(200) for p in packer.add(i, np.arange(size, dtype="<u4"))] + list(packer.finish())
+    ids = sorted((doc_id, int(x)) for doc_id, start, length, data, *_ in out for x in np.frombuffer(data, "<u4"))
+    assert ids == [(i, x) for i in range(200) for x in range(size)], "each id is in one piece"
+    filled = {}
+    for _, _, length, _, _, sequence, offset in out:
+        assert offset == filled.get(sequence, 0)
+        filled[sequence] = offset + length
+    assert max(filled.values()) <= 2048
+
+
 def test_ids_are_those_of_the_tokenizer():
     from arcwright.llm.window_pack import TextIds
     from tokenizers import Tokenizer
