@@ -152,7 +152,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample_pe
     """Fit on a bounded sample of the labelled rows where ``usable`` (of doc_id) holds.
 
     Of each class the ``sample_per_class`` documents with the smallest id hashes are
-    taken, as long as they have ``sample_chars`` characters together. A document with
+    taken, as long as they have ``sample_chars`` characters together; those of more than
+    a hundredth of ``sample_chars`` come after all others, the shortest first, so none of
+    them takes another's place. The document that meets the bound is cut there. A document with
     several labels is toxic if one of them says so; null labels are left out. Without
     labelled rows every score is near 0.
     """
@@ -160,11 +162,13 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample_pe
     sizes = docs.select("doc_id", F.length("text").alias("chars")).where("chars > 0").groupBy("doc_id").agg(F.max("chars").alias("chars"))
     known = marked.join(sizes, "doc_id").select("doc_id", "toxic", "chars", F.xxhash64("doc_id").alias("place"))
     n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    first = Window.partitionBy("toxic").orderBy("place", "doc_id")
+    known = known.withColumn("long", F.when(F.col("chars") > sample_chars // 100, F.col("chars")).otherwise(0))
+    first = Window.partitionBy("toxic").orderBy("long", "place", "doc_id")
     some = known.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample_per_class)
-    some = some.withColumn("upto", F.sum("chars").over(first)).where(F.col("upto") <= sample_chars)
-    picked = F.broadcast(some.select("doc_id", "toxic"))  # at most two classes of sample_per_class rows
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(picked, "doc_id").select("doc_id", "text", "toxic").collect()
+    some = some.withColumn("room", sample_chars + F.col("chars") - F.sum("chars").over(first)).where("room > 0")
+    picked = F.broadcast(some.select("doc_id", "toxic", F.least("room", "chars").cast("int").alias("room")))  # at most two classes of sample_per_class rows
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(picked, "doc_id")
+    rows = rows.select("doc_id", F.substring("text", F.lit(1), F.col("room")).alias("text"), "toxic").collect()
     taken = sorted({(r["doc_id"], r["text"], int(r["toxic"])) for r in rows})
     share = n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
     return fit_models([(text, label) for _, text, label in taken], share)

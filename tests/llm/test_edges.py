@@ -199,6 +199,21 @@ def test_toxicity(docs, none, spark):
     assert {r["predicted"] for r in score_toxicity(docs, empty).collect()} == {0}
 
 
+@pytest.mark.parametrize("long_chars", [60_000, 1_500_000])
+def test_a_long_text_leaves_the_others_in_the_sample(spark, long_chars):
+    rng = np.random.RandomState(3)
+    prose = lambda i: " ".join(f"w{k}" for k in rng.randint(0, 400, 120)) + (" vilwort badwurd" if i % 2 else "")
+    first = {r["t"]: r["i"] for r in spark.range(160).select(F.col("id").alias("i"), (F.col("id") % 2).alias("t")).groupBy("t").agg(F.min_by("i", F.xxhash64("i")).alias("i")).collect()}
+    texts = [(i, (f"long{i} words{i} " * (long_chars // 11 + 1) if i in first.values() else "") + prose(i)) for i in range(160)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.range(160).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
+    model = train_toxicity(df, labels, F.lit(True), sample_chars=1_000_000)
+    short = score_toxicity(df.where(F.length("text") < 10_000), model).collect()
+    assert len(short) == 158 and all(r["predicted"] == r["doc_id"] % 2 for r in short)
+    alone = train_toxicity(df.where(F.col("doc_id").isin(*first.values()) | (F.col("doc_id") % 2 == 0)), labels, F.lit(True), sample_chars=50_000)
+    assert alone.weights[-1] > -30, "a class of one long text has a sample all the same"
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, v string, dim string, block string"
 
 
