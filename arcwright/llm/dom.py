@@ -14,9 +14,17 @@ _attribute = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^'
 _split = re.compile(r"[^a-z]+")
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math select".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split()
+RAW = frozenset("script style".split())
+FOREIGN = frozenset("svg math".split())
+#: Parts of formulas and drawings that start no line of text.
+PARTS = frozenset(
+    "maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover none semantics "
+    "animate circle clippath defs ellipse filter g image line lineargradient marker mask path pattern polygon polyline radialgradient rect set stop symbol textpath tspan use".split()
+)
+#: These end with what holds them if their own end tag is missing, whatever is open in them.
+LOOSE = FOREIGN | frozenset("iframe select textarea".split())
+INLINE = LOOSE | PARTS | frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark noscript q s samp small span strike strong sub sup template time tt u var wbr img".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -47,7 +55,7 @@ class Dom:
 
 
 def parse(page: str | None) -> Dom:
-    """Comments, declarations and the insides of scripts, styles and the like are left out.
+    """Comments, declarations and the insides of scripts and styles are left out.
 
     Missing end tags are supplied where the next tag implies them; stray end tags are passed
     over. Text nodes of one block (no block-level tag or line break between them) share a
@@ -73,13 +81,15 @@ def parse(page: str | None) -> Dom:
         if name not in INLINE:
             block += 1
         if tag_text[1] == "/":
-            for depth in range(len(open_nodes) - 1, 0, -1):
+            depth = len(open_nodes) - 1
+            while depth > 0:
                 tag = dom.tags[open_nodes[depth]]
                 if tag == name:
                     del open_nodes[depth:]
                     break
                 if name in INLINE and tag not in INLINE:
-                    break
+                    depth = next((d for d in range(depth, 0, -1) if dom.tags[open_nodes[d]] in LOOSE), 0)
+                depth -= 1
             continue
         closing = ("p",) if name in CLOSES_P else SAME_LEVEL.get(name)
         if closing:
@@ -95,9 +105,10 @@ def parse(page: str | None) -> Dom:
             found = [next((g for g in a[1:] if g), "") for a in _attribute.findall(tag_text)]
             marks = tuple(w for w in _split.split(" ".join(found).lower()) if w)
         node = dom.add(name, open_nodes[-1], marks, "", 0, tag_text)
-        if name in RAW:
+        closed = tag_text.endswith("/>")
+        if name in RAW and not (closed and any(dom.tags[n] in FOREIGN for n in open_nodes)):
             close = re.compile(rf"</{name}\s*>|\Z", re.IGNORECASE).search(page, at)
             at = close.end()
-        elif name not in VOID and not tag_text.endswith("/>"):
+        elif name not in VOID and not closed:
             open_nodes.append(node)
     return dom

@@ -268,6 +268,40 @@ def test_pages(spark):
     assert extract_content(df.where("false"), model).count() == 0
 
 
+@pytest.mark.parametrize(
+    "odd,said",
+    [
+        ("<p>One two <svg class='i' viewBox='0 0 1 1'/>three.</p>", "One two three."),
+        ("<p>One <math/>two three.</p>", "One two three."),
+        ("<p>One two <svg><g><path d='M0'/></g></svg>three.<svg><style/></svg></p>", "One two three."),
+        ("<p>Let (<math><mi>x</mi><mo>=</mo><mn>2</mn></math>) be.</p>", "Let (x=2) be."),
+        ("<noscript><p>One two three.</p></noscript>", "One two three."),
+        *[(f"<p>One {tag}two three.</p>", "One two three.") for tag in ("<svg>", "<math>", "<noscript>", "<template>", "<select>", "<iframe src='x'>", "<textarea>")],
+        ("<p>One <b><svg><g></b>two three.</p>", "One two three."),
+        ("<script>x = '<p>'</script><style>p {}</style><p>One two three.</p>", "One two three."),
+    ],
+)
+def test_odd_elements_lose_no_text(odd, said):
+    from arcwright.llm.dom import parse
+
+    tail = "<p>Four five, six.</p></article><footer>the end</footer></body>"
+    dom = parse(f"<body><article><h1>Head</h1>{odd}{tail}")
+    at = {}
+    for i, tag in enumerate(dom.tags):
+        if tag == "#text":
+            up, p = [], dom.parents[i]
+            while p >= 0:
+                up.append(dom.tags[p])
+                p = dom.parents[p]
+            part = "article" if "article" in up else "footer"
+            at.setdefault((part, dom.blocks[i]), []).append((dom.texts[i], up))
+    blocks = {k: "".join(t for t, _ in v) for k, v in at.items()}
+    assert [t for (part, _), t in blocks.items() if part == "article"] == ["Head", said, "Four five, six."]
+    assert [t for (part, _), t in blocks.items() if part == "footer"] == ["the end"]
+    last = next(up for v in at.values() for t, up in v if t == "Four five, six.")
+    assert last == ["p", "article", "body", "#root"], "what has no end tag ends with its parent"
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages(name, stage, spark, docs, none):
     out = stage(spark, docs, "")
