@@ -44,8 +44,8 @@ def visible_to(df: DataFrame, owner: str | None, public: tuple[str, ...]) -> Dat
 
 
 def without_duplicates(records: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """Records with duplicate_of, note and analytical_include; exclusions: record_id, duplicate_of, note (a short list)."""
-    rows = records.join(F.broadcast(exclusions.limit(10_000)), "record_id", "left")
+    """Records with duplicate_of, note and analytical_include; exclusions: record_id, duplicate_of, note (any number; Spark broadcasts or shuffles them by their size)."""
+    rows = records.join(exclusions, "record_id", "left")
     return rows.withColumn("analytical_include", F.col("duplicate_of").isNull())
 
 

@@ -391,3 +391,11 @@ def test_structure_study_and_export(spark):
     assert got["structure_0002"]["fault_control_flag"] == "no_mapped_active_fault_within_radius" and got["structure_0002"]["fault_search_degrees"] == 40
     table, checks = studies.study_export(rows.select("candidate_id", "source_index"), rows, out["structures"], out["membership"], {"manual_note": "string"})
     assert checks.first()["ok"] and table.count() == 3 and {r["structure_id"] for r in table.collect()} == {"structure_0001", "structure_0002"}
+
+
+def test_every_exclusion_counts(spark):
+    records = spark.range(12_001).select(F.col("id").cast("string").alias("record_id"))
+    exclusions = spark.range(12_000).select(F.col("id").cast("string").alias("record_id"), F.lit("kept").alias("duplicate_of"), F.lit("copy").alias("note"))
+    out = L.without_duplicates(records, exclusions)
+    assert out.columns == ["record_id", "duplicate_of", "note", "analytical_include"] and out.count() == 12_001
+    assert [r["record_id"] for r in out.where("analytical_include").collect()] == ["12000"]
