@@ -2,12 +2,14 @@
 
 1. Each text's set of word n-grams gets a 128-bit key and a MinHash signature in
    bands. Texts with the same set are one node.
-2. Nodes meet on band hashes: each bucket links its nodes to its smallest one, so
-   a bucket of any size gives as many rows as it has nodes.
-3. Nodes that these links connect form a candidate group. A group's full n-gram
-   sets are compared in blocks of a bounded size: a large group is cut into chunks,
-   and every two chunks meet in one task. A block returns its nodes' link counts
-   and a spanning forest of its links, not the pairs.
+2. Nodes meet on band hashes. A bucket's smallest node is its lead, and the buckets
+   of one lead make a candidate group, so any two nodes that share a band meet in
+   a group, and a bucket of any size gives as many rows as it has nodes. Two
+   nodes may share several groups: their pair belongs to that of the smallest lead they share.
+   A group whose nodes all have the same smaller lead has no pair of its own and goes.
+3. A group's pairs are verified on full n-gram sets, in blocks of a bounded size: a
+   large group is cut into chunks, and every two chunks meet in one task. A block
+   returns its nodes' link counts and a spanning forest of its links, not the pairs.
 4. The forests' connected components are the classes.
 """
 
@@ -21,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, unpacked
-from .components import star_components
+from .common import cut, join_hot, packed, unpacked
+from ..operators.components import star_components
 from .shingles import mix, shingle_sets
 
-#: Nodes of a candidate group that are compared with each other, or with another chunk, in one task.
+#: Nodes of a candidate group that are compared with each other, or with those of another chunk, in one task.
 CHUNK = 512
 #: Texts are hashed in slices of about this many characters.
 SLICE = 2_000_000
@@ -105,27 +107,54 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, grams) for the nodes in ``wanted`` (doc_id, text_id, node), from the whole texts."""
+    """(node, n_docs, grams) for the nodes in ``wanted`` (doc_id, text_id, node, n_docs), from the whole texts."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             grams = [g.astype("<u8").tobytes() for s, e in _slices(texts) for g in shingle_sets(texts[s:e], n)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(grams, pa.large_binary()).cast(pa.binary())], names=["node", "grams"])
+            kept = [batch.column("node"), batch.column("n_docs"), pa.array(grams, pa.large_binary()).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(kept, names=["node", "n_docs", "grams"])
 
     texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text_id"), "text")
     found = texts.join(wanted, texts["_id"].eqNullSafe(wanted["doc_id"]) & (texts["_text_id"] == wanted["text_id"]))
-    return found.select("node", "text").mapInArrow(sets, "node binary, grams binary")
-
-
-def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of ``left``, the rows of ``right`` (row numbers) at or over the threshold, and their similarities."""
+    made = found.select("node", "n_docs", "text").mapInArrow(sets, "node binary, n_docs long, grams binary")
+    return made.dropDuplicates(["node"])  # rows that repeat an id and its text
+
+
+class Block:
+    """Two chunks of a candidate group (or one with itself): nodes, their numbers of documents, sets and leads."""
+
+    def __init__(self, table: pa.Table):
+        self.nodes = table.column("node").to_pylist()
+        self.n_docs = table.column("n_docs").to_numpy()
+        self.sets = [np.frombuffer(g, "<u8") for g in table.column("grams").to_pylist()]
+        self.lead = table.column("lead")[0].as_py()
+        self.leads = table.column("leads").to_pylist()  # in order
+        self.first_is_lead = np.array([x[0] == self.lead for x in self.leads])
+        part = table.column("part").to_numpy()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        self.left, self.right, self.same = np.flatnonzero(part == i), np.flatnonzero(part == j), i == j
+
+    def own_pairs(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Whether this group's lead is the smallest one that row i shares with each of the others."""
+        if self.first_is_lead[i]:
+            return np.ones(len(others), bool)  # a shared lead is never smaller than a row's first
+        own = set(self.leads[i])
+        return np.array([self.first_is_lead[k] or min(own.intersection(self.leads[k])) == self.lead for k in others], bool)
+
+
+def _linked(block: Block, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each left row of a block, the right rows (row numbers) at or over the threshold whose pair with it is this group's own, and their similarities."""
+    sets, right = block.sets, block.right
+    if not len(block.left) or not len(right):
+        return
     right = right[np.argsort([len(sets[i]) for i in right], kind="stable")]
     sizes = np.array([len(sets[i]) for i in right])
     known, codes = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
     begins = np.concatenate([[0], np.cumsum(sizes)])
     flags = np.zeros(len(known) + 1, bool)
-    for i in left:
+    for i in block.left:
         own = sets[i]
         lo, hi = np.searchsorted(sizes, [len(own) * threshold * (1 - 1e-9), len(own) / threshold * (1 + 1e-9)])
         if lo == hi:
@@ -138,44 +167,46 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresho
         flags[at] = False
         likeness = shared / (len(own) + sizes[lo:hi] - shared)
         near = np.flatnonzero(likeness >= threshold - 1e-12)
+        near = near[block.own_pairs(i, right[lo + near])]
         yield i, right[lo + near], likeness[near]
 
 
+def _groups(nodes: DataFrame) -> DataFrame:
+    """(lead, node, leads, group_size) of the candidate groups that have pairs of their own; nodes: (node, bands)."""
+    placed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = cut(placed.groupBy("band", "bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1"))
+    n_placed = buckets.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n")).first()["n"]
+    met = join_hot(placed, buckets, ["band", "bucket"], "k", n_placed).select("node", "lead").distinct()
+    members = cut(met.groupBy("node").agg(F.array_sort(F.collect_set("lead")).alias("leads")))  # no more leads than bands
+    each = members.select("node", "leads", F.explode("leads").alias("lead"))
+    first = F.col("leads")[0]
+    groups = each.groupBy("lead").agg(F.count(F.lit(1)).alias("group_size"), F.min(first).alias("lo"), F.max(first).alias("hi"))
+    groups = cut(groups.where("group_size > 1 AND (lo <> hi OR lo = lead)").drop("lo", "hi"))
+    n_each = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0)).alias("n")).first()["n"]
+    return join_hot(each, groups, ["lead"], "group_size", n_each)
+
+
 def _blocks(docs: DataFrame, n: int, threshold: float, recall: float, most_hashes: int, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signed rows, nodes with their number of documents, block rows: root, i, j, node, part, n_docs, grams)."""
+    """(signed rows, nodes with their number of documents, block rows: lead, i, j, node, part, leads, n_docs, grams)."""
     bands, rows = bands_for(threshold, recall, most_hashes)
     signed = cut(_signatures(docs, n, bands, rows))
-    has = signed.where("node IS NOT NULL")
     nodes = cut(
-        has.groupBy("node").agg(
+        signed.where("node IS NOT NULL").groupBy("node").agg(
             F.count(F.lit(1)).alias("n_docs"),
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id")).alias("first"),
+            F.first("bands").alias("bands"),
         )
     )
-    placed = has.select("node", F.posexplode("bands").alias("band", "bucket"))
-    leads = placed.groupBy("band", "bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").drop("last")
-    star = placed.join(leads, ["band", "bucket"]).where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    groups = cut(star_components(star))
-    sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("parts"))
-    members = groups.join(sizes, "root").join(nodes, "node")
-    wanted = members.select("first.doc_id", "first.text_id", "node")
-    grams = _sets(docs, wanted, n).groupBy("node").agg(F.first("grams").alias("grams"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    groups = cut(_groups(nodes.select("node", "bands")))
+    wanted = groups.select("node").distinct().join(nodes, "node").select("first.doc_id", "first.text_id", "node", "n_docs")
+    parts = F.ceil(F.col("group_size") / F.lit(chunk)).cast("int")
+    members = groups.select("lead", "node", "leads", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     spread = (
-        members.select("root", "node", "n_docs", "parts", part.alias("part"))
-        .join(grams, "node")
+        members.join(_sets(docs, wanted, n), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "part", "n_docs", "grams")
+        .select("lead", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "part", "leads", "n_docs", "grams")
     )
-    return signed, nodes, spread
-
-
-def _rows_of(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    nodes = table.column("node").to_pylist()
-    part = table.column("part").to_numpy()
-    sets = [np.frombuffer(g, "<u8") for g in table.column("grams").to_pylist()]
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    return nodes, table.column("n_docs").to_numpy(), sets, np.flatnonzero(part == i), np.flatnonzero(part == j)
+    return signed, nodes.drop("bands"), spread
 
 
 def jaccard_pairs(
@@ -189,20 +220,18 @@ def jaccard_pairs(
     _, _, blocks = _blocks(docs, n, threshold, recall, most_hashes, chunk)
 
     def pairs(table: pa.Table) -> pa.Table:
-        nodes, _, sets, left, right = _rows_of(table)
-        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        out: list[tuple] = []
-        if len(left) and len(right):
-            for a, near, likeness in _linked(sets, left, right, threshold):
-                out += [
-                    (min(nodes[a], nodes[b]), max(nodes[a], nodes[b]), float(s))
-                    for b, s in zip(near, likeness, strict=True)
-                    if (nodes[a] < nodes[b] if same else a != b)
-                ]
+        block = Block(table)
+        nodes, out = block.nodes, []
+        for a, near, likeness in _linked(block, threshold):
+            out += [
+                (min(nodes[a], nodes[b]), max(nodes[a], nodes[b]), float(s))
+                for b, s in zip(near, likeness, strict=True)
+                if (nodes[a] < nodes[b] if block.same else a != b)
+            ]
         a, b, s = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"node_a": pa.array(a, pa.binary()), "node_b": pa.array(b, pa.binary()), "jaccard": pa.array(s, pa.float64())})
 
-    return blocks.groupBy("root", "i", "j").applyInArrow(pairs, "node_a binary, node_b binary, jaccard double")
+    return blocks.groupBy("lead", "i", "j").applyInArrow(pairs, "node_a binary, node_b binary, jaccard double")
 
 
 def near_classes(
@@ -223,8 +252,8 @@ def near_classes(
     signed, nodes, blocks = _blocks(docs, n, threshold, recall, most_hashes, chunk)
 
     def count(table: pa.Table) -> pa.Table:
-        nodes, n_docs, sets, left, right = _rows_of(table)
-        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        block = Block(table)
+        nodes, n_docs = block.nodes, block.n_docs
         links = np.zeros(len(nodes), np.int64)
         lead = list(range(len(nodes)))
 
@@ -234,16 +263,15 @@ def near_classes(
                 x = lead[x]
             return x
 
-        if len(left) and len(right):
-            for a, near, _ in _linked(sets, left, right, threshold):
-                near = near[near != a]
-                links[a] += n_docs[near].sum()
-                if not same:
-                    links[near] += n_docs[a]
-                for b in near:
-                    x, y = top(a), top(int(b))
-                    if x != y:
-                        lead[max(x, y)] = min(x, y)
+        for a, near, _ in _linked(block, threshold):
+            near = near[near != a]
+            links[a] += n_docs[near].sum()
+            if not block.same:
+                links[near] += n_docs[a]
+            for b in near:
+                x, y = top(a), top(int(b))
+                if x != y:
+                    lead[max(x, y)] = min(x, y)
         rows = [k for k in range(len(nodes)) if links[k]]
         return pa.table(
             {
@@ -253,7 +281,7 @@ def near_classes(
             }
         )
 
-    counted = cut(blocks.groupBy("root", "i", "j").applyInArrow(count, "node binary, lead binary, links long"))
+    counted = cut(blocks.groupBy("lead", "i", "j").applyInArrow(count, "node binary, lead binary, links long"))
     classes = star_components(counted.select(F.col("node").alias("a"), F.col("lead").alias("b")))
     links = counted.groupBy("node").agg(F.sum("links").alias("links"))
     info = (
