@@ -2,7 +2,8 @@
 
 Largest inner product becomes nearest neighbour: with one more component that brings
 every vector to the same length, the squared distance from a query (with a zero there)
-is a constant less twice the inner product. The tree's pages hold routing vectors with
+is a constant less twice the inner product. The tree's top pages are the cells of
+``vector_blocks``; each block holds the pages below as flat arrays: routing vectors with
 covering radii and every entry's distance to its page's routing vector, so triangle
 inequalities discard entries before their distance is computed. Bounds are floating
 point with a margin; scores are exact integers.
@@ -11,28 +12,24 @@ point with a margin; scores are exact integers.
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass, field
+import sys
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .vector_blocks import clean_vectors, search_in_blocks
+from .vector_blocks import clean_vectors, power_above, search_blocks, with_query_flag
 
 #: Relative margin for rounding in the bounds.
 MARGIN = 1e-9
+LONG = 2**63
+MOST = sys.float_info.max
 
 
-@dataclass
-class Page:
-    """entries: vector numbers (leaf) or child pages; to_parent: each entry's distance to this page's center."""
-
-    center: np.ndarray
-    radius: float
-    members: np.ndarray | None = None
-    children: list["Page"] = field(default_factory=list)
-    to_parent: np.ndarray = field(default_factory=lambda: np.empty(0))
-    centers: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
-    radii: np.ndarray = field(default_factory=lambda: np.empty(0))
+def _floor(x: Column) -> Column:
+    """As a double: from 2**52 on every double is whole. Infinite products become the largest double."""
+    held = F.greatest(F.lit(-MOST), F.least(F.lit(MOST), x))
+    return F.when(F.abs(held) < 2.0**52, F.floor(held).cast("double")).otherwise(held)
 
 
 def _far(points: np.ndarray, center: np.ndarray) -> np.ndarray:
@@ -40,82 +37,85 @@ def _far(points: np.ndarray, center: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", gap, gap))
 
 
-class MTree:
-    """Bulk-loaded: a page's members are dealt to their nearest of a few routing vectors until they fit a leaf."""
+class PageWriter:
+    """Bulk load: a page's members are dealt to their nearest of a few routing vectors until they fit a leaf.
+
+    pages: center, radius, leaf, and begin and end of its entries; an entry is a point (of a leaf) or a page, with its
+    distance to the page's center.
+    """
 
     def __init__(self, points: np.ndarray, page: int, seed: int):
-        self.points = points
-        self.page = page
+        self.points, self.page = points, page
         self.rng = np.random.RandomState(seed)
-        self.root = self._load(np.arange(len(points)), points[0])
-
-    def _load(self, members: np.ndarray, center: np.ndarray) -> Page:
+        self.centers: list[np.ndarray] = []
+        self.radius: list[float] = []
+        self.leaf: list[bool] = []
+        self.spans: list[tuple[int, int]] = []
+        self.entries: list[np.ndarray] = []
+        self.to_center: list[np.ndarray] = []
+        self.written = 0
+        self._load(np.arange(len(points)), points[0])
+
+    def _load(self, members: np.ndarray, center: np.ndarray) -> int:
+        number = len(self.centers)
         away = _far(self.points[members], center)
-        page = Page(center, float(away.max()))
-        if len(members) <= self.page or away.max() == away.min() == 0:
-            page.members, page.to_parent = members, away
-            return page
+        self.centers.append(center)
+        self.radius.append(float(away.max()))
+        leaf = len(members) <= self.page or away.max() == away.min() == 0
+        self.leaf.append(leaf)
+        self.spans.append((0, 0))
+        if not leaf:
+            parts, seeds = self._deal(members)
+            members = np.array([self._load(m, s) for m, s in zip(parts, seeds, strict=True) if len(m)])
+            away = _far(np.stack([self.centers[m] for m in members]), center)
+        self.spans[number] = (self.written, self.written + len(members))
+        self.written += len(members)
+        self.entries.append(members)
+        self.to_center.append(away)
+        return number
+
+    def _deal(self, members: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         fan = min(self.page, max(2, 2 * len(members) // self.page))
         seeds = self.points[self.rng.choice(members, fan, replace=False)]
         own = self.points[members]
-        square = (own * own).sum(1)[:, None] - 2 * own @ seeds.T + (seeds * seeds).sum(1)
-        nearest = square.argmin(axis=1)
+        nearest = ((own * own).sum(1)[:, None] - 2 * own @ seeds.T + (seeds * seeds).sum(1)).argmin(axis=1)
         parts = [members[nearest == i] for i in range(fan)]
         if max(map(len, parts)) == len(members):  # copies and ties: halve
-            parts, seeds = [members[::2], members[1::2]], np.stack([self.points[members[0]], self.points[members[1]]])
-        page.children = [self._load(m, s) for m, s in zip(parts, seeds, strict=True) if len(m)]
-        page.centers = np.stack([c.center for c in page.children])
-        page.radii = np.array([c.radius for c in page.children])
-        page.to_parent = _far(page.centers, center)
-        return page
-
-    def search(self, query: np.ndarray, exact: "Exact", k: int) -> None:
-        """Visit pages by their lower bound until none can hold a better entry; ``exact`` collects the vectors."""
-        start = float(np.sqrt(((query - self.root.center) ** 2).sum()))
-        heap: list[tuple[float, int, Page, float]] = [(max(0.0, start - self.root.radius), 0, self.root, start)]
-        tie = 1
-        while heap:
-            bound, _, page, to_center = heapq.heappop(heap)
-            limit = exact.limit()
-            if bound > limit:
-                return
-            # |d(query, center) - d(entry, center)| bounds an entry's distance from below
-            spread = np.abs(to_center - page.to_parent)
-            if page.members is not None:
-                near = spread <= limit
-                if near.any():
-                    exact.offer(page.members[near])
-                continue
-            near = np.flatnonzero(spread - page.radii <= limit)
-            if not len(near):
-                continue
-            far = _far(page.centers[near], query)
-            for i, d in zip(near, far, strict=True):
-                least = max(0.0, float(d) - page.radii[i], float(spread[i]) - page.radii[i])
-                if least <= limit:
-                    heapq.heappush(heap, (least, tie, page.children[i], float(d)))
-                    tie += 1
+            return [members[::2], members[1::2]], np.stack([self.points[members[0]], self.points[members[1]]])
+        return parts, seeds
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {
+            "points": self.points, "centers": np.stack(self.centers), "radius": np.array(self.radius), "leaf": np.array(self.leaf),
+            "spans": np.array(self.spans), "entries": np.concatenate(self.entries), "to_center": np.concatenate(self.to_center),
+        }
 
 
-class Exact:
+class Best:
     """The best k of one query so far, by exact inner product, smaller numbers first among ties."""
 
-    def __init__(self, vectors: np.ndarray, query: np.ndarray, own: int | None, k: int, constant: float):
-        self.vectors, self.query, self.own, self.k, self.constant = vectors, query, own, k, constant
+    def __init__(self, values: np.ndarray, query: np.ndarray, own: int, k: int, constant: float, scale: float, least: float):
+        self.values, self.query, self.own, self.k, self.constant, self.scale = values, query, own, k, constant, scale
+        self.least = [least / scale / scale] if least > -LONG else []  # a score that others have reached already
         self.numbers = np.empty(0, np.int64)
-        self.scores = np.empty(0, vectors.dtype)
+        self.scores = np.empty(0, values.dtype)
+        self.scored = 0
 
     def limit(self) -> float:
-        """No vector farther than this can still enter."""
-        if len(self.scores) < self.k:
+        """No point farther than this can still enter."""
+        known = self.least
+        if len(self.scores) == self.k:
+            worst = self.scores[-1]
+            known = [*known, worst / int(self.scale) ** 2 if isinstance(worst, int) else float(worst) / self.scale / self.scale]
+        if not known:
             return float("inf")
-        square = max(0.0, self.constant - 2 * float(self.scores[-1]))
-        return float(np.sqrt(square + MARGIN * abs(self.constant))) * (1 + MARGIN)
+        square = max(0.0, self.constant - 2 * max(known))
+        return float(np.sqrt(square + MARGIN * self.constant)) * (1 + MARGIN)
 
     def offer(self, numbers: np.ndarray) -> None:
-        if self.own is not None:
-            numbers = numbers[numbers != self.own]
-        scores = self.vectors[numbers] @ self.query
+        numbers = numbers[numbers != self.own]
+        scores = self.values[numbers] @ self.query
+        self.scored += len(numbers)
         if len(self.scores) == self.k:
             better = scores >= self.scores[-1]
             numbers, scores = numbers[better], scores[better]
@@ -127,48 +127,98 @@ class Exact:
         self.numbers, self.scores = self.numbers[best], self.scores[best]
 
 
-def top_inner_products(
-    df: DataFrame,
-    is_query: Column,
-    k: int = 5,
-    steps: float = 256.0,
-    page: int = 512,
-    vector_block: int = 8192,
-    query_block: int = 2048,
-    seed: int = 3,
-) -> DataFrame:
-    """The k largest inner products of each query's and the other vectors' integer components.
+class MTree:
+    """The index of a block. Points are integer vectors divided by ``scale`` (a power of two), with a last component that makes all as long as the root of ``top``."""
 
-    Components x become floor(steps * x), x as double. Returns (query_id, rank, vec_id,
-    score), ties by smaller vec_id; exact. ``df`` needs vec_id and embedding. Vectors
-    that are null, empty or hold null or non-finite components take no part; a repeated id
-    counts once. Queries meet only vectors of their own dimension. Sums beyond 64 bits
-    become the nearest long.
-    """
+    nearest_first = False
+    score_type = "long"
 
-    def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple:
-        floors, asked = np.floor(steps * vectors), np.floor(steps * queries)
-        largest = max(np.abs(floors).max(), np.abs(asked).max(), 1.0)
-        small = largest * largest * vectors.shape[1] < 2.0**52
-        # sums of integers below 2**52 are exact in doubles
-        whole = (lambda m: m) if small else (lambda m: np.array([[int(x) for x in r] for r in m], dtype=object))
-        own_ints, asked_ints = whole(floors), whole(asked)
-        own = np.searchsorted(ids, query_ids)
-        if small:
-            square = (floors * floors).sum(axis=1)
-            top = square.max()
-            tree = MTree(np.c_[floors, np.sqrt(top - square)], page, seed)
-        rows, numbers, scores = [], [], []
+    def __init__(self, page: int, seed: int, scale: float, top: float):
+        self.page, self.seed, self.scale, self.top = page, seed, scale, top
+
+    def build(self, points: np.ndarray, k: int) -> dict[str, np.ndarray]:
+        return PageWriter(points, self.page, self.seed).arrays()
+
+    def as_queries(self, points: np.ndarray) -> np.ndarray:
+        return np.c_[points[:, :-1], np.zeros(len(points))]
+
+    def _constant(self, queries: np.ndarray) -> np.ndarray:
+        return (queries * queries).sum(axis=1) + self.top
+
+    def reach(self, queries: np.ndarray, limits: np.ndarray) -> np.ndarray:
+        constant = self._constant(queries)
+        square = constant - 2 * np.where(limits > -LONG, limits, np.nan) / self.scale / self.scale
+        return np.where(np.isnan(square), np.inf, np.sqrt(np.maximum(square, 0) + MARGIN * constant) * (1 + MARGIN))
+
+    def search(self, index: dict[str, np.ndarray], queries: np.ndarray, own: np.ndarray, k: int, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, numbers, scores, _ = self.search_counted(index, queries, own, k, limits)
+        return rows, numbers, scores
+
+    def search_counted(self, index: dict[str, np.ndarray], queries: np.ndarray, own: np.ndarray, k: int, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """As ``search``, with the number of points that were scored."""
+        values, asked = index["points"][:, :-1] * self.scale, queries[:, :-1] * self.scale
+        largest = max(float(np.abs(values).max()), float(np.abs(asked).max()), 1.0)
+        if largest * largest * values.shape[1] >= 2.0**52:  # sums of integers below that are exact in doubles
+            values, asked = (np.array([[int(x) for x in r] for r in m], dtype=object) for m in (values, asked))
+        constant = self._constant(queries)
+        rows, numbers, scores, scored = [], [], [], 0
         for i in range(len(queries)):
-            mine = int(own[i]) if own[i] < len(ids) and ids[own[i]] == query_ids[i] else None
-            best = Exact(own_ints, asked_ints[i], mine, k, float((asked[i] ** 2).sum() + top) if small else 0.0)
-            if small:
-                tree.search(np.r_[asked[i], 0.0], best, k)
-            else:  # beyond what distances in doubles tell apart: every vector
-                best.offer(np.arange(len(ids)))
+            best = Best(values, asked[i], int(own[i]), k, float(constant[i]), self.scale, float(limits[i]))
+            self._walk(index, queries[i], best)
             rows.append(np.full(len(best.numbers), i))
             numbers.append(best.numbers)
-            scores.append(np.array([min(max(int(s), -(2**63)), 2**63 - 1) for s in best.scores], dtype=np.int64))
-        return np.concatenate(rows), np.concatenate(numbers), np.concatenate(scores)
+            scores.append(np.array([min(max(int(s), -LONG), LONG - 1) for s in best.scores], dtype=np.int64))
+            scored += best.scored
+        return np.concatenate(rows), np.concatenate(numbers), np.concatenate(scores), scored
+
+    @staticmethod
+    def _walk(index: dict[str, np.ndarray], query: np.ndarray, best: Best) -> None:
+        """Visit pages by their lower bound until none can hold a better entry; ``best`` collects the points."""
+        centers, radius, leaf, spans, entries, to_center = (index[x] for x in ("centers", "radius", "leaf", "spans", "entries", "to_center"))
+        start = float(np.sqrt(((query - centers[0]) ** 2).sum()))
+        heap: list[tuple[float, int, float]] = [(max(0.0, start - radius[0]), 0, start)]
+        while heap:
+            bound, page, away = heapq.heappop(heap)
+            limit = best.limit()
+            if bound > limit:
+                return
+            begin, end = spans[page]
+            inside = entries[begin:end]
+            # |d(query, center) - d(entry, center)| bounds an entry's distance from below
+            spread = np.abs(away - to_center[begin:end])
+            if leaf[page]:
+                near = inside[spread <= limit]
+                if len(near):
+                    best.offer(near)
+                continue
+            least = spread - radius[inside]
+            kept = least <= limit
+            inside, least = inside[kept], least[kept]
+            if not len(inside):
+                continue
+            far = _far(centers[inside], query)
+            least = np.maximum(np.maximum(least, far - radius[inside]), 0.0)
+            for p, b, d in zip(inside.tolist(), least.tolist(), far.tolist(), strict=True):
+                if b <= limit:
+                    heapq.heappush(heap, (b, p, d))
 
-    return search_in_blocks(clean_vectors(df, True), is_query, k, search, False, "long", vector_block, query_block)
+
+def top_inner_products(
+    df: DataFrame, is_query: Column, k: int = 5, steps: float = 256.0, page: int = 32, block_rows: int = 8192, query_rows: int = 4096, seed: int = 3
+) -> DataFrame:
+    """The k largest inner products of each query's and the other vectors' integer components.
+
+    Components x become floor(steps * x), x as double. Returns (query_id, rank, vec_id, score), ties
+    by smaller vec_id; exact. ``df`` needs vec_id and embedding. Vectors that are null, empty or hold
+    null or non-finite components take no part. Rows that repeat an id are rows of their own: such a
+    query has its answers once for each of its rows, and the other rows of its id are candidates. Queries
+    meet only vectors of their own dimension. Sums beyond 64 bits become the nearest long.
+    """
+    whole = F.transform("v", lambda x: _floor(F.lit(steps) * x))
+    vectors = with_query_flag(clean_vectors(df, True), is_query).withColumn("w", whole)
+    largest = vectors.agg(F.max(F.array_max(F.transform("w", F.abs))).alias("x")).first()["x"]
+    scale = power_above(largest)
+    vectors = vectors.withColumn("w", F.transform("w", lambda x: x / F.lit(scale))).withColumn("square", F.aggregate("w", F.lit(0.0), lambda s, x: s + x * x))
+    top = vectors.agg(F.max("square").alias("x")).first()["x"] or 0.0
+    point = F.concat("w", F.array(F.sqrt(F.greatest(F.lit(0.0), F.lit(top) - F.col("square")))))
+    return search_blocks(vectors.select("vec_id", point.alias("p"), "dim", "is_query"), k, MTree(page, seed, scale, top), block_rows, query_rows, seed=seed)

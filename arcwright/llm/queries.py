@@ -101,17 +101,17 @@ _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLES: dict[str, str] = {
     "op10_metric_tree": """
         WITH ok AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-            WHERE embedding IS NOT NULL AND len(embedding) > 0
+            SELECT row_number() OVER () AS rn, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ),
         scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id,
+            SELECT q.rn, q.vec_id AS query_id, c.vec_id,
                    list_sum(list_transform(range(1, len(c.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
-            FROM ok q JOIN ok c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            FROM ok q JOIN ok c ON q.rn <> c.rn AND len(q.v) = len(c.v)
             WHERE q.vec_id % 50 = 0
         ),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) AS rank FROM scored)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
     "op4_line_runs": f"""

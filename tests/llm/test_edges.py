@@ -228,28 +228,68 @@ def vectors():
 @pytest.mark.parametrize("block", [64, 4096])
 def test_vector_searches(spark, block):
     df = spark.createDataFrame(vectors(), VECTORS)
-    found = nearest_vectors(df, F.col("vec_id") % 100 == 0, k=10, vector_block=block).collect()
-    tops = top_inner_products(df, F.col("vec_id") % 50 == 0, k=5, vector_block=block).collect()
-    clean = {i: np.array(v, np.float32).astype(float) for i, v, *_ in vectors()[:400]}
+    found = nearest_vectors(df, F.col("vec_id") % 100 == 0, k=10, block_rows=block, query_rows=50).collect()
+    tops = top_inner_products(df, F.col("vec_id") % 50 == 0, k=5, page=4, block_rows=block, query_rows=50).collect()
+    clean = [(i, np.array(v, np.float32).astype(float)) for i, v, *_ in vectors()[:400]]
+    clean.append(clean[7])  # its id and vector twice: two rows
     hits = total = 0
     for q in range(0, 400, 100):
-        d = sorted((float(np.sqrt(((clean[q] - v) ** 2).sum())), i) for i, v in clean.items() if i != q)[:10]
+        d = sorted((float(np.sqrt(((clean[q][1] - v) ** 2).sum())), i) for at, (i, v) in enumerate(clean) if at != q)[:10]
         got = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == q)
         assert [r for r, _, _ in got] == list(range(1, 11))
-        assert all(abs(s - np.sqrt(((clean[q] - clean[i]) ** 2).sum())) < 1e-12 for _, i, s in got)
+        assert all(abs(s - np.sqrt(((clean[q][1] - clean[i][1]) ** 2).sum())) < 1e-12 for _, i, s in got)
         hits += len({i for _, i in d} & {i for _, i, _ in got})
-        total += 10
+        total += len({i for _, i in d})
     assert hits / total >= 0.9
-    clean[600] = np.zeros(8)
-    for q in [*range(0, 400, 50), 600]:
-        f = {i: np.floor(256 * v).astype(int) for i, v in clean.items()}
-        want = sorted((-int(f[q] @ f[i]), i) for i in f if i != q)[:5]
-        assert [(-r["score"], r["vec_id"]) for r in sorted(tops, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+    clean.append((600, np.zeros(8)))
+    f = [(i, np.floor(256 * v).astype(int)) for i, v in clean]
+    for q in [*range(0, 400, 50), len(f) - 1]:
+        want = sorted((-int(f[q][1] @ v), i) for at, (i, v) in enumerate(f) if at != q)[:5]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(tops, key=lambda r: r["rank"]) if r["query_id"] == f[q][0]] == want
     assert not [r for r in tops if r["query_id"] == 1000], "no other vector of its dimension"
     empty = df.where("false")
     assert nearest_vectors(empty, F.col("vec_id") % 100 == 0).count() == 0 and top_inner_products(empty, F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_rows(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    top = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in top_inner_products(df, F.col("vec_id") == 0).collect())
+    assert top == [(0, 1, 1, 65536)] * 2 + [(0, 2, 0, 0)] * 2
+    near = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest_vectors(df, F.col("vec_id") == 0).collect())
+    assert near == [(0, 1, 1, 1.0)] * 2 + [(0, 2, 0, 2**0.5)] * 2
+
+
+@pytest.mark.parametrize("spread,most", [(1.0, 1.0), (0.05, 0.2)])
+def test_tree_of_many_levels_is_exact_and_prunes(spread, most):
+    from arcwright.llm.metric_tree import MTree
+
+    rng = np.random.RandomState(5)
+    whole = np.floor(256 * (rng.randn(20, 12)[rng.randint(0, 20, 3000)] + spread * rng.randn(3000, 12)))
+    scale = 2.0 ** np.ceil(np.log2(np.abs(whole).max()))
+    square = ((whole / scale) ** 2).sum(axis=1)
+    points = np.c_[whole / scale, np.sqrt(square.max() - square)]
+    tree = MTree(8, 3, scale, square.max())
+    index = tree.build(points, 5)
+    depth = {0: 0}
+    for page in range(len(index["leaf"])):
+        begin, end = index["spans"][page]
+        inside = index["entries"][begin:end]
+        held = points[inside] if index["leaf"][page] else index["centers"][inside]
+        away = np.sqrt(((held - index["centers"][page]) ** 2).sum(axis=1))
+        assert np.allclose(away, index["to_center"][begin:end]), "entries keep their distance to the page's center"
+        if not index["leaf"][page]:
+            depth |= {int(p): depth[page] + 1 for p in inside}
+    assert max(depth.values()) >= 3
+    asked = np.arange(0, 3000, 60)
+    rows, numbers, scores, scored = tree.search_counted(index, tree.as_queries(points[asked]), asked, 5, np.full(len(asked), np.nan))
+    for i, q in enumerate(asked):
+        want = sorted((-int(whole[q] @ whole[j]), j) for j in range(3000) if j != q)[:5]
+        assert [(-s, n) for s, n in zip(scores[rows == i], numbers[rows == i])] == want
+    assert scored <= most * len(asked) * 3000
+    late = tree.search(index, tree.as_queries(points[asked]), asked, 5, scores.reshape(-1, 5)[:, -1].astype(float))
+    assert (late[2] == scores).all(), "a bound that others reached loses nothing as good"
+
+
 def test_huge_components_are_exact(spark):
     df = spark.createDataFrame([(0, [1e9, -3e9]), (1, [2e9, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: r["score"] for r in top_inner_products(df, F.col("vec_id") == 0).collect()}
