@@ -342,6 +342,55 @@ def test_odd_elements_lose_no_text(odd, said):
     assert last == ["p", "article", "body", "#root"], "what has no end tag ends with its parent"
 
 
+@pytest.mark.parametrize(
+    "page,said",
+    [
+        ("<p>One <a title=\"it's>link</a> two.</p>", "One link two."),
+        ("<p>One <a title=\"it's>link</a> two <b class=\"x\">three</b>.</p>", "One link two three."),
+        ("<p>One <a title='a > b' data-x=\"1 < 2\">link</a>.</p>", "One link."),
+        ("<p>One <a ' href=x>link</a>.</p>", "One link."),
+        ("<p>1 < 2 and a <- b <", "1 < 2 and a <- b <"),
+        ("<p>One <!-- not > this --> two <!DOCTYPE x> three <?php x ?>.</p>", "One  two  three ."),
+        ("<p>One</b></i></div></x> two.</p>", "One two."),
+        ("<select><div>x</select>y", "xy"),
+        ("<script>if (a</b) '</scripts>'</SCRIPT >after", "after"),
+        ("<script>never closed <p>x", ""),
+    ],
+)
+def test_broken_markup(page, said):
+    from arcwright.llm.dom import parse
+
+    dom = parse(page)
+    assert "".join(dom.texts) == said
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<" + "a" * 400_000 + " '",
+        "<a title='" * 40_000,
+        '<a title="x>' * 40_000,
+        "<a b='c\"" * 40_000,
+        "<b>" * 40_000 + "</i>" * 40_000,
+        "<i><div>" + "<b>" * 40_000 + "</i>" * 40_000 + "<p>" * 40_000,
+        "<div>" * 20_000 + "x" + "</div>" * 20_000,
+        "<script>" + "</" * 100_000,
+        "<" * 200_000,
+        "<!--" * 100_000,
+        "<a " + "class=\"" * 50_001 + ">x",
+    ],
+)
+def test_huge_broken_markup_takes_no_long(page):
+    import time
+
+    from arcwright.llm.dom import parse
+    from arcwright.llm.page_content import features
+
+    start = time.process_time()
+    features(parse(page))
+    assert time.process_time() - start < 10
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages(name, stage, spark, docs, none):
     out = stage(spark, docs, "")
