@@ -214,6 +214,56 @@ def test_marginals_match_enumeration():
     assert np.allclose(model.marginals(Forest.of([dom], model.index))[0], ones / total)
 
 
+@pytest.mark.parametrize("least_g", [0.0, 1.5])
+def test_kneser_ney_by_hand(least_g):
+    """Against the formulas written out, and every history's probabilities sum to 1 over all words and the unseen one."""
+    from collections import Counter
+
+    from arcwright.llm.toxicity import KneserNey
+
+    docs = [("a b c a", 0), ("a b d", 0), ("b b a", 0), ("c d e f", 0), ("x a x b", 1), ("x a b", 1), ("e x x", 1)]
+    pairs, words, sizes = (Counter(), Counter()), (Counter(), Counter()), [0, 0]
+    for text, c in docs:
+        ws = text.split()
+        pairs[c].update(set(zip(["", *ws], ws)))
+        words[c].update(set(ws))
+        sizes[c] += 1
+    model = KneserNey(pairs, words, tuple(sizes), least_g)
+    vocabulary = sorted(set(words[0]) | set(words[1]))
+    for c in (0, 1):
+        for h in ["", *vocabulary, "never"]:
+            assert abs(sum(model.probability(c, h, w) for w in [*vocabulary, "never"]) - 1) < 1e-9
+    if least_g:
+        assert 0 < len(model.told) < len(vocabulary)
+    else:
+        after = [Counter(w for _, w in pairs[c]) for c in (0, 1)]
+        rate = lambda k: list(k.values()).count(1) / (list(k.values()).count(1) + 2 * list(k.values()).count(2)) if 1 in k.values() else 0.5
+        for c in (0, 1):
+            d1, n1 = rate(after[c]), sum(after[c].values())
+            word = {w: max(after[c][w] - d1, 0) / n1 + d1 * len(after[c]) / n1 * (after[0][w] + after[1][w]) / (sum(after[0].values()) + sum(after[1].values()) + 1) for w in vocabulary}
+            d2 = rate(pairs[c])
+            for h in ["", *vocabulary]:
+                own = {w: n for (g, w), n in pairs[c].items() if g == h}
+                for w in {w for k in (0, 1) for (g, w) in pairs[k] if g == h}:
+                    want = max(own.get(w, 0) - d2, 0) / sum(own.values()) + d2 * len(own) / sum(own.values()) * word[w] if own else word[w]
+                    assert abs(model.probability(c, h, w) - want) < 1e-12
+    for text, _ in docs:
+        ws = text.split()
+        want = sum(math.log(model.probability(1, h, w)) - math.log(model.probability(0, h, w)) for h, w in zip(["", *ws], ws))
+        assert abs(model.compare(ws) - want) < 1e-9
+
+
+def test_toxicity_of_held_out_documents(spark):
+    """The query itself, on the middle tables: few clean documents are marked, most toxic ones are."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = Q.op9_kneser_ney(spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.7) for r in got)
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in labels]
+    assert sum(p for p, y in held if y == 0) <= 1 and sum(p for p, y in held if y == 1) >= 0.6 * sum(y for _, y in held)
+
+
 def test_toxic_documents_are_caught():
     from arcwright.llm.toxicity import fit_models
 
