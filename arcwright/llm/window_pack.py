@@ -6,7 +6,8 @@ windows by Karmarkar-Karp differencing: each piece starts as a partition of its
 and the two partitions with the largest imbalance are merged, the fullest part of
 one with the emptiest of the other, until one is left. Its parts are the windows,
 nearly equal. If the fullest exceeds the capacity, the batch first hands a few
-tokens on to the next one; if that doesn't help, the number of windows rises.
+tokens on to the next one; if that doesn't help, the number of windows rises. Where pieces
+are alike and fill no window well, the last part of the batch is cut into small pieces.
 
 Each task packs the documents of its own partition, so nothing is shuffled.
 """
@@ -129,18 +130,34 @@ class Packer:
         self.tokens -= tokens
         return taken
 
-    def _split(self, stretches: list[tuple[object, np.ndarray, int, int]]) -> list[tuple[object, np.ndarray, int, int]]:
-        return [
-            (doc_id, ids, s, min(end, s + self.piece))
-            for doc_id, ids, start, end in stretches
-            for s in range(start, end, self.piece)
-        ]
+    def _split(self, stretches: list[tuple[object, np.ndarray, int, int]], fine: int = 0) -> list[tuple[object, np.ndarray, int, int]]:
+        """Pieces of at most ``piece`` ids; those of the last ``fine`` ids have ``small`` at most, which fill what the others leave uneven."""
+        coarse = sum(end - start for _, _, start, end in stretches) - fine
+        pieces = []
+        for doc_id, ids, start, end in stretches:
+            at = start
+            while at < end:
+                step = min(self.piece, coarse) if coarse > 0 else max(1, self.piece // 32)
+                stop = min(end, at + step)
+                pieces.append((doc_id, ids, at, stop))
+                coarse -= stop - at
+                at = stop
+        return pieces
+
+    def _spread(self, stretches: list, parts: int) -> tuple[list, list[int], list[list[int]]]:
+        """(pieces, sums, groups): with whole documents as far as their windows hold them, else with more and more of the ids in small pieces."""
+        tokens = sum(end - start for _, _, start, end in stretches)
+        for share in (0, 8, 4, 2):
+            pieces = self._split(stretches, tokens // share if share else 0)
+            sums, groups = difference([e - s for _, _, s, e in pieces], parts)
+            if sums[0] <= self.window:
+                break
+        return pieces, sums, groups
 
     def _batch(self, goal: int) -> Iterator[tuple]:
         stretches = self._take(goal)
         for more in (True, True, True, False):
-            pieces = self._split(stretches)
-            sums, groups = difference([e - s for _, _, s, e in pieces], self.parts)
+            pieces, sums, groups = self._spread(stretches, self.parts)
             over = sums[0] - self.window
             if over <= 0 or not more:  # what is given back must not be in the pieces that are placed
                 break
@@ -172,10 +189,8 @@ class Packer:
 
     def finish(self) -> Iterator[tuple]:
         if self.tokens:
-            pieces = self._split(self._take(self.tokens))
-            sizes = [e - s for _, _, s, e in pieces]
-            parts = -(-sum(sizes) // self.window)
-            yield from self._windows(pieces, *difference(sizes, parts))
+            tokens = self.tokens
+            yield from self._windows(*self._spread(self._take(tokens), -(-tokens // self.window)))
 
 
 def pack_windows(
@@ -197,8 +212,7 @@ def pack_windows(
     sequence, gapless from 0). Each id is in one piece. A null or empty text is its
     closing id alone. Rows that repeat a doc_id are packed one by one; a null doc_id
     stays null. A task ends with at most one batch of its documents' remainders, so
-    padding beyond about ``slack`` ids a window is less than one window a task, but for
-    batches of equal pieces that fill no window well (their number of windows rises).
+    padding beyond about ``slack`` ids a window is less than one window a task.
     ``tokenizer_path`` and ``ranks_path`` are two files of the same vocabulary, which
     executors must be able to open.
     """

@@ -164,19 +164,41 @@ def test_packing(docs, none):
     assert pack(none).count() == 0
 
 
-@pytest.mark.parametrize("size", [205, 206, 228, 229, 230, 231, 232])
-def test_runs_of_equal_documents_are_packed_once(size):
+@pytest.mark.parametrize("sizes", [[n] for n in (2, 3, 64, 129, 205, 206, 228, 229, 230, 231, 232, 256, 257, 342, 410, 512, 513, 683, 1023, 1025, 1366, 2047, 2049, 2100)] + [[2030, 30], [700, 1], [1500, 600, 3]])
+def test_runs_of_alike_documents_are_packed_once(sizes):
     from arcwright.llm.window_pack import Packer
 
     packer = Packer(window=2048, parts=8, piece=256, slack=8, first_sequence=0)
-    out = [p for i in range(200) for p in packer.add(i, np.arange(size, dtype="<u4"))] + list(packer.finish())
-    ids = sorted((doc_id, int(x)) for doc_id, start, length, data, *_ in out for x in np.frombuffer(data, "<u4"))
-    assert ids == [(i, x) for i in range(200) for x in range(size)], "each id is in one piece"
+    n = max(200, 80_000 // sum(sizes))
+    docs = {i: np.arange(sizes[i % len(sizes)], dtype="<u4") + 7 * i for i in range(n)}
+    out = [p for i, ids in docs.items() for p in packer.add(i, ids)] + list(packer.finish())
+    got = {}
+    for doc_id, start, length, data, total, *_ in sorted(out, key=lambda p: (p[0], p[1])):
+        assert start == len(got.setdefault(doc_id, b"")) // 4 and len(data) == 4 * length and total == len(docs[doc_id])
+        got[doc_id] += data
+    assert got == {i: ids.tobytes() for i, ids in docs.items()}, "each id is in one piece"
     filled = {}
     for _, _, length, _, _, sequence, offset in out:
         assert offset == filled.get(sequence, 0)
         filled[sequence] = offset + length
     assert max(filled.values()) <= 2048
+    tokens = sum(map(len, docs.values()))
+    assert len(filled) * 2048 - tokens < 0.02 * tokens + 2048, "little padding but for the last window"
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_all_documents_come_back_from_their_pieces(spark, sf):
+    from tokenizers import Tokenizer
+
+    folder = f"/root/testdata/{sf}"
+    whole = Tokenizer.from_file(public_tokenizers.path(Q.TOKENIZER))
+    pieces = {}
+    for r in pack(spark.read.parquet(f"{folder}/documents.parquet")).orderBy("doc_id", "start").collect():
+        ids = pieces.setdefault(r["doc_id"], [])
+        assert r["start"] == len(ids) and len(r["ids"]) == 4 * r["length"]
+        ids += np.frombuffer(bytes(r["ids"]), "<u4").tolist()
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert pieces == {r["doc_id"]: [*whole.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in docs}
 
 
 def test_ids_are_those_of_the_tokenizer():
