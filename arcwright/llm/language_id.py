@@ -196,7 +196,7 @@ def train_byte_gru(
     docs: DataFrame,
     usable: Column,
     sample_per_language: int = 300,
-    most_languages: int = 64,
+    sample_rows: int = 20_000,
     stretches_per_doc: int = 8,
     hidden: int = 8,
     stretch: int = 64,
@@ -205,22 +205,24 @@ def train_byte_gru(
     good: float = 0.02,
     seed: int = 5,
 ) -> ByteGru:
-    """Fit the network on a bounded sample: of each of the ``most_languages`` commonest languages the
-    ``sample_per_language`` documents with the smallest id hashes, and of each document
-    ``stretches_per_doc`` stretches spread over its whole text. Reads text, lang and doc_id of rows
-    where ``usable`` holds; null languages are left out. No such rows: a model that knows no language."""
+    """Fit the network on a bounded sample: of each language the ``sample_per_language`` documents with the
+    smallest id hashes (fewer where all languages together would pass ``sample_rows``, but one at least), and of each
+    document ``stretches_per_doc`` stretches spread over its whole text. Every language with a labelled text
+    is learned. Reads text, lang and doc_id of rows where ``usable`` holds; null languages are left out. No such
+    rows: a model that knows no language. Languages equally likely for a text: the first by name."""
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    common = {r["lang"]: r["count"] for r in counts}
+    common = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
     languages = sorted(common)
+    each = max(1, min(sample_per_language, sample_rows // max(1, len(languages))))
     by_hash = Window.partitionBy("lang").orderBy("place", "doc_id")
-    places = labelled.where(F.col("lang").isin(languages)).select("lang", "doc_id", F.xxhash64("doc_id").alias("place"))
+    places = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("place"))
     # the smallest hashes lie in the lowest part of their range: some twice the sample, whatever the size of a language
     low = F.lit(False)
-    for lang, n in common.items():
-        low = low | ((F.col("lang") == lang) & (F.col("place") <= hash_bound(sample_per_language, n)))
-    chosen = places.where(low).withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= sample_per_language)
-    ids = F.broadcast(chosen.select("lang", "doc_id"))  # at most most_languages * sample_per_language rows
+    if common:
+        bounds = F.create_map(*[F.lit(x) for lang, n in common.items() for x in (lang, hash_bound(each, n))])
+        low = F.col("place") <= F.element_at(bounds, F.col("lang"))
+    chosen = places.where(low).withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= each)
+    ids = F.broadcast(chosen.select("lang", "doc_id"))  # sample_rows, or one a language
 
     def cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -260,3 +262,22 @@ def identify_languages(docs: DataFrame, model: ByteGru) -> DataFrame:
 
     found = packed(docs).withColumn("found", predict(F.col("row")["text"]))
     return found.select(*unpacked(columns), "found.lang_pred", "found.score")
+
+
+def least_sure_score(docs: DataFrame, model: ByteGru, sample: int = 2000, steps: int = 1000) -> float:
+    """The largest score below which the model is wrong more often than right, on labelled documents that it hasn't learned from.
+
+    ``docs``: those documents, with doc_id, text and lang; a sample of some ``sample`` to twice as many is
+    labelled, by the smallest id hashes. 0 where the model is right at every score, or nothing is labelled.
+    """
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.col("lang").alias("true_lang"))
+    few = labelled.where(F.xxhash64("doc_id") <= hash_bound(sample, labelled.count()))
+    said = identify_languages(few, model).where(F.col("lang_pred") != UNDETERMINED)
+    step = F.least(F.floor(F.col("score") * steps), F.lit(steps - 1)).alias("step")
+    wrong = F.sum(F.when(F.col("lang_pred") == F.col("true_lang"), -1).otherwise(1)).alias("more_wrong")
+    limit, balance = 0.0, 0
+    for r in said.groupBy(step).agg(wrong).orderBy("step").collect():  # at most ``steps`` rows
+        balance += r["more_wrong"]
+        if balance > 0:
+            limit = (r["step"] + 1) / steps
+    return limit
