@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Added to a row's bytes: what a record needs besides its text.
 ROW_OVERHEAD = 16
 #: Rows that one task numbers at a time (a bucket of a shard), on average.
@@ -103,12 +105,14 @@ def slots(df: DataFrame, shard: str, order: list[str], bucket_rows: int = SLOT_B
 
     A shard is numbered in hash buckets of about ``bucket_rows`` rows, each from where
     the buckets before it end, so no task holds a shard. Rows that agree in all
-    columns of ``order`` are numbered among themselves in any way.
+    columns of ``order`` are dealt to buckets as well, and numbered among themselves in any way; the
+    rows are written once, so that all steps see the same deal.
     """
+    df = cut(df.withColumn("_deal", F.monotonically_increasing_id()))
     n = df.count()
     shards = max(1, df.select(shard).distinct().count())
     buckets = max(1, -(-n // (bucket_rows * shards)))
-    rows = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    rows = df.withColumn("_bucket", F.pmod(F.xxhash64(*order, "_deal"), F.lit(buckets))).drop("_deal")
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy(shard, "_bucket")

@@ -420,3 +420,11 @@ def test_stages(name, stage, spark, docs, none):
         assert out.columns == docs.columns
     out.collect()
     assert stage(spark, none, "").count() == 0
+
+
+def test_a_shard_of_equal_rows_is_dealt_to_buckets(spark):
+    from arcwright.llm.shard_tree import slots
+
+    rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(16).alias("size"), (F.col("id") % 2).alias("shard")).repartition(3)
+    out = slots(rows, "shard", ["doc_id", "size"], bucket_rows=100)
+    assert sorted((r["shard"], r["slot"]) for r in out.collect()) == [(s, i) for s in (0, 1) for i in range(1500)]
