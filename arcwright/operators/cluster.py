@@ -1,17 +1,18 @@
 """Structures, ring families and regional families.
 
-Pairs come from spatial joins; components bound the order-dependent work, which then runs
-component by component.
+Pairs come from spatial joins. Clusters whose members are all pairs of one another depend on the order of
+rows, but only within a component of pairs: components of a bounded size run many to a task, larger ones in rounds of joins.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .checkpoints import cut
+from .components import connected_components, star_components
+from .ranking import number_rows
 from .spatial import centered_pairs, distance_self_join, overlapping_pairs
 
 # Texts of regional context.
@@ -21,14 +22,99 @@ TOGETHER = "geographic cluster; test shared tectonic/volcanic fabric and selecti
 SETTINGS = {"strict": (0.15, 0.80, 1.25), "default": (0.25, 0.67, 1.50), "lenient": (0.35, 0.50, 2.00)}
 
 
+#: Pairs of a component that one task's kernel takes; larger components are clustered in rounds over the whole cluster.
+MOST_PAIRS = 1_000_000
+#: Pairs that a task takes on average.
+TASK_PAIRS = 100_000
+
+
 def numbered_groups(df: DataFrame, root: str, order: str, prefix: str, out: str) -> DataFrame:
-    """Add ``out``: groups numbered by their smallest ``order``, as prefix_0001 and so on."""
+    """Add ``out``: groups numbered by their smallest ``order`` (a number), as prefix_0001 and so on."""
     first = df.groupBy(root).agg(F.min(order).alias("_first"))
-    spread = Window.orderBy("_first")  # one row a group
-    named = first.withColumn(out, F.format_string(f"{prefix}_%04d", F.row_number().over(spread))).select(F.col(root).alias("_root"), out)
+    named = number_rows(first, "_first", [root], "_nth", descending=False)
+    named = named.select(F.col(root).alias("_root"), F.format_string(f"{prefix}_%04d", "_nth").alias(out))
     return df.join(named, df[root] == named["_root"]).drop("_root")
 
 
+def _cliques_of(pairs: pd.DataFrame) -> dict[int, int]:
+    """Rank of the first member of each row's cluster, for pairs (early, late, weight) of ranks.
+
+    A row counts its pairs with each cluster that earlier rows are in: where it has as many as
+    the cluster has members, it has one with all of them. Of these clusters it joins the one
+    whose first member's pair weighs least.
+    """
+    size: dict[int, int] = {}
+    of: dict[int, int] = {}
+    by_late = pairs.sort_values(["late", "early"])
+    for early in sorted(set(pairs["early"]) - set(pairs["late"])):
+        of[early], size[early] = early, 1
+    waiting = by_late.groupby("late", sort=True)
+    for late, own in waiting:
+        weight = dict(zip(own["early"], own["weight"], strict=True))
+        met: dict[int, int] = {}
+        for early in weight:
+            met[of[early]] = met.get(of[early], 0) + 1
+        fits = [(weight[first], first) for first, n in met.items() if n == size[first]]
+        of[late] = min(fits)[1] if fits else late
+        size[of[late]] = size.get(of[late], 0) + 1
+    return of
+
+
+def _in_rounds(pairs: DataFrame) -> DataFrame:
+    """(rank, first): as ``_cliques_of``, over a table of any size.
+
+    A round decides the rows that come before every undecided row beside them or beside their earlier
+    neighbours: nobody else can still change the clusters that they could join.
+    """
+    pairs = cut(pairs.select("early", "late", "weight"))
+    sides = pairs.select(F.col("early").alias("rank"), F.col("late").alias("other")).unionByName(pairs.select(F.col("late").alias("rank"), F.col("early").alias("other")))
+    todo, done = cut(sides.select("rank").distinct()), None
+    while not todo.isEmpty():
+        beside = sides.join(todo.select(F.col("rank").alias("other")), "other").groupBy("rank").agg(F.min("other").alias("soonest"))
+        through = pairs.join(beside.withColumnRenamed("rank", "early"), "early").groupBy("late").agg(F.min("soonest").alias("through"))
+        ready = todo.join(beside, "rank", "left").join(through.withColumnRenamed("late", "rank"), "rank", "left")
+        ready = cut(ready.where((F.coalesce("soonest", "rank") >= F.col("rank")) & (F.coalesce("through", "rank") >= F.col("rank"))).select("rank"))
+        if done is None:
+            new = ready.select("rank", F.col("rank").alias("first"))
+        else:
+            sizes = done.groupBy("first").agg(F.count(F.lit(1)).alias("size"))
+            met = pairs.join(ready.withColumnRenamed("rank", "late"), "late").join(done.withColumnRenamed("rank", "early"), "early")
+            met = met.groupBy("late", "first").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("early") == F.col("first"), F.col("weight"))).alias("weight"))
+            best = met.join(sizes, "first").where("n = size").groupBy("late").agg(F.min(F.struct("weight", "first")).alias("b"))
+            new = ready.join(best.withColumnRenamed("late", "rank"), "rank", "left").select("rank", F.coalesce("b.first", "rank").alias("first"))
+        done = cut(new if done is None else done.unionByName(new))
+        todo = cut(todo.join(ready, "rank", "left_anti"))
+    return done
+
+
+def ordered_cliques(rows: DataFrame, key: str, pairs: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """(key, first): clusters in which every two rows are a pair, formed in the order of ``rank``.
+
+    rows: key, rank (distinct numbers); pairs: early, late (keys), weight. Each row joins the cluster it has pairs with all
+    members of, by the least weight of its pair with the first member, then by that member's rank; without one it opens
+    a cluster. Rows without pairs are left out. Components of pairs are independent, so many small ones share a task.
+    """
+    ranks = rows.select(key, "rank")
+    ranked = pairs.join(ranks.withColumnsRenamed({key: "early", "rank": "_e"}), "early").join(ranks.withColumnsRenamed({key: "late", "rank": "_l"}), "late")
+    ranked = cut(ranked.select(F.col("_e").alias("early"), F.col("_l").alias("late"), "weight"))
+    roots = star_components(ranked.select(F.col("early").alias("a"), F.col("late").alias("b"))).withColumnRenamed("node", "early")
+    ranked = cut(ranked.join(roots, "early"))
+    sizes = ranked.groupBy("root").agg(F.count(F.lit(1)).alias("_k"))
+    n = ranked.count()
+    deal = F.pmod(F.xxhash64("root"), F.lit(max(1, -(-n // TASK_PAIRS))))
+    small = ranked.join(sizes.where(F.col("_k") <= most_pairs), "root").withColumn("_deal", deal)
+
+    def kernel(own: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(_cliques_of(own).items()), columns=["rank", "first"])
+
+    found = small.select("_deal", "early", "late", "weight").groupBy("_deal").applyInPandas(kernel, "rank long, first long")
+    large = sizes.where(F.col("_k") > most_pairs)
+    if not large.isEmpty():
+        found = found.unionByName(_in_rounds(ranked.join(large.select("root"), "root", "left_semi")))
+    found = found.join(ranks, "rank").select(key, F.col("first").alias("rank"))
+    return found.join(ranks.select("rank", F.col(key).alias("first")), "rank").select(key, "first")
+
+
 def regional_families(candidates: DataFrame, km: float = 500.0) -> DataFrame:
     """(candidate_id, regional_family_id, regional_family_member_count, overlapping_large_candidate, regional_context_flag).
 
@@ -49,52 +135,30 @@ def regional_families(candidates: DataFrame, km: float = 500.0) -> DataFrame:
     )
 
 
-def _by_component(members: DataFrame, pairs: DataFrame, kernel, schema: str) -> DataFrame:
-    """Run kernel(member rows, pair rows) for each root; both sides carry it."""
-    return members.groupBy("root").cogroup(pairs.groupBy("pair_root")).applyInPandas(kernel, schema)
-
-
-def consolidate(candidates: DataFrame, fraction: float = 0.25, low: float = 0.67, high: float = 1.5) -> DataFrame:
+def consolidate(candidates: DataFrame, fraction: float = 0.25, low: float = 0.67, high: float = 1.5, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """(candidate_id, structure_id, representative_id): complete-link clusters in order of score, then id.
 
     A candidate joins the cluster whose members are all compatible with it, the one whose first member is nearest by
     smaller radius, the earlier among ties; otherwise it opens a cluster. Compatible: centers within ``fraction`` of the
-    smaller radius, later by earlier radius within [low, high]. Structures are numbered by score and id of their first member.
+    smaller radius, later by earlier radius within [low, high]. Structures are numbered by score and id of their first
+    member. Ids may be of any type that sorts.
     """
-    rows = candidates.select("candidate_id", "radius_km", "followup_score")
-    widest = max(high, 1 / low)
-    pairs = centered_pairs(candidates, "candidate_id", fraction, 1.0, widest)
-    comps = connected_components(candidates, "candidate_id", pairs.select(F.col("small").alias("a"), F.col("large").alias("b")))
-    members = rows.join(comps, "candidate_id")
-    of = comps.select(F.col("candidate_id").alias("small"), F.col("root").alias("pair_root"))
-    linked = pairs.join(of, "small").select("pair_root", "small", "large", "distance_km")
-
-    def greedy(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        if not len(own):
-            return pd.DataFrame({"candidate_id": [], "representative_id": []})
-        own = own.sort_values(["followup_score", "candidate_id"], ascending=[False, True], na_position="last")
-        away = {}
-        for s, g, d in zip(near["small"], near["large"], near["distance_km"], strict=True):
-            away[s, g] = away[g, s] = d
-        radius = dict(zip(own["candidate_id"], own["radius_km"], strict=True))
-        clusters: list[list[str]] = []
-        for row in own["candidate_id"]:
-            choices = [
-                (away[row, c[0]] / min(radius[row], radius[c[0]]), i)
-                for i, c in enumerate(clusters)
-                if all((row, m) in away and low <= radius[row] / radius[m] <= high for m in c)
-            ]
-            if choices:
-                clusters[min(choices)[1]].append(row)
-            else:
-                clusters.append([row])
-        return pd.DataFrame([(m, c[0]) for c in clusters for m in c], columns=["candidate_id", "representative_id"])
-
-    found = _by_component(members, linked, greedy, "candidate_id string, representative_id string")
-    first = candidates.select(F.col("candidate_id").alias("representative_id"), F.col("followup_score").alias("_s"))
-    leads = found.select("representative_id").distinct().join(first, "representative_id")
-    named = leads.withColumn("structure_id", F.format_string("structure_%04d", F.row_number().over(Window.orderBy(F.desc("_s"), "representative_id"))))
-    return found.join(named.drop("_s"), "representative_id").select("candidate_id", "structure_id", "representative_id")
+    rows = cut(number_rows(candidates.select("candidate_id", "followup_score"), "followup_score", ["candidate_id"], "rank"))
+    near = centered_pairs(candidates, "candidate_id", fraction, 1.0, max(high, 1 / low))
+    rank = rows.select("candidate_id", "rank")
+    near = near.join(rank.withColumnsRenamed({"candidate_id": "small", "rank": "_s"}), "small").join(rank.withColumnsRenamed({"candidate_id": "large", "rank": "_g"}), "large")
+    first = F.col("_s") < F.col("_g")
+    later_by_earlier = F.when(first, F.col("large_radius") / F.col("small_radius")).otherwise(F.col("small_radius") / F.col("large_radius"))
+    pairs = near.where(later_by_earlier.between(low, high)).select(
+        F.when(first, F.col("small")).otherwise(F.col("large")).alias("early"), F.when(first, F.col("large")).otherwise(F.col("small")).alias("late"),
+        (F.col("distance_km") / F.col("small_radius")).alias("weight"),
+    )
+    found = ordered_cliques(rows, "candidate_id", pairs, most_pairs)
+    every = cut(rows.select("candidate_id").join(found, "candidate_id", "left").select("candidate_id", F.coalesce("first", "candidate_id").alias("representative_id")))
+    leads = every.where("candidate_id = representative_id").join(rows, "candidate_id")
+    named = number_rows(leads.select("representative_id", "followup_score"), "followup_score", ["representative_id"], "_nth")
+    named = named.select("representative_id", F.format_string("structure_%04d", "_nth").alias("structure_id"))
+    return every.join(named, "representative_id").select("candidate_id", "structure_id", "representative_id")
 
 
 def consolidation_sensitivity(candidates: DataFrame) -> DataFrame:
@@ -128,7 +192,7 @@ def structures(candidates: DataFrame, membership: DataFrame) -> DataFrame:
         F.median("radius_km").alias("radius_km"), F.min("radius_km").alias("radius_min_km"), F.max("radius_km").alias("radius_max_km"),
         F.count(F.lit(1)).alias("member_count"), F.concat_ws(";", F.array_sort(F.collect_list("candidate_id"))).alias("member_candidate_ids"), best.alias("_best"),
     )
-    ranked = out.withColumn("structure_review_rank", F.row_number().over(Window.orderBy(F.desc("_score"), "structure_id")))
+    ranked = number_rows(cut(out), "_score", ["structure_id"], "structure_review_rank")
     return ranked.select(
         "structure_review_rank", "structure_id", "representative_id", wrap_lon("_lon").alias("lon"), "lat", "radius_km", (2 * F.col("radius_km")).alias("diameter_km"),
         "member_count", "member_candidate_ids", "radius_min_km", "radius_max_km", F.col("_score").alias("followup_score"),
@@ -136,47 +200,30 @@ def structures(candidates: DataFrame, membership: DataFrame) -> DataFrame:
     )
 
 
-def ring_families(candidates: DataFrame, fraction: float = 0.25, least_ratio: float = 1.2, least_coverage: float = 0.35) -> DataFrame:
+def ring_families(candidates: DataFrame, fraction: float = 0.25, least_ratio: float = 1.2, least_coverage: float = 0.35, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """(ring_family_id, candidate_id, member_count, center_offset_km_median, radius_ratio_sequence, diameter_range_km, nested_geometry_score).
 
-    Near-concentric pairs connect candidates; each component is split, smallest radius first, into families whose members
-    are all near-concentric with one another and whose neighbouring radii differ enough. Needs candidate_id, source_index,
-    lon, lat, radius_km, geometry_angular_coverage (missing: none).
+    Near-concentric pairs of different radii make families in order of radius, then source_index: a candidate joins the first
+    family all of whose members it has a pair with. Families of one are left out; the others are numbered by their
+    smallest source_index. Needs candidate_id, source_index, lon, lat, radius_km, geometry_angular_coverage (missing: none).
     """
     able = candidates.where((F.col("radius_km") > 0) & (F.coalesce("geometry_angular_coverage", F.lit(0.0)) >= least_coverage))
-    pairs = centered_pairs(able, "candidate_id", fraction, least_ratio, None)
-    comps = connected_components(able, "candidate_id", pairs.select(F.col("small").alias("a"), F.col("large").alias("b")))
-    members = able.select("candidate_id", "source_index", "radius_km").join(comps, "candidate_id")
-    of = comps.select(F.col("candidate_id").alias("small"), F.col("root").alias("pair_root"))
-    linked = pairs.join(of, "small").select("pair_root", "small", "large", "distance_km")
-
-    def split(own: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        away = {(s, g): d for s, g, d in zip(near["small"], near["large"], near["distance_km"], strict=True)}
-        groups: list[list[tuple]] = []
-        for row in own.sort_values(["radius_km", "source_index"])[["candidate_id", "source_index", "radius_km"]].itertuples(index=False):
-            for g in groups:
-                # rows come by radius, so a new member is the largest: near all others, and far enough above the last
-                if all((m[0], row[0]) in away for m in g):
-                    g.append(row)
-                    break
-            else:
-                groups.append([row])
-        for g in groups:
-            if len(g) < 2:
-                continue
-            radii = [m[2] for m in g]
-            offsets = [away[a[0], b[0]] for i, a in enumerate(g) for b in g[i + 1 :]]
-            median = float(np.median(offsets))
-            nested = min(1.0, 0.5 * min(1.0, len(g) / 3) + 0.5 * (1 - min(1.0, median / max(radii[0], 1))))
-            ratios = [round(b / a, 4) for a, b in zip(radii, radii[1:])]
-            out += [(m[0], min(x[1] for x in g), len(g), median, ratios, f"{2 * radii[0]:.3f}-{2 * radii[-1]:.3f}", nested) for m in g]
-        return pd.DataFrame(out, columns=["candidate_id", "first", "member_count", "center_offset_km_median", "radius_ratio_sequence", "diameter_range_km", "nested_geometry_score"])
-
-    kind = candidates.schema["source_index"].dataType.simpleString()
-    schema = f"candidate_id string, first {kind}, member_count long, center_offset_km_median double, radius_ratio_sequence array<double>, diameter_range_km string, nested_geometry_score double"
-    found = _by_component(members, linked, split, schema)
-    found = numbered_groups(found, "first", "first", "ring_family", "ring_family_id")
-    return found.select("ring_family_id", "candidate_id", "member_count", "center_offset_km_median", "radius_ratio_sequence", "diameter_range_km", "nested_geometry_score")
-
-
+    rows = cut(number_rows(able.select("candidate_id", "source_index", "radius_km"), "radius_km", ["source_index", "candidate_id"], "rank", descending=False))
+    pairs = cut(centered_pairs(able, "candidate_id", fraction, least_ratio, None).select(F.col("small").alias("early"), F.col("large").alias("late"), "distance_km"))
+    found = cut(ordered_cliques(rows, "candidate_id", pairs.withColumn("weight", F.lit(0.0)), most_pairs))
+    members = found.join(rows.select("candidate_id", "source_index", "radius_km"), "candidate_id")
+    radii = F.transform(F.array_sort(F.collect_list(F.struct("radius_km", "source_index"))), lambda m: m["radius_km"])  # radii grow by least_ratio, so members are few
+    families = members.groupBy("first").agg(F.count(F.lit(1)).alias("member_count"), F.min("source_index").alias("_order"), radii.alias("_radii")).where("member_count > 1")
+    of = found.select(F.col("candidate_id").alias("early"), "first")
+    inside = pairs.join(of, "early").join(found.select(F.col("candidate_id").alias("late"), F.col("first").alias("_other")), "late").where("first = _other")
+    offsets = inside.groupBy("first").agg(F.median("distance_km").alias("center_offset_km_median"))
+    low, top = F.element_at("_radii", 1), F.element_at("_radii", -1)
+    near = 1 - F.least(F.lit(1.0), F.col("center_offset_km_median") / F.greatest(low, F.lit(1.0)))
+    families = families.join(offsets, "first").select(
+        "first", "_order", "member_count", "center_offset_km_median",
+        F.transform(F.slice("_radii", 2, F.size("_radii")), lambda r, i: F.round(r / F.get("_radii", i), 4)).alias("radius_ratio_sequence"),
+        F.format_string("%.3f-%.3f", 2 * low, 2 * top).alias("diameter_range_km"),
+        F.least(F.lit(1.0), 0.5 * F.least(F.lit(1.0), F.col("member_count") / 3) + 0.5 * near).alias("nested_geometry_score"),
+    )
+    out = numbered_groups(found.join(families, "first"), "first", "_order", "ring_family", "ring_family_id")
+    return out.select("ring_family_id", "candidate_id", "member_count", "center_offset_km_median", "radius_ratio_sequence", "diameter_range_km", "nested_geometry_score")

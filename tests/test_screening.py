@@ -399,3 +399,32 @@ def test_every_exclusion_counts(spark):
     out = L.without_duplicates(records, exclusions)
     assert out.columns == ["record_id", "duplicate_of", "note", "analytical_include"] and out.count() == 12_001
     assert [r["record_id"] for r in out.where("analytical_include").collect()] == ["12000"]
+
+
+@pytest.mark.parametrize("most_pairs", [0, 1_000_000])
+def test_clusters_in_order_match_a_plain_loop(spark, most_pairs):
+    import random
+
+    from arcwright.operators.cluster import consolidate
+
+    draw = random.Random(3)
+    rows = [(i, draw.random() * 1.2, draw.random() * 1.2, 80 + 30 * draw.random(), round(draw.random(), 1)) for i in range(60)]
+    df = spark.createDataFrame(rows, "candidate_id long, lon double, lat double, radius_km double, followup_score double")
+
+    def km(a, b):
+        p, q = math.radians(a[2]), math.radians(b[2])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(math.sqrt(h))
+
+    groups = []
+    for r in sorted(rows, key=lambda r: (-r[4], r[0])):
+        fits = [
+            (km(r, g[0]) / min(r[3], g[0][3]), i)
+            for i, g in enumerate(groups)
+            if all(km(r, m) <= 0.25 * min(r[3], m[3]) and 0.67 <= r[3] / m[3] <= 1.5 for m in g)
+        ]
+        groups[min(fits)[1]].append(r) if fits else groups.append([r])
+    want = {m[0]: (g[0][0], f"structure_{i + 1:04d}") for i, g in enumerate(groups) for m in g}
+    assert max(map(len, groups)) > 3
+    got = {r["candidate_id"]: (r["representative_id"], r["structure_id"]) for r in consolidate(df, most_pairs=most_pairs).collect()}
+    assert got == want
