@@ -175,12 +175,12 @@ def planetary_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "adjacent_ratios",
     """SELECT vec_id, n, round(first, 4) AS first, round(last, 4) AS last FROM (SELECT vec_id, len(r)::INTEGER AS n, r[1] AS first, r[-1] AS last FROM (
-      SELECT vec_id, list_transform(range(2, len(v) + 1), lambda i: v[i] / v[i - 1]) AS r FROM (SELECT vec_id, list_sort(list_filter(list_transform(embedding[1:6], lambda x: round(x::DOUBLE, 5)), lambda x: x > 0)) AS v FROM embeddings) a) b WHERE len(r) > 0) c""",
+      SELECT vec_id, list_transform(range(2, len(v) + 1), lambda i: v[i] / v[i - 1]) AS r FROM (SELECT vec_id, list_sort(list_filter(list_transform(embedding, lambda x: round(x::DOUBLE, 5)), lambda x: x > 0)) AS v FROM embeddings) a) b WHERE len(r) > 0) c""",
 )
 def adjacent_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.relational import ratios
 
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    radii = F.transform(F.slice("embedding", 1, 6), lambda x: F.round(x.cast("double"), 5))
+    radii = F.transform("embedding", lambda x: F.round(x.cast("double"), 5))
     r = e.select("vec_id", ratios(radii).alias("r")).where("size(r) > 0")
     return r.select("vec_id", F.size("r").alias("n"), F.round(F.get("r", F.lit(0)), 4).alias("first"), F.round(F.element_at("r", -1), 4).alias("last"))

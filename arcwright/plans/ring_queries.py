@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ring as R
+from ..operators.ranking import number_rows
 from .registry import query, rounded
 from .views import duck, view
 
@@ -98,23 +99,33 @@ def scalar_ring_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.scalar_ring_score(_windows(spark, sf_dir)))
 
 
-_GRID = """, grid AS (SELECT s_suppkey % 180 AS iy, t AS ix, (s_suppkey % 180) - 89.5 AS lat, t - 179.5 AS lon, (s_suppkey * 31 + t * 7) % 1000 / 10 AS value
-  FROM supplier, (SELECT unnest(range(0, 360)) AS t) WHERE s_suppkey <= 180)"""
+# a global grid with a row for each supplier and twice as many columns
+_GRID = """, size AS (SELECT count(*) AS n FROM supplier), grid AS (SELECT nth - 1 AS iy, t AS ix, (nth - 0.5) * (180 / n) - 90 AS lat, (t + 0.5) * (180 / n) - 180 AS lon, (s_suppkey * 31 + t * 7) % 1000 / 10 AS value
+  FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS nth FROM supplier), size, (SELECT unnest(range(0, (SELECT 2 * n FROM size))) AS t))"""
 
 
-def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey <= 180").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(359))).alias("t"))
-    return s.select((F.col("s_suppkey") % 180).alias("iy"), F.col("t").cast("long").alias("ix"), (F.col("s_suppkey") % 180 - 89.5).alias("lat"), (F.col("t") - 179.5).alias("lon"), ((F.col("s_suppkey") * 31 + F.col("t") * 7) % 1000 / 10).alias("value"))
+def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
+    """The grid and its step in degrees."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
+    n = s.count()
+    step = F.lit(180) / F.lit(n)
+    rows = number_rows(s, "s_suppkey", [], "nth", descending=False).select("s_suppkey", "nth", F.explode(F.sequence(F.lit(0), F.lit(2 * n - 1))).alias("t"))
+    cells = rows.select(
+        (F.col("nth") - 1).alias("iy"), F.col("t").cast("long").alias("ix"), ((F.col("nth") - 0.5) * step - 90).alias("lat"), ((F.col("t") + 0.5) * step - 180).alias("lon"),
+        ((F.col("s_suppkey") * 31 + F.col("t") * 7) % 1000 / 10).alias("value"),
+    )
+    return cells, 180 / n
 
 
 @query(
     "nearest_cell",
     duck("candidates")
     + _GRID
-    + """ SELECT candidate_id, g.value FROM candidates c LEFT JOIN grid g ON floor(c.lat + 90) = floor(g.lat + 90) AND floor(c.lon + 180)::BIGINT % 360 = floor(g.lon + 180)""",
+    + """ SELECT candidate_id, g.value FROM candidates c CROSS JOIN size LEFT JOIN grid g ON floor((c.lat + 90) / (180 / n)) = g.iy AND floor((c.lon + 180) / (180 / n))::BIGINT % (2 * n) = g.ix""",
 )
 def nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.nearest_cell(view(spark, sf_dir, "candidates"), _grid(spark, sf_dir).select("lat", "lon", "value")).select("candidate_id", "value")
+    grid, step = _grid(spark, sf_dir)
+    return R.nearest_cell(view(spark, sf_dir, "candidates"), grid.select("lat", "lon", "value"), step).select("candidate_id", "value")
 
 
 @query(
@@ -129,5 +140,5 @@ def nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def grid_window_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "candidates").select("candidate_id", "lon", "lat", "radius_km")
-    w = R.grid_window_join(rows, _grid(spark, sf_dir))
+    w = R.grid_window_join(rows, _grid(spark, sf_dir)[0])
     return rounded(w.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_cells"), F.avg("value").alias("mean_value")))

@@ -47,9 +47,32 @@ def ks_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(T.ks_two_sample(view(spark, sf_dir, "candidates"), view(spark, sf_dir, "catalogue"), "radius_km"))
 
 
-@query("ks_scaled")
+def _grid_round(n: int, half: float, mid: str) -> str:
+    """One refinement of the shift: the 41 shifts about ``mid``, their distances, and the best of them."""
+    return f""", g{n} AS (SELECT ({mid}) + {half} * (2 * i / 40 - 1) AS s FROM (SELECT unnest(range(0, 41)) AS i)),
+      u{n} AS (SELECT s, v, sum(x) AS x, sum(y) AS y FROM (SELECT s, l AS v, 1 AS x, 0 AS y FROM lx, g{n} UNION ALL SELECT s, l + s, 0, 1 FROM ly, g{n}) b GROUP BY 1, 2),
+      k{n} AS (SELECT s, max(abs(fx / nx - fy / ny)) AS ks FROM (SELECT s, sum(x) OVER w AS fx, sum(y) OVER w AS fy, sum(x) OVER p AS nx, sum(y) OVER p AS ny FROM u{n} WINDOW w AS (PARTITION BY s ORDER BY v), p AS (PARTITION BY s)) c GROUP BY 1),
+      r{n} AS (SELECT s, ks FROM k{n} ORDER BY ks, s LIMIT 1)"""
+
+
+@query(
+    "ks_scaled",
+    duck("candidates", "catalogue")
+    + ", lx AS (SELECT ln(radius_km) AS l FROM candidates), ly AS (SELECT ln(radius_km) AS l FROM catalogue)"
+    + _grid_round(1, 5.0, "(SELECT median(l) FROM lx) - (SELECT median(l) FROM ly)")
+    + _grid_round(2, 0.25, "SELECT s FROM r1")
+    + _grid_round(3, 0.0125, "SELECT s FROM r2")
+    + " SELECT round(exp(s), 5) AS scale, round(ks, 5) AS ks FROM r3",
+)
 def ks_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(T.ks_scaled(view(spark, sf_dir, "candidates"), view(spark, sf_dir, "catalogue"), "radius_km"))
+    return rounded(T.ks_scaled(view(spark, sf_dir, "candidates"), view(spark, sf_dir, "catalogue"), "radius_km"), 5)
+
+
+@query("ks_permutation")
+def ks_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = view(spark, sf_dir, "candidates").select(F.col("candidate_id").alias("id"), "radius_km")
+    y = view(spark, sf_dir, "catalogue").select(F.col("record_id").alias("id"), "radius_km")
+    return rounded(T.null_summary(T.ks_permutation(x, y, "id", "radius_km", 10, SEED), "ks"))
 
 
 @query(
@@ -138,13 +161,13 @@ def label_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(T.label_null(rows, "record_id", "eid_match", "distance_km", REPS, SEED), 5)
 
 
-_NULLS = """, obs AS (SELECT candidate_id, magnetic_ring_score AS v FROM candidates WHERE source_index % 10 = 0),
+_NULLS = """, obs AS (SELECT candidate_id, magnetic_ring_score AS v FROM candidates),
   nulls AS (SELECT candidate_id, i AS null_index, CASE WHEN (source_index + i) % 11 = 0 THEN NULL ELSE (source_index * 37 + i * 101) % 1000 / 1000 END AS v
-    FROM candidates, (SELECT unnest(range(0, 19)) AS i) WHERE source_index % 10 = 0)"""
+    FROM candidates, (SELECT unnest(range(0, 19)) AS i))"""
 
 
 def _nulls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = view(spark, sf_dir, "candidates").where("source_index % 10 = 0")
+    rows = view(spark, sf_dir, "candidates")
     obs = rows.select("candidate_id", F.col("magnetic_ring_score").alias("v"))
     nulls = rows.select("candidate_id", "source_index", F.explode(F.sequence(F.lit(0), F.lit(18))).alias("null_index"))
     v = F.when((F.col("source_index") + F.col("null_index")) % 11 != 0, ((F.col("source_index") * 37 + F.col("null_index") * 101) % 1000) / 1000)

@@ -21,7 +21,7 @@ from ..operators.ranking import number_rows
 from ..sources import sinks as K
 
 
-def size_study(vertices: DataFrame, catalogue: DataFrame, replicates: int = 999, seed: int = 20260619) -> dict[str, DataFrame]:
+def size_study(vertices: DataFrame, catalogue: DataFrame, replicates: int = 999, seed: int = 20260619, shape_replicates: int = 199) -> dict[str, DataFrame]:
     """Sizes of fitted arcs, their power-law tail, and whether matched catalogue records lie near them by chance.
 
     vertices: see ``arcs.spherical_fit``; catalogue: record_id, lon, lat, diameter_km, eid_match.
@@ -41,6 +41,7 @@ def size_study(vertices: DataFrame, catalogue: DataFrame, replicates: int = 999,
         "tail": T.power_law_tail(fits, "diameter_km"),
         "bins": T.labelled_bins(fits, "diameter_km", [10.0, 50.0, 100.0, 200.0, 400.0, 1000.0, 2500.0, 5000.0]),
         "scale": T.ks_scaled(fits, catalogue, "diameter_km"),
+        "shape": T.null_summary(cut(T.ks_permutation(fits.select(F.col("candidate_id").alias("id"), "diameter_km"), catalogue.select(F.col("record_id").alias("id"), "diameter_km"), "id", "diameter_km", shape_replicates, seed)), "ks"),
         "tests": reduce(DataFrame.unionByName, tests),
     }
 
@@ -129,3 +130,49 @@ def study_export(features: DataFrame, results: DataFrame, structures: DataFrame,
     fresh = [c for c in results.columns if c not in features.columns or c == "candidate_id"]
     rows = features.join(results.select(*fresh), "candidate_id", "left").join(copied, "candidate_id", "left")
     return L.with_capture_fields(rows, capture), checks
+
+
+#: Name of the follow-up method; with geophysical evidence it says so.
+METHOD_VERSION = "terrain-geology-v1"
+
+
+def score_traces(vertices: DataFrame, study: DataFrame, terrain: DataFrame, channels: dict[str, DataFrame], classes: DataFrame | None = None, arcs: DataFrame | None = None, sides: DataFrame | None = None) -> DataFrame:
+    """Submitted traces with the study's scores, their percentiles among the study's candidates of their domain and size, tier and method version.
+
+    vertices: candidate_id, lon, lat of each trace (a circle of ``geo.circle_vertices`` where there is none); study: a shortlist (see
+    ``shortlist.review_shortlist``); grids as in ``terrain_ranking`` and ``enrichment``, channels named gravity_bouguer, gravity_freeair and magnetic.
+    A domain and size class that the study has no candidate in is compared with all of it.
+    """
+    from ..operators.ranking import bins_left_closed, ecdf_percentile, exact_quantiles
+    from ..operators.shortlist import METRICS
+
+    rows = terrain_ranking(A.spherical_fit(vertices), terrain, arcs, sides).drop("rank")
+    rows = enrichment(rows, channels, classes)
+    for c in (*METRICS, "tid_artifact_risk", "tid_land_fraction"):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast("double"))
+    edges = exact_quantiles(study.withColumn("_log", F.log10("diameter_km")), "_log", [i / 10 for i in range(1, 10)])
+    placed = lambda d: d.withColumn("domain", S.domain("tid_land_fraction")).withColumn("_bin", bins_left_closed(F.log10(F.greatest("diameter_km", F.lit(1e-6))), edges))
+    rows, reference = cut(placed(rows)), cut(placed(study))
+    for m in METRICS:
+        rows = ecdf_percentile(rows, reference, ["domain", "_bin"], m, f"{m}_stratified_percentile")
+    b, f = (F.col(f"{m}_stratified_percentile") for m in METRICS[:2])
+    n = b.isNotNull().cast("int") + f.isNotNull().cast("int")
+    rows = rows.withColumn("gravity_consensus_percentile", F.when(n > 0, (F.coalesce(b, F.lit(0.0)) + F.coalesce(f, F.lit(0.0))) / n))
+    both = F.coalesce(F.least(b, f) >= 0.75, F.lit(False))
+    rows = rows.withColumn("review_tier", S.review_tier("followup_score", "gravity_consensus_percentile", both, "tid_artifact_risk"))
+    rows = rows.withColumn("geophysical_sources_available", F.coalesce(*METRICS).isNotNull())
+    version = F.concat(F.lit(METHOD_VERSION), F.when(F.col("geophysical_sources_available"), "+geophysics-v1").otherwise(""))
+    return rows.withColumn("method_version", version).drop("_bin")
+
+
+def planetary_study(seed: DataFrame, large: DataFrame, families: DataFrame, fingerprints: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Planetary ring sets and large craters in one table, compared with terrestrial families, and a manifest.
+
+    seed: source, object, body, certainty, diameter_km, ring_diameters_km; large: see ``files.read_large_catalogue``, with object and diameter_km; families: see ``cluster.ring_families``,
+    with family_id.
+    """
+    rings = L.planetary_rings(seed)
+    every = rings.unionByName(large.withColumns({"body": F.lit("Moon"), "source": F.lit("large_catalogue")}), allowMissingColumns=True)
+    compared = L.compare_planetary(families, every)
+    return {"rings": rings, "planetary": every, "comparison": compared, "sizes": L.group_sizes(every, "source", "body"), "manifest": K.source_manifest({"rings": rings, "planetary": every, "comparison": compared}, fingerprints)}

@@ -10,16 +10,21 @@ from ..functions import text as X
 from ..operators import faults as A
 from ..operators import wiki as K
 from .registry import query, rounded
+from .spatial_queries import km
 from .views import duck, view
 
 
+_ACCENTS = "CASE p_partkey % 4 WHEN 0 THEN 'Dvořák Š' WHEN 1 THEN 'Ñandú ÇATALHÖYÜK' WHEN 2 THEN 'Ångström ňũ' ELSE 'Ørsted' END"
+
+
 @query(
     "slug_names",
-    r"""SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unnamed_control') AS slug,
-      regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]+', '', 'g') AS name_key FROM part""",
+    rf"""SELECT p_partkey, coalesce(nullif(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unnamed_control') AS slug,
+      regexp_replace(lower(strip_accents(p_name || ' ' || {_ACCENTS})), '[^a-z0-9]+', '', 'g') AS name_key FROM part""",
 )
 def slug_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", X.slug("p_name").alias("slug"), X.name_key("p_name").alias("name_key"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", F.expr(f"p_name || ' ' || {_ACCENTS}").alias("marked"))
+    return rows.select("p_partkey", X.slug("p_name").alias("slug"), X.name_key("marked").alias("name_key"))
 
 
 @query(
@@ -97,7 +102,7 @@ _FAULT = """, near AS (SELECT c.candidate_id, c.radius_km AS r, radians(c.lat) A
       WHEN lon1 <= lon + 2 AND lon2 >= lon - 2 AND lat1 <= lat + 2 AND lat2 >= lat - 2 THEN 2 WHEN lon1 <= lon + 5 AND lon2 >= lon - 5 AND lat1 <= lat + 5 AND lat2 >= lat - 5 THEN 5
       WHEN lon1 <= lon + 10 AND lon2 >= lon - 10 AND lat1 <= lat + 10 AND lat2 >= lat - 10 THEN 10 WHEN lon1 <= lon + 20 AND lon2 >= lon - 20 AND lat1 <= lat + 20 AND lat2 >= lat - 20 THEN 20
       WHEN lon1 <= lon + 40 AND lon2 >= lon - 40 AND lat1 <= lat + 40 AND lat2 >= lat - 40 THEN 40 WHEN lon1 <= lon + 60 AND lon2 >= lon - 60 AND lat1 <= lat + 60 AND lat2 >= lat - 60 THEN 60 END AS step
-    FROM candidates c, fault_segments f WHERE c.source_index % 5 = 0),
+    FROM candidates c, fault_segments f),
   met AS (SELECT * FROM (SELECT *, min(step) OVER (PARTITION BY candidate_id) AS best FROM near) q WHERE step = best),
   a1 AS (SELECT *, acos(greatest(-1, least(1, sin(p0) * sin(radians(lat1)) + cos(p0) * cos(radians(lat1)) * cos(radians(lon1 - lon0))))) AS c1, acos(greatest(-1, least(1, sin(p0) * sin(radians(lat2)) + cos(p0) * cos(radians(lat2)) * cos(radians(lon2 - lon0))))) AS c2 FROM met),
   a2 AS (SELECT *, 6371.0088::DOUBLE * CASE WHEN sin(c1) < 1e-12 THEN 1 ELSE c1 / sin(c1) END AS k1, 6371.0088::DOUBLE * CASE WHEN sin(c2) < 1e-12 THEN 1 ELSE c2 / sin(c2) END AS k2 FROM a1),
@@ -106,7 +111,7 @@ _FAULT = """, near AS (SELECT c.candidate_id, c.radius_km AS r, radians(c.lat) A
   d AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy, greatest(0, least(1, -(x1 * (x2 - x1) + y1 * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t FROM xy),
   q AS (SELECT *, sqrt(pow(x1 + t * dx, 2) + pow(y1 + t * dy, 2)) AS km, dx * dx + dy * dy AS aa, x1 * dx + y1 * dy AS bb, x1 * x1 + y1 * y1 - r * r AS cc FROM d),
   l AS (SELECT *, CASE WHEN bb * bb - aa * cc <= 0 THEN 0 ELSE (greatest(0, least(1, (-bb + sqrt(greatest(bb * bb - aa * cc, 0))) / aa)) - greatest(0, least(1, (-bb - sqrt(greatest(bb * bb - aa * cc, 0))) / aa))) * sqrt(aa) END AS len FROM q),
-  f AS (SELECT candidate_id, any_value(r) AS r, min(km) AS km, arg_min(name, km) AS name, arg_min(coalesce(slip_type, '-'), km) AS slip, sum(len) AS len, any_value(best) AS best FROM l GROUP BY 1)"""
+  f AS (SELECT candidate_id, any_value(r) AS r, min(km) AS km, arg_min(name, {'a': km, 'b': fault_id, 'c': segment_no}) AS name, arg_min(coalesce(slip_type, '-'), {'a': km, 'b': fault_id, 'c': segment_no}) AS slip, sum(len) AS len, any_value(best) AS best FROM l GROUP BY 1)"""
 
 
 @query(
@@ -117,7 +122,7 @@ _FAULT = """, near AS (SELECT c.candidate_id, c.radius_km AS r, radians(c.lat) A
       CASE WHEN len > 0 THEN 'intersects_active_fault' WHEN km / r <= 1 THEN 'near_active_fault' ELSE 'no_mapped_active_fault_within_radius' END AS flag FROM f""",
 )
 def fault_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "candidates").where("source_index % 5 = 0")
+    rows = view(spark, sf_dir, "candidates")
     out = A.with_fault_flag(A.fault_metrics(rows, view(spark, sf_dir, "fault_segments")).join(rows.select("candidate_id", "radius_km"), "candidate_id"))
     return out.select(
         "candidate_id", F.round("nearest_active_fault_km", 4).alias("nearest_km"), F.col("nearest_active_fault_name").alias("nearest_name"),
@@ -126,10 +131,20 @@ def fault_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("catalogue_match")
+@query(
+    "catalogue_match",
+    duck("catalogue", "candidates")
+    + f""", r AS (SELECT *, 'K' || (diameter_km * 7 + nation) % 3000 AS nk FROM catalogue), s AS (SELECT *, 'K' || source_index % 3000 AS nk FROM candidates),
+      n AS (SELECT r.record_id, s.candidate_id, {km("r", "s")} AS km, row_number() OVER (PARTITION BY r.record_id ORDER BY abs(s.diameter_km - r.diameter_km), s.candidate_id) AS nth FROM r JOIN s USING (nk)),
+      x AS (SELECT r.record_id, s.candidate_id, {km("r", "s")} AS km, row_number() OVER (PARTITION BY r.record_id ORDER BY {km("r", "s")}, s.candidate_id) AS nth FROM r, s WHERE r.nk NOT IN (SELECT nk FROM s))
+      SELECT record_id, candidate_id AS source_id, CASE WHEN km <= 5 THEN 'verified_within_5_km' ELSE 'coordinate_review_required' END AS coordinate_audit_status, round(km, 6) AS distance_km FROM n WHERE nth = 1
+      UNION ALL SELECT record_id, CASE WHEN km <= 5 THEN candidate_id END, CASE WHEN km <= 5 THEN 'verified_by_coordinate_alias_within_5_km' ELSE 'not_found_in_2026_snapshot' END, CASE WHEN km <= 5 THEN round(km, 6) END FROM x WHERE nth = 1""",
+)
 def catalogue_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = view(spark, sf_dir, "catalogue").withColumn("diameter_raw_km", F.col("diameter_km").cast("double"))
-    source = view(spark, sf_dir, "candidates").where("source_index % 4 = 0").select(F.col("candidate_id").alias("source_id"), "name", "lon", "lat", F.col("diameter_km").cast("double").alias("diameter_km"))
+    records = view(spark, sf_dir, "catalogue").withColumn("name", F.concat(F.lit("K "), ((F.col("diameter_km") * 7 + F.col("nation")) % 3000).cast("string")))
+    records = records.withColumn("diameter_raw_km", F.col("diameter_km").cast("double"))
+    named = F.concat(F.lit("k-"), (F.col("source_index") % 3000).cast("string"))
+    source = view(spark, sf_dir, "candidates").withColumn("name", named).select(F.col("candidate_id").alias("source_id"), "name", "lon", "lat", F.col("diameter_km").cast("double").alias("diameter_km"))
     return rounded(K.match_source(records, source))
 
 
@@ -151,13 +166,13 @@ def diameter_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "display_names",
     duck("catalogue")
-    + """, r AS (SELECT record_id, substr(name, 1, 14) AS name, eid_match::VARCHAR AS sk, CASE WHEN eid_match THEN '12N 3E' ELSE '' END AS ct, 'land ' || (diameter_km % 7) AS place FROM catalogue),
+    + """, r AS (SELECT record_id, 'Crater ' || nation AS name, eid_match::VARCHAR AS sk, CASE WHEN eid_match THEN '12N 3E' ELSE '' END AS ct, 'land ' || (diameter_km % 7) AS place FROM catalogue),
       c AS (SELECT *, count(*) OVER (PARTITION BY sk, name) AS s, count(*) OVER (PARTITION BY name) AS g FROM r)
       SELECT record_id, CASE WHEN s > 1 AND ct <> '' THEN name || ' — ' || ct WHEN g > 1 THEN name || ' — ' || place ELSE name END AS display_name FROM c""",
 )
 def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "catalogue").select(
-        "record_id", F.substring("name", 1, 14).alias("name"), F.col("eid_match").cast("string").alias("source_key"),
+        "record_id", F.concat(F.lit("Crater "), F.col("nation").cast("string")).alias("name"), F.col("eid_match").cast("string").alias("source_key"),
         F.when(F.col("eid_match"), "12N 3E").otherwise("").alias("coordinate_title"), F.concat(F.lit("land "), (F.col("diameter_km") % 7).cast("string")).alias("place"),
     )
     return K.disambiguate_names(rows).select("record_id", "display_name")

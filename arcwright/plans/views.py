@@ -34,26 +34,26 @@ VIEWS: dict[str, str] = {
     CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE (s_suppkey * 271 % 1000) / 1000 END AS gravity_consensus_used
   FROM supplier""",
     "catalogue": f"""SELECT concat('astro_', lpad(cast(c_custkey AS string), 6, '0')) AS record_id, c_name AS name,
-    {_PLACE.format(k="(c_custkey + 31)")}, c_custkey % 3 = 0 AS eid_match
-  FROM customer WHERE c_custkey % 10 = 0""",
+    {_PLACE.format(k="(c_custkey + 31)")}, c_custkey % 3 = 0 AS eid_match, c_nationkey AS nation
+  FROM customer""",
     "vertices": """SELECT concat('arc_', lpad(cast(l_orderkey AS string), 6, '0')) AS candidate_id,
     l_linenumber AS line_no, cast(l_partkey AS bigint) AS vertex_no,
     (l_orderkey * 7919 % 35000) / 100 - 175 + cos(l_linenumber * 0.7 + l_partkey % 5) * (1 + l_quantity / 100) AS lon,
     (l_orderkey * 104729 % 14000) / 100 - 70 + sin(l_linenumber * 0.7 + l_partkey % 5) * (1 + l_quantity / 100) AS lat
   FROM lineitem""",
-    "fault_segments": """SELECT o_orderkey AS fault_id, concat('fault_', cast(o_orderkey % 97 AS string)) AS name,
+    "fault_segments": """SELECT o_orderkey // 4 AS fault_id, o_orderkey % 4 AS segment_no, concat('fault_', cast(o_orderkey // 4 % 97 AS string)) AS name,
     CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Normal' WHEN '2' THEN 'Reverse' WHEN '3' THEN 'Dextral' WHEN '4' THEN 'Sinistral' ELSE NULL END AS slip_type,
-    (o_orderkey * 7919 % 35900) / 100 - 180 AS lon1, (o_orderkey * 104729 % 16900) / 100 - 85 AS lat1,
-    (o_orderkey * 7919 % 35900) / 100 - 179.5 AS lon2, (o_orderkey * 104729 % 16900) / 100 - 84.7 AS lat2
-  FROM orders WHERE o_orderkey % 10 = 0""",
-    "submissions": """SELECT c.c_custkey AS submission_id, d.text AS description, c.c_name AS source_title, c.c_mktsegment AS observed_feature,
-    substr(d.text, 1, cast(c.c_custkey * 7 % 40 AS int)) AS endogenic_alternative,
-    CASE WHEN c.c_custkey % 3 = 0 THEN '' ELSE 'https://example.org/s' END AS source_uri,
-    CASE WHEN c.c_custkey % 4 = 0 THEN NULL ELSE '30 m' END AS source_resolution,
-    c.c_custkey % 2 = 0 AS original_trace_available, c.c_custkey % 9 <> 0 AS terms_confirmed,
-    (c.c_custkey * 7919 % 37000) / 100 - 185 AS longitude, (c.c_custkey * 104729 % 17000) / 100 - 85 AS latitude,
-    CAST((c.c_custkey * 31 % 6000) AS double) AS diameter_km, c.c_custkey % 6 AS n_evidence
-  FROM customer c JOIN documents d ON d.doc_id = c.c_custkey % 997""",
+    (o_orderkey // 4 * 7919 % 35700) / 100 - 180 + o_orderkey % 4 * 0.5 AS lon1, (o_orderkey // 4 * 104729 % 16800) / 100 - 85 + o_orderkey % 4 * 0.25 AS lat1,
+    (o_orderkey // 4 * 7919 % 35700) / 100 - 179.5 + o_orderkey % 4 * 0.5 AS lon2, (o_orderkey // 4 * 104729 % 16800) / 100 - 84.75 + o_orderkey % 4 * 0.25 AS lat2
+  FROM orders""",
+    "submissions": """SELECT k AS submission_id, text AS description, coalesce(c_name, '') AS source_title, coalesce(c_mktsegment, '') AS observed_feature,
+    CASE k % 3 WHEN 0 THEN text WHEN 1 THEN lang ELSE NULL END AS endogenic_alternative,
+    CASE WHEN k % 3 = 0 THEN '' ELSE 'https://example.org/s' END AS source_uri,
+    CASE WHEN k % 4 = 0 THEN NULL ELSE '30 m' END AS source_resolution,
+    k % 2 = 0 AS original_trace_available, k % 9 <> 0 AS terms_confirmed,
+    (k * 7919 % 37000) / 100 - 185 AS longitude, (k * 104729 % 17000) / 100 - 85 AS latitude,
+    CAST((k * 31 % 6000) AS double) AS diameter_km, k % 6 AS n_evidence
+  FROM (SELECT coalesce(c.c_custkey, d.doc_id) AS k, c.c_name, c.c_mktsegment, d.text, d.lang FROM customer c FULL JOIN documents d ON d.doc_id = c.c_custkey) merged""",
     "job_events": """SELECT event_id, user_id AS job_id, ts AS event_ts,
     CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'claimed' WHEN 'view' THEN 'heartbeat'
       WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END AS event,
@@ -65,7 +65,7 @@ VIEWS: dict[str, str] = {
     300 * exp(-pow((sqrt(x * x + y * y) - 1) / 0.2, 2) / 2) + 20 * x + 10 * y AS value
   FROM (SELECT concat('arc_', lpad(cast(p_partkey AS string), 6, '0')) AS candidate_id, p_partkey AS source_index, gy AS iy, gx AS ix,
       (gx - 12) / 7 + (p_partkey % 3) / 100 AS x, (gy - 12) / 7 AS y
-    FROM part, gx_axis, gy_axis WHERE p_partkey % 20 = 0) cells""",
+    FROM part, gx_axis, gy_axis) cells""",
 }
 _SPARK_AXES = {"gx_axis": "SELECT explode(sequence(0, 24)) AS gx", "gy_axis": "SELECT explode(sequence(0, 24)) AS gy"}
 _DUCK_AXES = {"gx_axis": "SELECT unnest(range(0, 25)) AS gx", "gy_axis": "SELECT unnest(range(0, 25)) AS gy"}
