@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_KM = 6371.0088
@@ -117,3 +117,30 @@ def segments_cross(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, c
     return (turn(ax, ay, bx, by, cx, cy) * turn(ax, ay, bx, by, dx, dy) <= 0) & (
         turn(cx, cy, dx, dy, ax, ay) * turn(cx, cy, dx, dy, bx, by) <= 0
     )
+
+
+def register(spark: SparkSession) -> None:
+    """Make the library's scalar and table functions known to SQL: arc_km, arc_geodesic_km, arc_wrap_lon, arc_name_key, arc_harmonic, arc_circle, arc_tiles."""
+    from . import geodesic, text
+
+    half = "radians({b} - {a}) / 2"
+    dp, dl = half.format(a="lat1", b="lat2"), half.format(a="lon1", b="lon2")
+    root = f"pow(sin({dp}), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin({dl}), 2)"
+    create = lambda signature, body: spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
+    create("arc_km(lon1 DOUBLE, lat1 DOUBLE, lon2 DOUBLE, lat2 DOUBLE) RETURNS DOUBLE", f"{2 * EARTH_RADIUS_KM} * asin(least(1D, sqrt({root})))")
+    create("arc_wrap_lon(lon DOUBLE) RETURNS DOUBLE", "pmod(lon + 180, 360D) - 180")
+    create("arc_harmonic(xs ARRAY<DOUBLE>) RETURNS DOUBLE", """CASE WHEN exists(xs, x -> x <= 0) THEN 0D
+        WHEN size(filter(xs, x -> x > 0 AND NOT isnan(x))) > 0 THEN size(filter(xs, x -> x > 0 AND NOT isnan(x))) / aggregate(filter(xs, x -> x > 0 AND NOT isnan(x)), 0D, (s, x) -> s + 1 / least(1D, x)) END""")
+    spark.udf.register("arc_geodesic_km", geodesic.geodesic_km)
+    spark.udf.register("arc_name_fold", text._fold)
+    create("arc_name_key(name STRING) RETURNS STRING", "regexp_replace(lower(arc_name_fold(name)), '[^a-z0-9]+', '')")
+    create(
+        "arc_circle(lon DOUBLE, lat DOUBLE, diameter_km DOUBLE, steps INT) RETURNS TABLE (i INT, v_lon DOUBLE, v_lat DOUBLE)",
+        f"""SELECT i, pmod(degrees(radians(lon) + atan2(sin(b) * sin(a) * cos(radians(lat)), cos(a) - sin(radians(lat)) * sin(p))) + 180, 360D) - 180, degrees(p)
+        FROM (SELECT i, a, b, asin(sin(radians(lat)) * cos(a) + cos(radians(lat)) * sin(a) * cos(b)) AS p
+              FROM (SELECT i, diameter_km / 2 / {EARTH_RADIUS_KM} AS a, i * 2 * pi() / steps AS b FROM (SELECT explode(sequence(0, steps)) AS i)))""",
+    )
+    create(
+        "arc_tiles(west DOUBLE, south DOUBLE, east DOUBLE, north DOUBLE, tile INT) RETURNS TABLE (ty BIGINT, tx BIGINT)",
+        "SELECT ty, pmod(t, 360 div tile) FROM (SELECT explode(sequence(floor((south + 90) / tile), floor((north + 90) / tile))) AS ty) CROSS JOIN (SELECT explode(sequence(floor((west + 180) / tile), floor((east + 180) / tile))) AS t)",
+    )

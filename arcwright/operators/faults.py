@@ -15,8 +15,8 @@ LADDER = (2, 5, 10, 20, 40, 60)
 def fault_metrics(points: DataFrame, segments: DataFrame, key: str = "candidate_id", tile: int = 2) -> DataFrame:
     """Nearest fault and fault length within the radius of each point, by a search that widens until some segment's box is met.
 
-    points: key, lon, lat, radius_km; segments: fault_id, name, slip_type, lon1, lat1, lon2, lat2 (no wrap at the date line,
-    as in the search). A point and a segment meet on tiles of the step's own size (``tile`` degrees for the first), so each step is an
+    points: key, lon, lat, radius_km; segments: fault_id, segment_no, name, slip_type, lon1, lat1, lon2, lat2 (no wrap at the date line,
+    as in the search), any number of them a fault. Nearest among ties: the smallest fault_id, then segment_no. A point and a segment meet on tiles of the step's own size (``tile`` degrees for the first), so each step is an
     equi-join; points go on to the next step only while they have met nothing. No segment within the last step: coverage 0.
     """
     from .checkpoints import cut
@@ -26,19 +26,22 @@ def fault_metrics(points: DataFrame, segments: DataFrame, key: str = "candidate_
     todo, found = p, None
     for step in LADDER:
         size = float(max(tile, step))
-        cells = lambda low, high: F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
+        tile_of = lambda x: F.floor(x / size)
+        cells = lambda low, high: F.explode(F.sequence(tile_of(low), tile_of(high)))
         a = todo.withColumn("ty", cells(F.col("lat") - step, F.col("lat") + step)).withColumn("tx", cells(F.col("lon") - step, F.col("lon") + step))
         b = s.withColumn("ty", cells(F.col("s"), F.col("n"))).withColumn("tx", cells(F.col("w"), F.col("e")))
-        near = a.join(b, ["ty", "tx"]).where(
+        # a pair that meets on several tiles counts on the first tile that both have
+        first_y, first_x = tile_of(F.greatest(F.col("lat") - step, F.col("s"))), tile_of(F.greatest(F.col("lon") - step, F.col("w")))
+        near = a.join(b, ["ty", "tx"]).where((F.col("ty") == first_y) & (F.col("tx") == first_x)).where(
             (F.col("w") <= F.col("lon") + step) & (F.col("e") >= F.col("lon") - step) & (F.col("s") <= F.col("lat") + step) & (F.col("n") >= F.col("lat") - step)
         )
-        near = near.drop("ty", "tx", "w", "e", "s", "n").dropDuplicates([key, "fault_id"])
+        near = near.drop("ty", "tx", "w", "e", "s", "n")
         x1, y1 = G.azimuthal_xy_km("lon1", "lat1", "lon", "lat")
         x2, y2 = G.azimuthal_xy_km("lon2", "lat2", "lon", "lat")
         near = near.withColumns({"x1": x1, "y1": y1, "x2": x2, "y2": y2})
         km = G.origin_to_segment_km(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
         inside = G.length_in_disk_km(*[F.col(c) for c in ("x1", "y1", "x2", "y2")], F.col("radius_km"))
-        got = near.groupBy(key).agg(F.min(F.struct(km.alias("km"), "fault_id", "name", "slip_type")).alias("b"), F.sum(inside).alias("length"))
+        got = near.groupBy(key).agg(F.min(F.struct(km.alias("km"), "fault_id", "segment_no", "name", "slip_type")).alias("b"), F.sum(inside).alias("length"))
         now = cut(todo.join(got, key, "left"))
         part = now.where("b IS NOT NULL").select(
             key, F.lit(1).alias("active_fault_coverage"), F.col("b.km").alias("nearest_active_fault_km"), F.col("b.name").alias("nearest_active_fault_name"),

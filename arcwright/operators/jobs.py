@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import latest_per_parent
+
 # Evidence types that count, states of jobs, allowed image types, artifact limits.
 EVIDENCE = ("gravity", "magnetic", "geology", "seismic", "field", "petrography", "geochemistry")
 TERMINAL = ("succeeded", "failed", "cancelled")
@@ -56,42 +58,59 @@ def score_submissions(submissions: DataFrame, study: DataFrame, **limits) -> Dat
     return rows.withColumns(intake_checks(**limits))
 
 
-def job_states(events: DataFrame, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
-    """(job_id, status, attempt_count, worker_id, lease_expires_at, rejected) after all events, in order of event_ts, then event_id.
-
-    queued makes a job claimable; claimed takes it if it is queued or its lease has run out (else rejected), for one more attempt;
-    heartbeat extends the lease of a claimed or running job for its own worker (else rejected); succeeded and failed end any job that
-    isn't cancelled; cancelled ends it. A fold over each job's ordered events: a job has few.
-    """
-    e = events.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(F.col("event_ts").cast("timestamp").alias("event_ts"), "event_id", "event", "worker_id"))).alias("es"))
+def _folded(events: DataFrame, lease_seconds: int) -> DataFrame:
+    """(job_id, segment, s): state after each stretch of a job's events that begins when it is queued; s: status, attempts, worker, lease, refused (event ids)."""
+    order = Window.partitionBy("job_id").orderBy(F.col("event_ts").cast("timestamp"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    cut_up = events.withColumn("segment", F.sum((F.col("event") == "queued").cast("long")).over(order))
+    each = F.struct(F.col("event_ts").cast("timestamp").alias("event_ts"), "event_id", "event", "worker_id")
+    e = cut_up.groupBy("job_id", "segment").agg(F.array_sort(F.collect_list(each)).alias("es"))
+    id_type = events.schema["event_id"].dataType.simpleString()
     start = F.struct(
         F.lit(None).cast("string").alias("status"), F.lit(0).cast("long").alias("attempts"), F.lit(None).cast("string").alias("worker"),
-        F.lit(None).cast("timestamp").alias("lease"), F.lit(0).cast("long").alias("rejected"),
+        F.lit(None).cast("timestamp").alias("lease"), F.array().cast(f"array<{id_type}>").alias("refused"),
     )
 
     def step(s: Column, x: Column) -> Column:
         until = F.timestamp_seconds(F.unix_micros(x["event_ts"]) / 1_000_000 + lease_seconds)
         none = F.lit(None).cast("timestamp")
-        held = s["status"].isin("claimed", "running")
-        claimable = F.coalesce((s["status"] == "queued") | (held & (s["lease"] < x["event_ts"])), F.lit(False))
-        mine = F.coalesce(held & (s["worker"] == x["worker_id"]), F.lit(False))
-        state = lambda status, attempts, worker, lease, rejected: F.struct(
-            status.alias("status"), attempts.alias("attempts"), worker.alias("worker"), lease.alias("lease"), rejected.alias("rejected")
+        active = s["status"].isin(*ACTIVE)
+        claimable = F.coalesce((s["status"] == "queued") | (active & (s["lease"] < x["event_ts"])), F.lit(False))
+        other = F.coalesce(s["worker"] != x["worker_id"], F.lit(False)) & F.coalesce(x["worker_id"] != "", F.lit(False))
+        beats = F.coalesce(active, F.lit(False)) & ~other
+        state = lambda status, attempts, worker, lease, refused: F.struct(
+            status.alias("status"), attempts.alias("attempts"), worker.alias("worker"), lease.alias("lease"), refused.alias("refused")
         )
-        refuse = state(s["status"], s["attempts"], s["worker"], s["lease"], s["rejected"] + 1)
         open_ = F.coalesce(s["status"] != "cancelled", F.lit(True))
         return (
-            F.when((x["event"] == "queued"), state(F.lit("queued"), s["attempts"], F.lit(None).cast("string"), none, s["rejected"]))
-            .when((x["event"] == "claimed") & claimable, state(F.lit("claimed"), s["attempts"] + 1, x["worker_id"], until, s["rejected"]))
-            .when((x["event"] == "heartbeat") & mine, state(F.lit("running"), s["attempts"], s["worker"], until, s["rejected"]))
-            .when(x["event"].isin("succeeded", "failed") & open_, state(x["event"], s["attempts"], s["worker"], none, s["rejected"]))
-            .when((x["event"] == "cancelled"), state(F.lit("cancelled"), s["attempts"], s["worker"], none, s["rejected"]))
-            .otherwise(refuse)
+            F.when((x["event"] == "queued"), state(F.lit("queued"), s["attempts"], F.lit(None).cast("string"), none, s["refused"]))
+            .when((x["event"] == "claimed") & claimable, state(F.lit("claimed"), s["attempts"] + 1, x["worker_id"], until, s["refused"]))
+            .when((x["event"] == "heartbeat") & beats, state(F.lit("running"), s["attempts"], s["worker"], until, s["refused"]))
+            .when(x["event"].isin("succeeded", "failed") & open_, state(x["event"], s["attempts"], s["worker"], none, s["refused"]))
+            .when((x["event"] == "cancelled"), state(F.lit("cancelled"), s["attempts"], s["worker"], none, s["refused"]))
+            .otherwise(state(s["status"], s["attempts"], s["worker"], s["lease"], F.array_append(s["refused"], x["event_id"])))
         )
 
-    s = F.aggregate("es", start, step)
-    out = e.select("job_id", s.alias("s"))
-    return out.select("job_id", "s.status", F.col("s.attempts").alias("attempt_count"), F.col("s.worker").alias("worker_id"), F.col("s.lease").alias("lease_expires_at"), "s.rejected")
+    return e.select("job_id", "segment", F.aggregate("es", start, step).alias("s"))
+
+
+def job_states(events: DataFrame, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
+    """(job_id, status, attempt_count, worker_id, lease_expires_at, rejected) after all events, in order of event_ts, then event_id.
+
+    queued makes a job claimable; claimed takes it if it is queued or its lease has run out (else rejected), for one more attempt;
+    heartbeat makes a job that hasn't ended run and extends its lease, unless another worker holds it (else rejected);
+    succeeded and failed end any job that isn't cancelled; cancelled ends it. Events are folded between one queued event and the
+    next, which starts afresh, so no row holds all events of a job that is queued again and again.
+    """
+    out = _folded(events, lease_seconds).groupBy("job_id").agg(
+        F.max_by("s", "segment").alias("s"), F.sum("s.attempts").alias("attempt_count"), F.sum(F.size("s.refused")).cast("long").alias("rejected")
+    )
+    return out.select("job_id", "s.status", "attempt_count", F.col("s.worker").alias("worker_id"), F.col("s.lease").alias("lease_expires_at"), "rejected")
+
+
+def rejected_events(events: DataFrame, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
+    """The events that their job's state refused, as they came: the side table of ``job_states``."""
+    refused = _folded(events, lease_seconds).select(F.explode("s.refused").alias("event_id"))
+    return events.join(refused, "event_id", "left_semi")
 
 
 def claimable(jobs: DataFrame, now: Column) -> DataFrame:
@@ -104,6 +123,11 @@ def queue_page(jobs: DataFrame, limit: int, now: Column) -> DataFrame:
     return claimable(jobs, now).orderBy(F.desc("priority"), "created_at", "job_id").limit(min(max(limit, 1), 100))
 
 
+def allowed_requests(requests: DataFrame) -> DataFrame:
+    """Requests whose candidate passed the baseline check, and forced ones. Needs baseline_passed and forced (missing: no)."""
+    return requests.where(F.coalesce("baseline_passed", F.lit(False)) | F.coalesce("forced", F.lit(False)))
+
+
 def superseded(requests: DataFrame) -> DataFrame:
     """Enqueue requests with status: a later request for the same candidate cancels an active one. Needs candidate_id, requested_at, request_id, status."""
     later = F.lead("request_id").over(Window.partitionBy("candidate_id").orderBy("requested_at", "request_id"))
@@ -116,9 +140,80 @@ def review_log(changes: DataFrame) -> DataFrame:
     return changes.withColumn("from_status", F.lag("status").over(order)).withColumn("is_current", F.lead("change_id").over(order).isNull())
 
 
+# Texts of a result and how many characters of each are kept, and its states.
+RESULT_TEXTS = {"review_tier": 80, "method_version": 120, "worker_id": 120, "worker_version": 120}
+RESULT_STATES = ("succeeded", "failed", "source_unavailable")
+RESULT_OBJECTS = ("metrics", "diagnostics", "source_fingerprints")
+FIGURES = ("elevation_diagnostic", "diagnostic_png", "diagnostic_figure")
+_ARTIFACTS = "array<struct<kind: string, title: string, mime_type: string, content_base64: string, url_or_path: string>>"
+
+
+def parse_results(payloads: DataFrame) -> DataFrame:
+    """(job_id, status, score, score_percentile, runtime_seconds, texts, objects, artifacts, error) of JSON results; needs job_id, received_at, payload.
+
+    Texts are cut to their columns' widths. metrics, diagnostics and source_fingerprints that aren't objects become empty ones, artifacts
+    that are no list an empty list. error: ``payload`` where the payload is no JSON object, ``status`` where its status isn't known.
+    """
+    v = payloads.withColumn("_v", F.try_parse_json("payload"))
+    kind = lambda path: F.schema_of_variant(F.try_variant_get("_v", path, "variant"))
+    get = lambda name, t: F.try_variant_get("_v", f"$.{name}", t)
+    whole = F.coalesce(kind("$").startswith("OBJECT"), F.lit(False))
+    status = F.trim(F.coalesce(get("status", "string"), F.lit("")))
+    objects = [F.when(kind(f"$.{n}").startswith("OBJECT"), F.to_json(get(n, "variant"))).otherwise("{}").alias(n) for n in RESULT_OBJECTS]
+    listed = F.when(kind("$.artifacts").startswith("ARRAY"), F.from_json(F.to_json(get("artifacts", "variant")), _ARTIFACTS))
+    return v.select(
+        "job_id", "received_at", status.alias("status"), *[get(n, "double").alias(n) for n in ("score", "score_percentile", "runtime_seconds")],
+        *[F.substring(F.coalesce(get(n, "string"), F.lit("")), 1, width).alias(n) for n, width in RESULT_TEXTS.items()], *objects,
+        F.coalesce(F.filter(listed, lambda a: a.isNotNull()), F.array().cast(_ARTIFACTS)).alias("artifacts"),
+        F.when(~whole, "payload").when(~status.isin(*RESULT_STATES), "status").alias("error"),
+    )
+
+
+def apply_results(candidates: DataFrame, results: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Candidates with followup_status, followup_score, method_version and diagnostic_figure_url of their latest valid result, as they were without one.
+
+    candidates: candidate_id, job_id, job_status and these columns; results: see ``parse_results``; artifacts: see ``decode_artifacts``. Results of
+    cancelled jobs and with an error count for nothing. A result that didn't succeed changes the status alone.
+    """
+    good = results.where("error IS NULL").groupBy("job_id").agg(F.max(F.struct("received_at", "status", "score", "method_version")).alias("_r"))
+    figure = artifacts.where(F.col("kind").isin(*FIGURES) & F.col("error").isNull()).groupBy("job_id").agg(F.min_by("url", "nth").alias("_figure"))
+    rows = candidates.join(good, "job_id", "left").join(figure, "job_id", "left")
+    new = F.col("_r").isNotNull() & F.coalesce(F.col("job_status") != "cancelled", F.lit(True))
+    done = new & F.coalesce(F.col("_r.status") == "succeeded", F.lit(False))
+    said = F.when(F.col("_r.status") == "succeeded", "scored").otherwise(F.col("_r.status"))
+    return rows.withColumns(
+        {
+            "followup_status": F.when(new, said).otherwise(F.col("followup_status")), "followup_score": F.when(done, F.col("_r.score")).otherwise(F.col("followup_score")),
+            "method_version": F.when(done, F.col("_r.method_version")).otherwise(F.col("method_version")),
+            "diagnostic_figure_url": F.when(done, F.coalesce("_figure", F.lit(""))).otherwise(F.col("diagnostic_figure_url")),
+        }
+    ).drop("_r", "_figure")
+
+
+def job_feed(jobs: DataFrame, candidates: DataFrame, limit: int, now: Column) -> DataFrame:
+    """The first claimable jobs with their candidate as a struct, by priority, then age. See ``queue_page``."""
+    nested = candidates.select("candidate_id", F.struct(*[candidates[c] for c in candidates.columns]).alias("candidate"))
+    page = queue_page(jobs, limit, now)
+    return page.join(nested, "candidate_id", "left").orderBy(F.desc("priority"), "created_at", "job_id")
+
+
+def jobs_to_backfill(candidates: DataFrame, jobs: DataFrame, status: str = "source_unavailable") -> DataFrame:
+    """Candidates of a status that have no job which is queued, claimed or running."""
+    live = jobs.where(F.col("status").isin(*ACTIVE)).select("candidate_id")
+    return candidates.where(F.col("followup_status") == status).join(live, "candidate_id", "left_anti")
+
+
+def recent_of_owners(candidates: DataFrame, jobs: DataFrame, keep: int = 6) -> DataFrame:
+    """Each owner's latest candidates (created_at, then id downwards) with the latest job of each."""
+    recent = latest_per_parent(candidates, "owner", [F.desc("created_at"), F.desc("candidate_id")], keep)
+    last = jobs.groupBy("candidate_id").agg(F.max(F.struct("created_at", "job_id", "status")).alias("_j"))
+    return recent.join(last, "candidate_id", "left").select(*recent.columns, F.col("_j.job_id").alias("latest_job_id"), F.col("_j.status").alias("latest_job_status"))
+
+
 def decode_artifacts(results: DataFrame) -> DataFrame:
-    """(job_id, nth, kind, mime_type, sha256, size_bytes, error) of each result's first 25 artifacts; needs artifacts: array of
-    (kind, title, mime_type, content_base64, url_or_path). Artifacts without content and path are left out."""
+    """(job_id, nth, kind, mime_type, sha256, size_bytes, error, url) of each result's first 25 artifacts; needs artifacts: array of
+    (kind, title, mime_type, content_base64, url_or_path). Artifacts without content and path are left out. url: the path, or
+    ``artifact/`` and the hash of an embedded content."""
     a = results.select("job_id", F.posexplode(F.slice("artifacts", 1, MOST_ARTIFACTS)).alias("nth", "a"))
     has = F.coalesce(F.col("a.content_base64") != "", F.lit(False))
     content = F.expr("try_to_binary(a.content_base64, 'base64')")
@@ -127,7 +222,8 @@ def decode_artifacts(results: DataFrame) -> DataFrame:
     error = (
         F.when(F.col("_has") & ~F.col("_mime").isin(*IMAGE_TYPES), "mime_type").when(F.col("_has") & F.col("_content").isNull(), "base64").when(F.octet_length("_content") > MOST_BYTES, "too large")
     )
-    return a.select("job_id", "nth", F.substring("a.kind", 1, 80).alias("kind"), F.col("_mime").alias("mime_type"), F.sha2("_content", 256).alias("sha256"), F.octet_length("_content").cast("long").alias("size_bytes"), error.alias("error"))
+    return a.select("job_id", "nth", F.substring("a.kind", 1, 80).alias("kind"), F.col("_mime").alias("mime_type"), F.sha2("_content", 256).alias("sha256"), F.octet_length("_content").cast("long").alias("size_bytes"), error.alias("error"),
+        F.when(F.col("_has"), F.concat(F.lit("artifact/"), F.sha2("_content", 256))).otherwise(F.substring("a.url_or_path", 1, 1000)).alias("url"))
 
 
 def status_dashboard(df: DataFrame, status: str, values: tuple[str, ...], *groups: str) -> DataFrame:

@@ -23,7 +23,7 @@ def range_cuts(df: DataFrame, value: str, ranges: int = RANGES) -> list[float]:
     return sorted(set(got or []))
 
 
-def _range_of(value: Column, cuts: list[float]) -> Column:
+def range_of(value: Column, cuts: list[float]) -> Column:
     """How many cuts lie below the value: the same for equal values."""
     if not cuts:
         return F.lit(0)
@@ -37,7 +37,7 @@ def ranks_within(df: DataFrame, groups: list[str], value: str, ranges: int = RAN
     """
     v = F.col(value).cast("double")
     rows = df.withColumn("_v", v).where(v.isNotNull() & ~F.isnan(v))
-    rows = rows.withColumn("_r", _range_of(F.col("_v"), range_cuts(rows, "_v", ranges)))
+    rows = rows.withColumn("_r", range_of(F.col("_v"), range_cuts(rows, "_v", ranges)))
     part = Window.partitionBy(*groups) if groups else Window.partitionBy()
     starts = rows.groupBy(*groups, "_r").agg(F.count(F.lit(1)).alias("_k")).select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)],
@@ -76,7 +76,7 @@ def number_rows(
     r = df.withColumn("_v", F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double")))
     r = r.withColumn("_v", -F.col("_v") if descending else F.col("_v"))
     cuts = range_cuts(r, "_v", ranges) if cuts is None else cuts
-    r = r.withColumn("_range", F.when(F.col("_v").isNull(), F.lit(len(cuts) + 1)).otherwise(_range_of(F.col("_v"), cuts)))
+    r = r.withColumn("_range", F.when(F.col("_v").isNull(), F.lit(len(cuts) + 1)).otherwise(range_of(F.col("_v"), cuts)))
     counts = r.groupBy("_range").agg(F.count(F.lit(1)).alias("_k"))
     starts = counts.withColumn("_below", F.sum("_k").over(Window.orderBy("_range")) - F.col("_k")).select(F.col("_range").alias("_r"), "_below")
     own = Window.partitionBy("_range").orderBy(F.col("_v").asc_nulls_last(), *then)
@@ -84,6 +84,45 @@ def number_rows(
     return numbered.select(*df.columns, (F.col("_below") + F.col("_at")).cast("long").alias(out))
 
 
+def running_sums(df: DataFrame, value: str, sums: dict[str, Column], groups: list[str] | None = None, descending: bool = False, ranges: int = RANGES) -> DataFrame:
+    """Add for each name in ``sums`` the sum of its column over the group's rows up to the row's value (from it on where descending), ties included.
+
+    Rows are summed within ranges of the value; what lies in other ranges is added from a small table. The value must be there.
+    """
+    groups = groups or []
+    r = df.withColumn("_r", range_of(F.col(value), range_cuts(df, value, ranges)))
+    r = r.withColumn("_r", -F.col("_r")) if descending else r
+    for i, (name, column) in enumerate(sums.items()):
+        r = r.withColumn(f"_c{i}", column)
+    n = range(len(sums))
+    part = Window.partitionBy(*groups) if groups else Window.partitionBy()
+    totals = r.groupBy(*groups, "_r").agg(*[F.sum(f"_c{i}").alias(f"_t{i}") for i in n])
+    starts = totals.select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_r").alias("_q"),
+        *[(F.sum(f"_t{i}").over(part.orderBy("_r")) - F.col(f"_t{i}")).alias(f"_b{i}") for i in n],
+    )
+    own = Window.partitionBy(*groups, "_r").orderBy(F.desc(value) if descending else F.asc(value))
+    for i in n:
+        r = r.withColumn(f"_u{i}", F.sum(f"_c{i}").over(own))
+    match = r["_r"] == starts["_q"]
+    for i, g in enumerate(groups):
+        match = match & r[g].eqNullSafe(starts[f"_g{i}"])
+    return r.join(starts, match).select(*df.columns, *[(F.col(f"_b{i}") + F.col(f"_u{i}")).alias(name) for i, name in enumerate(sums)])
+
+
+def number_rows_within(df: DataFrame, groups: list[str], value: str, then: list[str], out: str, ranges: int = RANGES) -> DataFrame:
+    """Add ``out``: the rows of each group numbered from 1 by value (a number that is there), then by ``then``."""
+    r = df.withColumn("_range", range_of(F.col(value), range_cuts(df, value, ranges)))
+    counts = r.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_k"))
+    below = F.sum("_k").over(Window.partitionBy(*groups).orderBy("_range")) - F.col("_k")
+    starts = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_range").alias("_q"), below.alias("_below"))
+    numbered = r.withColumn("_at", F.row_number().over(Window.partitionBy(*groups, "_range").orderBy(value, *then)))
+    match = numbered["_range"] == starts["_q"]
+    for i, g in enumerate(groups):
+        match = match & numbered[g].eqNullSafe(starts[f"_g{i}"])
+    return numbered.join(starts, match).select(*df.columns, (F.col("_below") + F.col("_at")).cast("long").alias(out))
+
+
 def exact_quantiles(df: DataFrame, value: str, at: list[float], ranges: int = 64) -> list[float]:
     """Linear-interpolated quantiles. Only the ranges that hold a wanted position are sorted.
 
@@ -92,7 +131,7 @@ def exact_quantiles(df: DataFrame, value: str, at: list[float], ranges: int = 64
     v = F.col(value).cast("double")
     values = df.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
     cuts = range_cuts(values, "v", ranges)
-    placed = values.withColumn("r", _range_of(F.col("v"), cuts))
+    placed = values.withColumn("r", range_of(F.col("v"), cuts))
     counts = {row["r"]: row["count"] for row in placed.groupBy("r").count().collect()}  # at most ``ranges`` rows
     n = sum(counts.values())
     if not n:
@@ -143,9 +182,12 @@ def ecdf_percentile(df: DataFrame, reference: DataFrame, groups: list[str], valu
 
     def cumulative(keys: list[str]) -> DataFrame:
         counts = reference.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("k"))
-        upto = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(value)
-        whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
-        return counts.withColumn("upto", F.sum("k").over(upto)).withColumn("all", F.sum("k").over(whole))
+        totals = counts.groupBy(*keys).agg(F.sum("k").alias("all")).select(*[F.col(k).alias(f"_t_{k}") for k in keys], "all")
+        match = F.lit(True)
+        for k in keys:
+            match = match & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+        upto = running_sums(counts, value, {"upto": F.col("k")}, keys)
+        return upto.join(totals, match) if keys else upto.crossJoin(F.broadcast(totals))  # one row
 
     def share(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
         # rows and reference values in one order; the last reference count before a row is its count
@@ -165,6 +207,7 @@ def ecdf_percentile(df: DataFrame, reference: DataFrame, groups: list[str], valu
     return rows.withColumn(out, F.when(F.col(value).isNotNull(), F.coalesce("_own", "_any"))).drop("_own", "_any")
 
 
-def latest_per_parent(df: DataFrame, parent: str, order: list[Column]) -> DataFrame:
-    """The first row of each parent in the given order, by a partial aggregate."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(parent).orderBy(*order))).where("_n = 1").drop("_n")
+def latest_per_parent(df: DataFrame, parent: str, order: list[Column], keep: int = 1) -> DataFrame:
+    """The first rows of each parent in the given order, one unless ``keep`` says more, with their place as ``nth``."""
+    nth = F.row_number().over(Window.partitionBy(parent).orderBy(*order))
+    return df.withColumn("nth", nth).where(F.col("nth") <= keep)  # Spark drops the others before rows move

@@ -37,10 +37,10 @@ def record_search(df: DataFrame, term: str) -> DataFrame:
     return df.where(F.lower(F.to_json(F.struct(*df.columns))).contains(term.lower()))
 
 
-def visible_to(df: DataFrame, owner: str | None, public: tuple[str, ...]) -> DataFrame:
-    """Public rows, and the owner's own."""
-    rule = F.col("status").isin(*public)
-    return df.where(rule | (F.col("owner") == owner)) if owner else df.where(rule)
+def visible_to(df: DataFrame, owner: str | None, public: tuple[str, ...], scope: str = "all") -> DataFrame:
+    """Rows that an owner may see: ``all`` (public ones and the owner's own), ``own``, or ``others`` (public ones of others)."""
+    shown, mine = F.col("status").isin(*public), F.lit(False) if owner is None else F.coalesce(F.col("owner") == owner, F.lit(False))
+    return df.where({"all": shown | mine, "own": mine, "others": shown & ~mine}[scope])
 
 
 def without_duplicates(records: DataFrame, exclusions: DataFrame) -> DataFrame:
@@ -86,12 +86,18 @@ def assert_one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return j.withColumn("ok", (F.col("left_only") == 0) & (F.col("right_only") == 0) & (F.col("repeated") == 0))
 
 
-def field_dictionary(df: DataFrame) -> DataFrame:
-    """(field, type, nullable, n): the kind, whether values are missing, and how many there are, in one pass."""
+def field_dictionary(df: DataFrame, categories: dict[str, str] | None = None, descriptions: dict[str, str] | None = None) -> DataFrame:
+    """(field, type, nullable, n[, category, description]): the kind, whether values are missing, and how many there are, in one pass.
+
+    categories: prefix -> category, the first that fits, else ``other``; both columns are there only if given.
+    """
     kinds = {"string": "string", "boolean": "boolean", "double": "number", "float": "number"}
     kind = lambda t: kinds.get(t, "integer" if t in ("int", "bigint", "smallint", "tinyint") else "object")
+    more = lambda c: [] if categories is None else [
+        F.lit(next((k for p, k in categories.items() if c.startswith(p)), "other")).alias("category"), F.lit((descriptions or {}).get(c, "")).alias("description")
+    ]
     counts = df.agg(F.count(F.lit(1)).alias("_all"), *[F.count(c).alias(c) for c in df.columns])
-    rows = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(kind(t)).alias("type"), (F.col(c) < F.col("_all")).alias("nullable"), F.col(c).alias("n")) for c, t in df.dtypes])
+    rows = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(kind(t)).alias("type"), (F.col(c) < F.col("_all")).alias("nullable"), F.col(c).alias("n"), *more(c)) for c, t in df.dtypes])
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
@@ -118,3 +124,52 @@ def compare_planetary(families: DataFrame, planetary: DataFrame) -> DataFrame:
     )
     other = planetary.withColumn("comparison_interpretation", F.lit("geometric comparison only; size similarity does not imply common origin"))
     return other.unionByName(earth, allowMissingColumns=True)
+
+
+def group_sizes(df: DataFrame, *columns: str) -> DataFrame:
+    """(columns..., n): the number of rows of each group; nulls are a group."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows in which none of the columns is null or NaN."""
+    return df.dropna(subset=columns)
+
+
+def colour_domain(df: DataFrame, value: str) -> DataFrame:
+    """One row (low, high): the ends of a field's colour scale over the visible rows; see ``scoring.colour_position``."""
+    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    return df.agg(F.min(v).alias("low"), F.max(v).alias("high"))
+
+
+def first_families(members: DataFrame, family: str, order: str, n: int) -> DataFrame:
+    """The members of the first n families, in the order in which their first members come."""
+    first = members.groupBy(family).agg(F.min(order).alias("_first")).orderBy("_first", family).limit(n)
+    return members.join(first.select(family), family, "left_semi")
+
+
+def with_mandatory_control(controls: DataFrame, candidates: DataFrame, candidate_id: str, control_class: str) -> DataFrame:
+    """The controls and, as one more, the candidate of this id."""
+    fields = {"negative_control_id": F.concat(F.lit("control_"), F.col("candidate_id")), "negative_control_class": F.lit(control_class), "known_endogenic_negative_control": F.lit(True)}
+    chosen = candidates.where(F.col("candidate_id") == candidate_id).withColumns(fields)
+    return controls.unionByName(chosen.select(*[c for c in chosen.columns if c in controls.columns]), allowMissingColumns=True)
+
+
+def catalogue_projection(records: DataFrame) -> DataFrame:
+    """(record_id, name, lon, lat, diameter_km, eid_match, source): a repaired catalogue's records that count, with plain types."""
+    shown = F.coalesce(F.nullif("display_name", F.lit("")), "name")
+    match = F.coalesce(F.col("earth_impact_database_match").cast("boolean"), F.lit(False))
+    rows = records.where(F.coalesce("analytical_include", F.lit(True)))
+    return rows.select("record_id", shown.alias("name"), F.col("center_lon").cast("double").alias("lon"), F.col("center_lat").cast("double").alias("lat"), F.col("diameter_km").cast("double").alias("diameter_km"), match.alias("eid_match"), "source")
+
+
+def with_figures(rows: DataFrame, figures: DataFrame) -> DataFrame:
+    """Rows with figure_id and figure_title where their candidate has a figure, of several the smallest id; has_figure tells which."""
+    one = figures.groupBy("candidate_id").agg(F.min(F.struct("figure_id", "figure_title")).alias("_f"))
+    return rows.join(one, "candidate_id", "left").select(*rows.columns, F.col("_f.figure_id").alias("figure_id"), F.col("_f.figure_title").alias("figure_title"), F.col("_f").isNotNull().alias("has_figure"))
+
+
+def planetary_rings(rows: DataFrame) -> DataFrame:
+    """Ring sets with ring_ratios (neighbours of the sorted diameters) and number_of_nested_rings; needs ring_diameters_km."""
+    rings = F.array_sort(F.filter("ring_diameters_km", lambda x: x.isNotNull() & (x > 0)))
+    return rows.withColumns({"ring_ratios": ratios(F.col("ring_diameters_km")), "number_of_nested_rings": F.coalesce(F.size(rings), F.lit(0))})

@@ -7,13 +7,12 @@ join and two aggregates, the same on every run and cluster. Permutation p-values
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import wrap_lon
-from .ranking import ranks_within
+from .checkpoints import cut
+from .ranking import number_rows_within, range_cuts, range_of, ranks_within, running_sums
 from .spatial import nearest_neighbour
 
 
@@ -34,19 +33,22 @@ def value_counts(df: DataFrame, value: str, *groups: str) -> DataFrame:
 
 
 def power_law_tail(df: DataFrame, value: str, min_tail: int = 25) -> DataFrame:
-    """One row (xmin, alpha_pdf, n, ks): the tail whose Pareto fit has the smallest KS distance.
+    """One row (xmin, alpha_pdf, n, ks): the tail whose Pareto fit has the smallest KS distance, the smaller xmin among ties.
 
     Each distinct value with at least ``min_tail`` values from it on, not all equal, is tried: alpha = 1 + n / sum(ln(x / xmin)).
-    Values are summed by distinct value first; the work is quadratic in the number of distinct values. No tail: no row.
+    Values are summed by distinct value first. Tails and ranges of values meet by range, so a task holds one range of each;
+    the comparisons are as many as pairs of a tail and a distinct value in it. No tail: no row.
     """
     c = value_counts(df, value).where("v > 0")
-    down = Window.orderBy(F.desc("v"))  # one row a distinct value
-    tails = c.withColumn("n", F.sum("k").over(down)).withColumn("s", F.sum(F.col("k") * F.log("v")).over(down)).withColumn("top", F.max("v").over(Window.partitionBy()))
-    tails = tails.where((F.col("n") >= min_tail) & (F.col("v") < F.col("top")))
+    sums = cut(running_sums(c, "v", {"n": F.col("k"), "s": F.col("k") * F.log("v")}, descending=True))
+    top = sums.agg(F.max("v").alias("top")).first()["top"]
+    cuts = range_cuts(sums, "v")
+    tails = sums.where((F.col("n") >= min_tail) & (F.col("v") < F.lit(top)))
     tails = tails.select(F.col("v").alias("xmin"), "n", (1 + F.col("n") / (F.col("s") - F.col("n") * F.log("v"))).alias("alpha_pdf"))
     # a value's rank within a tail follows from its rank among all
-    ranked = c.select("v", "k", (F.sum("k").over(down) - F.col("k")).alias("above"))
-    pairs = tails.join(ranked, F.col("v") >= F.col("xmin"))
+    ranked = sums.select("v", "k", (F.col("n") - F.col("k")).alias("above"), range_of(F.col("v"), cuts).alias("_range"))
+    each = tails.withColumn("_range", F.explode(F.sequence(range_of(F.col("xmin"), cuts), F.lit(len(cuts)))))
+    pairs = each.join(ranked, "_range").where(F.col("v") >= F.col("xmin"))
     model = 1 - F.pow(F.col("v") / F.col("xmin"), 1 - F.col("alpha_pdf"))
     last = (F.col("n") - F.col("above")) / F.col("n")
     first = (F.col("n") - F.col("above") - F.col("k") + 1) / F.col("n")
@@ -55,45 +57,81 @@ def power_law_tail(df: DataFrame, value: str, min_tail: int = 25) -> DataFrame:
     return best.where("b IS NOT NULL").select("b.xmin", "b.alpha_pdf", "b.n", "b.ks")
 
 
+def _largest_gap(counts: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups..., ks) from (groups..., v, kx, ky): both samples' numbers at each value."""
+    both = running_sums(counts, "v", {"ux": F.col("kx"), "uy": F.col("ky")}, groups)
+    # the sums at the largest value are the samples' sizes
+    out = both.groupBy(*groups).agg(F.max("ux").alias("_nx"), F.max("uy").alias("_ny"))
+    match = F.lit(True)
+    for i, g in enumerate(groups):
+        out = out.withColumnRenamed(g, f"_g{i}")
+        match = match & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    joined = both.join(out, match) if groups else both.crossJoin(F.broadcast(out))  # one row
+    return joined.groupBy(*groups).agg(F.max(F.abs(F.col("ux") / F.col("_nx") - F.col("uy") / F.col("_ny"))).alias("ks"))
+
+
+def _counts_of_both(x: DataFrame, y: DataFrame, groups: list[str]) -> DataFrame:
+    both = x.withColumn("j", F.lit(0)).unionByName(y.withColumn("j", F.lit(1)))
+    own = lambda j: F.sum(F.when(F.col("j") == j, F.col("k")).otherwise(0))
+    return both.groupBy(*groups, "v").agg(own(0).alias("kx"), own(1).alias("ky"))
+
+
 def ks_two_sample(x: DataFrame, y: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
     """(groups..., ks): the largest gap between two samples' distribution functions, by group."""
     groups = groups or []
-    both = value_counts(x, value, *groups).withColumn("j", F.lit(0)).unionByName(value_counts(y, value, *groups).withColumn("j", F.lit(1)))
-    c = both.groupBy(*groups, "v").agg(F.sum(F.when(F.col("j") == 0, F.col("k")).otherwise(0)).alias("kx"), F.sum(F.when(F.col("j") == 1, F.col("k")).otherwise(0)).alias("ky"))
-    part = Window.partitionBy(*groups) if groups else Window.partitionBy()
-    upto = part.orderBy("v")
-    gap = F.abs(F.sum("kx").over(upto) / F.sum("kx").over(part) - F.sum("ky").over(upto) / F.sum("ky").over(part))
-    return c.select(*groups, gap.alias("gap")).groupBy(*groups).agg(F.max("gap").alias("ks"))
+    return _largest_gap(_counts_of_both(value_counts(x, value, *groups), value_counts(y, value, *groups), groups), groups)
+
+
+def _log_counts(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
+    return value_counts(df.select(*groups, F.log(F.col(value).cast("double")).alias("l")).where("l IS NOT NULL"), "l", *groups)
+
+
+def _best_shifts(cx: DataFrame, cy: DataFrame, group: str, steps: int, rounds: int) -> DataFrame:
+    """(group, shift, ks): for each group the shift of y's logarithms with the smallest KS distance; cx, cy: (group, v, k)."""
+    middle = lambda c, out: c.groupBy(group).agg(F.percentile("v", F.lit(0.5), F.col("k")).alias(out))
+    at = middle(cx, "a").join(middle(cy, "b"), group).select(group, (F.col("a") - F.col("b")).alias("mid"))
+    half = 5.0
+    for _ in range(rounds):
+        tries = cut(at.select(group, "mid", F.explode(F.array(*[F.lit(half * (2 * i / steps - 1)) for i in range(steps + 1)])).alias("by")).withColumn("shift", F.col("mid") + F.col("by")))
+        moved = lambda c: c.join(tries.select(group, "shift"), group)
+        counts = _counts_of_both(moved(cx).select(group, "shift", "v", "k"), moved(cy).select(group, "shift", (F.col("v") + F.col("shift")).alias("v"), "k"), [group, "shift"])
+        found = _largest_gap(cut(counts), [group, "shift"])
+        best = cut(found.groupBy(group).agg(F.min(F.struct("ks", "shift")).alias("b")).select(group, F.col("b.shift").alias("mid"), "b.ks"))
+        at, half = best.select(group, "mid"), half * 2 / steps
+    return best.select(group, F.col("mid").alias("shift"), "ks")
 
 
 def ks_scaled(x: DataFrame, y: DataFrame, value: str, steps: int = 40, rounds: int = 3) -> DataFrame:
     """One row (scale, ks): the factor on y that minimizes the KS distance, by a grid of log shifts, refined ``rounds`` times.
 
-    The grid covers e**-5 to e**5 about the ratio of medians; ties go to the smallest shift.
+    The grid covers e**-5 to e**5 about the ratio of medians; ties go to the smallest shift. A sample without values: no row.
     """
-    lx, ly = (d.select(F.log(F.col(value).cast("double")).alias("l")).where("l IS NOT NULL") for d in (x, y))
-    mid = lx.agg(F.median("l").alias("a")).crossJoin(ly.agg(F.median("l").alias("b"))).select((F.col("a") - F.col("b")).alias("c")).first()["c"]
-    if mid is None:
-        return x.sparkSession.createDataFrame([], "scale double, ks double")
-    half, best = 5.0, None
-    cx, cy = value_counts(lx, "l"), value_counts(ly, "l")
-    for _ in range(rounds):
-        shifts = [mid + half * (2 * i / steps - 1) for i in range(steps + 1)]
-        grid = F.explode(F.array(*map(F.lit, shifts))).alias("shift")
-        own = cx.select("v", "k", grid, F.lit(0).alias("j"))
-        other = cy.select("v", "k", grid, F.lit(1).alias("j")).withColumn("v", F.col("v") + F.col("shift"))
-        both = own.unionByName(other).groupBy("shift", "v").agg(F.sum(F.when(F.col("j") == 0, F.col("k")).otherwise(0)).alias("kx"), F.sum(F.when(F.col("j") == 1, F.col("k")).otherwise(0)).alias("ky"))
-        part = Window.partitionBy("shift")
-        gap = F.abs(F.sum("kx").over(part.orderBy("v")) / F.sum("kx").over(part) - F.sum("ky").over(part.orderBy("v")) / F.sum("ky").over(part))
-        best = both.select("shift", gap.alias("gap")).groupBy("shift").agg(F.max("gap").alias("ks")).agg(F.min(F.struct("ks", "shift")).alias("b")).first()["b"]
-        mid, half = best["shift"], half * 2 / steps
-    return x.sparkSession.createDataFrame([(math.exp(mid), float(best["ks"]))], "scale double, ks double")
+    one = [c.withColumn("_all", F.lit(0)) for c in (_log_counts(x, value, []), _log_counts(y, value, []))]
+    return _best_shifts(cut(one[0]), cut(one[1]), "_all", steps, rounds).select(F.exp("shift").alias("scale"), "ks")
+
+
+def ks_permutation(x: DataFrame, y: DataFrame, key: str, value: str, n: int, seed: int, steps: int = 40, rounds: int = 3) -> DataFrame:
+    """(rep, scale, ks): each replicate deals the rows of both samples anew to samples of their sizes and fits the factor again; rep -1 is as observed.
+
+    ``null_summary`` of ks gives p: how often arbitrary samples of one distribution differ as much. A replicate's first sample are the
+    rows with the smallest draws; ties by sample and key.
+    """
+    ok = lambda d, j: d.select(F.lit(j).alias("_side"), F.col(key).cast("string").alias("_key"), F.log(F.col(value).cast("double")).alias("v")).where("v IS NOT NULL")
+    pool = cut(ok(x, 0).unionByName(ok(y, 1)))
+    nx = pool.where("_side = 0").count()
+    many = replicates(pool, n).withColumn("_draw", draw(seed, "rep", "_side", "_key"))
+    dealt = number_rows_within(many, ["rep"], "_draw", ["_side", "_key"], "_nth").withColumn("_side", (F.col("_nth") > nx).cast("int"))
+    every = cut(pool.withColumn("rep", F.lit(-1)).select("rep", "_side", "v").unionByName(dealt.select("rep", "_side", "v")))
+    side = lambda j: cut(every.where(F.col("_side") == j).groupBy("rep", "v").agg(F.count(F.lit(1)).alias("k")))
+    return _best_shifts(side(0), side(1), "rep", steps, rounds).select("rep", F.exp("shift").alias("scale"), "ks")
 
 
 def survival(df: DataFrame, value: str) -> DataFrame:
     """(v, n, survival): the share of values at or above each distinct value."""
     c = value_counts(df, value)
-    return c.select("v", F.col("k").alias("n"), (F.sum("k").over(Window.orderBy(F.desc("v"))) / F.sum("k").over(Window.partitionBy())).alias("survival"))
+    total = c.agg(F.sum("k").alias("_all"))
+    upto = running_sums(c, "v", {"_from": F.col("k")}, descending=True).crossJoin(F.broadcast(total))  # one row
+    return upto.select("v", F.col("k").alias("n"), (F.col("_from") / F.col("_all")).alias("survival"))
 
 
 def labelled_bins(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
@@ -144,8 +182,8 @@ def label_null(points: DataFrame, key: str, label: str, distance: str, n: int, s
     The labelled ones of a replicate are those with the smallest draws; ties by key.
     """
     k = points.where(F.col(label)).count()
-    order = Window.partitionBy("rep").orderBy(draw(seed, "rep", key), key)
-    drawn = replicates(points.select(key, distance), n).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select("rep", distance)
+    many = replicates(points.select(key, distance), n).withColumn("_draw", draw(seed, "rep", key))
+    drawn = number_rows_within(many, ["rep"], "_draw", [key], "_n").where(F.col("_n") <= k).select("rep", distance)
     true = points.where(F.col(label)).select(F.lit(-1).alias("rep"), distance)
     return true.unionByName(drawn).groupBy("rep").agg(F.count_if(F.col(distance) <= within_km).alias("count_within"), F.median(distance).alias("median_km"))
 
@@ -168,36 +206,36 @@ def candidate_p(observed: DataFrame, nulls: DataFrame, key: str, value: str) ->
     return c.select(key, F.when(F.col("_o").isNotNull() & (F.col("n_null") > 0), (1 + F.col("_h")) / (F.col("n_null") + 1)).alias("p"), "n_null")
 
 
-def global_null(observed: DataFrame, nulls: DataFrame, key: str, value: str, n: int, seed: int) -> DataFrame:
-    """(rep, median): each replicate takes one null draw of every candidate; rep -1 is observed. nulls: key, null_index 0.., value.
+def global_null(observed: DataFrame, nulls: DataFrame, key: str, value: str, n: int, seed: int, statistic: str = "median", complete: int | None = None) -> DataFrame:
+    """(rep, median) or (rep, mean): each replicate takes one null draw of every candidate; rep -1 is observed. nulls: key, null_index 0.., value.
 
-    Candidates without an observation or without any null value are left out.
+    Candidates without an observation or without any null value are left out; with ``complete``, so are those with fewer null values than that.
     """
     o = observed.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_o"))
-    sizes = nulls.groupBy(key).agg((F.max("null_index") + 1).alias("_n"), F.count(value).alias("_some")).where("_some > 0")
+    sizes = nulls.groupBy(key).agg((F.max("null_index") + 1).alias("_n"), F.count(value).alias("_some")).where(F.col("_some") >= (complete or 1))
     rows = o.join(sizes, key)
     picks = replicates(rows, n).withColumn("null_index", F.floor(draw(seed, "rep", key) * F.col("_n")).cast(nulls.schema["null_index"].dataType))
     got = picks.join(nulls.select(key, "null_index", value), [key, "null_index"]).select("rep", F.col(value).alias("x"))
-    return rows.select(F.lit(-1).alias("rep"), F.col("_o").alias("x")).unionByName(got).groupBy("rep").agg(F.median("x").alias("median"))
+    return rows.select(F.lit(-1).alias("rep"), F.col("_o").alias("x")).unionByName(got).groupBy("rep").agg({"median": F.median, "mean": F.avg}[statistic]("x").alias(statistic))
 
 
 def stratified_null(df: DataFrame, key: str, strata: list[str], x: str, y: str, n: int, seed: int) -> DataFrame:
     """(rep, rho): Spearman correlation with y shuffled within strata; rep -1 is unshuffled.
 
     A shuffle gives the i-th row of a stratum the value of the row with the i-th smallest draw, so ranks of y, which
-    don't change, are computed once.
+    don't change, are computed once. Rows whose stratum is null in some column are a stratum of their own.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, *strata, x, y)
     rx = ranks_within(rows, [], x).select(key, (F.col("less") + 1 + (F.col("ties") - 1) / 2).alias("rx"))
     ry = ranks_within(rows, [], y).select(key, *strata, (F.col("less") + 1 + (F.col("ties") - 1) / 2).alias("ry"))
     base = ry.join(rx, key)
     true = base.agg(F.corr("rx", "ry").alias("rho")).select(F.lit(-1).alias("rep"), "rho")
-    many = replicates(base, n)
-    own = Window.partitionBy("rep", *strata).orderBy(key)
-    mixed = Window.partitionBy("rep", *strata).orderBy(draw(seed, "rep", key), key)
-    a = many.select("rep", *strata, "rx", F.row_number().over(own).alias("i"))
-    b = many.select("rep", *strata, "ry", F.row_number().over(mixed).alias("i"))
-    return true.unionByName(a.join(b, ["rep", *strata, "i"]).groupBy("rep").agg(F.corr("rx", "ry").alias("rho")))
+    many = replicates(base, n).withColumn("_stratum", F.to_json(F.struct(*strata), {"ignoreNullFields": "false"}))
+    own = Window.partitionBy("rep", "_stratum").orderBy(key)
+    mixed = Window.partitionBy("rep", "_stratum").orderBy(draw(seed, "rep", key), key)
+    a = many.select("rep", "_stratum", "rx", F.row_number().over(own).alias("i"))
+    b = many.select("rep", "_stratum", "ry", F.row_number().over(mixed).alias("i"))
+    return true.unionByName(a.join(b, ["rep", "_stratum", "i"]).groupBy("rep").agg(F.corr("rx", "ry").alias("rho")))
 
 
 def matched_null(cases: DataFrame, controls: DataFrame, key: str, levels: list[list[str]], values: dict[str, str], n: int, seed: int, least: int = 3) -> DataFrame:
@@ -206,12 +244,13 @@ def matched_null(cases: DataFrame, controls: DataFrame, key: str, levels: list[l
     levels: matching columns from narrow to wide; a case takes the first level at which it has ``least`` controls, else
     the last. values: name -> 'mean of column' as ``avg:column`` or ``median:column``.
     """
-    pools, sizes = [], cases.select(key, *levels[0])
+    stratum = lambda on: F.to_json(F.struct(*on), {"ignoreNullFields": "false"})  # noqa: E731  # a null matches a null
+    pools, sizes = [], cases.select(key, *[stratum(on).alias(f"_s{i}") for i, on in enumerate(levels)])
     for i, on in enumerate(levels):
-        order = Window.partitionBy(*on).orderBy(key)
-        pools.append(controls.withColumn("_i", F.row_number().over(order) - 1).withColumn("_level", F.lit(i)))
-        count = controls.groupBy(*on).agg(F.count(F.lit(1)).alias(f"_c{i}"))
-        sizes = sizes.join(count, on, "left")
+        keyed = controls.withColumn(f"_s{i}", stratum(on))
+        order = Window.partitionBy(f"_s{i}").orderBy(key)
+        pools.append(keyed.withColumn("_i", F.row_number().over(order) - 1))
+        sizes = sizes.join(keyed.groupBy(f"_s{i}").agg(F.count(F.lit(1)).alias(f"_c{i}")), f"_s{i}", "left")
     rule = F.lit(len(levels) - 1)
     for i in reversed(range(len(levels) - 1)):
         rule = F.when(F.coalesce(F.col(f"_c{i}"), F.lit(0)) >= least, i).otherwise(rule)
@@ -219,8 +258,8 @@ def matched_null(cases: DataFrame, controls: DataFrame, key: str, levels: list[l
     picks = replicates(sizes.where("_size > 0"), n).withColumn("_i", F.floor(draw(seed, "rep", key) * F.col("_size")).cast("int"))
     columns = sorted({v.split(":")[1] for v in values.values()})
     drawn = None
-    for i, on in enumerate(levels):
-        part = picks.where(F.col("_level") == i).join(pools[i].select(*on, "_i", *columns), [*on, "_i"]).select("rep", *columns)
+    for i in range(len(levels)):
+        part = picks.where(F.col("_level") == i).join(pools[i].select(f"_s{i}", "_i", *columns), [f"_s{i}", "_i"]).select("rep", *columns)
         drawn = part if drawn is None else drawn.unionByName(part)
     every = cases.select(F.lit(-1).alias("rep"), *columns).unionByName(drawn)
     how = {"avg": F.avg, "median": F.median}

@@ -58,9 +58,9 @@ def read_metrics_csv(spark: SparkSession, path: str, text_columns: tuple[str, ..
 
 
 def read_large_catalogue(spark: SparkSession, path: str, columns: dict[str, str], size: str, least: float) -> DataFrame:
-    """Chosen columns, renamed, of rows whose size (a source column) is at least ``least``; numbers where they are ones."""
-    rows = spark.read.csv(path, header=True).where(F.col(size).try_cast("double") >= least)
-    return rows.select(*[F.coalesce(F.col(c)).alias(new) if c != size else F.col(c).try_cast("double").alias(new) for c, new in columns.items()])
+    """Chosen columns, renamed, of rows whose size (a source column) is at least ``least``, the largest first; columns are numbers where all their values are."""
+    rows = spark.read.csv(path, header=True).where(F.col(size).try_cast("double") >= least).select(*[F.col(c).alias(new) for c, new in columns.items()])
+    return typed(rows, ()).orderBy(F.desc(columns[size]))
 
 
 def read_positional_csv(spark: SparkSession, path: str, names: list[str], numbers: tuple[str, ...]) -> DataFrame:
@@ -71,23 +71,29 @@ def read_positional_csv(spark: SparkSession, path: str, names: list[str], number
 
 
 def sequence_to_grid(values: DataFrame, n: str, value: str, rows: int, columns: int) -> DataFrame:
-    """(iy, ix, lon, value) of values numbered from 0 row by row; a wrong number of values is an error."""
-    count = values.agg(F.count(F.lit(1)).alias("c"), F.min(n).alias("lo"), F.max(n).alias("hi")).first()
-    if (count["c"], count["lo"], count["hi"]) != (rows * columns, 0, rows * columns - 1):
+    """(iy, ix, lat, lon, value) of values numbered from 0 row by row, at cell centers of a global grid from the south and from 0 degrees east.
+
+    A wrong number of values, a hole or a repeated number is an error.
+    """
+    count = values.agg(F.count(F.lit(1)).alias("c"), F.min(n).alias("lo"), F.max(n).alias("hi"), F.countDistinct(n).alias("d")).first()
+    if (count["c"], count["d"], count["lo"], count["hi"]) != (rows * columns, rows * columns, 0, rows * columns - 1):
         raise ValueError(f"expected {rows * columns} values numbered from 0, found {count['c']}")
-    ix = F.col(n) % columns
-    return values.select(F.floor(F.col(n) / columns).alias("iy"), ix.alias("ix"), (ix * (360.0 / columns) + 180.0 / columns).alias("lon"), F.col(value).alias("value"))
+    ix, iy = F.col(n) % columns, F.floor(F.col(n) / columns)
+    lat = iy * (180.0 / rows) + 90.0 / rows - 90.0
+    return values.select(iy.alias("iy"), ix.alias("ix"), lat.alias("lat"), (ix * (360.0 / columns) + 180.0 / columns).alias("lon"), F.col(value).alias("value"))
 
 
 def read_kml_provinces(spark: SparkSession, path: str) -> DataFrame:
-    """(province_id, ring_no, is_hole, ring, properties) of polygons; outer rings need four points; description lines ``key: value`` are properties."""
+    """(province_id, ring_no, is_hole, ring, properties, is_closed) of polygons; outer rings need four points; description lines ``key: value`` are
+    properties. is_closed: the last point is the first, as a ring that geometry operators take must be."""
     schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("description", T.StringType())] + [
         T.StructField("Polygon", T.ArrayType(T.StructType([
             T.StructField(side, T.ArrayType(T.StructType([T.StructField("LinearRing", T.StructType([T.StructField("coordinates", T.StringType())]))])))
             for side in ("outerBoundaryIs", "innerBoundaryIs")
         ])))
     ])
-    p = spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path).withColumn("province_id", F.monotonically_increasing_id())
+    p = spark.read.format("xml").option("rowTag", "Placemark").schema(schema).load(path)
+    p = p.withColumn("province_id", F.xxhash64("name", "description", F.to_json("Polygon")))  # the same however the file is split; equal placemarks are one
     text = F.regexp_replace(F.coalesce("description", F.lit("")), "<[^>]*>", "\n")
     p = p.withColumn("properties", X.key_values(text)).select("province_id", "name", "properties", F.explode("Polygon").alias("g"))
 
@@ -95,7 +101,8 @@ def read_kml_provinces(spark: SparkSession, path: str) -> DataFrame:
         r = p.select("province_id", "properties", F.posexplode(f"g.{name}").alias("ring_no", "r"))
         return r.select("province_id", "ring_no", F.lit(hole).alias("is_hole"), X.coordinate_list(F.col("r.LinearRing.coordinates")).alias("ring"), "properties")
 
-    return side("outerBoundaryIs", False).where(F.size("ring") >= 4).unionByName(side("innerBoundaryIs", True))
+    rings = side("outerBoundaryIs", False).where(F.size("ring") >= 4).unionByName(side("innerBoundaryIs", True))
+    return rings.withColumn("is_closed", F.coalesce(F.get("ring", F.lit(0)) == F.element_at("ring", -1), F.lit(False)))
 
 
 def source_fingerprints(spark: SparkSession, path: str, head_bytes: int | None = None) -> DataFrame:

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.jobs import LEASE_SECONDS, TERMINAL, intake_checks
+from ..operators.jobs import ACTIVE, LEASE_SECONDS, TERMINAL, allowed_requests, intake_checks
+
+#: How long after its last event an ended job is remembered, so that late events are told from those of unknown jobs.
+KEEP_ENDED_SECONDS = 7 * 24 * 3600
 
 STATE = "status string, attempts long, worker string, lease double, rejected long"
 OUT = "job_id long, status string, attempt_count long, worker_id string, lease_expires_at timestamp, rejected long, cause string"
@@ -24,7 +27,7 @@ def _advance(state: tuple, event: str, worker: str, at: float) -> tuple:
         return "queued", attempts, None, None, rejected
     if event == "claimed" and (status == "queued" or (held and lease is not None and lease < at)):
         return "claimed", attempts + 1, worker, at + LEASE_SECONDS, rejected
-    if event == "heartbeat" and held and owner == worker:
+    if event == "heartbeat" and status in ACTIVE and not (owner and worker and owner != worker):
         return "running", attempts, owner, at + LEASE_SECONDS, rejected
     if event in ("succeeded", "failed") and status != "cancelled":
         return event, attempts, owner, None, rejected
@@ -36,19 +39,24 @@ def _advance(state: tuple, event: str, worker: str, at: float) -> tuple:
 def _keep(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     now = state.get if state.exists else (None, 0, None, None, 0)
     cause = "event"
-    if state.hasTimedOut:  # the lease ran out: claimable again
-        cause = "lease expired"
-        if now[0] in ("claimed", "running"):
-            now = ("queued", now[1], None, None, now[4])
+    if state.hasTimedOut:
+        if now[0] in TERMINAL:  # nothing about it is expected any more
+            state.remove()
+            return
+        cause = "lease expired"  # claimable again, and its worker may still come back
     else:
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["event_ts", "event_id"])
         for at, event, worker in zip(rows["event_ts"], rows["event"], rows["worker_id"], strict=True):
             now = _advance(now, event, worker, at.timestamp())
+        last = max(0.0, float(rows["event_ts"].iloc[-1].timestamp()))
     state.update(now)
-    if now[3] is not None:
+    due = 0
+    if now[0] in TERMINAL and cause == "event":
+        due = int((last + KEEP_ENDED_SECONDS) * 1000)
+    elif now[3] is not None:
         due = int(now[3] * 1000)
-        if due > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(due)
+    if due > state.getCurrentWatermarkMs():
+        state.setTimeoutTimestamp(due)
     lease = pd.Timestamp(now[3], unit="s") if now[3] is not None else pd.NaT
     yield pd.DataFrame({"job_id": [key[0]], "status": [now[0]], "attempt_count": [now[1]], "worker_id": [now[2]], "lease_expires_at": [lease], "rejected": [now[4]], "cause": [cause]})
 
@@ -56,22 +64,25 @@ def _keep(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupSta
 def track_jobs(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """The state of each job whenever it changes, from a stream of (event_id, job_id, event_ts, event, worker_id).
 
-    Repeated events within the delay count once. Events of one micro-batch are applied in order of time. A lease that runs out
-    by the watermark makes its job claimable again.
+    Repeated events within the delay count once. Events of one micro-batch are applied in order of time, by the rules of the batch
+    twin ``operators.jobs.job_states``. When the watermark passes a lease, the job's row comes out with the cause ``lease expired``: it is claimable
+    again. An ended job's state goes a week of event time after its last event.
     """
     fresh = events.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     return fresh.groupBy("job_id").applyInPandasWithState(_keep, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def score_intake(submissions: DataFrame, study: DataFrame, **limits) -> DataFrame:
+def score_intake(submissions: DataFrame, study: DataFrame, delay: str = "1 hour", **limits) -> DataFrame:
     """A stream of submissions with checks, score and verdict, joined to the static study candidates on tiles.
 
+    Needs submission_id and submitted_at, the event time: a submission comes out once the watermark has passed it by ``delay``.
+
     A submission's duplicates lie within its own reach, at most a quarter of its diameter or 5 km; static rows are dealt to
     tiles of that size class, so the join is an equi-join that streams.
     """
     from ..functions.geo import great_circle_km
 
-    s = submissions.withColumn("_tile", F.struct(F.floor("latitude").alias("y"), F.pmod(F.floor("longitude"), F.lit(360)).alias("x")))
+    s = submissions.withWatermark("submitted_at", delay).withColumn("_tile", F.struct(F.floor("latitude").alias("y"), F.pmod(F.floor("longitude"), F.lit(360)).alias("x")))
     reach = F.greatest(F.lit(5.0), 0.25 * F.col("diameter_km")) / 110.0
     box_y = F.sequence(F.floor(F.col("lat") - reach), F.floor(F.col("lat") + reach))
     wide = reach / F.greatest(F.lit(0.02), F.cos(F.radians("lat")))
@@ -92,12 +103,19 @@ def queue_counts(states: DataFrame) -> DataFrame:
     return states.groupBy("status").agg(F.count(F.lit(1)).alias("changes"), F.max("attempt_count").alias("most_attempts"))
 
 
+def supersede_stream(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """The request that counts for each candidate whenever it changes, from a stream of (request_id, candidate_id, requested_at, baseline_passed, forced).
+
+    Requests that passed no baseline check and aren't forced don't count. Update mode: (candidate_id, request_id, requested_at) of the latest request so
+    far, which cancels the earlier ones.
+    """
+    latest = F.max(F.struct("requested_at", "request_id")).alias("_r")
+    counted = allowed_requests(requests.withWatermark("requested_at", delay)).dropDuplicatesWithinWatermark(["request_id"])
+    return counted.groupBy("candidate_id").agg(latest).select("candidate_id", "_r.request_id", "_r.requested_at")
+
+
 def replay(events: DataFrame, spark_name: str, delay: str = "1 hour") -> DataFrame:
     """Run ``track_jobs`` over all of a stream's present input, and return what it put out as a table."""
     q = track_jobs(events, delay).writeStream.format("memory").queryName(spark_name).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return events.sparkSession.table(spark_name)
-
-
-def is_terminal(status: str) -> bool:
-    return status in TERMINAL
