@@ -20,4 +20,5 @@ def join_hot(rows: DataFrame, table: DataFrame, on: list[str], n: str, total: in
     least = max(1, int(total * HOT_SHARE))
     hot = table.where(F.col(n) >= least)
     cold = table.where(F.col(n) < least)
-    return rows.join(F.broadcast(hot), on).unionByName(rows.join(cold, on))
+    others = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")  # rows of hot keys don't move
+    return rows.join(F.broadcast(hot), on).unionByName(others.join(cold, on))
