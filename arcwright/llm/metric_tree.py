@@ -23,6 +23,8 @@ from .vector_blocks import clean_vectors, power_above, search_blocks, with_query
 #: Relative margin for rounding in the bounds.
 MARGIN = 1e-9
 LONG = 2**63
+#: Pages that a search takes from its heap at a time.
+MOST_PAGES = 32
 MOST = sys.float_info.max
 
 
@@ -173,34 +175,46 @@ class MTree:
 
     @staticmethod
     def _walk(index: dict[str, np.ndarray], query: np.ndarray, best: Best) -> None:
-        """Visit pages by their lower bound until none can hold a better entry; ``best`` collects the points."""
+        """Visit pages by their lower bound until none can hold a better entry; ``best`` collects the points.
+
+        The best pages are taken several at a time, one at first and then up to ``MOST_PAGES``, and their entries looked at together.
+        """
         centers, radius, leaf, spans, entries, to_center = (index[x] for x in ("centers", "radius", "leaf", "spans", "entries", "to_center"))
         start = float(np.sqrt(((query - centers[0]) ** 2).sum()))
         heap: list[tuple[float, int, float]] = [(max(0.0, start - radius[0]), 0, start)]
+        many = 1
+
+        def inside(pages: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
+            """Entries, and |d(query, center) - d(entry, center)|, which bounds an entry's distance from below."""
+            at = [slice(*spans[p]) for p, _ in pages]
+            away = np.repeat([d for _, d in pages], [x.stop - x.start for x in at])
+            return np.concatenate([entries[x] for x in at]), np.abs(away - np.concatenate([to_center[x] for x in at]))
+
         while heap:
-            bound, page, away = heapq.heappop(heap)
             limit = best.limit()
-            if bound > limit:
+            taken: list[list[tuple[int, float]]] = [[], []]
+            while heap and len(taken[0]) + len(taken[1]) < many and heap[0][0] <= limit:
+                _, page, away = heapq.heappop(heap)
+                taken[int(leaf[page])].append((page, away))
+            if not taken[0] and not taken[1]:
                 return
-            begin, end = spans[page]
-            inside = entries[begin:end]
-            # |d(query, center) - d(entry, center)| bounds an entry's distance from below
-            spread = np.abs(away - to_center[begin:end])
-            if leaf[page]:
-                near = inside[spread <= limit]
-                if len(near):
-                    best.offer(near)
-                continue
-            least = spread - radius[inside]
-            kept = least <= limit
-            inside, least = inside[kept], least[kept]
-            if not len(inside):
-                continue
-            far = _far(centers[inside], query)
-            least = np.maximum(np.maximum(least, far - radius[inside]), 0.0)
-            for p, b, d in zip(inside.tolist(), least.tolist(), far.tolist(), strict=True):
-                if b <= limit:
-                    heapq.heappush(heap, (b, p, d))
+            many = min(MOST_PAGES, 2 * many)
+            if taken[1]:
+                members, spread = inside(taken[1])
+                members = members[spread <= limit]
+                if len(members):
+                    best.offer(members)
+                    limit = best.limit()
+            if taken[0]:
+                pages, spread = inside(taken[0])
+                least = spread - radius[pages]
+                kept = least <= limit
+                pages, least = pages[kept], least[kept]
+                far = _far(centers[pages], query)
+                least = np.maximum(np.maximum(least, far - radius[pages]), 0.0)
+                kept = least <= limit
+                for item in zip(least[kept].tolist(), pages[kept].tolist(), far[kept].tolist(), strict=True):
+                    heapq.heappush(heap, item)
 
 
 def top_inner_products(
