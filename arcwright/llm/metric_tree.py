@@ -25,6 +25,8 @@ MARGIN = 1e-9
 LONG = 2**63
 #: Pages that a search takes from its heap at a time.
 MOST_PAGES = 32
+#: Part of a page's leaves from which on they are scored together.
+NEARLY_ALL = 0.75
 MOST = sys.float_info.max
 
 
@@ -43,7 +45,8 @@ class PageWriter:
     """Bulk load: a page's members are dealt to their nearest of a few routing vectors until they fit a leaf.
 
     pages: center, radius, leaf, and begin and end of its entries; an entry is a point (of a leaf) or a page, with its
-    distance to the page's center.
+    distance to the page's center. Points lie in the order of the leaves, so those below a page are a range (held) of
+    the points; numbers says which they were.
     """
 
     def __init__(self, points: np.ndarray, page: int, seed: int):
@@ -55,7 +58,9 @@ class PageWriter:
         self.spans: list[tuple[int, int]] = []
         self.entries: list[np.ndarray] = []
         self.to_center: list[np.ndarray] = []
-        self.written = 0
+        self.written = self.placed = 0
+        self.held: list[tuple[int, int]] = []
+        self.numbers: list[np.ndarray] = []
         self._load(np.arange(len(points)), points[0])
 
     def _load(self, members: np.ndarray, center: np.ndarray) -> int:
@@ -66,10 +71,17 @@ class PageWriter:
         leaf = len(members) <= self.page or away.max() == away.min() == 0
         self.leaf.append(leaf)
         self.spans.append((0, 0))
-        if not leaf:
+        self.held.append((0, 0))
+        begin = self.placed
+        if leaf:
+            self.numbers.append(members)
+            self.placed += len(members)
+            members = np.arange(begin, self.placed)
+        else:
             parts, seeds = self._deal(members)
             members = np.array([self._load(m, s) for m, s in zip(parts, seeds, strict=True) if len(m)])
             away = _far(np.stack([self.centers[m] for m in members]), center)
+        self.held[number] = (begin, self.placed)
         self.spans[number] = (self.written, self.written + len(members))
         self.written += len(members)
         self.entries.append(members)
@@ -87,8 +99,9 @@ class PageWriter:
         return parts, seeds
 
     def arrays(self) -> dict[str, np.ndarray]:
+        numbers = np.concatenate(self.numbers)
         return {
-            "points": self.points, "centers": np.stack(self.centers), "radius": np.array(self.radius), "leaf": np.array(self.leaf),
+            "points": self.points[numbers], "numbers": numbers, "held": np.array(self.held), "centers": np.stack(self.centers), "radius": np.array(self.radius), "leaf": np.array(self.leaf),
             "spans": np.array(self.spans), "entries": np.concatenate(self.entries), "to_center": np.concatenate(self.to_center),
         }
 
@@ -96,8 +109,8 @@ class PageWriter:
 class Best:
     """The best k of one query so far, by exact inner product, smaller numbers first among ties."""
 
-    def __init__(self, values: np.ndarray, query: np.ndarray, own: int, k: int, constant: float, scale: float, least: float):
-        self.values, self.query, self.own, self.k, self.constant, self.scale = values, query, own, k, constant, scale
+    def __init__(self, values: np.ndarray, known: np.ndarray, query: np.ndarray, own: int, k: int, constant: float, scale: float, least: float):
+        self.values, self.known, self.query, self.own, self.k, self.constant, self.scale = values, known, query, own, k, constant, scale
         self.least = [least / scale / scale] if least > -LONG else []  # a score that others have reached already
         self.numbers = np.empty(0, np.int64)
         self.scores = np.empty(0, values.dtype)
@@ -114,13 +127,19 @@ class Best:
         square = max(0.0, self.constant - 2 * max(known))
         return float(np.sqrt(square + MARGIN * self.constant)) * (1 + MARGIN)
 
-    def offer(self, numbers: np.ndarray) -> None:
-        numbers = numbers[numbers != self.own]
-        scores = self.values[numbers] @ self.query
+    def offer(self, at: np.ndarray | slice) -> None:
+        """at: places of points, or a range of them."""
+        scores = self.values[at] @ self.query
+        numbers = self.known[at]
         self.scored += len(numbers)
         if len(self.scores) == self.k:
             better = scores >= self.scores[-1]
+            if not better.any():
+                return
             numbers, scores = numbers[better], scores[better]
+        if self.own in numbers:
+            others = numbers != self.own
+            numbers, scores = numbers[others], scores[others]
         if not len(numbers):
             return
         self.numbers = np.concatenate([self.numbers, numbers])
@@ -165,7 +184,7 @@ class MTree:
         constant = self._constant(queries)
         rows, numbers, scores, scored = [], [], [], 0
         for i in range(len(queries)):
-            best = Best(values, asked[i], int(own[i]), k, float(constant[i]), self.scale, float(limits[i]))
+            best = Best(values, index["numbers"], asked[i], int(own[i]), k, float(constant[i]), self.scale, float(limits[i]))
             self._walk(index, queries[i], best)
             rows.append(np.full(len(best.numbers), i))
             numbers.append(best.numbers)
@@ -177,9 +196,10 @@ class MTree:
     def _walk(index: dict[str, np.ndarray], query: np.ndarray, best: Best) -> None:
         """Visit pages by their lower bound until none can hold a better entry; ``best`` collects the points.
 
-        The best pages are taken several at a time, one at first and then up to ``MOST_PAGES``, and their entries looked at together.
+        The best pages are taken several at a time, one at first and then up to ``MOST_PAGES``, and their entries looked at together. Where
+        the bounds leave nearly all leaves of a page, its points are scored as one range.
         """
-        centers, radius, leaf, spans, entries, to_center = (index[x] for x in ("centers", "radius", "leaf", "spans", "entries", "to_center"))
+        centers, radius, leaf, spans, held, entries, to_center = (index[x] for x in ("centers", "radius", "leaf", "spans", "held", "entries", "to_center"))
         start = float(np.sqrt(((query - centers[0]) ** 2).sum()))
         heap: list[tuple[float, int, float]] = [(max(0.0, start - radius[0]), 0, start)]
         many = 1
@@ -205,14 +225,18 @@ class MTree:
                 if len(members):
                     best.offer(members)
                     limit = best.limit()
-            if taken[0]:
-                pages, spread = inside(taken[0])
-                least = spread - radius[pages]
-                kept = least <= limit
-                pages, least = pages[kept], least[kept]
+            for page, away in taken[0]:
+                begin, end = spans[page]
+                pages = entries[begin:end]
+                near = np.abs(away - to_center[begin:end]) - radius[pages] <= limit
+                pages = pages[near]
                 far = _far(centers[pages], query)
-                least = np.maximum(np.maximum(least, far - radius[pages]), 0.0)
+                least = np.maximum(far - radius[pages], 0.0)
                 kept = least <= limit
+                if limit < np.inf and kept.sum() >= NEARLY_ALL * (end - begin) and leaf[pages].all():
+                    best.offer(slice(*held[page]))
+                    limit = best.limit()
+                    continue
                 for item in zip(least[kept].tolist(), pages[kept].tolist(), far[kept].tolist(), strict=True):
                     heapq.heappush(heap, item)
 

@@ -296,7 +296,7 @@ def test_tree_of_many_levels_is_exact_and_prunes(spread, most):
     for page in range(len(index["leaf"])):
         begin, end = index["spans"][page]
         inside = index["entries"][begin:end]
-        held = points[inside] if index["leaf"][page] else index["centers"][inside]
+        held = index["points"][inside] if index["leaf"][page] else index["centers"][inside]
         away = np.sqrt(((held - index["centers"][page]) ** 2).sum(axis=1))
         assert np.allclose(away, index["to_center"][begin:end]), "entries keep their distance to the page's center"
         if not index["leaf"][page]:
