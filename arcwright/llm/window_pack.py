@@ -19,6 +19,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks of text whose ids a worker remembers at a time; some 60 MB.
-CHUNK_CACHE = 400_000
+#: Chunks of text whose ids a worker remembers at a time; some 30 MB.
+CHUNK_CACHE = 200_000
 _SCHEMA = "doc_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -52,6 +53,12 @@ def difference(sizes: list[int], parts: int) -> tuple[list[int], list[list[int]]
     return heap[0][2], heap[0][3]
 
 
+@lru_cache(maxsize=1)
+def text_ids(tokenizer_path: str, ranks_path: str, pattern: str) -> "TextIds":
+    """One for each worker, which the tasks that it runs share."""
+    return TextIds(tokenizer_path, ranks_path, pattern)
+
+
 class TextIds:
     """Ids of whole texts under a byte-level BPE, those that ``tokenizers`` gives for the vocabulary.
 
@@ -137,7 +144,7 @@ class Packer:
         for doc_id, ids, start, end in stretches:
             at = start
             while at < end:
-                step = min(self.piece, coarse) if coarse > 0 else max(1, self.piece // 32)
+                step = min(self.piece, coarse) if coarse > 0 else max(1, self.piece // 16)
                 stop = min(end, at + step)
                 pieces.append((doc_id, ids, at, stop))
                 coarse -= stop - at
@@ -156,13 +163,18 @@ class Packer:
 
     def _batch(self, goal: int) -> Iterator[tuple]:
         stretches = self._take(goal)
-        for more in (True, True, True, False):
-            pieces, sums, groups = self._spread(stretches, self.parts)
+        for _ in range(3):
+            pieces = self._split(stretches)
+            sums, groups = difference([e - s for _, _, s, e in pieces], self.parts)
             over = sums[0] - self.window
-            if over <= 0 or not more:  # what is given back must not be in the pieces that are placed
+            if over <= 0:
+                yield from self._windows(pieces, sums, groups)
+                return
+            if over > 2 * self.slack:  # too much to leave out
                 break
             stretches = self._give_back(stretches, self.parts * (over + 1))
-        yield from self._windows(pieces, sums, groups)
+        # pieces are made anew: what was given back must not be in them
+        yield from self._windows(*self._spread(stretches, self.parts))
 
     def _give_back(self, stretches: list, tokens: int) -> list:
         """Return the last ``tokens`` ids to the waiting ones."""
@@ -219,7 +231,7 @@ def pack_windows(
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        ids_of = TextIds(tokenizer_path, ranks_path, pattern)
+        ids_of = text_ids(tokenizer_path, ranks_path, pattern)
         packer = Packer(window, parts, piece, slack, (context.partitionId() if context else 0) << 33)
         close = np.array([end_id], dtype="<u4")
         out: list[tuple] = []
