@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import hash_bound, packed, unpacked
 
 #: Bytes of text that a task labels at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 UNDETERMINED = "und"
 _letter = re.compile(r"[^\W\d_]")
 _is_letter = np.zeros(256, bool)
@@ -265,7 +265,9 @@ def identify_languages(docs: DataFrame, model: ByteGru) -> DataFrame:
 
 
 def least_sure_score(docs: DataFrame, model: ByteGru, sample: int = 2000, steps: int = 1000) -> float:
-    """The largest score below which the model is wrong more often than right, on labelled documents that it hasn't learned from.
+    """The largest score below which the model is clearly wrong more often than right, on labelled documents that it hasn't learned from.
+
+    Clearly: by more than twice the root of their number, so that a few wrong ones among the least sure reject nothing.
 
     ``docs``: those documents, with doc_id, text and lang; a sample of some ``sample`` to twice as many is
     labelled, by the smallest id hashes. 0 where the model is right at every score, or nothing is labelled.
@@ -275,9 +277,9 @@ def least_sure_score(docs: DataFrame, model: ByteGru, sample: int = 2000, steps:
     said = identify_languages(few, model).where(F.col("lang_pred") != UNDETERMINED)
     step = F.least(F.floor(F.col("score") * steps), F.lit(steps - 1)).alias("step")
     wrong = F.sum(F.when(F.col("lang_pred") == F.col("true_lang"), -1).otherwise(1)).alias("more_wrong")
-    limit, balance = 0.0, 0
-    for r in said.groupBy(step).agg(wrong).orderBy("step").collect():  # at most ``steps`` rows
-        balance += r["more_wrong"]
-        if balance > 0:
+    limit, balance, n = 0.0, 0, 0
+    for r in said.groupBy(step).agg(wrong, F.count(F.lit(1)).alias("n")).orderBy("step").collect():  # at most ``steps`` rows
+        balance, n = balance + r["more_wrong"], n + r["n"]
+        if balance > 2 * n**0.5:
             limit = (r["step"] + 1) / steps
     return limit
