@@ -146,7 +146,8 @@ def test_a_score_limit_needs_more_wrong_than_right(spark, monkeypatch):
 
     said = lambda df, model: df.withColumns({"lang_pred": F.lit("en"), "score": F.col("text").cast("double")})
     monkeypatch.setattr(language_id, "identify_languages", said)
-    rows = [(i, text, lang) for i, (text, lang) in enumerate([("0.3", "de"), ("0.35", "en"), ("0.4", "de"), ("0.41", "de"), ("0.8", "en"), ("0.9", "en"), ("0.95", "en"), ("0.2", None), (None, "en")])]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert least_sure_score(df, None) == pytest.approx(0.801), "below it three of five are wrong"
+    texts = [("0.30", "de")] * 8 + [("0.35", "en"), ("0.40", "de"), ("0.41", "de")] + [("0.8", "en")] * 40 + [("0.95", "de")] * 3 + [("0.2", None), (None, "en")]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert least_sure_score(df, None) == pytest.approx(0.411), "below it ten of eleven are wrong"
     assert least_sure_score(df.where("lang = 'en'"), None) == 0.0 and least_sure_score(df.where("false"), None) == 0.0
+    assert least_sure_score(df.where("doc_id in (0, 1, 2) or lang = 'en'"), None) == 0.0, "three wrong ones are no evidence"
