@@ -10,12 +10,24 @@ from ..operators.skew import join_hot  # noqa: F401
 
 WHITE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows that a Python worker is sent at a time, beyond one row.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Send Python workers some BATCH_BYTES at a time, whatever the length of the texts; a bound that the session has been given stays.
+
+    The bound is the session's, since it is read when a returned DataFrame runs. It changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def words_in(text: Column) -> Column:
     """Number of runs of characters that aren't white space; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_bound, packed, unpacked
+from .common import bound_batches, hash_bound, packed, unpacked
 
 #: Bytes of text that a task labels at a time.
 BLOCK = 1 << 19
@@ -210,6 +210,7 @@ def train_byte_gru(
     document ``stretches_per_doc`` stretches spread over its whole text. Every language with a labelled text
     is learned. Reads text, lang and doc_id of rows where ``usable`` holds; null languages are left out. No such
     rows: a model that knows no language. Languages equally likely for a text: the first by name."""
+    bound_batches(docs.sparkSession)
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
     common = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
     languages = sorted(common)
@@ -251,6 +252,7 @@ def identify_languages(docs: DataFrame, model: ByteGru) -> DataFrame:
     Every byte of every whole text is labelled. Texts that are null or have no letter get
     ``und`` and 0, as all texts do under a model that knows no language. Nothing is shuffled.
     """
+    bound_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 10,000 numbers
 

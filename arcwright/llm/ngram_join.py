@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot, packed, unpacked
+from .common import bound_batches, cut, join_hot, packed, unpacked
 from ..operators.components import star_components
 from .shingles import mix, shingle_sets
 
 #: Nodes of a candidate group that are compared with each other, or with those of another chunk, in one task.
 CHUNK = 512
 #: Texts are hashed in slices of about this many characters.
-SLICE = 2_000_000
+SLICE = 500_000
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int = 96) -> tuple[int, int]:
@@ -188,6 +188,7 @@ def _groups(nodes: DataFrame) -> DataFrame:
 
 def _blocks(docs: DataFrame, n: int, threshold: float, recall: float, most_hashes: int, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed rows, nodes with their number of documents, block rows: lead, i, j, node, part, leads, n_docs, grams)."""
+    bound_batches(docs.sparkSession)
     bands, rows = bands_for(threshold, recall, most_hashes)
     signed = cut(_signatures(docs, n, bands, rows))
     nodes = cut(

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import bound_batches, packed, unpacked
 from .dom import INLINE, Dom, parse
 
 #: Characters of HTML that a task labels at a time.
@@ -302,6 +302,7 @@ def extract_content(pages: DataFrame, model: ContentModel) -> DataFrame:
     within a block becomes one space, and blocks are joined by one space in page order. A
     page without content has an empty text. Nothing is shuffled.
     """
+    bound_batches(pages.sparkSession)
     columns = [c for c in pages.columns if c not in ("text", "n_chars")]
     shared = pages.sparkSession.sparkContext.broadcast(model)  # some thousand weights
 

@@ -7,7 +7,7 @@ import numpy as np
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes hashed at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _table = np.random.RandomState(7).randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64)
 _white = np.zeros(256, bool)
 _white[[9, 10, 11, 12, 13, 32]] = True

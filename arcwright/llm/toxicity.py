@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_bound, packed, unpacked
+from .common import bound_batches, hash_bound, packed, unpacked
 from .shingles import mix, shingle_sets
 
 _word = re.compile(r"[^\W_]+")
@@ -248,6 +248,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, limit: float = 0.7) ->
 
     Whole texts are read; a null or empty text gets the score of an even comparison. Nothing is shuffled.
     """
+    bound_batches(docs.sparkSession)
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 

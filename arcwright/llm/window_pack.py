@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Chunks of text whose ids a worker remembers at a time; some 30 MB.
 CHUNK_CACHE = 200_000
 _SCHEMA = "doc_id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -72,15 +75,22 @@ class TextIds:
 
     def __init__(self, tokenizer_path: str, ranks_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer_path = tokenizer_path
+        with open(tokenizer_path, encoding="utf-8") as file:
+            self.special = [t["content"] for t in json.load(file)["added_tokens"]]
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def whole(self):
+        """Made by the first text with a special token's string; few workers meet one."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.tokenizer_path)
+
     def __call__(self, text: str) -> bytes:
         """The text's ids as unsigned 32-bit integers of the machine's byte order."""
         if any(s in text for s in self.special):
@@ -256,5 +266,6 @@ def pack_windows(
         if out:
             yield flush()
 
+    bound_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text")).mapInArrow(pack, _SCHEMA.format(id_type=id_type))
