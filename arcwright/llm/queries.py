@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .collision_ann import nearest_vectors
+from .collocations import collocations
 from .common import table
 from .language_id import identify_languages, train_byte_gru
 from .line_runs import dedup_lines
 from .metric_tree import top_inner_products
 from .ngram_join import near_classes
 from .page_content import extract_content, train_page_content
+from .progressive_centroids import cluster_vectors
 from .shard_tree import HashTree, shard_rows
 from .source_mix import mix_sources
 from .toxicity import score_toxicity, train_toxicity
+from .url_rules import ListRule, judge_urls, label_urls, train_url_rules
 from .window_pack import pack_windows
 
 #: Two files of one vocabulary, and the pattern that splits text before its merges (fixed values).
@@ -83,6 +86,23 @@ def op10_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_hadamard_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: The list of the URL query (fixed values).
+URL_LIST = [ListRule("allow", "org", "/"), ListRule("block", "example.org", "/es/"), ListRule("block", "example.org", "/en/1"), ListRule("allow", "com", "/fr/"), ListRule("block", "com", "/de/")]
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, URL_LIST, train_url_rules(label_urls(pages, URL_LIST))).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_hash_tree_shards": op2_hash_tree_shards,
@@ -94,10 +114,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_dom_model": op8_dom_model,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_metric_tree": op10_metric_tree,
+    "op11_hadamard_centroids": op11_hadamard_centroids,
+    "op12_url_rules": op12_url_rules,
+    "op13_collocations": op13_collocations,
 }
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+def _centroid_sql() -> str:
+    """The query of operator 11 as SQL: three rounds and a last assignment, spelt out."""
+    out = """
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS rn, vec_id, embedding AS e, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        c0 AS MATERIALIZED (SELECT k, v AS c FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, e) - 1 AS k, v FROM kept) WHERE k < 16)"""
+    for i in range(4):
+        out += f""",
+        a{i} AS MATERIALIZED (
+            SELECT rn, arg_min(k, (d, k)) AS k, min(d) AS d
+            FROM (SELECT rn, k, list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d FROM kept, c{i}) GROUP BY rn
+        )"""
+        if i < 3:
+            out += f""",
+        m{i + 1} AS (
+            SELECT k, list(m ORDER BY i) AS c FROM (
+                SELECT k, i, (s - (((s % n) + n) % n)) // n AS m
+                FROM (SELECT a.k, i, sum(v[i])::BIGINT AS s, count(*)::BIGINT AS n FROM kept JOIN a{i} a USING (rn), (SELECT unnest(range(1, 65)) AS i) GROUP BY a.k, i)
+            ) GROUP BY k
+        ),
+        c{i + 1} AS MATERIALIZED (SELECT c{i}.k, coalesce(m{i + 1}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i + 1} ON c{i}.k = m{i + 1}.k)"""
+    return out + """
+        SELECT vec_id, a.k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a3 a JOIN kept USING (rn) JOIN c3 ON c3.k = a.k
+    """
+
+
 ORACLES: dict[str, str] = {
     "op10_metric_tree": """
         WITH ok AS (
@@ -178,4 +231,82 @@ ORACLES: dict[str, str] = {
                     WHEN upto - share < rest THEN ((rest - upto + share) * size) // share ELSE 0 END)::BIGINT AS taken
         FROM placed p JOIN budgets b ON p.source IS NOT DISTINCT FROM b.source
     """,
+    "op11_hadamard_centroids": _centroid_sql(),
+    "op12_url_rules": r"""
+        WITH cutup AS (
+            SELECT row_number() OVER () AS rn, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ),
+        parted AS (
+            SELECT rn, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+                   regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query, regexp_extract(rest, '(?s)^[^#]*#(.*)', 1) AS fragment
+            FROM cutup
+        ),
+        rules(verdict, h, p) AS (
+            VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+        ),
+        fitting AS (
+            SELECT rn, arg_max(h || p, length(h || p) * 1000 + length(h)) AS rule, arg_max(verdict, length(h || p) * 1000 + length(h)) AS listed
+            FROM parted JOIN rules ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p) GROUP BY rn
+        ),
+        urls AS MATERIALIZED (
+            SELECT a.*, f.rule, f.listed, list_distinct(list_concat(
+                list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+                list_transform(list_filter(string_split_regex(translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: 'p:' || x),
+                list_transform(list_filter(string_split_regex(translate(query, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: 'q:' || x),
+                list_transform(list_filter(string_split_regex(translate(fragment, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> ''), lambda x: 'f:' || x)
+            )) AS tokens
+            FROM parted a LEFT JOIN fitting f USING (rn)
+        ),
+        totals AS (
+            SELECT count(*) AS n, count(*) FILTER (WHERE listed = 'allow') AS na, count(*) FILTER (WHERE listed = 'block') AS nb, greatest(5, ceil(0.002::DOUBLE * count(*)))::BIGINT AS least
+            FROM urls WHERE listed IS NOT NULL
+        ),
+        each AS (SELECT rn, listed, unnest(tokens) AS token FROM urls WHERE listed IS NOT NULL),
+        known AS (SELECT token, count(*) AS k, count(*) FILTER (WHERE listed = 'block') AS b FROM each GROUP BY token HAVING count(*) >= (SELECT least FROM totals)),
+        chosen AS (
+            SELECT rn, any_value(listed) AS listed, list(token ORDER BY apart DESC, token)[1:10] AS ts
+            FROM (SELECT e.*, abs(b * na - (k - b) * nb) AS apart FROM each e JOIN known USING (token), totals) GROUP BY rn
+        ),
+        places AS (SELECT rn, listed, list_sort(ts) AS ts FROM chosen),
+        combos AS (
+            SELECT listed, [x.t] AS c FROM (SELECT listed, unnest(ts) AS t FROM places) x
+            UNION ALL SELECT listed, [ts[i], ts[j]] FROM places, range(1, 11) a(i), range(1, 11) b(j) WHERE i < j AND j <= len(ts)
+            UNION ALL SELECT listed, [ts[i], ts[j], ts[k]] FROM places, range(1, 11) a(i), range(1, 11) b(j), range(1, 11) c(k) WHERE i < j AND j < k AND k <= len(ts)
+        ),
+        mined AS (
+            SELECT c, verdict, freq, base, row_number() OVER (ORDER BY freq::DOUBLE / base DESC, freq DESC, len(c), array_to_string(c, ' '), verdict) AS nth
+            FROM (SELECT c, count(*) AS base FROM combos GROUP BY c)
+            JOIN (SELECT c, listed AS verdict, count(*) AS freq FROM combos GROUP BY c, listed) USING (c), totals
+            WHERE freq >= least AND base >= least AND freq::DOUBLE / base >= 0.8
+        ),
+        matched AS (SELECT rn, arg_min(m.verdict, nth) AS verdict FROM urls JOIN mined m ON list_has_all(tokens, c) WHERE listed IS NULL GROUP BY rn)
+        SELECT page_id, host, path, rule, coalesce(listed, m.verdict, CASE WHEN nb > na THEN 'block' ELSE 'allow' END) AS verdict
+        FROM urls LEFT JOIN matched m USING (rn), totals
+    """,
+    "op13_collocations": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ),
+        pieces AS (SELECT d, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p, generate_subscripts(string_split_regex(t, '[.,;:!?\x0A-\x0D]'), 1) AS i FROM docs),
+        words AS (SELECT d, i, lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+        spans AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS s FROM words WHERE len(ws) > 0),
+        totals AS (SELECT lang, count(*)::BIGINT AS n FROM spans GROUP BY lang),
+        grams AS (SELECT lang, m, array_to_string(ws[s : s + m - 1], ' ') AS phrase FROM spans, (SELECT unnest(range(1, 6)) AS m) WHERE s + m - 1 <= len(ws)),
+        f AS (SELECT lang, m, phrase, count(*)::BIGINT AS f FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 100),
+        cand AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS parts FROM f WHERE m >= 2),
+        covered AS (
+            SELECT lang, array_to_string(parts[1 : m - 1], ' ') AS phrase, a FROM cand WHERE m > 2
+            UNION SELECT lang, array_to_string(parts[2 : m], ' '), a FROM cand WHERE m > 2
+        ),
+        kept AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM covered v WHERE v.lang = c.lang AND v.phrase = c.phrase AND v.a = c.a)),
+        cuts AS (SELECT *, unnest(range(1, m)) AS k FROM kept),
+        scored AS (
+            SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, t.n, k, ((1000::HUGEINT * c.a * t.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(parts[1 : k], ' ')
+            JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(parts[k + 1 : c.m], ' ') JOIN totals t ON t.lang = c.lang
+        ),
+        lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE nth = 1)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+    """,
 }
