@@ -32,7 +32,7 @@ DEPTH = 5
 #: A lead with this share of the sampled suffixes, or half of it as counted in parts, is lengthened.
 SHARE = 1 / 4096
 #: Texts of the sample that shows such leads.
-SAMPLE_TEXTS = 20_000
+SAMPLE_TEXTS = 5_000
 #: Suffixes that a task sorts on average.
 GROUP_SUFFIXES = 1_000_000
 #: What a language column without a value stands for.
@@ -58,22 +58,38 @@ def suffixes(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]
     bits = max(1, int(len(coded.dictionary)).bit_length())
     keys, at = [], 0
     while at < DEPTH:  # as many columns in a 64-bit key as fit
-        key, room = np.zeros(len(ids), np.int64), 63
-        while at < DEPTH and room >= bits:
+        key, used = np.zeros(len(ids), np.int64), 0
+        while at < DEPTH and used + bits <= 63:
             key = (key << bits) | (columns[at] + 1)
-            at, room = at + 1, room - bits
-        keys.append(key)
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(ids), bool)
-    new[0] = True
-    for key in keys:
-        ranked = key[order]
-        new[1:] |= ranked[1:] != ranked[:-1]
+            at, used = at + 1, used + bits
+        keys.append((key, used))
+    order, new = _sorted_runs(keys)
     first = np.flatnonzero(new)
     windows = np.stack([c[order[first]] for c in columns], axis=1).astype(np.int32)
     return coded.dictionary, windows, np.diff(np.append(first, len(ids)))
 
 
+def _sorted_runs(keys: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new) that sorts rows by keys of so many bits, the first one foremost, and where in that order a row differs from the one before."""
+    order = np.argsort(keys[0][0])
+    ranked = keys[0][0][order]
+    new = np.append(True, ranked[1:] != ranked[:-1])
+    for key, bits in keys[1:]:
+        run = np.cumsum(new) - 1
+        tied = np.flatnonzero(~new | np.append(~new[1:], False))  # rows that have an equal one beside them
+        if not len(tied):
+            break
+        if bits + int(run[-1]).bit_length() <= 63:
+            both = (run[tied] << bits) | key[order[tied]]
+            inner = np.argsort(both)
+        else:
+            inner = np.lexsort((key[order[tied]], run[tied]))
+        order[tied] = order[tied][inner]
+        ranked = key[order]
+        new[1:] |= ranked[1:] != ranked[:-1]
+    return order, new
+
+
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word, by its two CRCs; the same in every task."""
     low = np.fromiter((zlib.crc32(w) for w in words), np.uint64, len(words))
@@ -81,17 +97,37 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     return mix((high << np.uint64(32)) ^ low ^ np.uint64(0x5851F42D))
 
 
+def _next_leads(leads: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(leads * np.uint64(0x9E3779B97F4A7C15) + words)
+
+
 def lead_hashes(lang: str, words: list[bytes], windows: np.ndarray) -> np.ndarray:
     """Hashes of each window's leads of 1 to ``DEPTH`` words, one column a length."""
     of = np.append(_word_hashes(words), np.uint64(0x1F83D9AB))  # the last stands for no word
     lead = np.full(len(windows), _word_hashes([lang.encode()])[0], np.uint64)
     out = []
     for d in range(windows.shape[1]):
-        lead = mix(lead * np.uint64(0x9E3779B97F4A7C15) + of[windows[:, d]])
+        lead = _next_leads(lead, of[windows[:, d]])
         out.append(lead)
     return np.stack(out, axis=1) if out else np.empty((len(windows), 0), np.uint64)
 
 
+def routes(lang: str, words: list[bytes], windows: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the lead that each window is routed by, its words): one word, and one more as long as the lead is among ``longer`` (sorted hashes)."""
+    of = np.append(_word_hashes(words), np.uint64(0x1F83D9AB))
+    lead = _next_leads(np.full(len(windows), _word_hashes([lang.encode()])[0], np.uint64), of[windows[:, 0]])
+    depth = np.ones(len(windows), np.int64)
+    live = np.arange(len(windows))
+    for d in range(1, DEPTH):
+        at = np.searchsorted(longer, lead[live])
+        live = live[longer[np.minimum(at, len(longer) - 1)] == lead[live]] if len(longer) else live[:0]
+        if not len(live):
+            break
+        lead[live] = _next_leads(lead[live], of[windows[live, d]])
+        depth[live] = d + 1
+    return lead, depth
+
+
 def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str | None]]]:
     texts: dict[str, list[str | None]] = {}
     for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -99,9 +135,8 @@ def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str | None]]
     yield from texts.items()
 
 
-def _long_leads(docs: DataFrame, share: float, sample_texts: int) -> tuple[np.ndarray, int]:
-    """(sorted hashes of the leads to be lengthened, texts in all)."""
-    n = docs.count()
+def _long_leads(docs: DataFrame, n: int, share: float, sample_texts: int) -> np.ndarray:
+    """Sorted hashes of the leads to be lengthened; n: texts in all."""
     some = docs.where(F.xxhash64("text", F.lit(5)) <= hash_bound(sample_texts, n)) if n > sample_texts else docs
 
     def leads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,14 +160,20 @@ def _long_leads(docs: DataFrame, share: float, sample_texts: int) -> tuple[np.nd
     total = found.where("lead = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     # of suffixes with a lead of one length no more than 2 / share leads can have this many
     rows = found.where((F.col("lead") != 0) & (F.col("n") >= total * share / 2)).select("lead").collect()
-    return np.sort(np.array([r["lead"] for r in rows], np.int64).astype(np.uint64)), n
+    return np.sort(np.array([r["lead"] for r in rows], np.int64).astype(np.uint64))
 
 
 def pack_windows_of(lang: str, words: list[bytes], windows: np.ndarray, counts: np.ndarray, depth: np.ndarray) -> bytes:
     """Windows, their numbers and depths, with the words they use; see ``unpack_windows``."""
-    used, places = np.unique(windows, return_inverse=True)
-    own = [words[i] for i in used if i != _PAD]
-    places = places.reshape(windows.shape) - (1 if len(used) and used[0] == _PAD else 0)
+    used = np.unique(windows) if windows.size < len(words) // 8 else np.flatnonzero(np.bincount(windows.ravel() + 1, minlength=len(words) + 1)) - 1
+    used = used[used != _PAD]
+    own = [words[i] for i in used.tolist()]
+    if windows.size < len(words) // 8:
+        places = np.where(windows == _PAD, _PAD, np.searchsorted(used, windows))
+    else:
+        place = np.full(len(words) + 1, _PAD, np.int32)  # the last is picked by -1
+        place[used] = np.arange(len(used))
+        places = place[windows]
     kind = np.dtype("<i2" if len(own) < 1 << 15 else "<i4")
     most = int(counts.max(initial=0))
     number = np.dtype("<u1" if most < 256 else "<i8")
@@ -190,9 +231,9 @@ def phrase_counts(docs: DataFrame, least: int, share: float = SHARE, sample_text
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
-    found, _ = _long_leads(docs, share, sample_texts)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    groups = max(1, -(-int(size) // (6 * group_suffixes)))  # a word and its space are six bytes or so
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    found = _long_leads(docs, size["n"], share, sample_texts)
+    groups = max(1, -(-int(size["bytes"]) // (6 * group_suffixes)))  # a word and its space are six bytes or so
     leads = docs.sparkSession.sparkContext.broadcast(found)  # 2 / share for each length at most
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,13 +244,8 @@ def phrase_counts(docs: DataFrame, least: int, share: float = SHARE, sample_text
                 if not len(windows):
                     continue
                 words = coded.to_pylist()
-                hashes = lead_hashes(lang, words, windows)
-                depth = np.ones(len(windows), np.int64)
-                for d in range(DEPTH - 1):
-                    at = np.minimum(np.searchsorted(leads.value, hashes[:, d]), max(0, len(leads.value) - 1))
-                    longer = (leads.value[at] == hashes[:, d]) if len(leads.value) else np.zeros(len(windows), bool)
-                    depth[longer & (depth == d + 1)] = d + 2
-                place = (hashes[np.arange(len(windows)), depth - 1] % np.uint64(groups)).astype(np.int64)
+                lead, depth = routes(lang, words, windows, leads.value)
+                place = (lead % np.uint64(groups)).astype(np.int64)
                 order = np.argsort(place, kind="stable")
                 starts = np.flatnonzero(np.diff(place[order], prepend=-1))
                 for s, e in zip(starts, np.append(starts[1:], len(order)), strict=True):
