@@ -140,6 +140,63 @@ def review_log(changes: DataFrame) -> DataFrame:
     return changes.withColumn("from_status", F.lag("status").over(order)).withColumn("is_current", F.lead("change_id").over(order).isNull())
 
 
+# States of a submission, those in which its owner may still edit it, and those that a reviewer may choose.
+UNREVIEWED = ("baseline_failed", "baseline_passed")
+REVIEW_STATES = (*UNREVIEWED, "under_review", "accepted", "rejected")
+
+
+def per_item(changes: DataFrame, bulk: DataFrame) -> DataFrame:
+    """Changes with those of bulk actions, one row for each item of ``item_ids``; bulk: change_id, item_ids, changed_at, target, actor, may_review, note. Items named twice count once."""
+    each = bulk.withColumn("item_id", F.explode(F.array_distinct("item_ids"))).drop("item_ids").withColumn("action", F.lit("status"))
+    return changes.unionByName(each, allowMissingColumns=True)
+
+
+def reviewed(changes: DataFrame) -> DataFrame:
+    """Every change with from_status, to_status and refused, by the rules of review; in order of changed_at, then change_id, item by item.
+
+    Needs change_id, item_id, changed_at, action, actor, passed (the edit's or submission's baseline check), target (a status change's), may_review (whether
+    the actor may review and delete). Actions: ``submit`` opens an item as baseline_passed or baseline_failed and makes its actor the owner; ``edit`` checks it anew while it is
+    unreviewed, for its owner or a reviewer, and later leaves its status, for a reviewer only; ``status`` sets the target; ``delete`` ends the item for good. refused:
+    ``unknown`` (no item, or a deleted one), ``exists``, ``permission``, ``locked`` (an owner's edit after review began), ``target``, ``action``, else null. A refused change leaves the status.
+    """
+    w = Window.partitionBy("item_id").orderBy("changed_at", "change_id")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    is_, target = lambda *a: F.coalesce(F.col("action").isin(*a), F.lit(False)), F.col("target").isin(*REVIEW_STATES)
+    checked = F.when(yes("passed"), "baseline_passed").otherwise("baseline_failed")
+    opened = F.coalesce(F.max(is_("submit").cast("int")).over(before) > 0, F.lit(False))
+    gone = F.max((F.col("_open") & is_("delete") & yes("may_review")).cast("int")).over(before) > 0
+    rows = changes.withColumn("_open", opened).withColumn("_open", F.col("_open") & ~F.coalesce(gone, F.lit(False)))
+    # what decides whether an item is locked: its first submission and the changes of status that count; edits never do
+    rows = rows.withColumn("_first", is_("submit") & (F.sum(is_("submit").cast("int")).over(upto) == 1))
+    rows = rows.withColumn("_set", F.when(F.col("_first"), checked).when(F.col("_open") & is_("status") & yes("may_review") & target, F.col("target")))
+    rows = rows.withColumn("_owner", F.last(F.when(F.col("_first"), F.col("actor")), True).over(upto)).withColumn("_locked", ~F.last("_set", True).over(before).isin(*UNREVIEWED))
+    own = F.coalesce(F.col("actor") == F.col("_owner"), F.lit(False))
+    refused = (
+        F.when(~is_("submit", "edit", "status", "delete"), "action").when(is_("submit"), F.when(~F.col("_first"), "exists")).when(~F.col("_open"), "unknown")
+        .when(is_("edit"), F.when(~own & ~yes("may_review"), "permission").when(F.col("_locked") & ~yes("may_review"), "locked")).when(~yes("may_review"), "permission")
+        .when(is_("status") & ~F.coalesce(target, F.lit(False)), "target")
+    )
+    rows = rows.withColumn("refused", refused)
+    edited = is_("edit") & F.col("refused").isNull() & ~F.col("_locked")
+    rows = rows.withColumn("_now", F.when(edited, checked).otherwise(F.col("_set")))
+    deleted = is_("delete") & F.col("refused").isNull()
+    rows = rows.withColumn("from_status", F.when(F.col("_open"), F.last("_now", True).over(before))).withColumn("to_status", F.when(~deleted & (F.col("_open") | F.col("_first")), F.last("_now", True).over(upto)))
+    return rows.drop("_open", "_first", "_set", "_owner", "_locked", "_now")
+
+
+def review_states(changes: DataFrame) -> DataFrame:
+    """(item_id, status, owner, moderated_by, moderated_at, changes, refused) of every item that was opened and not deleted; see ``reviewed``."""
+    done = reviewed(changes)
+    counts = F.col("refused").isNull()
+    set_by = F.max(F.when(counts & (F.col("action") == "status"), F.struct("changed_at", "change_id", "actor")))
+    out = done.groupBy("item_id").agg(
+        F.max_by("to_status", F.struct("changed_at", "change_id")).alias("status"), F.max(F.when(counts & (F.col("action") == "submit"), F.col("actor"))).alias("owner"), set_by.alias("_m"),
+        F.count_if(counts).alias("changes"), F.count_if(~counts).alias("refused"),
+    )
+    return out.where("status IS NOT NULL").select("item_id", "status", "owner", F.col("_m.actor").alias("moderated_by"), F.col("_m.changed_at").alias("moderated_at"), "changes", "refused")
+
+
 # Texts of a result and how many characters of each are kept, and its states.
 RESULT_TEXTS = {"review_tier": 80, "method_version": 120, "worker_id": 120, "worker_version": 120}
 RESULT_STATES = ("succeeded", "failed", "source_unavailable")

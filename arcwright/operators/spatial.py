@@ -29,7 +29,8 @@ def _cell(x: Column, level: Column) -> Column:
     return F.floor((x + 1.0) * (EARTH_RADIUS_KM / BASE_KM) / F.pow(F.lit(2.0), level)).cast("int")
 
 
-def _cells(df: DataFrame, lon: str, lat: str, level: str, around: bool) -> DataFrame:
+def cells(df: DataFrame, lon: str, lat: str, level: str, around: bool) -> DataFrame:
+    """Rows with the cube (_cx, _cy, _cz) of their level that they lie in, or once for each of the 27 around them."""
     x, y, z = unit_vector(lon, lat)
     df = df.withColumns({"_cx": _cell(x, F.col(level)), "_cy": _cell(y, F.col(level)), "_cz": _cell(z, F.col(level))})
     if around:
@@ -45,9 +46,9 @@ def near_pairs(asking: DataFrame, asked: DataFrame, reach: Column, levels: Colum
     a row can be asked for; rows without position or reach have no pairs.
     """
     a = asking.withColumn("_reach", reach).where("_reach IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL")
-    a = _cells(a.withColumn("_level", level_of(F.col("_reach"))), "lon", "lat", "_level", True)
+    a = cells(a.withColumn("_level", level_of(F.col("_reach"))), "lon", "lat", "_level", True)
     b = asked.where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("_level", F.explode(levels))
-    b = _cells(b, "lon", "lat", "_level", False)
+    b = cells(b, "lon", "lat", "_level", False)
     b = b.select([F.col(c).alias(f"{prefix}{c}" if c[0] != "_" else f"{c}_b") for c in b.columns])
     on = [F.col(c) == F.col(f"{c}_b") for c in ("_level", "_cx", "_cy", "_cz")]
     joined = a.join(b, on).withColumn("distance_km", great_circle_km("lon", "lat", f"{prefix}lon", f"{prefix}lat"))

@@ -65,8 +65,9 @@ def review_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     duck("job_events") + """ SELECT job_id, event_id, event FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY event_ts DESC, event_id DESC) AS n FROM job_events) q WHERE n = 1""",
 )
 def latest_per_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = view(spark, sf_dir, "job_events").groupBy("job_id").agg(F.max(F.struct("event_ts", "event_id", "event")).alias("m"))
-    return e.select("job_id", "m.event_id", "m.event")
+    from ..operators.ranking import latest_per_parent
+
+    return latest_per_parent(view(spark, sf_dir, "job_events"), "job_id", [F.desc("event_ts"), F.desc("event_id")]).select("job_id", "event_id", "event")
 
 
 @query(
@@ -81,13 +82,17 @@ def status_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "recent_per_owner",
-    duck("job_events") + """ SELECT worker_id, event_id, n::INTEGER AS n FROM (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY event_ts DESC, event_id DESC) AS n FROM job_events) q WHERE n <= 6""",
+    duck("job_events")
+    + """, c AS (SELECT worker_id AS owner, job_id AS candidate_id, min(event_ts) AS created_at FROM job_events GROUP BY ALL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY created_at DESC, candidate_id DESC) AS nth FROM c)
+      SELECT owner, candidate_id, nth::INTEGER AS nth, j.event_id AS latest_job_id, j.event AS latest_job_status FROM r JOIN
+        (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY event_ts DESC, event_id DESC) AS n FROM job_events) q WHERE n = 1) j ON j.job_id = r.candidate_id WHERE nth <= 6""",
 )
 def recent_per_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("worker_id").orderBy(F.desc("event_ts"), F.desc("event_id"))
-    return view(spark, sf_dir, "job_events").withColumn("n", F.row_number().over(order)).where("n <= 6").select("worker_id", "event_id", "n")
+    e = view(spark, sf_dir, "job_events")
+    candidates = e.groupBy(F.col("worker_id").alias("owner"), F.col("job_id").alias("candidate_id")).agg(F.min("event_ts").alias("created_at"))
+    jobs = e.select(F.col("job_id").alias("candidate_id"), F.col("event_ts").alias("created_at"), F.col("event_id").alias("job_id"), F.col("event").alias("status"))
+    return J.recent_of_owners(candidates, jobs).select("owner", "candidate_id", "nth", "latest_job_id", "latest_job_status")
 
 
 @query(
@@ -141,11 +146,46 @@ def evidence_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "backfill_without_job",
-    duck("candidates", "job_events") + """ SELECT candidate_id FROM candidates WHERE source_index NOT IN (SELECT job_id FROM job_events WHERE event IN ('queued', 'claimed'))""",
+    duck("candidates", "job_events")
+    + """ SELECT candidate_id FROM candidates WHERE source_index % 5 <> 0 AND source_index NOT IN (SELECT job_id FROM job_events WHERE event IN ('queued', 'claimed'))""",
 )
 def backfill_without_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = view(spark, sf_dir, "job_events").where(F.col("event").isin("queued", "claimed")).select(F.col("job_id").alias("source_index")).distinct()
-    return view(spark, sf_dir, "candidates").join(live, "source_index", "left_anti").select("candidate_id")
+    candidates = view(spark, sf_dir, "candidates").withColumn("followup_status", F.when(F.col("source_index") % 5 == 0, "scored").otherwise("source_unavailable"))
+    jobs = view(spark, sf_dir, "job_events").select(F.format_string("arc_%06d", "job_id").alias("candidate_id"), F.col("event").alias("status"))
+    return J.jobs_to_backfill(candidates, jobs).select("candidate_id")
+
+
+@query(
+    "review_rules",
+    duck("job_events")
+    + """, c AS (SELECT event_id AS change_id, job_id AS item_id, event_ts AS ts, CASE WHEN event_id % 40 = 7 THEN 'delete' WHEN event = 'queued' THEN 'submit' WHEN event IN ('claimed', 'heartbeat') THEN 'edit' ELSE 'status' END AS action,
+        worker_id AS actor, event_id % 3 = 0 AS passed, CASE event_id % 4 WHEN 0 THEN 'under_review' WHEN 1 THEN 'accepted' WHEN 2 THEN 'baseline_passed' ELSE 'other' END AS target, event_id % 5 < 2 AS may FROM job_events
+        UNION ALL SELECT -event_id, i, event_ts, 'status', worker_id, NULL, 'rejected', TRUE FROM (SELECT *, unnest([job_id, job_id + 1]) AS i FROM job_events WHERE event = 'failed' AND event_id % 10 = 1) b),
+      o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ts, change_id) AS n FROM c),
+      f AS (SELECT item_id, min(n) AS first_n, arg_min(actor, n) AS owner FROM o WHERE action = 'submit' GROUP BY 1),
+      g AS (SELECT o.item_id, min(n) AS gone_n FROM o JOIN f USING (item_id) WHERE action = 'delete' AND may AND n > first_n GROUP BY 1),
+      s AS (SELECT o.*, first_n, owner, coalesce(n > first_n, FALSE) AND (gone_n IS NULL OR n <= gone_n) AS open, coalesce(n = first_n, FALSE) AS first FROM o LEFT JOIN f USING (item_id) LEFT JOIN g USING (item_id)),
+      t AS (SELECT *, CASE WHEN passed THEN 'baseline_passed' ELSE 'baseline_failed' END AS checked FROM s),
+      k AS (SELECT *, CASE WHEN first THEN checked WHEN open AND action = 'status' AND may AND target <> 'other' THEN target END AS fixed FROM t),
+      l AS (SELECT *, last_value(fixed IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) NOT IN ('baseline_passed', 'baseline_failed') AS locked FROM k),
+      r AS (SELECT *, CASE WHEN action = 'submit' THEN CASE WHEN first THEN NULL ELSE 'exists' END WHEN NOT open THEN 'unknown' WHEN action = 'edit' THEN CASE WHEN NOT may AND actor <> owner THEN 'permission' WHEN NOT may AND locked THEN 'locked' END
+        WHEN NOT may THEN 'permission' WHEN action = 'status' AND target = 'other' THEN 'target' END AS refused FROM l),
+      v AS (SELECT *, CASE WHEN action = 'edit' AND refused IS NULL AND NOT locked THEN checked ELSE fixed END AS now FROM r)
+      SELECT change_id, item_id, action, refused, CASE WHEN open THEN last_value(now IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS from_status,
+        CASE WHEN (open OR first) AND NOT (action = 'delete' AND refused IS NULL) THEN last_value(now IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY n ROWS UNBOUNDED PRECEDING) END AS to_status FROM v""",
+)
+def review_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = view(spark, sf_dir, "job_events")
+    k = F.col("event_id")
+    changes = e.select(
+        k.alias("change_id"), F.col("job_id").alias("item_id"), F.col("event_ts").alias("changed_at"),
+        F.when(k % 40 == 7, "delete").when(F.col("event") == "queued", "submit").when(F.col("event").isin("claimed", "heartbeat"), "edit").otherwise("status").alias("action"), F.col("worker_id").alias("actor"),
+        (k % 3 == 0).alias("passed"), F.when(k % 4 == 0, "under_review").when(k % 4 == 1, "accepted").when(k % 4 == 2, "baseline_passed").otherwise("other").alias("target"), (k % 5 < 2).alias("may_review"),
+    )
+    bulk = e.where((F.col("event") == "failed") & (k % 10 == 1)).select(
+        (-k).alias("change_id"), F.array("job_id", F.col("job_id") + 1).alias("item_ids"), F.col("event_ts").alias("changed_at"), F.lit("rejected").alias("target"), F.col("worker_id").alias("actor"), F.lit(True).alias("may_review")
+    )
+    return J.reviewed(J.per_item(changes, bulk)).select("change_id", "item_id", "action", "refused", "from_status", "to_status")
 
 
 @query(
@@ -174,13 +214,12 @@ def planetary_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "adjacent_ratios",
-    """SELECT vec_id, n, round(first, 4) AS first, round(last, 4) AS last FROM (SELECT vec_id, len(r)::INTEGER AS n, r[1] AS first, r[-1] AS last FROM (
-      SELECT vec_id, list_transform(range(2, len(v) + 1), lambda i: v[i] / v[i - 1]) AS r FROM (SELECT vec_id, list_sort(list_filter(list_transform(embedding, lambda x: round(x::DOUBLE, 5)), lambda x: x > 0)) AS v FROM embeddings) a) b WHERE len(r) > 0) c""",
+    """SELECT vec_id, len(r)::INTEGER AS n, r[1] AS first, r[-1] AS last FROM (
+      SELECT vec_id, list_transform(range(2, len(v) + 1), lambda i: v[i] / v[i - 1]) AS r FROM (SELECT vec_id, list_sort(list_filter(list_transform(embedding, lambda x: x::DOUBLE), lambda x: x > 0)) AS v FROM embeddings) a) b WHERE len(r) > 0""",
 )
 def adjacent_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.relational import ratios
 
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    radii = F.transform("embedding", lambda x: F.round(x.cast("double"), 5))
-    r = e.select("vec_id", ratios(radii).alias("r")).where("size(r) > 0")
-    return r.select("vec_id", F.size("r").alias("n"), F.round(F.get("r", F.lit(0)), 4).alias("first"), F.round(F.element_at("r", -1), 4).alias("last"))
+    r = e.select("vec_id", ratios(F.col("embedding").cast("array<double>")).alias("r")).where("size(r) > 0")
+    return r.select("vec_id", F.size("r").alias("n"), F.get("r", F.lit(0)).alias("first"), F.element_at("r", -1).alias("last"))  # quotients of the same doubles are the same in every engine

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.jobs import ACTIVE, LEASE_SECONDS, TERMINAL, allowed_requests, intake_checks
+from ..functions.geo import great_circle_km
+from ..operators.jobs import ACTIVE, LEASE_SECONDS, TERMINAL, allowed_requests, intake_checks, parse_results
+from ..operators.spatial import HALF_TURN_KM, cells, level_of
+from .tables import KeyedTable, latest_by, summed
 
 #: How long after its last event an ended job is remembered, so that late events are told from those of unknown jobs.
 KEEP_ENDED_SECONDS = 7 * 24 * 3600
 
 STATE = "status string, attempts long, worker string, lease double, rejected long"
-OUT = "job_id long, status string, attempt_count long, worker_id string, lease_expires_at timestamp, rejected long, cause string"
+OUT = "job_id long, status string, attempt_count long, worker_id string, lease_expires_at timestamp, rejected long, cause string, previous_status string, event_id long"
 
 
 def _advance(state: tuple, event: str, worker: str, at: float) -> tuple:
@@ -38,7 +41,7 @@ def _advance(state: tuple, event: str, worker: str, at: float) -> tuple:
 
 def _keep(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     now = state.get if state.exists else (None, 0, None, None, 0)
-    cause = "event"
+    before, cause, refused = now[0], "event", []
     if state.hasTimedOut:
         if now[0] in TERMINAL:  # nothing about it is expected any more
             state.remove()
@@ -46,8 +49,10 @@ def _keep(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupSta
         cause = "lease expired"  # claimable again, and its worker may still come back
     else:
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["event_ts", "event_id"])
-        for at, event, worker in zip(rows["event_ts"], rows["event"], rows["worker_id"], strict=True):
-            now = _advance(now, event, worker, at.timestamp())
+        for at, event, worker, event_id in zip(rows["event_ts"], rows["event"], rows["worker_id"], rows["event_id"], strict=True):
+            then, now = now, _advance(now, event, worker, at.timestamp())
+            if now[4] > then[4]:
+                refused.append(event_id)
         last = max(0.0, float(rows["event_ts"].iloc[-1].timestamp()))
     state.update(now)
     due = 0
@@ -58,38 +63,50 @@ def _keep(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupSta
     if due > state.getCurrentWatermarkMs():
         state.setTimeoutTimestamp(due)
     lease = pd.Timestamp(now[3], unit="s") if now[3] is not None else pd.NaT
-    yield pd.DataFrame({"job_id": [key[0]], "status": [now[0]], "attempt_count": [now[1]], "worker_id": [now[2]], "lease_expires_at": [lease], "rejected": [now[4]], "cause": [cause]})
+    out = pd.DataFrame({"job_id": [key[0]], "status": [now[0]], "attempt_count": [now[1]], "worker_id": [now[2]], "lease_expires_at": [lease], "rejected": [now[4]], "cause": [cause], "previous_status": [before], "event_id": [None]})
+    if refused:
+        tagged = pd.DataFrame({"job_id": key[0], "cause": "refused", "event_id": refused})
+        out = pd.concat([out, tagged.reindex(columns=out.columns).astype({"lease_expires_at": out["lease_expires_at"].dtype})], ignore_index=True)
+    yield out.astype({"attempt_count": "Int64", "rejected": "Int64", "event_id": "Int64"})
 
 
 def track_jobs(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The state of each job whenever it changes, from a stream of (event_id, job_id, event_ts, event, worker_id).
+    """The state of each job whenever it changes and every event that a job refused, from a stream of (event_id, job_id, event_ts, event, worker_id).
 
     Repeated events within the delay count once. Events of one micro-batch are applied in order of time, by the rules of the batch
-    twin ``operators.jobs.job_states``. When the watermark passes a lease, the job's row comes out with the cause ``lease expired``: it is claimable
-    again. An ended job's state goes a week of event time after its last event.
+    twin ``operators.jobs.job_states``. Rows differ by ``cause``: ``event`` for a state after events, with the ``previous_status`` that it takes the place of (null: a
+    new job); ``refused`` for one event_id that its job's state didn't allow, the side output that equals the twin's ``rejected_events``; ``lease expired`` when the
+    watermark passes a lease: the job is claimable again. An ended job's state goes a week of event time after its last event; events behind the watermark
+    are dropped by Spark and counted in the query's progress (``numRowsDroppedByWatermark``).
     """
     fresh = events.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     return fresh.groupBy("job_id").applyInPandasWithState(_keep, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def states_of(tracked: DataFrame) -> DataFrame:
+    """The rows of ``track_jobs`` that are states."""
+    return tracked.where("cause <> 'refused'").drop("event_id")
+
+
+def refused_of(tracked: DataFrame) -> DataFrame:
+    """(job_id, event_id) of the events that were refused."""
+    return tracked.where("cause = 'refused'").select("job_id", "event_id")
+
+
 def score_intake(submissions: DataFrame, study: DataFrame, delay: str = "1 hour", **limits) -> DataFrame:
     """A stream of submissions with checks, score and verdict, joined to the static study candidates on tiles.
 
     Needs submission_id and submitted_at, the event time: a submission comes out once the watermark has passed it by ``delay``.
 
-    A submission's duplicates lie within its own reach, at most a quarter of its diameter or 5 km; static rows are dealt to
-    tiles of that size class, so the join is an equi-join that streams.
+    A study row's duplicates lie within a quarter of its diameter or 5 km: it is put into the 27 cubes of that size around it, and a submission into its cube of
+    each size (a dozen), so the join is an equi-join that streams, at the poles and the date line as elsewhere.
     """
-    from ..functions.geo import great_circle_km
-
-    s = submissions.withWatermark("submitted_at", delay).withColumn("_tile", F.struct(F.floor("latitude").alias("y"), F.pmod(F.floor("longitude"), F.lit(360)).alias("x")))
-    reach = F.greatest(F.lit(5.0), 0.25 * F.col("diameter_km")) / 110.0
-    box_y = F.sequence(F.floor(F.col("lat") - reach), F.floor(F.col("lat") + reach))
-    wide = reach / F.greatest(F.lit(0.02), F.cos(F.radians("lat")))
-    box_x = F.array_distinct(F.transform(F.sequence(F.floor(F.col("lon") - wide), F.floor(F.col("lon") + F.least(wide, F.lit(179.0)))), lambda t: F.pmod(t, F.lit(360))))
-    t = study.where("diameter_km IS NOT NULL").withColumn("_y", F.explode(box_y)).withColumn("_x", F.explode(box_x))
-    t = t.select(F.struct(F.col("_y").alias("y"), F.col("_x").alias("x")).alias("_tile"), "candidate_id", "lon", "lat", F.col("diameter_km").alias("study_km"))
-    j = s.join(t, "_tile", "left")
+    s = submissions.withWatermark("submitted_at", delay).withColumn("_level", F.explode(F.sequence(F.lit(0), level_of(F.lit(HALF_TURN_KM)))))
+    s = cells(s, "longitude", "latitude", "_level", False)
+    reach = F.greatest(F.lit(5.0), 0.25 * F.col("diameter_km"))
+    t = cells(study.where("diameter_km IS NOT NULL").withColumn("_level", level_of(reach)), "lon", "lat", "_level", True)
+    keys = ["_level", "_cx", "_cy", "_cz"]
+    j = s.join(t.select(*keys, "candidate_id", "lon", "lat", F.col("diameter_km").alias("study_km")), keys, "left")
     away = great_circle_km("longitude", "latitude", "lon", "lat")
     hit = (F.col("diameter_km") > 0) & (away <= F.greatest(F.lit(5.0), 0.25 * F.least("diameter_km", "study_km")))
     best = F.min(F.when(hit, F.struct(away.alias("km"), "candidate_id")))
@@ -98,9 +115,51 @@ def score_intake(submissions: DataFrame, study: DataFrame, delay: str = "1 hour"
     return one.withColumn("duplicate_of", F.col("_b.candidate_id")).withColumns(intake_checks(**limits)).drop("_b")
 
 
-def queue_counts(states: DataFrame) -> DataFrame:
-    """Running numbers of state changes by status, for an update-mode dashboard."""
-    return states.groupBy("status").agg(F.count(F.lit(1)).alias("changes"), F.max("attempt_count").alias("most_attempts"))
+DASHBOARD = "status string, jobs long"
+REFUSED = "job_id long, event_id long"
+
+
+def status_steps(states: DataFrame) -> DataFrame:
+    """(status, jobs): what each change takes from its old status (-1) and gives to its new one (1)."""
+    moved = states.where(~F.col("status").eqNullSafe(F.col("previous_status")))
+    step = lambda c, n: F.struct(F.col(c).alias("status"), F.lit(n).cast("long").alias("jobs"))
+    return moved.select(F.explode(F.array(step("previous_status", -1), step("status", 1))).alias("s")).select("s.*").where("status IS NOT NULL")
+
+
+def queue_counts(counts: KeyedTable, refused: KeyedTable | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` for ``track_jobs``: keeps in ``counts`` (schema ``DASHBOARD``) how many jobs are in each status now, in ``refused`` (``REFUSED``) the refused events.
+
+    Every change is a retraction and an addition, so the numbers are those of a grouping of the last states, however the events fell into batches.
+    """
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # two tables from one pass over the states
+        steps = status_steps(states_of(batch)).groupBy("status").agg(F.sum("jobs").alias("jobs"))
+        counts.fold(steps, batch_id, summed(["status"], ["jobs"]))
+        if refused is not None:
+            refused.fold(refused_of(batch), batch_id, lambda table, new: table.unionByName(new).distinct())
+        batch.unpersist()
+
+    return take
+
+
+RESULTS = "job_id long, received_at timestamp, status string, score double, score_percentile double, review_tier string, method_version string, worker_id string, worker_version string, runtime_seconds double, metrics string, diagnostics string, source_fingerprints string"
+
+
+def upsert_results(table: KeyedTable, refused: KeyedTable | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` for a stream of (job_id, received_at, payload): ``table`` (schema ``RESULTS``) holds each job's latest valid result.
+
+    Payloads that are no JSON object or have an unknown status go to ``refused`` (job_id long, received_at timestamp, error string), one row a job and time. A batch that
+    comes again changes nothing, and neither does a result that came before.
+    """
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        rows = parse_results(batch)
+        table.fold(rows.where("error IS NULL"), batch_id, latest_by(["job_id"], ["received_at", "status", "score", "method_version"]))
+        if refused is not None:
+            refused.fold(rows.where("error IS NOT NULL"), batch_id, latest_by(["job_id", "received_at"], ["error"]))
+
+    return take
 
 
 def supersede_stream(requests: DataFrame, delay: str = "1 hour") -> DataFrame:

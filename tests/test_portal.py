@@ -55,3 +55,36 @@ def test_small_rules(spark):
     G.register(spark)
     r = spark.sql("SELECT arc_km(0, 0, 1, 0) AS km, arc_wrap_lon(190) AS w, arc_name_key('Ångström 2') AS k, (SELECT count(*) FROM arc_circle(0, 0, 100, 8)) AS n, (SELECT count(*) FROM arc_tiles(-5, -5, 5, 5, 10)) AS t").first()
     assert abs(r["km"] - 111.195) < 0.01 and r["w"] == -170 and r["k"] == "angstrom2" and r["n"] == 9 and r["t"] == 4
+
+
+def test_clean_json_takes_long_strings(spark):
+    long = "x" * 10_000_000
+    escaped = '\\"NaN\\\\' * 200_000
+    rows = [(1, '{"a": "' + long + '", "b": NaN}'), (2, '{"a": "' + escaped + '", "b": [-Infinity, "\\\\", NaN]}'), (3, '{"a": "NaN'), (4, '{"a": "\u0001"}'), (6, None), (7, "[NaN,NaN]")]
+    got = {r["k"]: r["j"] for r in spark.createDataFrame(rows, "k int, j string").select("k", X.clean_json("j").alias("j")).collect()}
+    assert json.loads(got[1]) == {"a": long, "b": None}
+    assert json.loads(got[2]) == {"a": '"NaN\\' * 200_000, "b": [None, "\\", None]}
+    assert [got[k] for k in (3, 4, 6)] == [None] * 3 and got[7] == "[null,null]"
+
+
+def test_review_rules(spark):
+    schema = "change_id long, item_id long, changed_at long, action string, actor string, passed boolean, target string, may_review boolean"
+    rows = [
+        (1, 1, 0, "edit", "me", True, None, True), (2, 1, 1, "submit", "me", False, None, False), (3, 1, 2, "submit", "you", True, None, False), (4, 1, 3, "edit", "you", True, None, False), (5, 1, 4, "edit", "me", True, None, False),
+        (6, 1, 5, "status", "me", None, "accepted", False), (7, 1, 6, "status", "r", None, "splendid", True), (8, 1, 7, "status", "r", None, "under_review", True), (9, 1, 8, "edit", "me", False, None, False), (10, 1, 9, "edit", "r", False, None, True),
+        (11, 1, 10, "status", "r", None, "baseline_passed", True), (12, 1, 11, "edit", "me", False, None, False), (13, 1, 12, "wave", "r", None, None, True),
+        (20, 2, 0, "submit", "me", True, None, False), (21, 2, 1, "delete", "me", None, None, False), (22, 2, 2, "delete", "r", None, None, True), (23, 2, 3, "edit", "me", True, None, True), (24, 2, 4, "submit", "me", True, None, False),
+        (30, 3, 0, "submit", None, None, None, None), (31, 4, 0, "status", "r", None, "accepted", True),
+    ]
+    bulk = spark.createDataFrame([(40, [1, 3, 3, 9], 20, "rejected", "r", True, "all of them")], "change_id long, item_ids array<long>, changed_at long, target string, actor string, may_review boolean, note string")
+    changes = J.per_item(spark.createDataFrame(rows, schema), bulk)
+    got = {(r["change_id"], r["item_id"]): (r["from_status"], r["to_status"], r["refused"]) for r in J.reviewed(changes).collect()}
+    p, f, u = "baseline_passed", "baseline_failed", "under_review"
+    want = {1: (None, None, "unknown"), 2: (None, f, None), 3: (f, f, "exists"), 4: (f, f, "permission"), 5: (f, p, None), 6: (p, p, "permission"), 7: (p, p, "target"), 8: (p, u, None), 9: (u, u, "locked"), 10: (u, u, None), 11: (u, p, None), 12: (p, f, None), 13: (f, f, "action")}
+    assert {k: got[k, 1] for k in want} == want
+    assert [got[k, 2] for k in (20, 21, 22, 23, 24)] == [(None, p, None), (p, p, "permission"), (p, None, None), (None, None, "unknown"), (None, None, "exists")]
+    assert got[30, 3] == (None, f, None) and got[31, 4] == (None, None, "unknown")
+    assert got[40, 1] == (f, "rejected", None) and got[40, 3] == (f, "rejected", None) and got[40, 9] == (None, None, "unknown")
+    states = {r["item_id"]: r for r in J.review_states(changes).collect()}
+    assert set(states) == {1, 3} and (states[1]["status"], states[1]["owner"], states[1]["moderated_by"], states[1]["moderated_at"], states[1]["changes"], states[1]["refused"]) == ("rejected", "me", "r", 20, 7, 7)
+    assert states[3]["owner"] is None
