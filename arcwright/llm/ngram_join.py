@@ -8,7 +8,7 @@
    nodes may share several groups: their pair belongs to that of the smallest lead they share.
    A group whose nodes all have the same smaller lead has no pair of its own and goes.
 3. A group's pairs are verified on full n-gram sets, in blocks of a bounded size: a
-   large group is cut into chunks, and every two chunks meet in one task. A block
+   large group is cut into chunks of bounded numbers of sets and of n-grams, and every two chunks meet in one task. A block
    returns its nodes' link counts and a spanning forest of its links, not the pairs.
 4. The forests' connected components are the classes.
 """
@@ -29,6 +29,8 @@ from .shingles import mix, shingle_sets
 
 #: Nodes of a candidate group that are compared with each other, or with those of another chunk, in one task.
 CHUNK = 512
+#: n-grams that a chunk's sets hold on average at most (8 bytes each), beyond one set.
+CHUNK_GRAMS = 500_000
 #: Texts are hashed in slices of about this many characters.
 SLICE = 500_000
 
@@ -85,25 +87,26 @@ def _band_hashes(grams: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int, ro
 
 
 def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text_id, node, bands): node and bands are null for texts without words."""
+    """(doc_id, text_id, node, size, bands): node and bands are null for texts without words; size: n-grams of the set."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _functions(bands * rows)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            nodes, hashes = [], []
+            nodes, sizes, hashes = [], [], []
             for s, e in _slices(texts):
                 for grams in shingle_sets(texts[s:e], n):
                     nodes.append(_set_key(grams) if len(grams) else None)
+                    sizes.append(len(grams))
                     hashes.append(_band_hashes(grams, a, b, bands, rows) if len(grams) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_id"), pa.array(nodes, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["doc_id", "text_id", "node", "bands"],
+                [batch.column("doc_id"), batch.column("text_id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
+                names=["doc_id", "text_id", "node", "size", "bands"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows_in = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
-    return rows_in.mapInArrow(sign, f"doc_id {kind}, text_id long, node binary, bands array<long>")
+    return rows_in.mapInArrow(sign, f"doc_id {kind}, text_id long, node binary, size long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -172,21 +175,21 @@ def _linked(block: Block, threshold: float) -> Iterator[tuple[int, np.ndarray, n
 
 
 def _groups(nodes: DataFrame) -> DataFrame:
-    """(lead, node, leads, group_size) of the candidate groups that have pairs of their own; nodes: (node, bands)."""
-    placed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    """(lead, node, leads, group_size, group_grams) of the candidate groups that have pairs of their own; nodes: (node, size, bands)."""
+    placed = nodes.select("node", "size", F.posexplode("bands").alias("band", "bucket"))
     buckets = cut(placed.groupBy("band", "bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1"))
     n_placed = buckets.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n")).first()["n"]
-    met = join_hot(placed, buckets, ["band", "bucket"], "k", n_placed).select("node", "lead").distinct()
-    members = cut(met.groupBy("node").agg(F.array_sort(F.collect_set("lead")).alias("leads")))  # no more leads than bands
-    each = members.select("node", "leads", F.explode("leads").alias("lead"))
+    met = join_hot(placed, buckets, ["band", "bucket"], "k", n_placed).select("node", "size", "lead").distinct()
+    members = cut(met.groupBy("node", "size").agg(F.array_sort(F.collect_set("lead")).alias("leads")))  # no more leads than bands
+    each = members.select("node", "size", "leads", F.explode("leads").alias("lead"))
     first = F.col("leads")[0]
-    groups = each.groupBy("lead").agg(F.count(F.lit(1)).alias("group_size"), F.min(first).alias("lo"), F.max(first).alias("hi"))
+    groups = each.groupBy("lead").agg(F.count(F.lit(1)).alias("group_size"), F.sum("size").alias("group_grams"), F.min(first).alias("lo"), F.max(first).alias("hi"))
     groups = cut(groups.where("group_size > 1 AND (lo <> hi OR lo = lead)").drop("lo", "hi"))
     n_each = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0)).alias("n")).first()["n"]
-    return join_hot(each, groups, ["lead"], "group_size", n_each)
+    return join_hot(each.drop("size"), groups, ["lead"], "group_size", n_each)
 
 
-def _blocks(docs: DataFrame, n: int, threshold: float, recall: float, most_hashes: int, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _blocks(docs: DataFrame, n: int, threshold: float, recall: float, most_hashes: int, chunk: int, chunk_grams: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed rows, nodes with their number of documents, block rows: lead, i, j, node, part, leads, n_docs, grams)."""
     bound_batches(docs.sparkSession)
     bands, rows = bands_for(threshold, recall, most_hashes)
@@ -195,30 +198,31 @@ def _blocks(docs: DataFrame, n: int, threshold: float, recall: float, most_hashe
         signed.where("node IS NOT NULL").groupBy("node").agg(
             F.count(F.lit(1)).alias("n_docs"),
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id")).alias("first"),
+            F.first("size").alias("size"),
             F.first("bands").alias("bands"),
         )
     )
-    groups = cut(_groups(nodes.select("node", "bands")))
+    groups = cut(_groups(nodes.select("node", "size", "bands")))
     wanted = groups.select("node").distinct().join(nodes, "node").select("first.doc_id", "first.text_id", "node", "n_docs")
-    parts = F.ceil(F.col("group_size") / F.lit(chunk)).cast("int")
+    parts = F.greatest(F.ceil(F.col("group_size") / F.lit(chunk)), F.ceil(F.col("group_grams") / F.lit(chunk_grams))).cast("int")
     members = groups.select("lead", "node", "leads", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     spread = (
         members.join(_sets(docs, wanted, n), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("lead", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "part", "leads", "n_docs", "grams")
     )
-    return signed, nodes.drop("bands"), spread
+    return signed, nodes.drop("bands", "size"), spread
 
 
 def jaccard_pairs(
-    docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, most_hashes: int = 96, chunk: int = CHUNK
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, most_hashes: int = 96, chunk: int = CHUNK, chunk_grams: int = CHUNK_GRAMS
 ) -> DataFrame:
     """The join itself between distinct n-gram sets: (node_a, node_b, jaccard), node_a < node_b.
 
     Its size is the number of links, which grows with the square of a group of near
     copies; ``near_classes`` returns classes and link counts without listing them.
     """
-    _, _, blocks = _blocks(docs, n, threshold, recall, most_hashes, chunk)
+    _, _, blocks = _blocks(docs, n, threshold, recall, most_hashes, chunk, chunk_grams)
 
     def pairs(table: pa.Table) -> pa.Table:
         block = Block(table)
@@ -236,7 +240,7 @@ def jaccard_pairs(
 
 
 def near_classes(
-    docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, most_hashes: int = 96, chunk: int = CHUNK
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, most_hashes: int = 96, chunk: int = CHUNK, chunk_grams: int = CHUNK_GRAMS
 ) -> DataFrame:
     """Each document's class of near copies and its number of links.
 
@@ -250,7 +254,7 @@ def near_classes(
     doc_id are documents of their own. Pairs with no band in common are missed: at the
     threshold with probability ``1 - recall`` at most, above it less.
     """
-    signed, nodes, blocks = _blocks(docs, n, threshold, recall, most_hashes, chunk)
+    signed, nodes, blocks = _blocks(docs, n, threshold, recall, most_hashes, chunk, chunk_grams)
 
     def count(table: pa.Table) -> pa.Table:
         block = Block(table)

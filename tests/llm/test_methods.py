@@ -10,7 +10,7 @@ import pytest
 from arcwright.llm import queries as Q
 from arcwright.llm.language_id import ByteGru
 from arcwright.llm.line_runs import dedup_lines
-from arcwright.llm.ngram_join import bands_for, jaccard_pairs, near_classes
+from arcwright.llm.ngram_join import _blocks, bands_for, jaccard_pairs, near_classes
 from arcwright.llm.shingles import shingle_sets, word_hashes
 from arcwright.llm.window_pack import difference
 from pyspark.sql import functions as F
@@ -37,8 +37,8 @@ def test_hashes_do_not_depend_on_the_batch():
     assert len(word_hashes(b" a\t\nb ")[0]) == 2
 
 
-@pytest.mark.parametrize("chunk", [4, 512])
-def test_near_copies_match_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "chunk_grams"), [(4, 10**6), (512, 10**6), (512, 300)])
+def test_near_copies_match_brute_force(spark, chunk, chunk_grams):
     rng = np.random.RandomState(4)
     base = [f"w{i}" for i in rng.randint(0, 5000, 120)]
     texts = []
@@ -66,9 +66,9 @@ def test_near_copies_match_brute_force(spark, chunk):
                 a, b = top(i), top(j)
                 lead[max(a, b)] = min(a, b)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_classes(df, chunk=chunk).collect()}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_classes(df, chunk=chunk, chunk_grams=chunk_grams).collect()}
     assert got == {i: (top(i), links[i]) for i in range(len(texts))}
-    assert jaccard_pairs(df, chunk=chunk).count() == len([p for p in pairs if len(p) == 2])
+    assert jaccard_pairs(df, chunk=chunk, chunk_grams=chunk_grams).count() == len([p for p in pairs if len(p) == 2])
 
 
 def _tree_shard(key, regions):
@@ -286,6 +286,19 @@ def test_toxic_documents_are_caught():
     assert (said[~truth]).sum() == 0 and said[truth].mean() > 0.9
 
 
+def test_a_group_of_long_texts_is_cut_by_its_grams(spark):
+    rng = np.random.RandomState(8)
+    base = [f"w{i}" for i in rng.randint(0, 10**6, 20_000)]
+    rows = [(i, " ".join([*base[:at], f"z{i}", *base[at + 1 :]])) for i, at in enumerate(rng.randint(0, 20_000, 24).tolist())]
+    rows += [(100 + i, " ".join(f"v{i}x{j}" for j in range(50))) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, _, blocks = _blocks(df, 5, 0.8, 0.999, 96, 512, 100_000)
+    most = blocks.groupBy("lead", "i", "j").agg(F.sum(F.octet_length("grams") / 8).alias("n"), F.count(F.lit(1)).alias("k")).agg(F.max("n").alias("n"), F.max("k").alias("k")).first()
+    assert most["k"] < 24 and most["n"] < 400_000  # all 24 hold 480,000
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_classes(df, chunk_grams=100_000).collect()}
+    assert got == {i: (0, 23) for i in range(24)} | {100 + i: (100 + i, 0) for i in range(5)}
+
+
 def test_mix_and_top_k_match_sql(spark):
     import duckdb
 
