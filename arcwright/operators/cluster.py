@@ -1,18 +1,20 @@
 """Structures, ring families and regional families.
 
 Pairs come from spatial joins. Clusters whose members are all pairs of one another depend on the order of
-rows, but only within a component of pairs: components of a bounded size run many to a task, larger ones in rounds of joins.
+rows, but only within a component of pairs: components of a bounded size run many to a task, larger ones block by block in their order.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .checkpoints import cut
 from .components import connected_components, star_components
-from .ranking import number_rows
+from .ranking import number_rows, running_sums
 from .spatial import centered_pairs, distance_self_join, overlapping_pairs
 
 # Texts of regional context.
@@ -22,7 +24,7 @@ TOGETHER = "geographic cluster; test shared tectonic/volcanic fabric and selecti
 SETTINGS = {"strict": (0.15, 0.80, 1.25), "default": (0.25, 0.67, 1.50), "lenient": (0.35, 0.50, 2.00)}
 
 
-#: Pairs of a component that one task's kernel takes; larger components are clustered in rounds over the whole cluster.
+#: Pairs of a component that one task's kernel takes; larger components take a round for so many pairs.
 MOST_PAIRS = 1_000_000
 #: Pairs that a task takes on average.
 TASK_PAIRS = 100_000
@@ -36,55 +38,79 @@ def numbered_groups(df: DataFrame, root: str, order: str, prefix: str, out: str)
     return df.join(named, df[root] == named["_root"]).drop("_root")
 
 
-def _cliques_of(pairs: pd.DataFrame) -> dict[int, int]:
+def _cliques_of(pairs: pd.DataFrame, met_before: dict[int, dict[int, tuple[int, float]]] | None = None, sizes: dict[int, int] | None = None) -> dict[int, int]:
     """Rank of the first member of each row's cluster, for pairs (early, late, weight) of ranks.
 
     A row counts its pairs with each cluster that earlier rows are in: where it has as many as
     the cluster has members, it has one with all of them. Of these clusters it joins the one
-    whose first member's pair weighs least.
+    whose first member's pair weighs least. ``met_before``: for a row its numbers of pairs with clusters decided before, and the weights of its pairs with
+    their first members; ``sizes``: members of these clusters.
     """
-    size: dict[int, int] = {}
+    size: dict[int, int] = dict(sizes or {})
     of: dict[int, int] = {}
-    by_late = pairs.sort_values(["late", "early"])
-    for early in sorted(set(pairs["early"]) - set(pairs["late"])):
-        of[early], size[early] = early, 1
-    waiting = by_late.groupby("late", sort=True)
-    for late, own in waiting:
-        weight = dict(zip(own["early"], own["weight"], strict=True))
-        met: dict[int, int] = {}
-        for early in weight:
-            met[of[early]] = met.get(of[early], 0) + 1
+    before = met_before or {}
+    waiting = {late: own for late, own in pairs.sort_values(["late", "early"]).groupby("late", sort=True)}
+    for row in sorted(set(pairs["early"]) | set(waiting) | set(before)):
+        met = {first: n for first, (n, _) in before.get(row, {}).items()}
+        weight = {first: w for first, (_, w) in before.get(row, {}).items()}
+        if row in waiting:
+            for early, w in zip(waiting[row]["early"], waiting[row]["weight"], strict=True):
+                met[of[early]] = met.get(of[early], 0) + 1
+                weight[early] = w
         fits = [(weight[first], first) for first, n in met.items() if n == size[first]]
-        of[late] = min(fits)[1] if fits else late
-        size[of[late]] = size.get(of[late], 0) + 1
+        of[row] = min(fits)[1] if fits else row
+        size[of[row]] = size.get(of[row], 0) + 1
     return of
 
 
-def _in_rounds(pairs: DataFrame) -> DataFrame:
-    """(rank, first): as ``_cliques_of``, over a table of any size.
+#: Rounds after which the decided rows of earlier rounds are written as one table.
+MERGE_ROUNDS = 16
+
+
+def _in_blocks(pairs: DataFrame, most_pairs: int) -> DataFrame:
+    """(rank, first): as ``_cliques_of``, over components of any size; pairs: root, early, late, weight.
 
-    A round decides the rows that come before every undecided row beside them or beside their earlier
-    neighbours: nobody else can still change the clusters that they could join.
+    Each component's rows are cut in their order into blocks of about ``most_pairs`` pairs with earlier rows. A round takes the next block of
+    every component: what its rows have to do with clusters decided before is summed by joins, and one task a component decides
+    the block with the pairs inside it. So rounds grow with the pairs of the largest component, not with its longest chain, and every pair is read in one round.
     """
-    pairs = cut(pairs.select("early", "late", "weight"))
-    sides = pairs.select(F.col("early").alias("rank"), F.col("late").alias("other")).unionByName(pairs.select(F.col("late").alias("rank"), F.col("early").alias("other")))
-    todo, done = cut(sides.select("rank").distinct()), None
-    while not todo.isEmpty():
-        beside = sides.join(todo.select(F.col("rank").alias("other")), "other").groupBy("rank").agg(F.min("other").alias("soonest"))
-        through = pairs.join(beside.withColumnRenamed("rank", "early"), "early").groupBy("late").agg(F.min("soonest").alias("through"))
-        ready = todo.join(beside, "rank", "left").join(through.withColumnRenamed("late", "rank"), "rank", "left")
-        ready = cut(ready.where((F.coalesce("soonest", "rank") >= F.col("rank")) & (F.coalesce("through", "rank") >= F.col("rank"))).select("rank"))
-        if done is None:
-            new = ready.select("rank", F.col("rank").alias("first"))
-        else:
-            sizes = done.groupBy("first").agg(F.count(F.lit(1)).alias("size"))
-            met = pairs.join(ready.withColumnRenamed("rank", "late"), "late").join(done.withColumnRenamed("rank", "early"), "early")
-            met = met.groupBy("late", "first").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("early") == F.col("first"), F.col("weight"))).alias("weight"))
-            best = met.join(sizes, "first").where("n = size").groupBy("late").agg(F.min(F.struct("weight", "first")).alias("b"))
-            new = ready.join(best.withColumnRenamed("late", "rank"), "rank", "left").select("rank", F.coalesce("b.first", "rank").alias("first"))
-        done = cut(new if done is None else done.unionByName(new))
-        todo = cut(todo.join(ready, "rank", "left_anti"))
-    return done
+    rows = pairs.select("root", F.col("late").alias("rank"), F.lit(1).alias("k")).unionByName(pairs.select("root", F.col("early").alias("rank"), F.lit(0).alias("k")))
+    rows = cut(rows.groupBy("root", "rank").agg(F.sum("k").alias("k")))
+    upto = running_sums(rows, "rank", {"_upto": F.col("k")}, ["root"])
+    blocks = cut(upto.select("root", "rank", F.floor((F.col("_upto") - F.col("k")) / most_pairs).cast("int").alias("block")))
+    of = lambda side: blocks.select(F.col("rank").alias(side), F.col("block").alias(f"_{side}"))
+    placed = cut(pairs.select("root", "early", "late", "weight").join(of("early"), "early").join(of("late"), "late"))
+    last = blocks.agg(F.max("block").alias("b")).first()["b"]
+
+    def kernel(own: pd.DataFrame) -> pd.DataFrame:
+        inner = own[own["kind"] == 0]
+        before: dict[int, dict[int, tuple[int, float]]] = {}
+        sizes: dict[int, int] = {}
+        for kind, row, first, n, w, size in zip(own["kind"], own["late"], own["early"], own["n"], own["weight"], own["size"], strict=True):
+            if kind == 1:
+                before.setdefault(row, {})[first] = (n, w)
+                sizes[first] = size
+            elif kind == 2:
+                before.setdefault(row, {})
+        return pd.DataFrame(list(_cliques_of(inner[["early", "late", "weight"]], before, sizes).items()), columns=["rank", "first"])
+
+    done: list[DataFrame] = []
+    none = F.lit(0).cast("long")
+    for b in range(last + 1):
+        inner = placed.where((F.col("_late") == b) & (F.col("_early") == b)).select("root", F.lit(0).alias("kind"), "late", "early", none.alias("n"), "weight", none.alias("size"))
+        alone = blocks.where(F.col("block") == b).select("root", F.lit(2).alias("kind"), F.col("rank").alias("late"), F.col("rank").alias("early"), none.alias("n"), F.lit(None).cast("double").alias("weight"), none.alias("size"))
+        work = inner.unionByName(alone)
+        if done:
+            decided = reduce(DataFrame.unionByName, done)
+            met = placed.where((F.col("_late") == b) & (F.col("_early") < b)).join(decided.withColumnRenamed("rank", "early"), "early")
+            met = met.groupBy("root", "late", "first").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("early") == F.col("first"), F.col("weight"))).alias("weight"))
+            sizes = decided.groupBy("first").agg(F.count(F.lit(1)).alias("size"))
+            met = met.join(sizes, "first").select("root", F.lit(1).alias("kind"), "late", F.col("first").alias("early"), "n", "weight", "size")
+            work = work.unionByName(met)
+        done.append(cut(work.groupBy("root").applyInPandas(kernel, "rank long, first long")))
+        if len(done) > MERGE_ROUNDS:
+            done = [cut(reduce(DataFrame.unionByName, done))]
+    return reduce(DataFrame.unionByName, done)
 
 
 def ordered_cliques(rows: DataFrame, key: str, pairs: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
@@ -110,7 +136,7 @@ def ordered_cliques(rows: DataFrame, key: str, pairs: DataFrame, most_pairs: int
     found = small.select("_deal", "early", "late", "weight").groupBy("_deal").applyInPandas(kernel, "rank long, first long")
     large = sizes.where(F.col("_k") > most_pairs)
     if not large.isEmpty():
-        found = found.unionByName(_in_rounds(ranked.join(large.select("root"), "root", "left_semi")))
+        found = found.unionByName(_in_blocks(ranked.join(large.select("root"), "root", "left_semi"), max(1, most_pairs)))
     found = found.join(ranks, "rank").select(key, F.col("first").alias("rank"))
     return found.join(ranks.select("rank", F.col(key).alias("first")), "rank").select(key, "first")
 

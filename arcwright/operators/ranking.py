@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import cut
+
 #: Ranges per ranking; a task ranks about this fraction of a group.
 RANGES = 24
 
@@ -110,9 +112,9 @@ def running_sums(df: DataFrame, value: str, sums: dict[str, Column], groups: lis
     return r.join(starts, match).select(*df.columns, *[(F.col(f"_b{i}") + F.col(f"_u{i}")).alias(name) for i, name in enumerate(sums)])
 
 
-def number_rows_within(df: DataFrame, groups: list[str], value: str, then: list[str], out: str, ranges: int = RANGES) -> DataFrame:
-    """Add ``out``: the rows of each group numbered from 1 by value (a number that is there), then by ``then``."""
-    r = df.withColumn("_range", range_of(F.col(value), range_cuts(df, value, ranges)))
+def number_rows_within(df: DataFrame, groups: list[str], value: str, then: list[str], out: str, ranges: int = RANGES, cuts: list[float] | None = None) -> DataFrame:
+    """Add ``out``: the rows of each group numbered from 1 by value (a number that is there), then by ``then``. ``cuts``: known range cuts, to save their pass."""
+    r = df.withColumn("_range", range_of(F.col(value), range_cuts(df, value, ranges) if cuts is None else cuts))
     counts = r.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_k"))
     below = F.sum("_k").over(Window.partitionBy(*groups).orderBy("_range")) - F.col("_k")
     starts = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_range").alias("_q"), below.alias("_below"))
@@ -123,6 +125,66 @@ def number_rows_within(df: DataFrame, groups: list[str], value: str, then: list[
     return numbered.join(starts, match).select(*df.columns, (F.col("_below") + F.col("_at")).cast("long").alias(out))
 
 
+def even_cuts(ranges: int = RANGES) -> list[float]:
+    """Range cuts of numbers spread evenly over 0 to 1, as draws are."""
+    return [i / ranges for i in range(1, ranges)]
+
+
+def number_sorted(df: DataFrame, groups: list[str], order: list[str], out: str) -> DataFrame:
+    """Add ``out``: the rows of each group numbered from 1 in the order of columns of any type that sorts.
+
+    Rows are dealt to ranges of (groups, order), so a large group is sorted by many tasks; the ranges are written once, and a small table of counts says what lies before each.
+    """
+    dealt = cut(df.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_k"))
+    below = F.sum("_k").over(Window.partitionBy(*groups).orderBy("_part")) - F.col("_k")
+    starts = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_part").alias("_q"), below.alias("_below"))
+    numbered = dealt.withColumn("_at", F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*order)))
+    match = numbered["_part"] == starts["_q"]
+    for i, g in enumerate(groups):
+        match = match & numbered[g].eqNullSafe(starts[f"_g{i}"])
+    return numbered.join(starts, match).select(*df.columns, (F.col("_below") + F.col("_at")).cast("long").alias(out))
+
+
+def smallest_draws(df: DataFrame, group: str, n_groups: int, value: str, then: list[str], k: int, buckets: int = 1024) -> DataFrame:
+    """The k rows of each group with the smallest value in [0, 1), ties by ``then``; fewer where a group has fewer.
+
+    Rows are counted by buckets of the value; a bucket is taken or left whole but for the one in which the k-th row lies, so only its rows move
+    and are sorted. ``n_groups`` bounds the number of groups, a row each of a broadcast table.
+    """
+    placed = df.withColumn("_b", F.floor(F.col(value) * buckets).cast("int"))
+    counts = placed.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(group).orderBy("_b"))
+    edges = counts.withColumn("_upto", upto).where((F.col("_upto") >= k) & (F.col("_upto") - F.col("_k") < k)).select(F.col(group).alias("_g"), F.col("_b").alias("_edge"), (k - F.col("_upto") + F.col("_k")).alias("_need"))
+    edges = F.broadcast(edges) if n_groups <= 100_000 else edges
+    met = placed.join(edges, placed[group].eqNullSafe(F.col("_g")), "left")
+    inside = met.where("_edge IS NULL OR _b < _edge").select(*df.columns)
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(value, *then))
+    return inside.unionByName(met.where("_b = _edge").withColumn("_nth", nth).where("_nth <= _need").select(*df.columns))
+
+
+def group_medians(df: DataFrame, groups: list[str], value: str, out: str, ranges: int = RANGES) -> DataFrame:
+    """(groups..., out): the median of each group's values, halfway between the middle two; missing values are left out, groups without any don't come.
+
+    Only the ranges of values that hold a group's middle rows are sorted. ``df`` is read three times.
+    """
+    v = F.col(value).cast("double")
+    rows = df.select(*groups, v.alias("_v")).where(v.isNotNull() & ~F.isnan(v))
+    rows = rows.withColumn("_range", range_of(F.col("_v"), range_cuts(rows, "_v", ranges)))
+    counts = rows.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_k"))
+    own = Window.partitionBy(*groups)
+    placed = counts.withColumn("_below", F.sum("_k").over(own.orderBy("_range")) - F.col("_k")).withColumn("_n", F.sum("_k").over(own))
+    low, high = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
+    middle = placed.where((F.col("_below") <= high) & (low < F.col("_below") + F.col("_k")))
+    middle = middle.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_range").alias("_q"), "_below", low.alias("_low"), high.alias("_high"))
+    match = rows["_range"] == middle["_q"]
+    for i, g in enumerate(groups):
+        match = match & rows[g].eqNullSafe(middle[f"_g{i}"])
+    at = F.col("_below") + F.row_number().over(Window.partitionBy(*groups, "_range").orderBy("_v")) - 1
+    found = rows.join(middle, match).withColumn("_at", at).where((F.col("_at") == F.col("_low")) | (F.col("_at") == F.col("_high")))
+    return found.groupBy(*groups).agg((0.5 * F.min("_v") + 0.5 * F.max("_v")).alias(out))
+
+
 def exact_quantiles(df: DataFrame, value: str, at: list[float], ranges: int = 64) -> list[float]:
     """Linear-interpolated quantiles. Only the ranges that hold a wanted position are sorted.
 
@@ -178,27 +240,33 @@ def equal_count_bins(df: DataFrame, value: str, then: list[str], k: int, out: st
 
 def ecdf_percentile(df: DataFrame, reference: DataFrame, groups: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the share of the reference's values in the row's group at or below its value; without such a
-    group, of all reference values. The reference is summed by distinct value first; only these counts meet the rows."""
+    group, of all reference values.
 
-    def cumulative(keys: list[str]) -> DataFrame:
-        counts = reference.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("k"))
-        totals = counts.groupBy(*keys).agg(F.sum("k").alias("all")).select(*[F.col(k).alias(f"_t_{k}") for k in keys], "all")
-        match = F.lit(True)
-        for k in keys:
-            match = match & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
-        upto = running_sums(counts, value, {"upto": F.col("k")}, keys)
-        return upto.join(totals, match) if keys else upto.crossJoin(F.broadcast(totals))  # one row
+    The reference is summed by distinct value first. Its counts and the rows' distinct values meet within ranges of the value; what lies in lower ranges
+    comes from one array of range totals for each group, so no task sees all values of a group.
+    """
+    counted = reference.where(F.col(value).isNotNull())
+    cuts = range_cuts(counted, value)
+    place = lambda d: d.withColumn("_range", range_of(F.col("_x"), cuts))
 
     def share(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-        # rows and reference values in one order; the last reference count before a row is its count
-        ref = cumulative(keys).select(*keys, F.col(value).alias("_x"), F.lit(0).alias("_side"), "upto", "all")
-        mine = rows.select(*keys, F.col(value).alias("_x"), F.lit(1).alias("_side")).distinct()
-        both = ref.unionByName(mine.withColumn("upto", F.lit(None).cast("long")).withColumn("all", F.lit(None).cast("long")))
-        order = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_x", "_side")
-        whole = Window.partitionBy(*keys) if keys else Window.partitionBy()
-        got = both.withColumn("_upto", F.coalesce(F.last("upto", True).over(order), F.lit(0))).withColumn("_all", F.max("all").over(whole))
-        got = got.where("_side = 1").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_x").alias("_value"), (F.col("_upto") / F.col("_all")).alias(name))
-        match = rows[value].eqNullSafe(got["_value"])
+        ref = place(counted.groupBy(*keys, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_k")))
+        pair = F.struct(F.col("_range").alias("r"), F.col("_t").alias("t"))
+        totals = ref.groupBy(*keys, "_range").agg(F.sum("_k").alias("_t")).groupBy(*keys).agg(F.sum("_t").alias("_all"), F.collect_list(pair).alias("_totals"))  # a range each
+        mine = place(rows.select(*keys, F.col(value).alias("_x")).where("_x IS NOT NULL").distinct())
+        both = ref.withColumn("_side", F.lit(0)).unionByName(mine.withColumn("_side", F.lit(1)).withColumn("_k", F.lit(0).cast("long")))
+        order = Window.partitionBy(*keys, "_range").orderBy("_x", "_side").rowsBetween(Window.unboundedPreceding, 0)
+        got = both.withColumn("_upto", F.sum("_k").over(order)).where("_side = 1")
+        if keys:
+            match = F.lit(True)
+            for k in keys:
+                match = match & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+            got = got.join(totals.withColumnsRenamed({k: f"_t_{k}" for k in keys}), match, "left")
+        else:
+            got = got.crossJoin(F.broadcast(totals))  # one row
+        below = F.aggregate(F.filter("_totals", lambda p: p["r"] < F.col("_range")), F.lit(0).cast("long"), lambda a, p: a + p["t"])
+        got = got.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_x").alias("_value"), ((below + F.col("_upto")) / F.col("_all")).alias(name))
+        match = rows[value] == got["_value"]
         for k in keys:
             match = match & rows[k].eqNullSafe(got[f"_{k}"])
         return rows.join(got, match, "left").drop("_value", *[f"_{k}" for k in keys])

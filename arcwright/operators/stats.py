@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import wrap_lon
 from .checkpoints import cut
-from .ranking import number_rows_within, range_cuts, range_of, ranks_within, running_sums
+from .ranking import even_cuts, group_medians, number_rows_within, number_sorted, range_cuts, range_of, ranks_within, running_sums, smallest_draws
 from .spatial import nearest_neighbour
 
 
@@ -120,7 +120,7 @@ def ks_permutation(x: DataFrame, y: DataFrame, key: str, value: str, n: int, see
     pool = cut(ok(x, 0).unionByName(ok(y, 1)))
     nx = pool.where("_side = 0").count()
     many = replicates(pool, n).withColumn("_draw", draw(seed, "rep", "_side", "_key"))
-    dealt = number_rows_within(many, ["rep"], "_draw", ["_side", "_key"], "_nth").withColumn("_side", (F.col("_nth") > nx).cast("int"))
+    dealt = number_rows_within(many, ["rep"], "_draw", ["_side", "_key"], "_nth", cuts=even_cuts()).withColumn("_side", (F.col("_nth") > nx).cast("int"))
     every = cut(pool.withColumn("rep", F.lit(-1)).select("rep", "_side", "v").unionByName(dealt.select("rep", "_side", "v")))
     side = lambda j: cut(every.where(F.col("_side") == j).groupBy("rep", "v").agg(F.count(F.lit(1)).alias("k")))
     return _best_shifts(side(0), side(1), "rep", steps, rounds).select("rep", F.exp("shift").alias("scale"), "ks")
@@ -172,8 +172,13 @@ def rotation_null(points: DataFrame, key: str, targets: DataFrame, target_key: s
     turn = F.when(F.col("rep") < 0, F.lit(0.0)).otherwise(360 * draw(seed, "rep") - 180)
     moved = rows.withColumn("lon", wrap_lon(F.col("lon") + turn)).withColumn("point_rep", F.concat_ws("#", "rep", key))
     near = nearest_neighbour(moved.select("point_rep", "lon", "lat"), "point_rep", targets, target_key).select("point_rep", "distance_km")
-    got = near.withColumn("rep", F.split_part("point_rep", F.lit("#"), F.lit(1)).cast("int"))
-    return got.groupBy("rep").agg(F.count_if(F.col("distance_km") <= within_km).alias("count_within"), F.median("distance_km").alias("median_km"))
+    got = cut(near.select(F.split_part("point_rep", F.lit("#"), F.lit(1)).cast("int").alias("rep"), "distance_km"))
+    return _counts_and_medians(got, "distance_km", within_km)
+
+
+def _counts_and_medians(rows: DataFrame, distance: str, within_km: float) -> DataFrame:
+    counts = rows.groupBy("rep").agg(F.count_if(F.col(distance) <= within_km).alias("count_within"))
+    return counts.join(group_medians(rows, ["rep"], distance, "median_km"), "rep", "left")
 
 
 def label_null(points: DataFrame, key: str, label: str, distance: str, n: int, seed: int, within_km: float = 100.0) -> DataFrame:
@@ -183,9 +188,9 @@ def label_null(points: DataFrame, key: str, label: str, distance: str, n: int, s
     """
     k = points.where(F.col(label)).count()
     many = replicates(points.select(key, distance), n).withColumn("_draw", draw(seed, "rep", key))
-    drawn = number_rows_within(many, ["rep"], "_draw", [key], "_n").where(F.col("_n") <= k).select("rep", distance)
+    drawn = smallest_draws(many, "rep", n, "_draw", [key], k).select("rep", distance)
     true = points.where(F.col(label)).select(F.lit(-1).alias("rep"), distance)
-    return true.unionByName(drawn).groupBy("rep").agg(F.count_if(F.col(distance) <= within_km).alias("count_within"), F.median(distance).alias("median_km"))
+    return _counts_and_medians(cut(true.unionByName(drawn)), distance, within_km)
 
 
 def null_summary(reps: DataFrame, value: str, larger_is_extreme: bool = True) -> DataFrame:
@@ -216,25 +221,27 @@ def global_null(observed: DataFrame, nulls: DataFrame, key: str, value: str, n:
     rows = o.join(sizes, key)
     picks = replicates(rows, n).withColumn("null_index", F.floor(draw(seed, "rep", key) * F.col("_n")).cast(nulls.schema["null_index"].dataType))
     got = picks.join(nulls.select(key, "null_index", value), [key, "null_index"]).select("rep", F.col(value).alias("x"))
-    return rows.select(F.lit(-1).alias("rep"), F.col("_o").alias("x")).unionByName(got).groupBy("rep").agg({"median": F.median, "mean": F.avg}[statistic]("x").alias(statistic))
+    every = rows.select(F.lit(-1).alias("rep"), F.col("_o").alias("x")).unionByName(got)
+    return group_medians(cut(every), ["rep"], "x", "median") if statistic == "median" else every.groupBy("rep").agg(F.avg("x").alias("mean"))
 
 
 def stratified_null(df: DataFrame, key: str, strata: list[str], x: str, y: str, n: int, seed: int) -> DataFrame:
     """(rep, rho): Spearman correlation with y shuffled within strata; rep -1 is unshuffled.
 
     A shuffle gives the i-th row of a stratum the value of the row with the i-th smallest draw, so ranks of y, which
-    don't change, are computed once. Rows whose stratum is null in some column are a stratum of their own.
+    don't change, are computed once, and so are the rows' numbers by key. Draws are numbered within ranges, so a stratum that holds most rows is
+    shared by many tasks. Rows whose stratum is null in some column are a stratum of their own.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, *strata, x, y)
     rx = ranks_within(rows, [], x).select(key, (F.col("less") + 1 + (F.col("ties") - 1) / 2).alias("rx"))
     ry = ranks_within(rows, [], y).select(key, *strata, (F.col("less") + 1 + (F.col("ties") - 1) / 2).alias("ry"))
     base = ry.join(rx, key)
     true = base.agg(F.corr("rx", "ry").alias("rho")).select(F.lit(-1).alias("rep"), "rho")
-    many = replicates(base, n).withColumn("_stratum", F.to_json(F.struct(*strata), {"ignoreNullFields": "false"}))
-    own = Window.partitionBy("rep", "_stratum").orderBy(key)
-    mixed = Window.partitionBy("rep", "_stratum").orderBy(draw(seed, "rep", key), key)
-    a = many.select("rep", "_stratum", "rx", F.row_number().over(own).alias("i"))
-    b = many.select("rep", "_stratum", "ry", F.row_number().over(mixed).alias("i"))
+    base = cut(number_sorted(base.withColumn("_stratum", F.to_json(F.struct(*strata), {"ignoreNullFields": "false"})), ["_stratum"], [key], "i"))
+    many = replicates(base, n)
+    drawn = many.select("rep", "_stratum", key, "ry", draw(seed, "rep", key).alias("_draw"))
+    b = number_rows_within(drawn, ["rep", "_stratum"], "_draw", [key], "i", cuts=even_cuts()).select("rep", "_stratum", "ry", "i")
+    a = many.select("rep", "_stratum", "rx", "i")
     return true.unionByName(a.join(b, ["rep", "_stratum", "i"]).groupBy("rep").agg(F.corr("rx", "ry").alias("rho")))
 
 
@@ -242,14 +249,13 @@ def matched_null(cases: DataFrame, controls: DataFrame, key: str, levels: list[l
     """Replicates of one matched control for each case: (rep, each of ``values``), rep -1 the cases themselves.
 
     levels: matching columns from narrow to wide; a case takes the first level at which it has ``least`` controls, else
-    the last. values: name -> 'mean of column' as ``avg:column`` or ``median:column``.
+    the last. values: name -> 'mean of column' as ``avg:column`` or ``median:column``. Controls of a level are numbered within ranges, however wide it is.
     """
     stratum = lambda on: F.to_json(F.struct(*on), {"ignoreNullFields": "false"})  # noqa: E731  # a null matches a null
     pools, sizes = [], cases.select(key, *[stratum(on).alias(f"_s{i}") for i, on in enumerate(levels)])
     for i, on in enumerate(levels):
         keyed = controls.withColumn(f"_s{i}", stratum(on))
-        order = Window.partitionBy(f"_s{i}").orderBy(key)
-        pools.append(keyed.withColumn("_i", F.row_number().over(order) - 1))
+        pools.append(number_sorted(keyed, [f"_s{i}"], [key], "_i").withColumn("_i", (F.col("_i") - 1).cast("int")))
         sizes = sizes.join(keyed.groupBy(f"_s{i}").agg(F.count(F.lit(1)).alias(f"_c{i}")), f"_s{i}", "left")
     rule = F.lit(len(levels) - 1)
     for i in reversed(range(len(levels) - 1)):

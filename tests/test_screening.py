@@ -393,6 +393,44 @@ def test_structure_study_and_export(spark):
     assert checks.first()["ok"] and table.count() == 3 and {r["structure_id"] for r in table.collect()} == {"structure_0001", "structure_0002"}
 
 
+def test_medians_draws_and_numbers_by_ranges(spark):
+    import pandas as pd
+    from arcwright.operators import ranking as R
+
+    rng = np.random.RandomState(3)
+    rows = [(["a", "b", None][i % 3] if i < 900 else "few", float(v), i) for i, v in enumerate(np.round(rng.exponential(2, 903), 1))] + [("few", None, 1), ("none", None, 2), ("few", float("nan"), 3)]
+    df = spark.createDataFrame(rows, "g string, v double, k long")
+    pdf = pd.DataFrame(rows, columns=["g", "v", "k"]).dropna(subset=["v"])
+    got = {r["g"]: r["m"] for r in R.group_medians(df, ["g"], "v", "m").collect()}
+    assert got == {None if g != g else g: v for g, v in pdf.groupby("g", dropna=False)["v"].median().items()}
+    draws = spark.range(4000).select((F.col("id") % 4).alias("g"), F.col("id").alias("k"), (F.floor(F.rand(2) * 50) / 50).alias("d"))
+    draws = spark.createDataFrame(draws.toPandas()).where("g < 3 OR k < 40")
+    for k in (1, 37, 1000, 5000):
+        found = {(r["g"], r["k"]) for r in R.smallest_draws(draws, "g", 4, "d", ["k"], k, 16).collect()}
+        assert found == {(r.g, r.k) for _, own in draws.toPandas().groupby("g") for r in own.sort_values(["d", "k"]).head(k).itertuples()}
+    numbered = R.number_sorted(draws.withColumn("s", F.concat(F.lit("x"), F.col("k").cast("string"))), ["g"], ["s"], "n").toPandas()
+    assert all((own.sort_values("s")["n"] == range(1, len(own) + 1)).all() for _, own in numbered.groupby("g"))
+
+
+def test_ecdf_needs_no_single_task(spark):
+    from arcwright.operators import ranking as R
+
+    ref = spark.range(3000).select((F.col("id") % 3).cast("string").alias("g"), (F.col("id") * 7919 % 1000).cast("double").alias("v"))
+    rows = spark.createDataFrame([("0", 10.0), ("1", -5.0), ("2", 5000.0), ("other", 500.0), (None, 500.5), ("0", None), ("0", 10.0)], "g string, v double")
+    out = R.ecdf_percentile(rows, ref, ["g"], "v", "p")
+    have = ref.toPandas()
+    want = []
+    for g, v in [tuple(r) for r in rows.collect()]:
+        own = have[have["g"] == g]["v"] if g in ("0", "1", "2") else have["v"]
+        want.append(None if v is None else float((own <= v).sum() / len(own)))
+    key = lambda r: (r is None, r)
+    assert sorted([r["p"] for r in out.collect()], key=key) == sorted(want, key=key)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    below = [next(x for x in lines[i:] if "Exchange" in x) for i, x in enumerate(lines) if "Window [" in x]
+    assert below and all("hashpartitioning" in x and "_range" in x for x in below)
+
+
 def test_every_exclusion_counts(spark):
     records = spark.range(12_001).select(F.col("id").cast("string").alias("record_id"))
     exclusions = spark.range(12_000).select(F.col("id").cast("string").alias("record_id"), F.lit("kept").alias("duplicate_of"), F.lit("copy").alias("note"))
@@ -401,7 +439,34 @@ def test_every_exclusion_counts(spark):
     assert [r["record_id"] for r in out.where("analytical_include").collect()] == ["12000"]
 
 
-@pytest.mark.parametrize("most_pairs", [0, 1_000_000])
+def plain_cliques(pairs):
+    of, members = {}, {}
+    beside = {}
+    for a, b, w in pairs:
+        beside.setdefault(b, {})[a] = w
+        beside.setdefault(a, {})
+    for row in sorted(beside):
+        fits = [(beside[row][f], f) for f, own in members.items() if f in beside[row] and all(m in beside[row] for m in own)]
+        of[row] = min(fits)[1] if fits else row
+        members.setdefault(of[row], []).append(row)
+    return of
+
+
+@pytest.mark.parametrize(("most_pairs", "n"), [(1000, 10_000), (7, 120)])
+def test_long_components_take_blocks(spark, most_pairs, n):
+    import random
+
+    from arcwright.operators.cluster import ordered_cliques
+
+    draw = random.Random(5)
+    pairs = [(i, i + 1, float(i % 3)) for i in range(n - 1)] if n > 1000 else sorted({(a, b, float((a * b) % 5)) for a in range(n) for b in range(a + 1, min(n, a + 6)) if draw.random() < 0.8})
+    rows = spark.range(n).select(F.concat(F.lit("c"), "id").alias("key"), F.col("id").alias("rank"))
+    df = spark.createDataFrame(pairs, "a long, b long, weight double").select(F.concat(F.lit("c"), "a").alias("early"), F.concat(F.lit("c"), "b").alias("late"), "weight")
+    got = {r["key"]: r["first"] for r in ordered_cliques(rows, "key", df, most_pairs).collect()}
+    assert got == {f"c{k}": f"c{v}" for k, v in plain_cliques(pairs).items()}
+
+
+@pytest.mark.parametrize("most_pairs", [40, 1_000_000])
 def test_clusters_in_order_match_a_plain_loop(spark, most_pairs):
     import random
 
