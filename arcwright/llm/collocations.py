@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, hash_bound, join_hot
+from .common import cut, hash_bound, join_hot
 from .shingles import mix
 
 #: Longest phrase, in words.
@@ -229,7 +229,6 @@ def phrase_counts(docs: DataFrame, least: int, share: float = SHARE, sample_text
 
     docs: lang, text. Overlapping occurrences count; a phrase lies within a piece of text between ``.,;:!?`` and line ends.
     """
-    bound_batches(docs.sparkSession)
     docs = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     found = _long_leads(docs, size["n"], share, sample_texts)

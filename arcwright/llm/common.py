@@ -19,9 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Send Python workers some BATCH_BYTES at a time, whatever the length of the texts; a bound that the session has been given stays.
+    """For a program's start: send Python workers some BATCH_BYTES at a time, whatever the length of the texts; a bound that the session has been given stays.
 
-    The bound is the session's, since it is read when a returned DataFrame runs. It changes no result.
+    Operators leave the session alone, since the bound is read when a returned DataFrame runs; the registered queries and the pipeline's stages, which
+    are programs, call this. It changes no result, only the memory of Python workers on long texts.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:

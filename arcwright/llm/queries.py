@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .collision_ann import nearest_vectors
 from .collocations import collocations
-from .common import table
+from .common import bound_batches, table
 from .language_id import identify_languages, train_byte_gru
 from .line_runs import dedup_lines
 from .metric_tree import top_inner_products
@@ -103,20 +103,28 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def _program(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_join": op1_ngram_join,
+    "op1_ngram_join": _program(op1_ngram_join),
     "op2_hash_tree_shards": op2_hash_tree_shards,
-    "op3_byte_gru": op3_byte_gru,
+    "op3_byte_gru": _program(op3_byte_gru),
     "op4_line_runs": op4_line_runs,
     "op5_source_mix": op5_source_mix,
-    "op6_window_pack": op6_window_pack,
+    "op6_window_pack": _program(op6_window_pack),
     "op7_collision_ann": op7_collision_ann,
-    "op8_dom_model": op8_dom_model,
-    "op9_kneser_ney": op9_kneser_ney,
+    "op8_dom_model": _program(op8_dom_model),
+    "op9_kneser_ney": _program(op9_kneser_ney),
     "op10_metric_tree": op10_metric_tree,
     "op11_hadamard_centroids": op11_hadamard_centroids,
     "op12_url_rules": op12_url_rules,
-    "op13_collocations": op13_collocations,
+    "op13_collocations": _program(op13_collocations),
 }
 
 _STRIP = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

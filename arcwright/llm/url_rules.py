@@ -19,7 +19,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, hash60, join_hot, packed, unpacked
+from .common import cut, hash60, join_hot, packed, unpacked
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALLOW, BLOCK = "allow", "block"
@@ -128,7 +128,6 @@ def judge_urls(df: DataFrame, rules: list[ListRule], mined: UrlRules) -> DataFra
     rule: the list rule that fits (host and path), else null. verdict: its verdict, else that of the best mined rule whose tokens the URL all has, else
     the model's commonest label. Null URLs and those without ``://`` have an empty host, path and no tokens. Columns of ``df`` with the new names are replaced; rows that repeat are judged alike.
     """
-    bound_batches(df.sparkSession)
     index: dict[str, list[tuple[int, frozenset[str], str]]] = {}
     for i, (tokens, rarest, verdict, _, _) in enumerate(mined.rules):
         index.setdefault(rarest, []).append((i, tokens, verdict))

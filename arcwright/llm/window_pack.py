@@ -28,7 +28,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
 
 #: Chunks of text whose ids a worker remembers at a time; some 30 MB.
 CHUNK_CACHE = 200_000
@@ -266,6 +265,5 @@ def pack_windows(
         if out:
             yield flush()
 
-    bound_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text")).mapInArrow(pack, _SCHEMA.format(id_type=id_type))
