@@ -24,6 +24,48 @@ def polygon_centers(vertices: DataFrame, key: str) -> DataFrame:
     return vertices.join(c, key).groupBy(key, "clon", "clat").agg(far.alias("radius_km")).select(key, F.col("clon").alias("lon"), F.col("clat").alias("lat"), "radius_km")
 
 
+def line_centers(vertices: DataFrame, key: str, order: list[str], part: str | None = None) -> DataFrame:
+    """(key, lon, lat, radius_km, n_vertices): the length-weighted center of each polyline's segments in degrees, and its farthest vertex.
+
+    ``order``: columns that put a line's vertices in order; ``part``: a column that tells a feature's lines apart, between which there is no segment. A feature without
+    length takes the mean of its vertices. Vertices without a position are left out, and so are features without any.
+    """
+    own = [key] + ([part] if part else [])
+    v = vertices.where(F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~F.isnan(F.col("lon").cast("double")) & ~F.isnan(F.col("lat").cast("double")))
+    w = Window.partitionBy(*own).orderBy(*order)  # a line's vertices
+    s = v.withColumn("_nx", F.lead("lon").over(w)).withColumn("_ny", F.lead("lat").over(w))
+    long = F.coalesce(F.hypot(F.col("_nx") - F.col("lon"), F.col("_ny") - F.col("lat")), F.lit(0.0))
+    c = s.withColumn("_w", long).groupBy(key).agg(
+        F.sum("_w").alias("_all"), F.sum(F.col("_w") * (F.col("lon") + F.coalesce("_nx", "lon")) / 2).alias("_sx"), F.sum(F.col("_w") * (F.col("lat") + F.coalesce("_ny", "lat")) / 2).alias("_sy"),
+        F.avg("lon").alias("_mx"), F.avg("lat").alias("_my"), F.count(F.lit(1)).alias("n_vertices"),
+    )
+    flat = F.col("_all") <= 0
+    c = c.select(key, F.when(flat, F.col("_mx")).otherwise(F.col("_sx") / F.col("_all")).alias("clon"), F.when(flat, F.col("_my")).otherwise(F.col("_sy") / F.col("_all")).alias("clat"), "n_vertices")
+    far = F.max(G.great_circle_km("lon", "lat", "clon", "clat")).alias("radius_km")
+    return v.join(c, key).groupBy(key, "clon", "clat", "n_vertices").agg(far).select(key, F.col("clon").alias("lon"), F.col("clat").alias("lat"), "radius_km", "n_vertices")
+
+
+def filled_from_geometry(rows: DataFrame, key: str, vertices: DataFrame, order: list[str], part: str | None = None) -> DataFrame:
+    """Rows with lon, lat, radius_km and diameter_km filled where they are missing; a column that isn't there is missing everywhere.
+
+    A position comes from the feature's line center. A radius is half the diameter, else the distance from the row's position to the feature's farthest
+    vertex; a diameter is twice the radius. Rows without vertices keep what they have.
+    """
+    for c in ("lon", "lat", "radius_km", "diameter_km"):
+        given = F.col(c).try_cast("double") if c in rows.columns else F.lit(None).cast("double")
+        rows = rows.withColumn(c, F.when(~F.isnan(given), given))
+    centers = line_centers(vertices, key, order, part).select(F.col(key).alias("_k"), F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    both = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    placed = rows.join(centers, rows[key] == F.col("_k"), "left").withColumns({"_x": F.when(both, F.col("lon")).otherwise(F.col("_lon")), "_y": F.when(both, F.col("lat")).otherwise(F.col("_lat"))})
+    spots = placed.select(F.col(key).alias("_at"), "_x", "_y").distinct()
+    reach = vertices.join(spots, vertices[key] == F.col("_at")).groupBy("_at", "_x", "_y").agg(F.max(G.great_circle_km("lon", "lat", "_x", "_y")).alias("_far"))
+    reach = reach.withColumnsRenamed({"_x": "_fx", "_y": "_fy"})
+    placed = placed.join(reach, (placed[key] == F.col("_at")) & placed["_x"].eqNullSafe(F.col("_fx")) & placed["_y"].eqNullSafe(F.col("_fy")), "left")
+    radius = F.coalesce("radius_km", F.col("diameter_km") / 2, "_far")
+    new = {"lon": F.col("_x"), "lat": F.col("_y"), "radius_km": radius, "diameter_km": F.coalesce("diameter_km", 2 * radius)}
+    return placed.select(*[new[c].alias(c) if c in new else F.col(c) for c in rows.columns])
+
+
 def ring_segments(rings: DataFrame, key: str) -> DataFrame:
     """(key, lon1, lat1, lon2, lat2) of the sides of rings (key, ring_no, seq, lon, lat)."""
     order = Window.partitionBy(key, "ring_no").orderBy("seq")

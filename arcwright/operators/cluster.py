@@ -141,10 +141,11 @@ def ordered_cliques(rows: DataFrame, key: str, pairs: DataFrame, most_pairs: int
     return found.join(ranks.select("rank", F.col(key).alias("first")), "rank").select(key, "first")
 
 
-def regional_families(candidates: DataFrame, km: float = 500.0) -> DataFrame:
-    """(candidate_id, regional_family_id, regional_family_member_count, overlapping_large_candidate, regional_context_flag).
+def regional_families(candidates: DataFrame, km: float = 500.0, cases: DataFrame | None = None) -> DataFrame:
+    """(candidate_id, regional_family_id, regional_family_member_count, overlapping_large_candidate, regional_context_flag, special_regional_case).
 
-    Needs candidate_id, source_index, lon, lat, radius_km. Families are connected within ``km`` and numbered by lowest source_index.
+    Needs candidate_id, source_index, lon, lat, radius_km. Families are connected within ``km`` and numbered by lowest source_index. ``cases``: candidate_id and
+    special_regional_case of candidates with a case of their own, a row each; of several rows for one the smallest text counts.
     """
     pairs = distance_self_join(candidates, "candidate_id", km)
     comps = connected_components(candidates, "candidate_id", pairs.select("a", "b"))
@@ -155,9 +156,13 @@ def regional_families(candidates: DataFrame, km: float = 500.0) -> DataFrame:
     rows = rows.join(sizes, "root").join(over.withColumn("_over", F.lit(True)), "candidate_id", "left")
     alone = F.col("regional_family_member_count") == 1
     flag = F.when(alone, ALONE).otherwise(TOGETHER)
+    if cases is None:
+        rows = rows.withColumn("special_regional_case", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(cases.groupBy("candidate_id").agg(F.min("special_regional_case").alias("special_regional_case")), "candidate_id", "left")
     return rows.select(
         "candidate_id", "regional_family_id", "regional_family_member_count",
-        F.coalesce("_over", F.lit(False)).alias("overlapping_large_candidate"), flag.alias("regional_context_flag"),
+        F.coalesce("_over", F.lit(False)).alias("overlapping_large_candidate"), flag.alias("regional_context_flag"), "special_regional_case",
     )
 
 

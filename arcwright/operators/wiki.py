@@ -26,7 +26,7 @@ def table_rows(pages: DataFrame, key: str, text: str, least_cells: int = 4) -> D
     closed_later = F.max((F.col("_mark") | ((F.col("_in") == 0) & ends)).cast("int")).over(order.rowsBetween(1, Window.unboundedFollowing))
     marks = marks.withColumns({"_open": row_open, "_row": F.sum(F.col("_mark").cast("int")).over(upto), "_closed": F.coalesce(closed_later, F.lit(0)) == 1})
     cell = F.col("line").startswith("|") & ~F.col("line").startswith("||") & ~F.col("line").startswith("|-") & ~ends
-    cells = marks.where((F.col("_in") == 1) & F.col("_open") & F.col("_closed") & cell).select(key, "_row", "pos", F.trim(F.substring("line", 2, 1_000_000)).alias("cell"))
+    cells = marks.where((F.col("_in") == 1) & F.col("_open") & F.col("_closed") & cell).select(key, "_row", "pos", F.trim(F.expr("substring(line, 2)")).alias("cell"))
     rows = cells.groupBy(key, "_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cell"))), lambda c: c["cell"]).alias("cells"))
     return rows.where(F.size("cells") >= least_cells).select(key, F.col("_row").alias("row_no"), "cells")
 

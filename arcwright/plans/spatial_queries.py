@@ -119,11 +119,14 @@ def _families(pairs: str, source: str) -> str:
     + f""", ov AS (SELECT DISTINCT a.candidate_id FROM candidates a, candidates b WHERE a.candidate_id <> b.candidate_id AND {km("a", "b")} <= a.radius_km + b.radius_km),
       nums AS (SELECT root, 'regional_family_' || lpad(row_number() OVER (ORDER BY root)::VARCHAR, 4, '0') AS fam, n FROM (SELECT root, count(*) AS n FROM comp GROUP BY root) x)
       SELECT c.candidate_id, fam AS regional_family_id, n AS regional_family_member_count, ov.candidate_id IS NOT NULL AS overlapping_large_candidate,
-        CASE WHEN n = 1 THEN 'geographically isolated at configured scale' ELSE 'geographic cluster; test shared tectonic/volcanic fabric and selection bias' END AS regional_context_flag
+        CASE WHEN n = 1 THEN 'geographically isolated at configured scale' ELSE 'geographic cluster; test shared tectonic/volcanic fabric and selection bias' END AS regional_context_flag,
+        CASE WHEN c.source_index % 50 = 0 THEN 'case ' || c.candidate_id END AS special_regional_case
       FROM candidates c JOIN comp ON comp.node = c.source_index JOIN nums USING (root) LEFT JOIN ov ON ov.candidate_id = c.candidate_id""",
 )
 def regional_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.regional_families(view(spark, sf_dir, "candidates"), 90.0)
+    rows = view(spark, sf_dir, "candidates")
+    cases = rows.where("source_index % 50 = 0").select("candidate_id", F.concat(F.lit("case "), "candidate_id").alias("special_regional_case"))
+    return C.regional_families(rows, 90.0, cases)
 
 
 def _cliques(n: str, rows: str, pairs: str) -> str:

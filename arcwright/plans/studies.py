@@ -78,10 +78,11 @@ def enrichment(candidates: DataFrame, channels: dict[str, DataFrame], classes: D
     return rows
 
 
-def matched_draw_study(candidates: DataFrame, classes: DataFrame, channel: DataFrame, k: int = 19, replicates: int = 999, seed: int = 20260621) -> dict[str, DataFrame]:
+def matched_draw_study(candidates: DataFrame, classes: DataFrame, channel: DataFrame, k: int = 19, replicates: int = 999, seed: int = 20260621, strata: list[str] | None = None) -> dict[str, DataFrame]:
     """Ring scores of candidates against those of domain-matched longitudes: draws, p by candidate, and the summary over all.
 
-    candidates: candidate_id, lon, lat, radius_km, domain; classes and channel: grids.
+    candidates: candidate_id, lon, lat, radius_km, domain; classes and channel: grids. With ``strata`` (columns of the candidates) and a column followup_score, also how the channel's scores
+    rank with those of the shape, against shuffles within the strata: ``concordance``, and a row of the summary.
     """
     draws = cut(R.domain_matched_draws(candidates, classes, k, seed))
     moved = draws.select(F.concat_ws("#", "candidate_id", "null_index").alias("candidate_id"), F.col("null_lon").alias("lon"), "lat", "radius_km")
@@ -89,7 +90,12 @@ def matched_draw_study(candidates: DataFrame, classes: DataFrame, channel: DataF
     null = cut(null.select(F.substring_index("candidate_id", "#", 1).alias("candidate_id"), F.substring_index("candidate_id", "#", -1).cast("int").alias("null_index"), "ring_score"))
     observed = cut(R.scalar_ring_score(R.grid_window_join(candidates.select("candidate_id", "lon", "lat", "radius_km"), channel)).select("candidate_id", "ring_score"))
     reps = T.global_null(observed, null, "candidate_id", "ring_score", replicates, seed)
-    return {"draws": null, "candidates": T.candidate_p(observed, null, "candidate_id", "ring_score"), "summary": K.result_rows(T.null_summary(cut(reps), "median"), "matched rotation", "median ring score")}
+    out = {"draws": null, "candidates": T.candidate_p(observed, null, "candidate_id", "ring_score"), "summary": K.result_rows(T.null_summary(cut(reps), "median"), "matched rotation", "median ring score")}
+    if strata:
+        rows = candidates.select("candidate_id", *strata, "followup_score").join(observed, "candidate_id")
+        mixed = cut(T.stratified_null(rows, "candidate_id", strata, "followup_score", "ring_score", replicates, seed))
+        out |= {"concordance": mixed, "summary": out["summary"].unionByName(K.result_rows(T.null_summary(mixed, "rho"), "stratified permutation", "rank correlation with shape"))}
+    return out
 
 
 def structure_study(candidates: DataFrame, segments: DataFrame) -> dict[str, DataFrame]:
@@ -101,23 +107,34 @@ def structure_study(candidates: DataFrame, segments: DataFrame) -> dict[str, Dat
     return {"structures": flagged, "membership": membership, "sensitivity": C.consolidation_sensitivity(candidates)}
 
 
-def screening_study(candidates: DataFrame, controls: DataFrame, regional_km: float = 500.0) -> dict[str, DataFrame]:
-    """Gravity-first ranks, nearest controls, ring and regional families, and preservation, with a summary of their counts.
+def screening_study(candidates: DataFrame, controls: DataFrame, regional_km: float = 500.0, planetary: tuple[DataFrame, DataFrame] | None = None, cases: DataFrame | None = None, packets: int = 25) -> dict[str, DataFrame]:
+    """Gravity-first ranks, nearest controls, ring and regional families, preservation, packets of the best candidates, and a summary of all sections.
 
-    candidates: candidate_id, source_index, lon, lat, radius_km, diameter_km, morphology, gravity, magnetic, risk, domain,
-    sediment_thickness_km, geometry_angular_coverage.
+    candidates: candidate_id, source_index, lon, lat, radius_km, diameter_km, morphology, gravity, magnetic, risk, domain, sediment_thickness_km, geometry_angular_coverage,
+    morphology_score_used, gravity_consensus_used. planetary: seed and large catalogue (see ``planetary_study``), compared with the ring families; cases: see ``cluster.regional_families``.
     """
     from ..operators import shortlist as H
 
-    ranked = H.gravity_first(candidates)
+    ranked = cut(H.gravity_first(candidates))
     out = {
         "ranked": ranked,
-        "controls": P.match_controls(ranked, controls),
-        "rings": C.ring_families(candidates),
-        "regions": C.regional_families(candidates, regional_km),
-        "preservation": H.preservation(candidates),
+        "controls": cut(P.match_controls(ranked, controls)),
+        "rings": cut(C.ring_families(candidates)),
+        "regions": cut(C.regional_families(candidates, regional_km, cases)),
+        "preservation": cut(H.preservation(candidates)),
     }
-    parts = {"warning": (out["controls"], "control_similarity_warning"), "state": (out["preservation"], "preservation_state"), "family": (out["rings"], "member_count"), "region": (out["regions"], "regional_family_member_count")}
+    near = out["controls"].select("candidate_id", F.col("nearest_negative_control_class").alias("_near"))
+    best = ranked.join(near, "candidate_id", "left").withColumn("followup_score", F.col("gravity_first_review_score"))
+    out["packets"] = K.review_packets(best, packets, "_near")
+    parts = {
+        "warning": (out["controls"], "control_similarity_warning"), "library": (controls, "negative_control_class"), "state": (out["preservation"], "preservation_state"), "family": (out["rings"], "member_count"),
+        "region": (out["regions"], "regional_family_member_count"), "case": (out["regions"], "special_regional_case"),
+    }
+    if planetary is not None:
+        families = out["rings"].select(F.col("ring_family_id").alias("family_id"), "diameter_range_km").distinct()
+        planets = planetary_study(*planetary, families)
+        out |= {"planetary": planets["planetary"], "comparison": planets["comparison"]}
+        parts["planetary"] = (out["comparison"], "body")
     return out | {"summary": K.screening_summary(parts)}
 
 
