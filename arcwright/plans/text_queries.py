@@ -29,7 +29,7 @@ def slug_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "visible_text",
-    r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
+    r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'),
       '[ \t\n\x0b\f\r]+', ' ', 'g')) AS text FROM pages""",
 )
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,16 @@ def test_review_rules(spark):
     states = {r["item_id"]: r for r in J.review_states(changes).collect()}
     assert set(states) == {1, 3} and (states[1]["status"], states[1]["owner"], states[1]["moderated_by"], states[1]["moderated_at"], states[1]["changes"], states[1]["refused"]) == ("rejected", "me", "r", 20, 7, 7)
     assert states[3]["owner"] is None
+
+
+def test_sort_templates_and_references(spark):
+    cells = {
+        "{{sort|10|ten km}}": "ten km", "a {{ Sort |1| x | y }} b {{sort|2|z}}": "x | y", "{{sort|1|}} {{sort|2|b}}": "b", "{{other|1|c}}": "{{other|1|c}}", "{{sort|1|{d}}}": "{{sort|1|{d}}}", "{{sort|e}}": "{{sort|e}}",
+        "plain": "plain", "{{sort|1|open": "{{sort|1|open", "": "", "{{x}}{{SORT\t|k|v}}": "v",
+    }
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    assert {r["c"]: r["v"] for r in df.select("c", X.rendered_value("c").alias("v")).collect()} == cells
+    pages = {"<p>1 &lt; 2&nbsp;&amp;amp;</p>": "1 < 2 &amp;", "&eacute;&#233;&#xE9;&hellip;<br>x": "ééé… x", "a & b": "a & b", "no\n\n  sign": "no sign", "&notanentity;": "¬anentity;"}
+    df = spark.createDataFrame([(c,) for c in [*pages, None]], "c string")
+    got = {r["c"]: r["v"] for r in df.select("c", X.visible_text("c").alias("v")).collect()}
+    assert got == pages | {None: None}
