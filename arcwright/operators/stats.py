@@ -32,21 +32,67 @@ def value_counts(df: DataFrame, value: str, *groups: str) -> DataFrame:
     return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*groups, v.alias("v")).agg(F.count(F.lit(1)).alias("k"))
 
 
-def power_law_tail(df: DataFrame, value: str, min_tail: int = 25) -> DataFrame:
+#: Ranges of values by which tails are bounded, level after level, as long as more than one is left.
+TAIL_LEVELS = (64, 1024)
+
+
+def _tail_rows(df: DataFrame, value: str, min_tail: int) -> tuple[DataFrame, DataFrame]:
+    """(sums, tails): every distinct value with n values from it on, ``above`` of them larger; and the tails that are tried."""
+    c = value_counts(df, value).where("v > 0")
+    sums = cut(running_sums(c, "v", {"n": F.col("k"), "s": F.col("k") * F.log("v")}, descending=True).withColumn("above", F.col("n") - F.col("k")))
+    top = sums.agg(F.max("v").alias("top")).first()["top"]
+    tails = sums.where((F.col("n") >= min_tail) & (F.col("v") < F.lit(top)))
+    return sums, tails.select(F.col("v").alias("xmin"), "n", (1 + F.col("n") / (F.col("s") - F.col("n") * F.log("v"))).alias("alpha_pdf"))
+
+
+def tails_left(sums: DataFrame, tails: DataFrame, levels: tuple[int, ...] = TAIL_LEVELS) -> DataFrame:
+    """The tails whose KS distance can still be the smallest.
+
+    Values are cut into ranges, of which only the smallest and largest value and the counts are kept. At these values the distance is known, which
+    bounds a tail's from below; between them both distribution functions only rise, which bounds it from above. Tails whose lower bound exceeds
+    the smallest upper bound go; those left are bounded by more ranges.
+    """
+    for level in levels:
+        cuts = range_cuts(sums, "v", level)
+        spot = F.struct("v", "k", "above")
+        marks = sums.withColumn("_r", range_of(F.col("v"), cuts)).groupBy("_r").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"))
+        marks = marks.agg(F.collect_list(F.struct("lo", "hi")).alias("_marks"))  # one row with ``level`` ranges
+        model = lambda v: 1 - F.pow(v / F.col("xmin"), 1 - F.col("alpha_pdf"))
+        upto = lambda p: (F.col("n") - p["above"]) / F.col("n")
+        first = lambda p: (F.col("n") - p["above"] - p["k"] + 1) / F.col("n")
+
+        def bound(acc: Column, m: Column) -> Column:
+            lo, hi = m["lo"], m["hi"]
+            whole = lo["v"] >= F.col("xmin")
+            at = F.when(whole, first(lo)).otherwise(1 / F.col("n"))
+            low, high = F.when(whole, model(lo["v"])).otherwise(F.lit(0.0)), model(hi["v"])
+            near = F.greatest(F.abs(upto(hi) - high), F.when(whole, F.abs(at - low)).otherwise(F.lit(0.0)))
+            far = F.greatest(upto(hi) - low, high - at)
+            return F.struct(F.greatest(acc["least"], near).alias("least"), F.greatest(acc["most"], far).alias("most"))
+
+        inside = F.filter("_marks", lambda m: m["hi"]["v"] >= F.col("xmin"))
+        zero = F.struct(F.lit(0.0).alias("least"), F.lit(0.0).alias("most"))
+        bounded = cut(tails.crossJoin(F.broadcast(marks)).select("xmin", "n", "alpha_pdf", F.aggregate(inside, zero, bound).alias("b")))
+        limit = bounded.agg(F.min("b.most").alias("m")).first()["m"]
+        if limit is None:
+            return tails
+        tails = cut(bounded.where(F.col("b.least") <= limit * (1 + 1e-9) + 1e-12).select("xmin", "n", "alpha_pdf"))
+    return tails
+
+
+def power_law_tail(df: DataFrame, value: str, min_tail: int = 25, few_pairs: int = 20_000_000) -> DataFrame:
     """One row (xmin, alpha_pdf, n, ks): the tail whose Pareto fit has the smallest KS distance, the smaller xmin among ties.
 
     Each distinct value with at least ``min_tail`` values from it on, not all equal, is tried: alpha = 1 + n / sum(ln(x / xmin)).
-    Values are summed by distinct value first. Tails and ranges of values meet by range, so a task holds one range of each;
-    the comparisons are as many as pairs of a tail and a distinct value in it. No tail: no row.
+    Values are summed by distinct value first. Bounds from range totals leave few tails (see ``tails_left``); only these meet all values, range by range. Up to ``few_pairs`` pairs of a
+    tail and a value the bounds would cost more than they save, and all are compared. No tail: no row.
     """
-    c = value_counts(df, value).where("v > 0")
-    sums = cut(running_sums(c, "v", {"n": F.col("k"), "s": F.col("k") * F.log("v")}, descending=True))
-    top = sums.agg(F.max("v").alias("top")).first()["top"]
+    sums, tails = _tail_rows(df, value, min_tail)
     cuts = range_cuts(sums, "v")
-    tails = sums.where((F.col("n") >= min_tail) & (F.col("v") < F.lit(top)))
-    tails = tails.select(F.col("v").alias("xmin"), "n", (1 + F.col("n") / (F.col("s") - F.col("n") * F.log("v"))).alias("alpha_pdf"))
+    if tails.count() * sums.count() > few_pairs:
+        tails = tails_left(sums, tails)
     # a value's rank within a tail follows from its rank among all
-    ranked = sums.select("v", "k", (F.col("n") - F.col("k")).alias("above"), range_of(F.col("v"), cuts).alias("_range"))
+    ranked = sums.select("v", "k", "above", range_of(F.col("v"), cuts).alias("_range"))
     each = tails.withColumn("_range", F.explode(F.sequence(range_of(F.col("xmin"), cuts), F.lit(len(cuts)))))
     pairs = each.join(ranked, "_range").where(F.col("v") >= F.col("xmin"))
     model = 1 - F.pow(F.col("v") / F.col("xmin"), 1 - F.col("alpha_pdf"))

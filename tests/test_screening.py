@@ -431,6 +431,62 @@ def test_ecdf_needs_no_single_task(spark):
     assert below and all("hashpartitioning" in x and "_range" in x for x in below)
 
 
+@pytest.mark.parametrize("kind", ["pareto", "lognormal", "few", "equal"])
+def test_tail_bounds_keep_the_best(spark, kind):
+    rng = np.random.RandomState(9)
+    x = {"pareto": 10 * (1 - rng.rand(3000)) ** (-1 / 1.7), "lognormal": np.exp(rng.randn(3000)), "few": rng.choice([1.0, 2.0, 3.0, 8.0], 200), "equal": np.full(50, 3.0)}[kind]
+    if kind == "pareto":
+        x = np.concatenate([x, rng.rand(2000) * 10])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (0.0,), (-1.0,), (float("nan"),)], "v double")
+    best, tried = None, 0
+    s = np.sort(x)
+    for xmin in np.unique(s)[:-1]:
+        t = s[s >= xmin]
+        n = len(t)
+        if n < 25:
+            continue
+        alpha = 1 + n / np.log(t / xmin).sum()
+        model = 1 - (t / xmin) ** (1 - alpha)
+        at = np.searchsorted(t, t, "right"), np.searchsorted(t, t, "left") + 1
+        ks = max(np.abs(at[0] / n - model).max(), np.abs(at[1] / n - model).max())
+        tried += 1
+        best = min(best or (9, 0), (ks, xmin))
+    got = T.power_law_tail(df, "v", few_pairs=0).collect()
+    assert len(got) == (best is not None) and got == T.power_law_tail(df, "v").collect()
+    if best:
+        assert got[0]["xmin"] == pytest.approx(best[1]) and got[0]["ks"] == pytest.approx(best[0], abs=1e-12)
+        sums, tails = T._tail_rows(df, "v", 25)
+        assert tails.count() == tried and (tried < 100 or T.tails_left(sums, tails).count() < 0.1 * tried)
+
+
+def test_scale_permutations_match_plain_numpy(spark):
+    from arcwright.operators.stats import draw, ks_permutation
+
+    rng = np.random.RandomState(4)
+    x, y = np.exp(rng.randn(40) + 1), np.exp(rng.randn(25))
+    frame = lambda v: spark.createDataFrame([(i, float(a)) for i, a in enumerate(v)], "id long, v double")
+    got = {r["rep"]: r for r in ks_permutation(frame(x), frame(y), "id", "v", 3, 7, steps=10, rounds=2).collect()}
+    pool = [(0, str(i), float(np.log(v))) for i, v in enumerate(x)] + [(1, str(i), float(np.log(v))) for i, v in enumerate(y)]
+    keyed = spark.createDataFrame([(r, s, k, v) for r in range(3) for s, k, v in pool], "rep int, _side int, _key string, v double").withColumn("d", draw(7, "rep", "_side", "_key")).toPandas()
+
+    def gap(a, b):
+        at = np.sort(np.concatenate([a, b]))
+        return np.abs(np.searchsorted(np.sort(a), at, "right") / len(a) - np.searchsorted(np.sort(b), at, "right") / len(b)).max()
+
+    for rep in (-1, 0, 1, 2):
+        if rep < 0:
+            a, b = np.log(x), np.log(y)
+        else:
+            own = keyed[keyed["rep"] == rep].sort_values(["d", "_side", "_key"])["v"].to_numpy()
+            a, b = own[: len(x)], own[len(x) :]
+        mid, half = np.median(a) - np.median(b), 5.0
+        for _ in range(2):
+            tries = [(gap(a, b + (mid + half * (2 * i / 10 - 1))), mid + half * (2 * i / 10 - 1)) for i in range(11)]
+            ks, mid = min(tries)
+            half *= 2 / 10
+        assert got[rep]["ks"] == pytest.approx(ks) and math.log(got[rep]["scale"]) == pytest.approx(mid)
+
+
 def test_every_exclusion_counts(spark):
     records = spark.range(12_001).select(F.col("id").cast("string").alias("record_id"))
     exclusions = spark.range(12_000).select(F.col("id").cast("string").alias("record_id"), F.lit("kept").alias("duplicate_of"), F.lit("copy").alias("note"))
