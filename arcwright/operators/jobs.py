@@ -58,16 +58,26 @@ def score_submissions(submissions: DataFrame, study: DataFrame, **limits) -> Dat
     return rows.withColumns(intake_checks(**limits))
 
 
+def _in_runs(events: DataFrame) -> DataFrame:
+    """Events with ``segment``, which grows when their job is queued, and ``run``: heartbeats of one worker in a row share one, other events have their own."""
+    order = Window.partitionBy("job_id").orderBy(F.col("event_ts").cast("timestamp"), "event_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    beat = F.coalesce(F.col("event") == "heartbeat", F.lit(False))
+    again = beat & F.coalesce(F.lag("event").over(order) == "heartbeat", F.lit(False)) & F.col("worker_id").eqNullSafe(F.lag("worker_id").over(order))
+    rows = events.withColumn("_new", (~again).cast("long"))
+    return rows.withColumn("segment", F.sum((F.col("event") == "queued").cast("long")).over(upto)).withColumn("run", F.sum("_new").over(upto)).drop("_new")
+
+
 def _folded(events: DataFrame, lease_seconds: int) -> DataFrame:
-    """(job_id, segment, s): state after each stretch of a job's events that begins when it is queued; s: status, attempts, worker, lease, refused (event ids)."""
-    order = Window.partitionBy("job_id").orderBy(F.col("event_ts").cast("timestamp"), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    cut_up = events.withColumn("segment", F.sum((F.col("event") == "queued").cast("long")).over(order))
-    each = F.struct(F.col("event_ts").cast("timestamp").alias("event_ts"), "event_id", "event", "worker_id")
-    e = cut_up.groupBy("job_id", "segment").agg(F.array_sort(F.collect_list(each)).alias("es"))
-    id_type = events.schema["event_id"].dataType.simpleString()
+    """(job_id, segment, s): state after each stretch of a job's events that begins when it is queued; s: status, attempts, worker, lease, refused (runs and their numbers of events).
+
+    Of a run of heartbeats all are taken or all refused, and the last one's time counts, so a run is one step however long.
+    """
+    runs = _in_runs(events).groupBy("job_id", "segment", "run").agg(F.max(F.col("event_ts").cast("timestamp")).alias("event_ts"), F.first("event").alias("event"), F.first("worker_id").alias("worker_id"), F.count(F.lit(1)).alias("n"))
+    e = runs.groupBy("job_id", "segment").agg(F.array_sort(F.collect_list(F.struct("run", "event_ts", "event", "worker_id", "n"))).alias("es"))
     start = F.struct(
         F.lit(None).cast("string").alias("status"), F.lit(0).cast("long").alias("attempts"), F.lit(None).cast("string").alias("worker"),
-        F.lit(None).cast("timestamp").alias("lease"), F.array().cast(f"array<{id_type}>").alias("refused"),
+        F.lit(None).cast("timestamp").alias("lease"), F.array().cast("array<struct<run: bigint, n: bigint>>").alias("refused"),
     )
 
     def step(s: Column, x: Column) -> Column:
@@ -87,7 +97,7 @@ def _folded(events: DataFrame, lease_seconds: int) -> DataFrame:
             .when((x["event"] == "heartbeat") & beats, state(F.lit("running"), s["attempts"], s["worker"], until, s["refused"]))
             .when(x["event"].isin("succeeded", "failed") & open_, state(x["event"], s["attempts"], s["worker"], none, s["refused"]))
             .when((x["event"] == "cancelled"), state(F.lit("cancelled"), s["attempts"], s["worker"], none, s["refused"]))
-            .otherwise(state(s["status"], s["attempts"], s["worker"], s["lease"], F.array_append(s["refused"], x["event_id"])))
+            .otherwise(state(s["status"], s["attempts"], s["worker"], s["lease"], F.array_append(s["refused"], F.struct(x["run"].alias("run"), x["n"].alias("n")))))
         )
 
     return e.select("job_id", "segment", F.aggregate("es", start, step).alias("s"))
@@ -99,18 +109,18 @@ def job_states(events: DataFrame, lease_seconds: int = LEASE_SECONDS) -> DataFra
     queued makes a job claimable; claimed takes it if it is queued or its lease has run out (else rejected), for one more attempt;
     heartbeat makes a job that hasn't ended run and extends its lease, unless another worker holds it (else rejected);
     succeeded and failed end any job that isn't cancelled; cancelled ends it. Events are folded between one queued event and the
-    next, which starts afresh, so no row holds all events of a job that is queued again and again.
+    next, which starts afresh, and heartbeats in a row count as one, so no row holds all events of a job that is queued again and again or sends nothing but heartbeats.
     """
     out = _folded(events, lease_seconds).groupBy("job_id").agg(
-        F.max_by("s", "segment").alias("s"), F.sum("s.attempts").alias("attempt_count"), F.sum(F.size("s.refused")).cast("long").alias("rejected")
+        F.max_by("s", "segment").alias("s"), F.sum("s.attempts").alias("attempt_count"), F.sum(F.aggregate("s.refused", F.lit(0).cast("long"), lambda a, r: a + r["n"])).alias("rejected")
     )
     return out.select("job_id", "s.status", "attempt_count", F.col("s.worker").alias("worker_id"), F.col("s.lease").alias("lease_expires_at"), "rejected")
 
 
 def rejected_events(events: DataFrame, lease_seconds: int = LEASE_SECONDS) -> DataFrame:
     """The events that their job's state refused, as they came: the side table of ``job_states``."""
-    refused = _folded(events, lease_seconds).select(F.explode("s.refused").alias("event_id"))
-    return events.join(refused, "event_id", "left_semi")
+    refused = _folded(events, lease_seconds).select("job_id", F.explode("s.refused").alias("r")).select("job_id", F.col("r.run").alias("run"))
+    return _in_runs(events).join(refused, ["job_id", "run"], "left_semi").select(*events.columns)
 
 
 def claimable(jobs: DataFrame, now: Column) -> DataFrame:

@@ -101,3 +101,18 @@ def test_sort_templates_and_references(spark):
     df = spark.createDataFrame([(c,) for c in [*pages, None]], "c string")
     got = {r["c"]: r["v"] for r in df.select("c", X.visible_text("c").alias("v")).collect()}
     assert got == pages | {None: None}
+
+
+def test_heartbeats_in_a_row_are_one_step(spark):
+    import datetime as D
+
+    at = lambda i: D.datetime(2026, 1, 1) + D.timedelta(seconds=i)
+    rows = [(1, 1, at(0), "queued", "w"), (2, 1, at(1), "claimed", "a")] + [(10 + i, 1, at(10 + i), "heartbeat", "b") for i in range(500)] + [(1000 + i, 1, at(1000 + i), "heartbeat", "a") for i in range(500)]
+    rows += [(5000 + i, 2, at(i), "heartbeat", None) for i in range(300)] + [(6000, 1, at(2000), "claimed", "b"), (6001, 1, at(1499 + J.LEASE_SECONDS + 1), "claimed", "c")]
+    events = spark.createDataFrame(rows, "event_id long, job_id long, event_ts timestamp, event string, worker_id string")
+    got = {r["job_id"]: r for r in J.job_states(events).collect()}
+    assert (got[1]["status"], got[1]["worker_id"], got[1]["attempt_count"], got[1]["rejected"]) == ("claimed", "c", 2, 501)
+    assert (got[2]["status"], got[2]["rejected"]) == (None, 300)
+    refused = {r["event_id"] for r in J.rejected_events(events).collect()}
+    assert refused == {10 + i for i in range(500)} | {5000 + i for i in range(300)} | {6000}
+    assert J._folded(events, J.LEASE_SECONDS).agg(F.max(F.size("s.refused"))).first()[0] == 2
