@@ -16,8 +16,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from .common import WHITE, cut, cut_in_order, join_hot, packed, unpacked
+from .common import WHITE, cut, cut_in_order, hash_bound, join_hot, packed, unpacked
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -87,11 +88,27 @@ class LineRuns:
         return runs[0] if len(runs) == 1 else self._merge(runs)
 
 
+#: Ids among which the cuts of batches are chosen where ids are no numbers.
+ID_SAMPLE = 2000
+
+
+def _id_cuts(docs: DataFrame, batches: int) -> list:
+    """At most ``batches`` - 1 ids between ranges of about equal size, the largest first; where ids aren't numbers, by those with the smallest hashes."""
+    at = [i / batches for i in range(1, batches)]
+    if isinstance(docs.schema["doc_id"].dataType, NumericType):
+        cuts = docs.agg(F.percentile_approx("doc_id", at, 10_000).alias("cuts")).first()["cuts"]
+    else:
+        ids = docs.select("doc_id").where("doc_id IS NOT NULL")
+        some = ids.where(F.xxhash64("doc_id") <= hash_bound(ID_SAMPLE, ids.count())).distinct().limit(10 * ID_SAMPLE)
+        some = sorted(r["doc_id"] for r in some.collect())
+        cuts = [some[int(len(some) * q)] for q in at] if some else []
+    return sorted(set(cuts or []), reverse=True)
+
+
 def repeated_places(docs: DataFrame, min_docs: int, min_chars: int, batches: int, fanout: int, run_rows: int) -> DataFrame:
     """(doc_id, text_id, drop): the line positions, in order, that each document loses."""
     places = line_places(docs, min_chars)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("cuts")).first()["cuts"]
-    cuts = sorted(set(cuts or []), reverse=True)
+    cuts = _id_cuts(docs, batches)
     batch = F.lit(len(cuts))
     for i, least in reversed(list(enumerate(cuts))):
         batch = F.when(F.col("doc_id") > least, i).otherwise(batch)
@@ -114,7 +131,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, batches
     the new ``text``, and n_lines, n_dropped. A null or empty text is one empty line and
     stays as it is. Rows that repeat a doc_id count as one document; rows with a null
     doc_id as one document below all others. Lines are compared by 128-bit hashes. ``batches``: ranges of
-    ids that are added one after the other, each a job of the whole cluster; a run's partition has about
+    ids (of any type that sorts) that are added one after the other, each a job of the whole cluster; a run's partition has about
     ``run_rows`` line hashes at most.
     """
     drops = repeated_places(docs, min_docs, min_chars, batches, fanout, run_rows)

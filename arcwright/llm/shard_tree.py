@@ -21,6 +21,8 @@ from .common import cut
 ROW_OVERHEAD = 16
 #: Rows that one task numbers at a time (a bucket of a shard), on average.
 SLOT_BUCKET_ROWS = 20_000
+#: Copies of a row that are numbered at a time.
+STRETCH = 65_536
 
 
 @dataclass(frozen=True)
@@ -103,27 +105,30 @@ def shard_of(df: DataFrame, key: Column, tree: HashTree, out: str) -> DataFrame:
 def slots(df: DataFrame, shard: str, order: list[str], bucket_rows: int = SLOT_BUCKET_ROWS) -> DataFrame:
     """Add column ``slot``: each shard's rows numbered from 0 without gaps.
 
-    A shard is numbered in hash buckets of about ``bucket_rows`` rows, each from where
-    the buckets before it end, so no task holds a shard. Rows that agree in all
-    columns of ``order`` are dealt to buckets as well, and numbered among themselves in any way; the
-    rows are written once, so that all steps see the same deal.
+    Equal rows are counted first, so they move as one. A shard is numbered in hash buckets (of the columns of ``order``) of about ``bucket_rows`` rows, each from where
+    the buckets before it end, so no task holds a shard. Slots depend on the rows alone, not on how the table lies in files.
     """
-    df = cut(df.withColumn("_deal", F.monotonically_increasing_id()))
-    n = df.count()
-    shards = max(1, df.select(shard).distinct().count())
+    equal = cut(df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies")))
+    n = equal.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("n")).first()["n"]
+    shards = max(1, equal.select(shard).distinct().count())
     buckets = max(1, -(-n // (bucket_rows * shards)))
-    rows = df.withColumn("_bucket", F.pmod(F.xxhash64(*order, "_deal"), F.lit(buckets))).drop("_deal")
+    rows = equal.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy(shard, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_copies").alias("_n"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .select(F.col(shard).alias("_s"), F.col("_bucket").alias("_b"), "_start")
     )
-    own = Window.partitionBy(shard, "_bucket").orderBy(*order)
-    numbered = rows.withColumn("_at", F.row_number().over(own) - 1)
+    rest = [c for c in df.columns if c not in order]
+    own = Window.partitionBy(shard, "_bucket").orderBy(*order, *rest).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("_at", F.coalesce(F.sum("_copies").over(own), F.lit(0)))
     joined = numbered.join(starts, (F.col(shard) == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    return joined.withColumn("slot", (F.col("_start") + F.col("_at")).cast("long")).drop("_bucket", "_at", "_s", "_b", "_start")
+    # many copies come out in stretches, so no row holds the numbers of all of them
+    at = joined.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / STRETCH))))
+    first = F.col("_start") + F.col("_at") + F.col("_i") * STRETCH
+    last = F.least(first + STRETCH, F.col("_start") + F.col("_at") + F.col("_copies")) - 1
+    return at.select(*df.columns, F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("slot"))
 
 
 def shard_rows(docs: DataFrame, tree: HashTree, grown: HashTree | None = None) -> DataFrame:

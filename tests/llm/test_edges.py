@@ -13,7 +13,7 @@ from arcwright.llm.line_runs import dedup_lines
 from arcwright.llm.metric_tree import top_inner_products
 from arcwright.llm.ngram_join import near_classes, one_of_each_class
 from arcwright.llm.page_content import extract_content, train_page_content
-from arcwright.llm.shard_tree import HashTree, shard_rows
+from arcwright.llm.shard_tree import HashTree, shard_of, shard_rows, slots
 from arcwright.llm.source_mix import mix_sources, mixed_documents
 from arcwright.llm.toxicity import score_toxicity, train_toxicity
 from arcwright.llm.window_pack import pack_windows
@@ -72,6 +72,28 @@ def test_shards(docs, none):
     assert shard_rows(none, tree).count() == 0
 
 
+def test_slots_do_not_depend_on_the_layout(spark):
+    ids = spark.range(1000).select(F.when(F.col("id") < 300, 7).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") / 400).cast("int")).alias("text"))
+    tree = HashTree.even(4, regions=1, racks=1)
+    placed = shard_of(ids, F.col("doc_id").cast("string"), tree, "shard")
+    want = None
+    for rows in (placed, placed.repartition(3), placed.orderBy(F.desc("doc_id")).coalesce(1)):
+        got = sorted(map(tuple, slots(rows, "shard", ["doc_id", "text"], 50).collect()), key=repr)
+        assert want in (None, got)
+        want = got
+    by = {}
+    for *_, shard, slot in want:
+        by.setdefault(shard, []).append(slot)
+    assert len(want) == 1000 and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_line_dedup_takes_ids_that_are_no_numbers(spark):
+    line = "a line of forty characters or more, which is in all of them"
+    rows = [(f"d{i:04d}", f"{line}\nown {i}") for i in range(300)] + [(None, line)]
+    out = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert out["d0299"] == (f"{line}\nown 299", 0) and all(out[f"d{i:04d}"] == (f"own {i}", 1) for i in range(299)) and out[None] == ("", 1)
+
+
 def test_weight_changes_stay_in_their_subtree(spark):
     regions = {str(r): {str(k): {(r * 2 + k) * 4 + s: 1.0 for s in range(4)} for k in range(2)} for r in range(3)}
     ids = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
