@@ -250,7 +250,8 @@ def top_inner_products(
     by smaller vec_id; exact. ``df`` needs vec_id and embedding. Vectors that are null, empty or hold
     null or non-finite components take no part. Rows that repeat an id are rows of their own: such a
     query has its answers once for each of its rows, and the other rows of its id are candidates. Queries
-    meet only vectors of their own dimension. Sums beyond 64 bits become the nearest long.
+    meet only vectors of their own dimension. Sums beyond 64 bits are ranked by their exact value and given as the nearest
+    long, so among equal outputs of that kind the larger exact sum comes first, whatever its vec_id.
     """
     whole = F.transform("v", lambda x: _floor(F.lit(steps) * x))
     vectors = with_query_flag(clean_vectors(df, True), is_query).withColumn("w", whole)

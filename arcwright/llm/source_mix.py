@@ -107,6 +107,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
     source gives ``floor(target)`` words (less than one word short for each further
     row that repeats that document's id). No document gives more than ``cap`` (a whole
     number) times its size. The same ids always give the same mix; an empty table an empty one.
+    Up to 50,000 sources are broadcast, so a source's rows stay where they are; beyond that rows are joined by shuffle
+    on their source, where Spark's adaptive planning splits a source that holds a large share of them. Targets are ranked in one task, a row a source.
     """
     if cap != int(cap) or cap < 1:
         raise ValueError("cap must be a whole number of repeats")
