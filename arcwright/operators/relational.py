@@ -65,6 +65,19 @@ def detect_field(columns: list[str], aliases: list[str], name: str = "field", re
     return None
 
 
+def first_of_aliases(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """Each name as the first of its aliases' values that isn't null, NaN or blank; aliases that aren't columns are passed over, other columns stay."""
+    known = dict(df.dtypes)
+
+    def value(c: str) -> Column:
+        if known[c] in ("double", "float"):
+            return F.when(~F.isnan(c), F.col(c))
+        return F.when(F.trim(c) != "", F.col(c)) if known[c] == "string" else F.col(c)
+
+    new = {name: [value(c) for c in names if c in known] for name, names in aliases.items()}
+    return df.withColumns({name: F.coalesce(*cols) if cols else F.lit(None).cast("string") for name, cols in new.items()})
+
+
 def override(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Base rows updated by new rows of the same key: the new value wins where there is a row, even if it is null."""
     fresh = new.select(F.struct(*[new[c] for c in new.columns]).alias("_new"), new[key].alias("_key"))

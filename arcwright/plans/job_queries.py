@@ -119,16 +119,20 @@ def search_and_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page(text_search(view(spark, sf_dir, "candidates"), ["name", "candidate_id"], [("name", "RE"), ("candidate_id", "77")]), "source_index", 100, 50).select("candidate_id", "name", "source_index")
 
 
+_FIELDS = {
+    "source_index": "integer", "candidate_id": "string", "name": "string", "lon": "number", "lat": "number", "radius_km": "number", "diameter_km": "integer", "followup_score": "number", "tid_land_fraction": "number",
+    "tid_artifact_risk": "number", "gravity_bouguer_ring_score": "number", "gravity_freeair_ring_score": "number", "magnetic_ring_score": "number", "sediment_thickness_km": "number", "geometry_angular_coverage": "number",
+}
+
+
 @query(
     "field_dictionary",
-    duck("candidates")
-    + """ SELECT 'candidate_id' AS field, 'string' AS type, false AS nullable, count(*) AS n FROM candidates UNION ALL SELECT 'magnetic_ring_score', 'number', true, count(magnetic_ring_score) FROM candidates
-      UNION ALL SELECT 'source_index', 'integer', false, count(*) FROM candidates""",
+    duck("candidates") + " " + " UNION ALL ".join(f"SELECT '{c}' AS field, '{t}' AS type, count({c}) < count(*) AS nullable, count({c}) AS n FROM candidates" for c, t in _FIELDS.items()),
 )
 def field_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.relational import field_dictionary as describe
 
-    return describe(view(spark, sf_dir, "candidates").select("candidate_id", "magnetic_ring_score", "source_index"))
+    return describe(view(spark, sf_dir, "candidates"))
 
 
 @query(
@@ -199,7 +203,7 @@ def unpivot_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "planetary_comparison",
     duck("candidates")
-    + """ SELECT 'terrestrial_screening' AS source, candidate_id AS object, 'Earth' AS body, round(diameter_km, 3)::DOUBLE AS diameter_km FROM candidates WHERE diameter_km > 900
+    + """ SELECT 'terrestrial_screening' AS source, candidate_id AS object, 'Earth' AS body, round(diameter_km, 3)::DOUBLE AS diameter_km FROM candidates
       UNION ALL SELECT 'seed', name, body, km::DOUBLE FROM (SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'Moon' ELSE 'Mars' END AS body, 100 + s_suppkey AS km FROM supplier) q""",
 )
 def planetary_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +212,7 @@ def planetary_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     seed = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
         F.lit("seed").alias("source"), F.col("s_name").alias("object"), F.when(F.col("s_suppkey") % 2 == 0, "Moon").otherwise("Mars").alias("body"), (F.col("s_suppkey") + 100).cast("double").alias("diameter_km")
     )
-    families = view(spark, sf_dir, "candidates").where("diameter_km > 900").select(F.col("candidate_id").alias("family_id"), F.format_string("10.000-%.3f", F.col("diameter_km").cast("double")).alias("diameter_range_km"))
+    families = view(spark, sf_dir, "candidates").select(F.col("candidate_id").alias("family_id"), F.format_string("10.000-%.3f", F.col("diameter_km").cast("double")).alias("diameter_range_km"))
     return compare_planetary(families, seed).select("source", "object", "body", "diameter_km")
 
 
