@@ -59,8 +59,8 @@ class KeyedTable:
         new = how(self.read(), batch).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
         new.write.mode("overwrite").parquet(f"{self.folder}/v{version}")  # a version without a pointer is of a run that died
         text = json.dumps({"version": version, "batches": now["batches"] | {stream: batch_id}})
-        draft, at = self._fs(f"{self.folder}/pointers/{version}.draft")[1], None
-        fs, at = self._fs(f"{self.folder}/pointers/{version}.json")
+        fs, draft = self._fs(f"{self.folder}/pointers/{version}.draft")
+        _, at = self._fs(f"{self.folder}/pointers/{version}.json")
         out = fs.create(draft, True)
         out.write(bytearray(text.encode()))
         out.close()
