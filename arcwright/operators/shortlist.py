@@ -20,12 +20,12 @@ def with_strata(candidates: DataFrame, bins: int = 10) -> DataFrame:
     return rows.withColumn("diameter_decile", bins_right_closed(F.col("_log"), edges)).drop("_log")
 
 
-def review_shortlist(candidates: DataFrame) -> DataFrame:
+def review_shortlist(candidates: DataFrame, then: tuple[str, ...] = ("candidate_id",)) -> DataFrame:
     """Candidates with stratified percentiles, consensus, tier and review rank.
 
     Needs candidate_id, diameter_km, followup_score, tid_land_fraction, tid_artifact_risk
     and the three ring scores. Missing scores are left out of percentiles and never pass
-    a threshold. Ranks go by tier, score, consensus and id.
+    a threshold. Ranks go by tier, score, consensus and the columns of ``then``.
     """
     rows = with_strata(candidates)
     rows = percentiles_within(rows, "candidate_id", ["domain", "diameter_decile"], {m: f"{m}_stratified_percentile" for m in METRICS})
@@ -42,7 +42,7 @@ def review_shortlist(candidates: DataFrame) -> DataFrame:
     rows = rows.withColumn("_minus2", -F.coalesce(F.col("gravity_consensus_percentile"), F.lit(-1.0)))
     rows = cut(rows.withColumn("_key", F.col("_order") * 4 + F.col("_minus")))  # ranked in two passes
     cuts = sorted({4 * t - c for t in range(len(S.TIERS)) for c in [*range_cuts(candidates, "followup_score", 8), 1.5]})
-    ranked = number_rows(rows, "_key", ["_minus2", "candidate_id"], "geophysical_review_rank", descending=False, cuts=cuts)
+    ranked = number_rows(rows, "_key", ["_minus2", *then], "geophysical_review_rank", descending=False, cuts=cuts)
     return ranked.drop("_order", "_minus", "_minus2", "_key")
 
 

@@ -53,7 +53,7 @@ _SHORT = (
       both_strong, review_rank FROM ranked""",
 )
 def review_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = L.review_shortlist(view(spark, sf_dir, "candidates"))
+    out = L.review_shortlist(view(spark, sf_dir, "candidates"), ("candidate_id", "source_index"))  # six-digit ids repeat from a million candidates on
     return rounded(
         out.select(
             "candidate_id", "domain", "diameter_decile", "review_tier", F.col("gravity_consensus_percentile").alias("consensus"),
@@ -160,11 +160,11 @@ def equal_count_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def gravity_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "candidates").select(
-        "candidate_id", F.col("followup_score").alias("morphology"), F.col("gravity_bouguer_ring_score").alias("gravity"),
+        "candidate_id", "source_index", F.col("followup_score").alias("morphology"), F.col("gravity_bouguer_ring_score").alias("gravity"),
         F.col("magnetic_ring_score").alias("magnetic"), F.col("tid_artifact_risk").alias("risk"), "diameter_km",
     )
     out = L.gravity_first(rows).withColumn("_s", F.round("gravity_first_review_score", 12))
-    out = R.number_rows(out.drop("gravity_first_rank"), "_s", ["candidate_id"], "gravity_first_rank")
+    out = R.number_rows(out.drop("gravity_first_rank"), "_s", ["candidate_id", "source_index"], "gravity_first_rank")
     flags = ["gravity_strong", "gravity_weak", "magnetic_supporting", "magnetic_discordant", "tid_risk_high", "large_scale_regime", "sub_10km_resolution_warning", "magnetic_evidence_available"]
     return rounded(out.select("candidate_id", F.col("gravity_first_review_score").alias("score"), F.col("gravity_morphology_agreement").alias("agreement"), *flags, "gravity_first_rank"))
 
