@@ -143,9 +143,10 @@ def field_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.relational import override
 
-    base = view(spark, sf_dir, "candidates").select("candidate_id", "followup_score")
-    new = view(spark, sf_dir, "candidates").where("source_index % 3 = 0").select("candidate_id", F.lit(0.5).alias("followup_score"), F.lit("new").alias("note"))
-    return override(base, new, "candidate_id")
+    # ids have six digits and repeat from a million candidates on; the index does not
+    base = view(spark, sf_dir, "candidates").select("source_index", "candidate_id", "followup_score")
+    new = view(spark, sf_dir, "candidates").where("source_index % 3 = 0").select("source_index", F.lit(0.5).alias("followup_score"), F.lit("new").alias("note"))
+    return override(base, new, "source_index").drop("source_index")
 
 
 @query(
