@@ -205,11 +205,11 @@ def density_bins(df: DataFrame, value: str, bins: int = 32) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """One row (rho, n): the correlation of average ranks of the rows with both values."""
+    """One row (rho, n): the correlation of average ranks of the rows with both values. Several rows may have one ``key``: ranks stay with their rows."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double"))).select(key, x, y)
-    rx = ranks_within(rows, [], x).select(F.col(key).alias("_k"), (F.col("less") + 1 + (F.col("ties") - 1) / 2).alias("rx"))
-    ry = ranks_within(rows, [], y).select(key, (F.col("less") + 1 + (F.col("ties") - 1) / 2).alias("ry"))
-    return rx.join(ry, F.col("_k") == F.col(key)).agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    rank = F.col("less") + 1 + (F.col("ties") - 1) / 2
+    rx = ranks_within(rows, [], x).select(y, rank.alias("rx"))
+    return ranks_within(rx, [], y).select("rx", rank.alias("ry")).agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def rotation_null(points: DataFrame, key: str, targets: DataFrame, target_key: str, n: int, seed: int, within_km: float = 100.0) -> DataFrame:
