@@ -264,17 +264,15 @@ def identify_languages(docs: DataFrame, model: ByteGru) -> DataFrame:
     return found.select(*unpacked(columns), "found.lang_pred", "found.score")
 
 
-def least_sure_score(docs: DataFrame, model: ByteGru, sample: int = 2000, steps: int = 1000) -> float:
+def least_sure_score(docs: DataFrame, model: ByteGru, steps: int = 1000) -> float:
     """The largest score below which the model is clearly wrong more often than right, on labelled documents that it hasn't learned from.
 
     Clearly: by more than twice the root of their number, so that a few wrong ones among the least sure reject nothing.
 
-    ``docs``: those documents, with doc_id, text and lang; a sample of some ``sample`` to twice as many is
-    labelled, by the smallest id hashes. 0 where the model is right at every score, or nothing is labelled.
+    ``docs``: those documents, with doc_id, text and lang; every one of them is labelled. 0 where the model is right at every score, or nothing is labelled.
     """
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.col("lang").alias("true_lang"))
-    few = labelled.where(F.xxhash64("doc_id") <= hash_bound(sample, labelled.count()))
-    said = identify_languages(few, model).where(F.col("lang_pred") != UNDETERMINED)
+    said = identify_languages(labelled, model).where(F.col("lang_pred") != UNDETERMINED)
     step = F.least(F.floor(F.col("score") * steps), F.lit(steps - 1)).alias("step")
     wrong = F.sum(F.when(F.col("lang_pred") == F.col("true_lang"), -1).otherwise(1)).alias("more_wrong")
     limit, balance, n = 0.0, 0, 0
