@@ -250,10 +250,13 @@ def null_summary(reps: DataFrame, value: str, larger_is_extreme: bool = True) ->
 
 
 def candidate_p(observed: DataFrame, nulls: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, p, n_null): each candidate's p among its own null draws; missing values are left out, none left: null."""
+    """(key, p, n_null): each candidate's p among its own null draws; missing values are left out, none left: null.
+
+    Draws are never broadcast: Spark takes exploded rows to be as large as what they come from.
+    """
     o = observed.select(key, F.col(value).cast("double").alias("_o"))
     d = nulls.select(key, F.col(value).cast("double").alias("_d")).where("_d IS NOT NULL AND NOT isnan(_d)")
-    c = o.join(d, key, "left").groupBy(key, "_o").agg(F.count("_d").alias("n_null"), F.count_if(F.col("_d") >= F.col("_o")).alias("_h"))
+    c = o.join(d.hint("merge"), key, "left").groupBy(key, "_o").agg(F.count("_d").alias("n_null"), F.count_if(F.col("_d") >= F.col("_o")).alias("_h"))
     return c.select(key, F.when(F.col("_o").isNotNull() & (F.col("n_null") > 0), (1 + F.col("_h")) / (F.col("n_null") + 1)).alias("p"), "n_null")
 
 
@@ -264,9 +267,9 @@ def global_null(observed: DataFrame, nulls: DataFrame, key: str, value: str, n:
     """
     o = observed.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_o"))
     sizes = nulls.groupBy(key).agg((F.max("null_index") + 1).alias("_n"), F.count(value).alias("_some")).where(F.col("_some") >= (complete or 1))
-    rows = o.join(sizes, key)
+    rows = o.join(sizes.hint("merge"), key)
     picks = replicates(rows, n).withColumn("null_index", F.floor(draw(seed, "rep", key) * F.col("_n")).cast(nulls.schema["null_index"].dataType))
-    got = picks.join(nulls.select(key, "null_index", value), [key, "null_index"]).select("rep", F.col(value).alias("x"))
+    got = picks.join(nulls.select(key, "null_index", value).hint("merge"), [key, "null_index"]).select("rep", F.col(value).alias("x"))
     every = rows.select(F.lit(-1).alias("rep"), F.col("_o").alias("x")).unionByName(got)
     return group_medians(cut(every), ["rep"], "x", "median") if statistic == "median" else every.groupBy("rep").agg(F.avg("x").alias("mean"))
 
