@@ -32,7 +32,7 @@ def fault_metrics(points: DataFrame, segments: DataFrame, key: str = "candidate_
         b = s.withColumn("ty", cells(F.col("s"), F.col("n"))).withColumn("tx", cells(F.col("w"), F.col("e")))
         # a pair that meets on several tiles counts on the first tile that both have
         first_y, first_x = tile_of(F.greatest(F.col("lat") - step, F.col("s"))), tile_of(F.greatest(F.col("lon") - step, F.col("w")))
-        near = a.join(b, ["ty", "tx"]).where((F.col("ty") == first_y) & (F.col("tx") == first_x)).where(
+        near = a.join(b.hint("merge"), ["ty", "tx"]).where((F.col("ty") == first_y) & (F.col("tx") == first_x)).where(
             (F.col("w") <= F.col("lon") + step) & (F.col("e") >= F.col("lon") - step) & (F.col("s") <= F.col("lat") + step) & (F.col("n") >= F.col("lat") - step)
         )
         near = near.drop("ty", "tx", "w", "e", "s", "n")
