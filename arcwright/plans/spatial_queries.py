@@ -203,7 +203,8 @@ def structure_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
             "domain": F.when(F.col("source_index") % 3 == 0, "land").otherwise("ocean"),
         }
     )
-    return rounded(C.structures(rows, C.consolidate(rows)))
+    rows = rows.withColumn("candidate_id", F.struct("candidate_id", "source_index"))  # ids repeat from a million on
+    return rounded(C.structures(rows, C.consolidate(rows), "candidate_id"))
 
 
 @query(
