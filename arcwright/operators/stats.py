@@ -22,9 +22,14 @@ def draw(seed: int, *keys: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(2**32)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to as many partitions as the session shuffles into."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
 def replicates(df: DataFrame, n: int) -> DataFrame:
-    """Every row once for each replicate 0 to n - 1 (column rep)."""
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    """Every row once for each replicate 0 to n - 1 (column rep). Rows are dealt before they are repeated: those of a small file or shuffle lie in few tasks."""
+    return spread(df).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
 def value_counts(df: DataFrame, value: str, *groups: str) -> DataFrame:
@@ -166,9 +171,11 @@ def ks_permutation(x: DataFrame, y: DataFrame, key: str, value: str, n: int, see
     pool = cut(ok(x, 0).unionByName(ok(y, 1)))
     nx = pool.where("_side = 0").count()
     many = replicates(pool, n).withColumn("_draw", draw(seed, "rep", "_side", "_key"))
-    dealt = number_rows_within(many, ["rep"], "_draw", ["_side", "_key"], "_nth", cuts=even_cuts()).withColumn("_side", (F.col("_nth") > nx).cast("int"))
-    every = cut(pool.withColumn("rep", F.lit(-1)).select("rep", "_side", "v").unionByName(dealt.select("rep", "_side", "v")))
-    side = lambda j: cut(every.where(F.col("_side") == j).groupBy("rep", "v").agg(F.count(F.lit(1)).alias("k")))
+    taken = smallest_draws(many, "rep", n, "_draw", ["_side", "_key"], nx).groupBy("rep", "v").agg(F.count(F.lit(1)).alias("k0"))
+    whole = cut(pool.groupBy("v").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("_side") == 0).alias("k0")))
+    dealt = whole.select("v", "k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")).join(taken, ["rep", "v"], "left").select("rep", "v", "k", F.coalesce("k0", F.lit(0)).alias("k0"))
+    every = cut(whole.select(F.lit(-1).alias("rep"), "v", "k", "k0").unionByName(dealt))  # the second sample has what the first leaves
+    side = lambda j: every.select("rep", "v", (F.col("k0") if j == 0 else F.col("k") - F.col("k0")).alias("k")).where("k > 0")
     return _best_shifts(side(0), side(1), "rep", steps, rounds).select("rep", F.exp("shift").alias("scale"), "ks")
 
 
@@ -214,7 +221,7 @@ def spearman(df: DataFrame, x: str, y: str, key: str) -> DataFrame:
 
 def rotation_null(points: DataFrame, key: str, targets: DataFrame, target_key: str, n: int, seed: int, within_km: float = 100.0) -> DataFrame:
     """(rep, count_within, median_km): each replicate moves all points by one longitude and looks for their nearest targets; rep -1 is unmoved."""
-    rows = points.select(key, "lon", "lat").withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))))
+    rows = spread(points.select(key, "lon", "lat")).withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))))
     turn = F.when(F.col("rep") < 0, F.lit(0.0)).otherwise(360 * draw(seed, "rep") - 180)
     moved = rows.withColumn("lon", wrap_lon(F.col("lon") + turn)).withColumn("point_rep", F.concat_ws("#", "rep", key))
     near = nearest_neighbour(moved.select("point_rep", "lon", "lat"), "point_rep", targets, target_key).select("point_rep", "distance_km")
@@ -232,6 +239,7 @@ def label_null(points: DataFrame, key: str, label: str, distance: str, n: int, s
 
     The labelled ones of a replicate are those with the smallest draws; ties by key.
     """
+    points = cut(points.select(key, label, distance))
     k = points.where(F.col(label)).count()
     many = replicates(points.select(key, distance), n).withColumn("_draw", draw(seed, "rep", key))
     drawn = smallest_draws(many, "rep", n, "_draw", [key], k).select("rep", distance)
