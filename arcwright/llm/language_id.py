@@ -260,7 +260,8 @@ def identify_languages(docs: DataFrame, model: ByteGru) -> DataFrame:
             names, scores = shared.value.documents([t if isinstance(t, str) else None for t in series])
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    found = packed(docs).withColumn("found", predict(F.col("row")["text"]))
+    # a deterministic function would run again in any filter on its results, beside the first run and in a Python worker of its own
+    found = packed(docs).withColumn("found", predict.asNondeterministic()(F.col("row")["text"]))
     return found.select(*unpacked(columns), "found.lang_pred", "found.score")
 
 

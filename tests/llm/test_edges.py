@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from arcwright.llm import queries as Q
 from arcwright.llm.collision_ann import nearest_vectors
+from arcwright.llm import language_id
 from arcwright.llm.language_id import identify_languages, train_byte_gru
 from arcwright.llm.line_runs import dedup_lines
 from arcwright.llm.metric_tree import top_inner_products
@@ -450,3 +451,9 @@ def test_a_shard_of_equal_rows_is_dealt_to_buckets(spark):
     rows = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(16).alias("size"), (F.col("id") % 2).alias("shard")).repartition(3)
     out = slots(rows, "shard", ["doc_id", "size"], bucket_rows=100)
     assert sorted((r["shard"], r["slot"]) for r in out.collect()) == [(s, i) for s in (0, 1) for i in range(1500)]
+
+
+def test_a_filter_on_the_language_does_not_run_the_network_again(spark):
+    docs = spark.range(8).selectExpr("id AS doc_id", "'ein Text' AS text", "'de' AS lang")
+    said = identify_languages(docs, language_id.ByteGru.fresh(["de", "en"], 8, 64, 5)).where("lang_pred <> 'und'").groupBy("lang_pred").agg(F.sum("score"))
+    assert said._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
