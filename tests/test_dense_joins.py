@@ -43,3 +43,44 @@ def test_rows_of_one_key_have_one_nearest(spark):
     left = spark.createDataFrame([("a", 0.0, 0.0), ("a", 30.0, 0.0), ("b", 0.0, 60.0)], "a string, lon double, lat double")
     right = spark.createDataFrame([("x", 0.0, 5.0), ("y", 31.0, 0.0)], "b string, lon double, lat double")
     assert sorted((r["a"], r["b"]) for r in P.nearest_neighbour(left, "a", right, "b").collect()) == [("a", "y"), ("b", "x")]
+
+
+def km_of(p, q):
+    (x, a), (y, b) = np.radians(p), np.radians(q)
+    return 12742.0176 * np.arcsin(min(1.0, np.sqrt(np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin((y - x) / 2) ** 2)))
+
+
+def crowd(spark):
+    """Rows that share places, some of them ids too, with poles and the date line among them."""
+    rng = np.random.RandomState(9)
+    places = [(179.9, 0.0), (-179.9, 0.1), (10.0, 89.9), (-170.0, 89.8), (0.0, 0.0), (0.2, 0.1), (3.0, -1.0), (4.0, 2.0), (30.0, -88.0)]
+    rows = [(f"k{i % 70:02d}", *places[i % 9], float(rng.choice([6.0, 30.0, 31.0, 45.0, 200.0, 900.0]))) for i in range(90)]
+    return rows, spark.createDataFrame(rows, "k string, lon double, lat double, radius_km double")
+
+
+def test_pairs_of_places_list_all_pairs_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(P, "UNIT", 3)
+    rows, df = crowd(spark)
+    pairs = [(p, q, km_of(p[1:3], q[1:3])) for p in rows for q in rows]
+    got = sorted((r["a"], r["b"]) for r in P.distance_self_join(df, "k", 500.0).collect())
+    assert got == sorted((p[0], q[0]) for p, q, d in pairs if p[0] < q[0] and d <= 500)
+    got = sorted((r["a"], r["b"]) for r in P.overlapping_pairs(df, "k").collect())  # rows with one id are no pair
+    assert got == sorted((p[0], q[0]) for p, q, d in pairs if p[0] < q[0] and d <= p[3] + q[3])
+    for low, high in ((1.2, None), (1.0, 1.5)):
+        got = sorted((r["small"], r["large"]) for r in P.centered_pairs(df, "k", 0.25, low, high).collect())
+        smaller = lambda p, q: p[3] < q[3] or (p[3] == q[3] and p[0] < q[0])
+        assert got == sorted((p[0], q[0]) for p, q, d in pairs if smaller(p, q) and low <= q[3] / p[3] <= (high or 1e9) and d <= 0.25 * p[3])
+
+
+def test_copies_of_a_place_meet_others_once(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("id AS k", "cast(id % 3 AS double) AS lon", "0.0D AS lat", "200.0D AS radius_km")
+    met, unit_pairs = [], P._unit_pairs
+
+    def counted(*args):
+        out = unit_pairs(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(P, "_unit_pairs", counted)
+    n = [P.distance_self_join(rows, "k", 500.0).count(), P.overlapping_pairs(rows, "k").count(), P.centered_pairs(rows, "k", 1.5, 1.0, None).count()]
+    assert n == [300 * 299 // 2] * 3 and max(met) <= 9
