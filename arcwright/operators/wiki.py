@@ -51,14 +51,18 @@ def match_source(records: DataFrame, source: DataFrame, near_km: float = 5.0, mi
     places = F.col("coordinates") if "coordinates" in source.columns else F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), F.array(F.struct("lat", "lon"))).otherwise(F.array())
     s = source.select("source_id", X.name_key("name").alias("_key"), places.alias("_places"), F.col("diameter_km").alias("s_km"))
     r = records.withColumn("_key", X.name_key("name")).where("_key <> ''")
+    # of the source rows with one name and one diameter only the smallest id can win, so records meet diameters, not rows
+    smallest = s.groupBy("_key", "s_km").agg(F.min("source_id").alias("source_id")).withColumnsRenamed({"_key": "_k", "s_km": "_d", "source_id": "_i"})
+    same = (F.col("_key") == F.col("_k")) & F.col("s_km").eqNullSafe(F.col("_d")) & F.col("source_id").eqNullSafe(F.col("_i"))
+    few = cut(s.join(smallest, same).groupBy("_key", "s_km", "source_id").agg(F.collect_list("_places").alias("_each")))
     gap = F.abs(F.coalesce("s_km", F.lit(float("inf"))) - F.coalesce("diameter_raw_km", F.lit(0.0)))
-    away = F.array_min(F.transform("_places", lambda p: great_circle_km("lon", "lat", p["lon"], p["lat"])))
-    named = r.join(s, "_key").withColumn("gap", gap).withColumn("km", away)
-    best = named.groupBy("record_id").agg(F.min(F.struct("gap", "source_id", "km")).alias("b"))
+    away = F.transform("_each", lambda e: F.array_min(F.transform(e, lambda p: great_circle_km("lon", "lat", p["lon"], p["lat"]))))
+    named = r.join(few, "_key").withColumn("gap", gap).withColumn("km", F.when(F.exists(away, lambda d: d.isNull()), None).otherwise(F.array_min(away)))
+    best = cut(named.groupBy("record_id").agg(F.min(F.struct("gap", "source_id", "km")).alias("b")))
     by_name = best.select("record_id", F.col("b.source_id").alias("source_id"), F.col("b.km").alias("distance_km"))
     status = F.when(F.col("distance_km") <= near_km, "verified_within_5_km").when(F.col("distance_km").isNull(), "source_has_no_coordinate").otherwise("coordinate_review_required")
     by_name = by_name.withColumn("coordinate_audit_status", status)
-    rest = records.join(by_name.select("record_id"), "record_id", "left_anti")
+    rest = cut(records.join(by_name.select("record_id"), "record_id", "left_anti"))
     each = s.select("source_id", F.explode("_places").alias("p")).select("source_id", "p.lat", "p.lon")
     near = nearest_neighbour(rest, "record_id", each, "source_id").withColumn("_ok", F.coalesce(F.col("distance_km") <= near_km, F.lit(False)))
     by_place = near.select(

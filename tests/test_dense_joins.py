@@ -84,3 +84,19 @@ def test_copies_of_a_place_meet_others_once(spark, monkeypatch):
     monkeypatch.setattr(P, "_unit_pairs", counted)
     n = [P.distance_self_join(rows, "k", 500.0).count(), P.overlapping_pairs(rows, "k").count(), P.centered_pairs(rows, "k", 1.5, 1.0, None).count()]
     assert n == [300 * 299 // 2] * 3 and max(met) <= 9
+
+
+def test_records_meet_diameters_of_a_name_not_its_rows(spark, monkeypatch):
+    from arcwright.operators import wiki as K
+
+    records = spark.range(40).selectExpr("concat('r', id) AS record_id", "'One Name' AS name", "cast(id % 7 AS double) AS lon", "1.0D AS lat", "cast(id % 5 AS double) AS diameter_raw_km")
+    rows = [(900 - i // 2, "one name", float(i % 9), 0.5 * (i % 3), [1.0, 3.0, None][i % 3]) for i in range(200)]
+    source = spark.createDataFrame(rows, "source_id long, name string, lon double, lat double, diameter_km double")
+    sizes, cut = [], K.cut
+    monkeypatch.setattr(K, "cut", lambda df: [sizes.append((df.columns, df.count())), cut(df)][1])
+    got = {r["record_id"]: (r["source_id"], round(r["distance_km"], 9)) for r in K.match_source(records, source).collect()}
+    for r in records.collect():
+        gap = lambda s: abs((s[4] if s[4] is not None else float("inf")) - r["diameter_raw_km"])
+        want = min((gap(s), s[0], km_of((r["lon"], r["lat"]), s[2:4])) for s in rows)
+        assert got[r["record_id"]] == (want[1], round(want[2], 9))
+    assert [n for c, n in sizes if "_each" in c] == [3]
