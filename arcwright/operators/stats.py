@@ -7,12 +7,15 @@ join and two aggregates, the same on every run and cluster. Permutation p-values
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import wrap_lon
 from .checkpoints import cut
-from .ranking import even_cuts, group_medians, number_rows_within, number_sorted, range_cuts, range_of, ranks_within, running_sums, smallest_draws
+from .ranking import group_medians, number_sorted, range_cuts, range_of, ranks_within, running_sums, smallest_draws
 from .spatial import nearest_neighbour
 
 
@@ -282,24 +285,65 @@ def global_null(observed: DataFrame, nulls: DataFrame, key: str, value: str, n:
     return group_medians(cut(every), ["rep"], "x", "median") if statistic == "median" else every.groupBy("rep").agg(F.avg("x").alias("mean"))
 
 
+#: Rows that a task shuffles at a time, about.
+SHUFFLED = 200_000
+
+
+def _shuffled_products(key: tuple, drawn: pa.Table, others: pa.Table, mean_x: float, mean_y: float) -> pa.Table:
+    """(rep, xy): for each replicate the sum of products of rows in the order of their draws with the rows whose places they take, over a range of draws in a stratum."""
+    if not drawn.num_rows:
+        return pa.table({"rep": pa.array([], pa.int32()), "xy": pa.array([], pa.float64())})
+    rep, value, i, ry = (drawn[c].to_numpy() for c in ("rep", "_draw", "i", "ry"))
+    order = np.lexsort((i, value, rep))
+    rep, ry = rep[order], ry[order]
+    places, below = others.filter(pc.is_valid(others["rx"])), others.filter(pc.is_valid(others["below"]))
+    at, rx = places["place"].to_numpy(), places["rx"].to_numpy()
+    by = np.argsort(at)
+    at, rx = at[by], rx[by]
+    reps, starts, counts = np.unique(rep, return_index=True, return_counts=True)
+    before = dict(zip(below["rep"].to_pylist(), below["below"].to_pylist(), strict=True))
+    place = np.arange(len(rep)) + 1 + np.repeat(np.array([before[r] for r in reps.tolist()], np.int64) - starts, counts)
+    found = np.searchsorted(at, place)
+    assert (at[found] == place).all()
+    products = (rx[found] - mean_x) * (ry - mean_y)
+    return pa.table({"rep": pa.array(reps.astype(np.int32)), "xy": pa.array(np.add.reduceat(products, starts))})
+
+
 def stratified_null(df: DataFrame, key: str, strata: list[str], x: str, y: str, n: int, seed: int) -> DataFrame:
     """(rep, rho): Spearman correlation with y shuffled within strata; rep -1 is unshuffled.
 
-    A shuffle gives the i-th row of a stratum the value of the row with the i-th smallest draw, so ranks of y, which
-    don't change, are computed once, and so are the rows' numbers by key. Draws are numbered within ranges, so a stratum that holds most rows is
-    shared by many tasks. Rows whose stratum is null in some column are a stratum of their own.
+    A shuffle gives the i-th row of a stratum, by key, the value of the row with the i-th smallest draw. Ranks don't change, so of a replicate only the sum of their products is new. Rows meet once:
+    each goes to its range of draws in its stratum, with all replicates, as do the rows whose places these draws can take, which the draws' even spread tells but for a few ranges.
+    Rows whose stratum is null in some column are a stratum of their own.
     """
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, *strata, x, y)
-    rx = ranks_within(rows, [], x).select(key, (F.col("less") + 1 + (F.col("ties") - 1) / 2).alias("rx"))
-    ry = ranks_within(rows, [], y).select(key, *strata, (F.col("less") + 1 + (F.col("ties") - 1) / 2).alias("ry"))
-    base = ry.join(rx, key)
-    true = base.agg(F.corr("rx", "ry").alias("rho")).select(F.lit(-1).alias("rep"), "rho")
-    base = cut(number_sorted(base.withColumn("_stratum", F.to_json(F.struct(*strata), {"ignoreNullFields": "false"})), ["_stratum"], [key], "i"))
-    many = replicates(base, n)
-    drawn = many.select("rep", "_stratum", key, "ry", draw(seed, "rep", key).alias("_draw"))
-    b = number_rows_within(drawn, ["rep", "_stratum"], "_draw", [key], "i", cuts=even_cuts()).select("rep", "_stratum", "ry", "i")
-    a = many.select("rep", "_stratum", "rx", "i")
-    return true.unionByName(a.join(b, ["rep", "_stratum", "i"]).groupBy("rep").agg(F.corr("rx", "ry").alias("rho")))
+    average = F.col("less") + 1 + (F.col("ties") - 1) / 2
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.to_json(F.struct(*strata), {"ignoreNullFields": "false"}).alias("_stratum"), x, y)
+    ranked = ranks_within(rows, [], x).withColumn("rx", average).drop("less", "ties", "n")
+    ranked = ranks_within(ranked, [], y).withColumn("ry", average)
+    base = cut(number_sorted(ranked.select(key, "_stratum", "rx", "ry"), ["_stratum"], [key], "i"))
+    true = base.agg(F.try_divide(F.covar_pop("rx", "ry"), F.sqrt(F.var_pop("rx") * F.var_pop("ry"))).alias("rho")).select(F.lit(-1).alias("rep"), "rho")
+    all_rows = base.agg(F.avg("rx").alias("x"), F.avg("ry").alias("y"), (F.count("rx") * F.sqrt(F.var_pop("rx") * F.var_pop("ry"))).alias("spread")).first()
+    if all_rows["x"] is None:
+        return true
+    if not all_rows["spread"]:  # no correlation, whatever the order
+        return true.unionByName(df.sparkSession.range(n).select(F.col("id").cast("int").alias("rep"), F.lit(None).cast("double").alias("rho")))
+    sizes = cut(base.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_size")).withColumn("_s", F.monotonically_increasing_id()))
+    sizes = sizes.withColumn("_ranges", F.greatest(F.lit(1), F.floor(F.col("_size") * n / SHUFFLED)))
+    base = cut(base.join(sizes, "_stratum").select("_s", "_size", "_ranges", key, "i", "rx", "ry"))
+    drawn = replicates(base.select("_s", "_ranges", key, "i", "ry"), n).withColumn("_draw", draw(seed, "rep", key))
+    drawn = drawn.select("_s", F.floor(F.col("_draw") * F.col("_ranges")).alias("_range"), "rep", "_draw", "i", "ry")
+    counts = drawn.groupBy("_s", "_range", "rep").agg(F.count(F.lit(1)).alias("k"))
+    counts = cut(counts.withColumn("below", F.sum("k").over(Window.partitionBy("_s", "rep").orderBy("_range")) - F.col("k")))
+    home = lambda i: F.floor((i - 1) / F.col("_size") * F.col("_ranges"))
+    off = F.greatest(F.abs(home(F.col("below") + 1) - F.col("_range")), F.abs(home(F.col("below") + F.col("k")) - F.col("_range")))
+    slack = counts.join(sizes, "_s").agg(F.max(off)).first()[0]
+    near = F.sequence(F.greatest(F.lit(0).cast("long"), home(F.col("i")) - slack), F.least(F.col("_ranges") - 1, home(F.col("i")) + slack))
+    others = base.select(F.col("_s").alias("_t"), F.explode(near).alias("_part"), F.col("i").alias("place"), "rx")
+    others = others.unionByName(counts.select(F.col("_s").alias("_t"), F.col("_range").alias("_part"), "rep", "below"), allowMissingColumns=True)
+    mean_x, mean_y = all_rows["x"], all_rows["y"]
+    products = lambda at, left, right: _shuffled_products(at, left, right, mean_x, mean_y)
+    sums = drawn.groupBy("_s", "_range").cogroup(others.groupBy("_t", "_part")).applyInArrow(products, "rep int, xy double")
+    return true.unionByName(sums.groupBy("rep").agg((F.sum("xy") / all_rows["spread"]).alias("rho")))
 
 
 def matched_null(cases: DataFrame, controls: DataFrame, key: str, levels: list[list[str]], values: dict[str, str], n: int, seed: int, least: int = 3) -> DataFrame:
